@@ -49,7 +49,7 @@ def word_encoder(tokenizer_file: str):
         words = (text or "").encode().split()  # ASCII white space only; the tokenizer sees to the rest
         if len(known) > _CACHE:
             known.clear()
-        new = list(set(words) - known.keys())
+        new = [w for w in set(words) if w not in known]
         if new:
             for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
