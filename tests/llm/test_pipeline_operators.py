@@ -227,3 +227,12 @@ def test_pipeline_on_odd_and_empty(spark, odd, empty, tmp_path):
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, SF).write.parquet(str(tmp_path / f"{k}{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}{i}"))
+
+
+def test_word_encoder_on_documents():
+    tok, encode = Tokenizer.from_file(TOKENIZER), packing.word_encoder(TOKENIZER)
+    for d in documents():
+        assert np.frombuffer(encode(d["text"]), "<u4").tolist() == tok.encode(d["text"] or "", add_special_tokens=False).ids
+    for cp in [*range(1, 0x250), 0x1C4, 0x3A3, 0x2581, 0x1E9E, 0xFB01]:
+        for text in (chr(cp), f"a{chr(cp)}b", f"1{chr(cp)}'S"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, hex(cp)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,17 @@ def running_offsets(counts: DataFrame, group: list[str], order: str, size: str)
     w = Window.partitionBy(*group).orderBy(order)
     before = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return counts.withColumn("before", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+class WordHashes(dict):
+    """word (bytes) -> unsigned 63-bit hash, remembered for the first `bound` words met."""
+
+    def __init__(self, bound: int = 500_000):
+        super().__init__()
+        self.bound = bound
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word) >> 1
+        if len(self) < self.bound:
+            self[word] = h
+        return h

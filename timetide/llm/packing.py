@@ -17,14 +17,18 @@ repeated rows are documents of their own; rows are never dropped, and a null doc
 from __future__ import annotations
 
 import math
+import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from timetide.llm.common import running_offsets, saved
 
@@ -33,27 +37,62 @@ GROUPS = 256
 #: Lengths up to this share of the capacity are small ones.
 SMALL = 1 / 8
 BUCKET_ROWS = 500
-_CACHE = 300_000
+_CACHE = 500_000
+
+
+#: Words that need none of the tokenizer's normalising but lower case; its pattern of word parts; its byte alphabet.
+_SIMPLE = regex.compile(r"[!-;=-~\u00a1-\u012f\u0131-\u017f]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _as_characters(part: str) -> str:
+    """The bytes of a word part as the characters that stand for them in a byte-level vocabulary."""
+    return part.encode().decode("latin-1").translate(_ALPHABET)
+
+
+class _Parts(dict):
+    """Word part, lower case -> its ids, straight from the tokenizer's model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else _as_characters(part))]
+        found = struct.pack("<%dI" % len(ids), *ids)
+        if len(self) < _CACHE:
+            self[part] = found
+        return found
+
+
+class _Words(dict):
+    """Word -> its ids as little-endian unsigned 32-bit bytes, remembered for the first words met, the frequent ones."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.parts = tokenizer, _Parts(tokenizer.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            found = self.parts[word.lower().decode()]
+        elif _SIMPLE.fullmatch(text := word.decode()):
+            # letters of the first Latin blocks: normalising is lower(), and the parts go to the model as they are
+            found = b"".join([self.parts[p] for p in _PARTS.findall(text.lower())])
+        else:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) < _CACHE:
+            self[word] = found
+        return found
 
 
 def word_encoder(tokenizer_file: str):
     """text -> its ids as little-endian unsigned 32-bit bytes."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(tokenizer_file), {}
+    known = _Words(Tokenizer.from_file(tokenizer_file))
 
     def encode(text: str | None) -> bytes:
-        words = (text or "").encode().split()  # ASCII white space only; the tokenizer sees to the rest
-        if len(known) > _CACHE:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        # ASCII white space only; the tokenizer sees to the rest
+        return b"".join(map(known.__getitem__, (text or "").encode().split()))
 
     return encode
 
