@@ -1,9 +1,24 @@
 """All registered queries and their oracle SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
 
+from timetide.jobs.registry import ORACLES, QUERIES
 
-def oracles():
-    return {}
+MODULES = ("analytics",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"timetide.jobs.{name}")
+
+
+def queries() -> dict:
+    _load()
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
