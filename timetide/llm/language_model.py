@@ -5,9 +5,8 @@ its own distinct words, the counts meet by word, and each chunk gets back the to
 no task or driver holds the vocabulary. The model predicts the next word's class from the two before:
 s(w | h) = (q1 * C1 + q2 * C2) . r_w + b_w, where classes are the CLASSES - 1 most frequent words and
 one class for all others, inside which words keep their smoothed unigram shares. Each task trains on
-all the training tokens it reads (as weighted distinct triples, in blocks of bounded size) from the
-common start b = log unigram, r = 0, and the parameters are averaged by tokens on Spark. Scoring
-normalises over all classes by batched matrix products, once per distinct context of a block.
+all the training tokens it reads (in shuffled blocks of bounded size) from the common start b = log
+unigram, r = 0, and the parameters are averaged by tokens on Spark. Scoring normalises over all classes by batched matrix products, once per distinct context of a block.
 
 Edge cases: null text counts as empty and has one token, the end; an empty training set gives score 0
 for every token; a null doc_id counts as training; repeated rows are documents of their own.
@@ -28,8 +27,8 @@ from timetide.llm.common import WordHashes, remainder, saved
 CLASSES = 512
 DIM = 16
 NOISE = 64
-BATCH = 4096
-RATE = 0.1
+BATCH = 8192
+RATE = 0.2
 #: Tokens that a task trains on at once, and characters of a chunk of documents.
 TRAIN_TOKENS = 2_000_000
 CHUNK_CHARS = 8 << 20
@@ -121,7 +120,7 @@ class Model:
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad on weighted (context, class) pairs."""
+    """Noise-contrastive estimation with AdaGrad; each batch shares its noise words."""
 
     def __init__(self, model: Model):
         self.m = model.with_parameters(model.parameters())
@@ -143,13 +142,11 @@ class Trainer:
 
     def train(self, contexts: np.ndarray, classes: np.ndarray) -> None:
         m, k = self.m, len(self.m.unigram)
-        pairs, weights = np.unique(contexts * k + classes, return_counts=True)
-        order = self.rng.permutation(len(pairs))
+        order = self.rng.permutation(len(classes))
         log_noise = np.log(m.unigram * NOISE).astype(np.float32)
         for i in range(0, len(order), BATCH):
             take = order[i : i + BATCH]
-            w, ctx, target = weights[take].astype(np.float32), pairs[take] // k, pairs[take] % k
-            w /= w.sum()
+            ctx, target = contexts[take], classes[take]
             last, before = ctx % k, ctx // k
             noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), k - 1)
             q1, q2 = m.q[last], m.q[before]
@@ -157,8 +154,8 @@ class Trainer:
             r_t, r_n = m.r[target], m.r[noise]
             data = np.einsum("ij,ij->i", h, r_t) + m.b[target] - log_noise[target]
             against = h @ r_n.T + (m.b[noise] - log_noise[noise])
-            g = w / (1 + np.exp(np.clip(data, -30, 30)))
-            gn = -w[:, None] / (1 + np.exp(-np.clip(against, -30, 30)))
+            g = 1 / (1 + np.exp(np.clip(data, -30, 30))) / len(take)
+            gn = -1 / (1 + np.exp(-np.clip(against, -30, 30))) / len(take)
             gh = g[:, None] * r_t + gn @ r_n
             gr = self._gather(np.concatenate((target, noise)), np.concatenate((g[:, None] * h, gn.T @ h)))
             gb = np.bincount(np.concatenate((target, noise)), np.concatenate((g, gn.sum(axis=0))), k).astype(np.float32)
