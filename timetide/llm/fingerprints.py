@@ -6,9 +6,9 @@ t = floor(ln x / r + b) and ln a = ln c - r (t - b + 1); the word of the smalles
 sample. Two documents agree in a sample with the probability of their generalised Jaccard similarity
 (sum of minima over sum of maxima of the weights), so the share of equal samples estimates it.
 
-All of it is DataFrame code inside generated loops: the gamma variates come from the bits of a 64-bit
-hash by two tables of quantiles (the bulk in 4096 steps, its last step in 4096 finer ones), and the
-smallest a is a plain minimum of longs that hold ln a in fixed point above 32 bits naming (word, t).
+All of it is DataFrame code inside generated loops: a gamma variate is minus the logarithm of a product
+of two uniform numbers cut from a 64-bit hash, and the smallest a is a plain minimum of longs that hold
+ln a in fixed point above 32 bits naming (word, t).
 Texts are dealt once by doc_id; counting and sampling then need no further shuffle, a third of all
 rows sharing words or texts makes no hot key.
 
@@ -29,47 +29,28 @@ from timetide.llm.common import GAP, saved, text_or_empty
 
 SAMPLES = 32
 SEED = 4
-_STEPS = 4096
 _RANGE_ROWS = 100_000
 
 
-def _gamma_quantile(p: float) -> float:
-    """Inverse of 1 - (1 + x) exp(-x), by bisection."""
-    lo, hi = 0.0, 60.0
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        if -math.expm1(-mid) - mid * math.exp(-mid) < p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
+def _uniform(h: Column, shift: int, count: int) -> Column:
+    """`count` bits of a hash as a number strictly between 0 and 1."""
+    bits = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << count) - 1))
+    return (bits + F.lit(0.5)) / F.lit(float(1 << count))
 
 
-def _tables() -> tuple[list[float], list[float], list[float], list[float]]:
-    """Quantiles of r, the finer ones of its top step; logarithms of c, the finer ones of its bottom step."""
-    mid = [(i + 0.5) / _STEPS for i in range(_STEPS)]
-    bulk = [_gamma_quantile(p) for p in mid]
-    top = [_gamma_quantile((_STEPS - 1 + p) / _STEPS) for p in mid]
-    bottom = [math.log(_gamma_quantile(p / _STEPS)) for p in mid]
-    return bulk, top, [math.log(x) for x in bulk], bottom
+def _sample(term: Column, seed: int, log_weight: Column) -> Column:
+    """ln a in 31 bits of fixed point over 32 bits naming the word and its t; null where log_weight is.
 
-
-def _sample(h: Column, log_weight: Column, tables: tuple[Column, ...]) -> Column:
-    """ln a in 31 bits of fixed point over 32 bits naming the word and its t; null for weight 0."""
-    bulk, top, log_bulk, log_bottom = tables
-
-    def bits(shift: int, count: int) -> Column:
-        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << count) - 1)).cast("int")
-
-    i, j, fine = bits(0, 12), bits(12, 12), bits(24, 12)
-    r = F.when(i == _STEPS - 1, F.get(top, fine)).otherwise(F.get(bulk, i))
-    log_c = F.when(j == 0, F.get(log_bottom, fine)).otherwise(F.get(log_bulk, j))
-    b = bits(36, 28) / F.lit(float(1 << 28))
+    r, c and b depend on the word and the seed only, and are worked out once for all weights of a row."""
+    h = F.xxhash64(term, F.lit(seed))
+    g = F.xxhash64(h)
+    r = -F.log(_uniform(h, 0, 32) * _uniform(h, 32, 32))
+    log_c = F.log(-F.log(_uniform(g, 0, 22) * _uniform(g, 22, 21)))
+    b = _uniform(g, 43, 21)
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
-    fixed = F.least(F.greatest((log_a + 128.0) * float(1 << 23), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
-    name = F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(log_weight.isNotNull(), F.shiftleft(fixed, 32).bitwiseOR(name))
+    fixed = ((log_a + 128.0) * float(1 << 23)).cast("long")  # ln a lies between -80 and 4
+    return F.shiftleft(fixed, 32).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def sampled(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -80,8 +61,7 @@ def sampled(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> Dat
     words = sides.select("doc_id", "side", F.explode(F.split(F.lower("t"), GAP)).alias("word")).where("word <> ''")
     counts = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(*[F.sum(F.when(F.col("side") == i, 1.0)).alias(f"w{i}") for i in range(len(columns))])
     logs = counts.select("doc_id", "term", *[F.log(f"w{i}").alias(f"w{i}") for i in range(len(columns))])
-    tables = tuple(F.lit(t) for t in _tables())
-    least = [F.min(_sample(F.xxhash64("term", F.lit(SEED * 1000 + k)), F.col(f"w{i}"), tables)).alias(f"m{i}_{k}") for i in range(len(columns)) for k in range(samples)]
+    least = [F.min(_sample(F.col("term"), SEED * 1000 + k, F.col(f"w{i}"))).alias(f"m{i}_{k}") for i in range(len(columns)) for k in range(samples)]
     best = logs.groupBy("doc_id").agg(*least)
     arrays = [F.when(F.col(f"m{i}_0").isNotNull(), F.array(*[F.col(f"m{i}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)])).alias(c) for i, c in enumerate(columns)]
     return best.select("doc_id", *arrays)
