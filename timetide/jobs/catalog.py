@@ -6,7 +6,7 @@ import importlib
 
 from timetide.jobs.registry import ORACLES, QUERIES
 
-MODULES = ("analytics",)
+MODULES = ("analytics", "realtime", "calendars", "timetable", "rail", "merging", "matching", "streaming")
 
 
 def _load() -> None:

@@ -149,6 +149,7 @@ class Shapes:
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over shapes and base tables."""
         names = [n for n in (*SHAPES, *BASE) if re.search(rf"\b(FROM|JOIN)\s+{n}\b", text)]
+        text = text.replace("{", "{{").replace("}", "}}")
         for n in names:
             text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
         return self.spark.sql(_rewrite(text, "spark"), **{n: getattr(self, n) for n in names})
