@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
+from timetide.functions.lineage import cut
 from timetide.operators.matching import exact_matches, match_stops_by_name, primary_matches, top_stop_match
 
 STOP_TOLERANCE, TOWN_TOLERANCE = 1000, 10_000
@@ -127,28 +128,29 @@ def fix_jdf(stops: DataFrame, trip_stops: DataFrame, targets: DataFrame, towns:
     town, region = T.region_in_town(F.col("town"))
     named = stops.withColumn("_r", region).withColumn("town", town).withColumn("region", F.coalesce("_r", "region")).withColumn("country", F.when(F.col("_r").isNotNull(), "CZ").otherwise(F.col("country"))).drop("_r")
     a, b, c = T.split_stop_name(F.col("town"), F.col("district"), F.col("place"))
-    named = named.select(*keys, a.alias("town"), b.alias("district"), c.alias("place"), "region", "country")
+    named = cut(named.select(*keys, a.alias("town"), b.alias("district"), c.alias("place"), "region", "country"))
 
     def matched(rows: DataFrame, on: list[str]) -> DataFrame:
         with_name = rows.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place")))
         return exact_matches(match_stops_by_name(with_name, targets, synonyms)).select(*on, "x", "y", "precision", "t_region", "t_country")
 
-    plain = primary_matches(top_stop_match(matched(named, keys), keys), named, foreign, towns, keys)
+    plain = cut(primary_matches(top_stop_match(matched(named, keys), keys), named, foreign, towns, keys))
     urban_stops = named.join(urban_naming_batches(named), "batch_id", "left_semi")
     votes = match_stops_by_name(urban_stops.withColumn("name", F.col("town")), targets.withColumn("t_town", F.substring_index("name", ",", 1)), synonyms).select("batch_id", "stop_id", F.col("t_town").alias("town"))
-    renamed = urban_names(urban_stops, town_candidates(votes, route_towns).where("rank = 1"))
-    urban = top_stop_match(matched(renamed, keys), keys)
-    as_urban = choose_naming(plain, urban).where("urban").select("batch_id")
-    chosen = named.join(as_urban, "batch_id", "left_anti").unionByName(renamed.drop("rank").join(as_urban, "batch_id", "left_semi"))
-    first = plain.join(as_urban, "batch_id", "left_anti").unionByName(urban.join(as_urban, "batch_id", "left_semi"))
-
-    patterns = trip_patterns(trip_stops, ["batch_id"], "trip").join(first.select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y")), keys, "left")
+    renamed = cut(urban_names(urban_stops, town_candidates(votes, route_towns).where("rank = 1")))
+    urban = cut(top_stop_match(matched(renamed, keys), keys))
+    as_urban = cut(choose_naming(plain, urban).where("urban").select("batch_id"))
+    chosen = cut(named.join(as_urban, "batch_id", "left_anti").unionByName(renamed.drop("rank").join(as_urban, "batch_id", "left_semi")))
+    first = cut(plain.join(as_urban, "batch_id", "left_anti").unionByName(urban.join(as_urban, "batch_id", "left_semi")))
+
+    profiles = cut(trip_patterns(trip_stops, ["batch_id"], "trip"))
+    patterns = profiles.join(first.select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y")), keys, "left")
     loose = match_stops_by_name(chosen.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place"))), targets, synonyms).where("score = 1").select(*keys, "x", "y", "precision", "t_region", "t_country")
     second = secondary_matches(patterns, loose, ["batch_id"])
     places = first.drop("radius").unionByName(second.join(first, keys, "left_anti"))
-    full = chosen.join(places, keys, "left").withColumn("region", F.coalesce("region", "t_region")).withColumn("country", F.coalesce("country", "t_country")).drop("t_region", "t_country")
+    full = cut(chosen.join(places, keys, "left").withColumn("region", F.coalesce("region", "t_region")).withColumn("country", F.coalesce("country", "t_country")).drop("t_region", "t_country"))
 
-    line = trip_patterns(trip_stops, ["batch_id"], "trip").join(full.select(*keys, "region", "country"), keys)
+    line = profiles.join(full.select(*keys, "region", "country"), keys)
     filled = fill_regions(line, ["batch_id", "pattern"]).unionByName(fill_regions(line, ["batch_id", "pattern"], backwards=True))
     best = richest_rows(filled.select(*keys, "region", "country"), keys)
     out = full.drop("region", "country").join(best, keys, "left").join(full.select(*keys, F.col("region").alias("_r"), F.col("country").alias("_c")), keys)
