@@ -18,6 +18,8 @@ sharing an id count as one document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +33,25 @@ FIELD = "<*>"
 
 
 def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line_no, leaf, template, tokens (masked) of every line long enough."""
+    """doc_id, line_no, leaf, template, form (the line, masked, one space between tokens) of every line long enough."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-    masked = F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
-    tokens = F.split(F.trim(F.regexp_replace(masked, GAP, " ")), " ")
-    out = lines.select("doc_id", "line_no", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return out.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64(F.lit(1), "tokens").alias("template"), "tokens")
+    # most lines need neither regular expression
+    uneven = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    even = lines.select("doc_id", "line_no", F.when(uneven, F.trim(F.regexp_replace("line", GAP, " "))).otherwise(F.trim("line")).alias("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
+    out = even.select("doc_id", "line_no", masked.alias("form"))
+    count = F.length("form") - F.length(F.replace("form", F.lit(" "))) + 1
+    out = out.withColumn("n", count).where(F.col("n") >= min_tokens)
+    leaf = F.xxhash64("n", F.substring_index("form", " ", depth))
+    return out.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64(F.lit(1), "form").alias("template"), "form")
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, line_no, template_id of the lines to drop."""
     lines = parsed_lines(docs, depth, min_tokens)
     shared = lines.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    met = saved(lines.join(shared, "leaf"), "lines")
+    # written first, so that where it is small enough the lines need no shuffle
+    met = saved(lines.join(saved(shared, "leaves"), "leaf").withColumn("tokens", F.split("form", " ")).drop("form"), "lines")
 
     votes = met.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     texts = met.groupBy("leaf", "template").agg(F.min("tokens").alias("tokens"))
