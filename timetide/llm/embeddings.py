@@ -9,8 +9,9 @@ into blocks, and each pair of blocks is a task's group, so that no list is held
 
 Equal vectors are one class: links are found between classes, and counted with their members.
 
-The pivots are a bounded sample (SQRT of the number of classes, at most MAX_PIVOTS, chosen by hash);
-every vector is indexed. Recall against brute force is measured in tests/llm and in the README.
+The pivots are a bounded sample (SQRT of the number of classes, at most MAX_PIVOTS, chosen by hash) of
+vectors that lie apart, filled up with random directions: pivots close together inside one dense group
+would order its members by chance. Every vector is indexed. Recall against brute force is measured in tests/llm and in the README.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths never link; rows without vec_id are dropped; repeated rows are
@@ -33,6 +34,8 @@ THRESHOLD = 0.9
 PREFIX = 7
 MIN_SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 32, 2048
+#: Pivots from the sample have smaller cosines than this with each other.
+APART = 0.6
 SKETCH_BITS = 128
 BLOCK = 1024
 SEED = 7
@@ -45,11 +48,16 @@ def _max_distance(threshold: float, bits: int = SKETCH_BITS) -> int:
 
 
 class PivotIndex:
-    def __init__(self, sample: list[np.ndarray]):
+    def __init__(self, sample: list[np.ndarray], wanted: int):
         by_dim: dict[int, list] = {}
         for v in sample:
-            by_dim.setdefault(len(v), []).append(v / np.linalg.norm(v))
-        self.pivots = {d: np.array(x) for d, x in by_dim.items()}
+            own, v = by_dim.setdefault(len(v), []), v / np.linalg.norm(v)
+            if not own or np.max(np.array(own) @ v) < APART:
+                own.append(v)
+        self.pivots = {}
+        for d, own in by_dim.items():
+            more = np.random.default_rng(SEED + d).standard_normal((max(0, wanted - len(own)), d))
+            self.pivots[d] = np.concatenate((np.array(own), more / np.linalg.norm(more, axis=1)[:, None]))
 
     def describe(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest pivots (rows of PREFIX, -1 where there are fewer), and sketches (rows of 2 words), of unit vectors."""
@@ -122,7 +130,7 @@ def candidates(lists: DataFrame, max_distance: int) -> DataFrame:
         found = []
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
-            far = np.bitwise_count(g["s0"][rows, None] ^ g["s0"][None, right]) + np.bitwise_count(g["s1"][rows, None] ^ g["s1"][None, right])
+            far = sum(np.bitwise_count(g[s][rows, None].view(np.uint64) ^ g[s][None, right].view(np.uint64)) for s in ("s0", "s1"))  # of signed numbers numpy counts the bits of the absolute value
             x, y = np.nonzero((far <= max_distance) & (g["rep"][rows, None] != g["rep"][None, right]))
             found.append((rows[x], right[y]))
         x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -186,7 +194,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = saved(grouped.select("key", F.col("m.vec_id").alias("rep"), F.col("m.vector").alias("vector"), "members"), "classes")
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(math.sqrt(classes.count()))))
     sample = classes.orderBy(F.xxhash64(F.lit(SEED), "key"), "key").limit(wanted).select("vector").collect()  # MAX_PIVOTS rows at most
-    index = PivotIndex([np.array(r[0], dtype=np.float64) for r in sample])
+    index = PivotIndex([np.array(r[0], dtype=np.float64) for r in sample], wanted)
     found = candidates(saved(postings(classes, index), "postings"), _max_distance(threshold))
     links = saved(verified(found, classes, threshold), "links")
 
