@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.common import remainder
+from timetide.llm.common import remainder, saved
 
 DIM = 4096
 CENTROIDS_PER_LANG = 3
@@ -105,7 +105,8 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> LanguageModel:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     totals = rows.groupBy("lang").count()
     share = F.lit(float(max_sample)) / F.greatest(F.lit(1), F.lit(totals.count()))
-    rates = totals.select("lang", (share / F.col("count")).alias("rate"))
+    # one row per language, written so that its size is known and the texts need no shuffle
+    rates = saved(totals.select("lang", (share / F.col("count")).alias("rate")), "rates")
     point = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) / 1e6
     sample = rows.join(rates, "lang").where(point < F.col("rate")).select("lang", "text")
 
