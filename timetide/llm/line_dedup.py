@@ -40,7 +40,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKE
     even = lines.select("doc_id", "line_no", F.when(uneven, F.trim(F.regexp_replace("line", GAP, " "))).otherwise(F.trim("line")).alias("line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
     out = even.select("doc_id", "line_no", masked.alias("form"))
-    count = F.length("form") - F.length(F.replace("form", F.lit(" "))) + 1
+    count = F.octet_length("form") - F.octet_length(F.replace("form", F.lit(" "))) + 1
     out = out.withColumn("n", count).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("form", " ", depth))
     return out.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64(F.lit(1), "form").alias("template"), "form")
@@ -49,7 +49,8 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKE
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, line_no, template_id of the lines to drop."""
     lines = parsed_lines(docs, depth, min_tokens)
-    shared = lines.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # a leaf of one document has no recurring template; the exact count of documents comes with the templates
+    shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("leaf")
     # written first, so that where it is small enough the lines need no shuffle
     met = saved(lines.join(saved(shared, "leaves"), "leaf").withColumn("tokens", F.split("form", " ")).drop("form"), "lines")
 
@@ -72,7 +73,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     of = saved(of.select("doc_id", "line_no", "leaf", "template_id"), "templates")
     per_doc = of.select("leaf", "template_id", "doc_id").distinct()
     recurring = per_doc.groupBy("leaf", "template_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs)
-    dropped = of.join(recurring, ["leaf", "template_id"]).where(F.col("doc_id") != F.col("first_doc"))
+    dropped = of.join(saved(recurring, "recurring"), ["leaf", "template_id"]).where(F.col("doc_id") != F.col("first_doc"))
     return dropped.select("doc_id", "line_no", "template_id")
 
 
