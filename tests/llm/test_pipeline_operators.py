@@ -56,6 +56,19 @@ def test_minhash_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_minhash_finishes_mixed_buckets(spark, monkeypatch):
+    """Documents just under the threshold (100 of 134 shingles), and a few pairs just over it (101 of 133) that meet in crowded buckets only."""
+    monkeypatch.setattr(minhash, "NEAR", 1)  # rounds that see little, as in a bucket of thousands
+    monkeypatch.setattr(minhash, "TILE", 64)
+    base = [f"b{k}" for k in range(104)]
+    texts = {i: [*base, *(f"t{i}x{k}" for k in range(17))] for i in range(300)}
+    for i in range(10, 250, 20):
+        texts[i][104] = texts[i + 7][104]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    want = {i: i for i in texts} | {i + 7: i for i in range(10, 250, 20)}
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_minhash_edges(odd, empty):
     got = sorted(tuple(r) for r in minhash.near_duplicates(odd).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False), (5, 977, 5, True), (6, 978, 5, False), (7, 0, 7, True), (8, 2, 8, True)]

@@ -5,11 +5,13 @@ functions (multiply, add, shift) form 24 bands of 4. Documents with equal sets a
 one of them goes on. In each bucket every member is compared with the bucket's smallest member; then,
 in rounds, members of buckets that still hold several components are dealt at random into blocks and
 compared with their next neighbours of other components, until a round finds no new link. Buckets of
-at most NEAR + 1 members are compared in full by the first such round. A pair is first checked by its
-signatures (a true link falls under the check with a chance of about 1e-5), then on full sets.
+at most NEAR + 1 members are compared in full by the first such round; buckets that still hold several
+components after the last one are finished exactly: they are dealt into blocks, and every two members
+of different components are compared, each pair of blocks in a group of its own. A pair is first checked
+by its signatures (a true link falls under the check with a chance of about 1e-5), then on full sets.
 
-A pair of similarity 0.75 misses all 24 bands with a chance of 1.1e-4. Work per round is linear in
-the members of the buckets, however large a bucket is.
+A pair of similarity 0.75 misses all 24 bands with a chance of 1.1e-4. Work per round is linear in the
+members of the buckets; only the last step is quadratic, in buckets of members too far apart to link.
 
 Edge cases: no text or no word: an empty set, linked with nothing; fewer than 5 words: the whole
 sequence is the one shingle. Rows without doc_id are dropped; a repeated row gives a repeated result
@@ -35,6 +37,8 @@ BANDS, ROWS = 24, 4
 SIGNATURE_SHARE = 0.55
 #: Neighbours that a member is compared with in its block, and members of a block.
 NEAR, BLOCK = 8, 256
+#: Members of a block of the last, exact step.
+TILE = 512
 SEED = 20_240_229
 
 
@@ -121,11 +125,73 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     return both.mapInPandas(run, "a long, b long")
 
 
+def _remaining_pairs(members: DataFrame, reps: DataFrame, rows: int, share: tuple[int, int]) -> DataFrame:
+    """tile, a, b: the pairs of different components in the buckets of members (bucket, rep, component, n) that signatures and sizes allow.
+
+    A tile is two blocks of a bucket. A pair is given in the first band that it shares only; a bucket of that
+    band that is not among these was compared in full before."""
+    blocks = F.ceil(F.col("n") / TILE)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64(F.lit(SEED), "rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.join(reps.select("rep", "signature", "n_shingles"), "rep")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "signature")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = (pdf["own"] == key[1]).to_numpy()
+        left = np.flatnonzero(first)
+        right = left if key[1] == key[2] else np.flatnonzero(~first)
+        rep, component, n = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
+        signature, found = np.array(pdf["signature"].tolist(), dtype=np.int32), []
+        for at in range(0, len(left), 32):
+            x, y = (z.ravel() for z in np.meshgrid(left[at : at + 32], right, indexing="ij"))
+            keep = (component[x] != component[y]) & (share[1] * np.minimum(n[x], n[y]) >= share[0] * np.maximum(n[x], n[y]))
+            if key[1] == key[2]:
+                keep &= rep[x] < rep[y]
+            x, y = x[keep], y[keep]
+            same = signature[x] == signature[y]
+            likely = same.sum(axis=1) >= SIGNATURE_SHARE * same.shape[1]
+            x, y, same = x[likely], y[likely], same[likely]
+            band = same.reshape(len(x), same.shape[1] // rows, rows).all(axis=2).argmax(axis=1) if len(x) else np.zeros(0, int)
+            found.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "band": band, "x": x}))
+        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "band": [], "x": []}, dtype="int64")
+        # the bucket's own band: the one in which all members are equal
+        first_rows = (signature == signature[0]).reshape(len(signature), -1, rows).all(axis=2).all(axis=0)
+        out = out[out["band"] == int(first_rows.argmax())]
+        return pd.DataFrame({"bucket": key[0], "i": key[1], "j": key[2], "a": out["a"], "b": out["b"]})
+
+    made = dealt.groupBy("bucket", "i", "j").applyInPandas(run, "bucket long, i long, j long, a long, b long")
+    return made.select(F.xxhash64("bucket", "i", "j").alias("tile"), "a", "b")
+
+
+def _verified_in_tiles(pairs: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are links on full sets; a text goes to each tile once, not with each pair."""
+    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id").select(F.col("tile").alias("part"), "doc_id", "text")
+    shingler = Shingler(shingle)
+
+    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingler(t) for t in own["text"]]
+        size, keep = np.array([len(s) for s in sets], dtype=np.int64), []
+        at = {c: pd.DataFrame({c: own["doc_id"], r: range(len(own))})[size > 0] for c, r in (("a", "x"), ("b", "y"))}
+        rows = wanted[["a", "b"]].merge(at["a"], on="a").merge(at["b"], on="b")
+        if rows.empty:
+            return rows[["a", "b"]]
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(size)[:-1])
+        for x, group in rows.groupby("x"):
+            held, y = np.zeros(len(known), dtype=np.int64), group["y"].to_numpy()
+            held[ids[x]] = 1
+            common = np.add.reduceat(held[np.concatenate([ids[k] for k in y])], np.cumsum(size[y]) - size[y])
+            keep.append(group[share[1] * common >= share[0] * (size[x] + size[y] - common)])
+        return pd.concat(keep)[["a", "b"]]
+
+    return texts.groupBy("part").cogroup(pairs.groupBy("tile")).applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs that has an id."""
     sig = saved(signatures(docs, bands, rows, shingle), "signatures")
-    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("m"))
-    reps = saved(classes.select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature")), "reps")
+    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("m"))
+    reps = saved(classes.select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature"), F.col("m.n_shingles").alias("n_shingles")), "reps")
 
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.element_at("signature", i * rows + j + 1) for j in range(rows)]) for i in range(bands)])
     banded = reps.select("rep", F.explode(keys).alias("bucket"))
@@ -152,6 +218,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shing
             break
         links = links.union(more)
         found, turn = components(links), turn + 1
+    rest = marked.where(F.col("n") > NEAR + 1).join(mixed, "bucket").select("bucket", "rep", "component", "n")
+    pairs = saved(_remaining_pairs(rest, reps, rows, share), "remaining")
+    more = saved(_verified_in_tiles(pairs, docs, shingle, share), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     named = reps.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
