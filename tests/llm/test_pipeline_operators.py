@@ -114,6 +114,18 @@ def test_line_dedup_exact_lines_brute_force(spark):
                 assert any(len(k) == len(key) and sum(x == y for x, y in zip(k, key)) >= 0.6 * len(key) for k in n_docs if k != key)
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """The query and the stage drop short lines too, as exact repeats."""
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nPage 12\n\nx\nx"), (2, "own words\n All  rights\treserved.\nPage 13\n"), (3, "Page 12\n\nthird text"), (4, "ALL RIGHTS RESERVED.\n<*>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n_dropped"] for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert kept == dict(rows) | {2: "own words\nPage 13\n", 3: "\nthird text"}
+
+
 def test_language_accuracy_and_rejection(spark, odd, empty):
     rows = {d["doc_id"]: d for d in documents("/root/testdata/sf0.01")}
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").collect()

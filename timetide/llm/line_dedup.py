@@ -11,7 +11,11 @@ doc_id) that has it, so that no passage is lost.
 Voting does not depend on the order of the lines, so that a leaf needs no sequential pass, and every
 step first counts within its task: no leaf or template is gathered in one place.
 
-Edge cases: null text counts as empty; lines of fewer than `min_tokens` tokens stay; a line repeated
+Lines of fewer than MIN_TOKENS tokens, too short for a variable field, recur as exactly the same tokens
+only. They are looked at where `min_tokens` is smaller, as the query and the pipeline have it.
+
+Edge cases: null text counts as empty; lines of fewer than `min_tokens` tokens stay, and so do lines
+without a token; a line repeated
 inside one document only is not a recurring one; rows without doc_id are left as they are; rows
 sharing an id count as one document.
 """
@@ -38,10 +42,10 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKE
     # most lines need neither regular expression
     uneven = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
     even = lines.select("doc_id", "line_no", F.when(uneven, F.trim(F.regexp_replace("line", GAP, " "))).otherwise(F.trim("line")).alias("line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
-    out = even.select("doc_id", "line_no", masked.alias("form"))
-    count = F.octet_length("form") - F.octet_length(F.replace("form", F.lit(" "))) + 1
-    out = out.withColumn("n", count).where(F.col("n") >= min_tokens)
+    count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    out = even.where("line <> ''").withColumn("n", count).where(F.col("n") >= min_tokens)
+    masked = F.when((F.col("n") >= MIN_TOKENS) & F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
+    out = out.select("doc_id", "line_no", masked.alias("form"), "n")
     leaf = F.xxhash64("n", F.substring_index("form", " ", depth))
     return out.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64(F.lit(1), "form").alias("template"), "form")
 
