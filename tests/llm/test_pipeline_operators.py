@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.helpers import DOC_SCHEMA, SF, documents, near_duplicate_components, odd_documents, words
+from tests.llm.helpers import DOC_SCHEMA, SF, documents, near_duplicate_components, odd_documents, reachable, words
 from tokenizers import Tokenizer
 
 from timetide.llm import components, langid, line_dedup, minhash, mixing, packing, queries
@@ -58,8 +59,7 @@ def test_minhash_large_group_of_near_copies(spark):
 
 def test_minhash_finishes_mixed_buckets(spark, monkeypatch):
     """Documents just under the threshold (100 of 134 shingles), and a few pairs just over it (101 of 133) that meet in crowded buckets only."""
-    monkeypatch.setattr(minhash, "NEAR", 1)  # rounds that see little, as in a bucket of thousands
-    monkeypatch.setattr(minhash, "TILE", 64)
+    monkeypatch.setattr(minhash, "BLOCK", 64 * 117)  # blocks of 64 documents
     base = [f"b{k}" for k in range(104)]
     texts = {i: [*base, *(f"t{i}x{k}" for k in range(17))] for i in range(300)}
     for i in range(10, 250, 20):
@@ -69,6 +69,44 @@ def test_minhash_finishes_mixed_buckets(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_minhash_loose_group_loses_no_link(spark):
+    """1000 documents that collide in the bands at a similarity of 0.735, and 12 pairs among them at 0.774."""
+    rng = np.random.default_rng(5)
+    ids, common = [int(i) for i in rng.permutation(5000)[:1000]], [f"c{i}" for i in range(104)]
+    tails = [[f"u{k}x{j}" for j in range(18)] for k in range(1000)]
+    for k in range(12):
+        tails[2 * k + 1][:3] = tails[2 * k][:3]
+    rows = [(i, " ".join(common + tail)) for i, tail in zip(ids, tails)]
+    want = {i: i for i in ids} | {i: min(ids[2 * (k // 2)], ids[2 * (k // 2) + 1]) for k, i in enumerate(ids[:24])}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_minhash_tiles_split(spark, monkeypatch):
+    """Blocks of a few documents: the pairs of blocks together decide what one block decides."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(300):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            w[at] = f"m{rng.integers(40)}"
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(minhash, "BLOCK", 1500)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == near_duplicate_components(texts)
+
+
+def test_tile_links_equal_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        sets = [np.unique(rng.choice(40, int(rng.integers(5, 20)))).astype(np.uint64) for _ in range(25)]
+        component, own = np.arange(25), np.zeros(25, dtype=int)
+        links = [(a, b) for a in range(25) for b in range(a) if 3 * len(np.union1d(sets[a], sets[b])) <= 4 * len(np.intersect1d(sets[a], sets[b]))]
+        found = minhash.joined_in_tile(sets, component, np.ones(25, dtype=bool), own, (75, 100))
+        assert reachable(range(25), found) == reachable(range(25), links) and len(found) < 25
+
+
 def test_minhash_edges(odd, empty):
     got = sorted(tuple(r) for r in minhash.near_duplicates(odd).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False), (5, 977, 5, True), (6, 978, 5, False), (7, 0, 7, True), (8, 2, 8, True)]
@@ -114,6 +152,70 @@ def test_line_dedup_exact_lines_brute_force(spark):
                 assert any(len(k) == len(key) and sum(x == y for x, y in zip(k, key)) >= 0.6 * len(key) for k in n_docs if k != key)
 
 
+def brute_line_drops(texts: dict, min_tokens: int) -> set:
+    """(doc_id, line_no) of the lines to drop, by comparing all lines of a leaf."""
+    lines = []
+    for doc_id, text in texts.items():
+        for number, line in enumerate((text or "").encode().split(b"\n")):
+            t = line.split()
+            if t and len(t) >= min_tokens:
+                lines.append((doc_id, number, tuple(b"<*>" if len(t) >= 4 and any(48 <= c <= 57 for c in x) else x for x in t)))
+    forms = {f for _, _, f in lines}
+    leaves, links = defaultdict(list), []
+    for f in forms:
+        leaves[len(f), f[:4]].append(f)
+    for (n, _), own in leaves.items():
+        open_tokens = (n - n * 4 // 5) if n % 5 == 0 else n // 5
+        if n < 4 or not open_tokens:
+            continue
+        step, most = max(1, open_tokens // 2), min(2, open_tokens)
+        for k, x in enumerate(own):
+            links += [(x, y) for y in own[:k] if sum(x[i : i + step] != y[i : i + step] for i in range(4, n, step)) <= most]
+    group = reachable(forms, links)
+    docs = defaultdict(set)
+    for doc_id, _, f in lines:
+        docs[group[f]].add(doc_id)
+    return {(d, i) for d, i, f in lines if len(docs[group[f]]) > 1 and d != min(docs[group[f]])}
+
+
+def line_drops(frame, **options) -> set:
+    return {(r[0], r[1]) for r in line_dedup.recurring_lines(frame, **options).select("doc_id", "line_no").collect()}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    texts = {d["doc_id"]: d["text"] for d in documents()}
+    out = {r["doc_id"]: r for r in queries.op2_line_dedup(spark, SF).collect()}
+    want = brute_line_drops(texts, 1)
+    assert len(want) > 50
+    for doc_id, text in texts.items():
+        kept = "\n".join(x for i, x in enumerate((text or "").split("\n")) if (doc_id, i) not in want)
+        assert out[doc_id]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest() and out[doc_id]["n_dropped"] == len([1 for d, _ in want if d == doc_id])
+
+
+def test_line_dedup_random_leaves(spark):
+    """Lines of a few leaves that differ in 0 to 4 places."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for i in range(120):
+        n = int(rng.choice([4, 5, 6, 9, 10, 12, 16, 23, 40]))
+        line = [f"t{'abcd'[int(rng.integers(2))]}{'qrst'[k % 4]}" if k < 1 else "w" + "xyz"[k % 3] for k in range(n)]
+        for at in rng.choice(n, min(n, int(rng.integers(0, 5))), replace=False):
+            line[at] = "v" + "klmno"[int(rng.integers(5))]
+        texts[i] = " ".join(line)
+    got = line_drops(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), min_tokens=1)
+    assert got == brute_line_drops(texts, 1) and got
+
+
+def test_line_dedup_templates_of_one_leaf(spark):
+    """Two templates of one leaf: the lines of one never save those of the other."""
+    a = lambda name: "one two three four " + " ".join(f"a{'bcdefghijkl'[i]}" for i in range(11)) + f" {name}"
+    b = lambda name: "one two three four " + f"{name} " + " ".join(f"z{'bcdefghijkl'[i]}" for i in range(11))
+    for n_a, n_b in ((3, 0), (0, 3), (3, 3), (4, 2)):
+        lines = [a(x) for x in ("ann", "bob", "cid", "dot")[:n_a]] + [b(x) for x in ("eve", "fay", "gus", "hal")[:n_b]]
+        frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        assert line_drops(frame) == {(i, 0) for i in range(n_a + n_b) if i not in (0, n_a)}
+
+
 def test_line_dedup_short_lines(spark, tmp_path):
     """The query and the stage drop short lines too, as exact repeats."""
     import corpus_pipeline

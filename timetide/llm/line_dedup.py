@@ -1,15 +1,17 @@
 """Line dedup with a fixed-depth log-template tree.
 
 A line's leaf is its token count and its leading tokens, with tokens that hold digits read as a
-variable field. In a leaf that lines of several documents reach, the tokens vote for each position
-(a line seen in n documents has n votes): a position whose most frequent token has at least half of
-the votes is constant, the others are variable fields. Lines that agree with the leaf's template in
-at least `similarity` of the positions belong to it; any other line is its own template. A template
-that occurs in `min_docs` documents or more is dropped everywhere but in the first document (by
-doc_id) that has it, so that no passage is lost.
-
-Voting does not depend on the order of the lines, so that a leaf needs no sequential pass, and every
-step first counts within its task: no leaf or template is gathered in one place.
+variable field. What follows in a leaf is cut into runs of tokens, each of at most a tenth of the line (one
+token at least). A template is a leaf with at most two runs left open, so that at least `similarity`
+of the positions are fixed; a line belongs to all templates that it fits. Lines of one leaf that share
+a template, directly or through others, are one class, and a class that occurs in `min_docs` documents
+or more is dropped everywhere but in the first document (by doc_id) that has it, so that no passage is
+lost.
+
+The classes do not depend on the order of the lines, and more lines can only join classes: a template
+that recurs is dropped whatever else shares its leaf. A line gives a bounded number of templates, each
+of which needs its smallest line only, so no leaf or template is gathered in one place; only lines that
+share a third of their runs with another line of the leaf, as two of one template must, give any.
 
 Lines of fewer than MIN_TOKENS tokens, too short for a variable field, recur as exactly the same tokens
 only. They are looked at where `min_tokens` is smaller, as the query and the pipeline have it.
@@ -22,62 +24,106 @@ sharing an id count as one document.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.common import GAP, saved, text_or_empty
+from timetide.llm.common import discard, saved, text_or_empty
+from timetide.llm.components import components
 
 DEPTH = 4
 SIMILARITY = 0.8
 MIN_DOCS = 2
 MIN_TOKENS = 4
+#: Runs that a template may leave open.
+FIELDS = 2
 FIELD = "<*>"
 
 
-def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line_no, leaf, template, form (the line, masked, one space between tokens) of every line long enough."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-    # most lines need neither regular expression
-    uneven = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
-    even = lines.select("doc_id", "line_no", F.when(uneven, F.trim(F.regexp_replace("line", GAP, " "))).otherwise(F.trim("line")).alias("line"))
-    count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
-    out = even.where("line <> ''").withColumn("n", count).where(F.col("n") >= min_tokens)
-    masked = F.when((F.col("n") >= MIN_TOKENS) & F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
-    out = out.select("doc_id", "line_no", masked.alias("form"), "n")
-    leaf = F.xxhash64("n", F.substring_index("form", " ", depth))
-    return out.select("doc_id", "line_no", leaf.alias("leaf"), F.xxhash64(F.lit(1), "form").alias("template"), "form")
+def run_length(n: int, similarity: float) -> int:
+    """Tokens in a run of a line of n tokens: FIELDS runs leave at least the share `similarity` fixed, or one run if a field of one token is all there is room for; 0: none."""
+    open_tokens = int((1 - similarity) * n + 1e-9)
+    return max(1, open_tokens // FIELDS) if open_tokens else 0
+
+
+def parsed_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc_id, line_no, n (tokens), leaf, form (the line, masked; both as hashes), runs (hashes of the runs after the
+    leading tokens; empty where the line has no room for a field) of every line long enough."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, line_no int, n int, leaf long, form long, runs array<long>"
+
+    def run(batches):
+        digit, hashed, mask = re.compile(rb"[0-9]"), xxhash.xxh3_64_intdigest, FIELD.encode()
+        for batch in batches:
+            rows, line_no, count, leaf, form, runs, ends = [], [], [], [], [], [], [0]
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                for number, line in enumerate((text or "").encode().split(b"\n")):
+                    tokens = line.split()  # bytes know ASCII white space only
+                    n = len(tokens)
+                    if n == 0 or n < min_tokens:
+                        continue
+                    if n >= MIN_TOKENS and digit.search(line):
+                        tokens = [mask if digit.search(t) else t for t in tokens]
+                    rows.append(at)
+                    line_no.append(number)
+                    count.append(n)
+                    leaf.append(hashed(b" ".join(tokens[:depth]), n))
+                    form.append(hashed(b" ".join(tokens)))
+                    step = run_length(n, similarity) if n >= MIN_TOKENS else 0
+                    if step:
+                        runs.extend(hashed(b" ".join(tokens[i : i + step]), i) for i in range(depth, n, step))
+                    ends.append(len(runs))
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(line_no, pa.int32()), pa.array(count, pa.int32()), signed(leaf), signed(form)]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(runs)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "n", "leaf", "form", "runs"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+
+
+def template_classes(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """leaf, form, class of the lines of met (leaf, form, n, runs) whose form shares a template with another form of its leaf."""
+    total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    size = F.size("runs")
+    # the runs in three parts: two open runs leave one part as it is
+    part = lambda k: F.slice("runs", 1 + (size * k / 3).cast("int"), (size * (k + 1) / 3).cast("int") - (size * k / 3).cast("int"))
+    parts = F.array(*[F.xxhash64("leaf", F.lit(k), part(k)) for k in range(3)])
+    several = met.where(size > 0).select("leaf", "form", "n", "runs", parts.alias("parts"))
+    cut = several.select("form", F.explode("parts").alias("part"))
+    alike = saved(cut.groupBy("part").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("part"), "parts")
+    near = several.select("leaf", "form", F.explode("parts").alias("part")).join(alike, "part").select("leaf", "form").distinct()
+    near = saved(several.drop("parts").dropDuplicates(["leaf", "form"]).join(near, ["leaf", "form"]), "near")
+
+    one = F.col("n") * (1 - similarity) + 1e-9 < FIELDS
+    first = F.sequence(F.lit(0), size - 1)
+    pairs = F.flatten(F.transform(first, lambda i: F.transform(F.when(one, F.array(i)).otherwise(F.sequence(i, size - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    # a run left open: all the others are the same; two: i < j (i = j opens one, which the pairs with i hold already, but where there is one run)
+    hidden = lambda p: F.when(p["i"] == p["j"], F.get("runs", p["i"])).otherwise(F.get("runs", p["i"]).bitwiseXOR(F.get("runs", p["j"])))
+    keys = F.transform(F.filter(pairs, lambda p: one | (p["i"] < p["j"]) | (size == 1)), lambda p: F.xxhash64("leaf", p["i"], p["j"], total.bitwiseXOR(hidden(p))))
+    node = F.xxhash64("leaf", "form")
+    keyed = near.select(node.alias("node"), F.explode(keys).alias("template"))
+    least = keyed.groupBy("template").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last")
+    links = saved(keyed.join(least, "template").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "links")
+    return components(links).select("node", F.col("component").alias("class"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, line_no, template_id of the lines to drop."""
-    lines = parsed_lines(docs, depth, min_tokens)
-    # a leaf of one document has no recurring template; the exact count of documents comes with the templates
-    shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("leaf")
-    # written first, so that where it is small enough the lines need no shuffle
-    met = saved(lines.join(saved(shared, "leaves"), "leaf").withColumn("tokens", F.split("form", " ")).drop("form"), "lines")
-
-    votes = met.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
-    texts = met.groupBy("leaf", "template").agg(F.min("tokens").alias("tokens"))
-    forms = saved(votes.join(texts, ["leaf", "template"]), "forms")
-
-    cast = forms.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"))
-    field = F.struct((F.max(F.struct("docs", "token")).alias("top")), F.sum("docs").alias("all"))
-    winner = cast.groupBy("leaf", "pos").agg(field.alias("v"))
-    constant = F.when(F.col("v.top.docs") * 2 >= F.col("v.all"), F.col("v.top.token")).otherwise(F.lit(FIELD))
-    tree = winner.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("t"))
-    tree = tree.select("leaf", F.col("t.token").alias("general"))
-
-    same = F.size(F.filter(F.zip_with("tokens", "general", lambda a, b: a == b), lambda x: x))
-    fits = same >= F.lit(similarity) * F.size("tokens")
-    named = forms.join(tree, "leaf").select("leaf", "template", F.when(fits, F.col("leaf")).otherwise(F.col("template")).alias("template_id"))
-
-    of = met.select("doc_id", "line_no", "leaf", "template").join(named, ["leaf", "template"])
-    of = saved(of.select("doc_id", "line_no", "leaf", "template_id"), "templates")
-    per_doc = of.select("leaf", "template_id", "doc_id").distinct()
-    recurring = per_doc.groupBy("leaf", "template_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs)
-    dropped = of.join(saved(recurring, "recurring"), ["leaf", "template_id"]).where(F.col("doc_id") != F.col("first_doc"))
+    lines = saved(parsed_lines(docs, depth, similarity, min_tokens), "parsed")
+    # a leaf of one document has no recurring template; the exact count of documents comes with the classes
+    leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
+    leaves = saved(leaves.select("leaf", (F.col("f") != F.col("g")).alias("several")), "leaves")
+    met = saved(lines.join(leaves, "leaf"), "lines")
+    classes = template_classes(met.where("several"), similarity)
+    of = met.select("doc_id", "line_no", F.xxhash64("leaf", "form").alias("node")).join(classes, "node", "left")
+    of = saved(of.select("doc_id", "line_no", F.coalesce("class", "node").alias("template_id")), "templates")
+    per_doc = of.select("template_id", "doc_id").distinct()
+    recurring = per_doc.groupBy("template_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs)
+    dropped = of.join(saved(recurring, "recurring"), "template_id").where(F.col("doc_id") != F.col("first_doc"))
     return dropped.select("doc_id", "line_no", "template_id")
 
 
@@ -88,7 +134,8 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(drops, docs["doc_id"] == drops["_timetide_doc"], "left")
     lines = F.split(text_or_empty(), "\n")
     none = F.col("_timetide_drops").isNull()
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_timetide_drops", i))
+    # array_except looks numbers up by hash: linear in the lines, as a search of the dropped ones for each line is not
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_timetide_drops"), lambda i: F.get(lines, i))
     text = F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n"))
     info = F.struct(F.size(lines).alias("n_lines"), F.coalesce(F.size("_timetide_drops"), F.lit(0)).alias("n_dropped"))
     info = F.when(none, F.struct(F.size(lines).alias("n_lines"), F.lit(0).alias("n_dropped"))).otherwise(info)

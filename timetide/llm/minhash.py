@@ -2,16 +2,19 @@
 
 A document's set is its distinct 5-word shingles, each a 64-bit hash. 96 minima of universal hash
 functions (multiply, add, shift) form 24 bands of 4. Documents with equal sets are one class and only
-one of them goes on. In each bucket every member is compared with the bucket's smallest member; then,
-in rounds, members of buckets that still hold several components are dealt at random into blocks and
-compared with their next neighbours of other components, until a round finds no new link. Buckets of
-at most NEAR + 1 members are compared in full by the first such round; buckets that still hold several
-components after the last one are finished exactly: they are dealt into blocks, and every two members
-of different components are compared, each pair of blocks in a group of its own. A pair is first checked
-by its signatures (a true link falls under the check with a chance of about 1e-5), then on full sets.
+one of them goes on. In each bucket every member is compared with the bucket's smallest member: first
+by signatures (a true link falls under that check with a chance of about 1e-5), then on full sets.
 
-A pair of similarity 0.75 misses all 24 bands with a chance of 1.1e-4. Work per round is linear in the
-members of the buckets; only the last step is quadratic, in buckets of members too far apart to link.
+A bucket of three or more members that then holds several components is finished exactly: the members
+outside its largest component are compared with all others on full sets. They are dealt into blocks
+of bounded size, each pair of blocks is a tile, a group of its own; a text goes to each of its tiles
+once, and a tile returns only links that join components still apart there, fewer than it has
+documents. So no pairs are written but those with a bucket's smallest member, and every pair of
+different components that shares a bucket is decided.
+
+A pair of similarity 0.75 misses all 24 bands with a chance of 1.1e-4; no other link is lost. Work is
+linear in the members of the buckets, but for the tiles: theirs is the number of members outside the
+largest component, times the size of the bucket. Components by alternating large-star and small-star.
 
 Edge cases: no text or no word: an empty set, linked with nothing; fewer than 5 words: the whole
 sequence is the one shingle. Rows without doc_id are dropped; a repeated row gives a repeated result
@@ -35,10 +38,8 @@ SHARE = (75, 100)
 BANDS, ROWS = 24, 4
 #: Least share of equal minima with which a pair goes on to the check on full sets.
 SIGNATURE_SHARE = 0.55
-#: Neighbours that a member is compared with in its block, and members of a block.
-NEAR, BLOCK = 8, 256
-#: Members of a block of the last, exact step.
-TILE = 512
+#: Shingles (counted with repeats over documents) of a block of a bucket; a tile holds two blocks.
+BLOCK = 1 << 18
 SEED = 20_240_229
 
 
@@ -98,93 +99,89 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     return rows_in.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, signature array<int>")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that are links: signatures first, then full sets."""
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    likely = pairs.join(left, "a").join(right, "b").where(equal >= F.lit(SIGNATURE_SHARE) * F.size("sa")).select("a", "b")
-    likely = saved(likely.distinct(), "likely")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(texts.join(needed, "doc_id", "left_semi"), "texts")
-    both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    likely = saved(pairs.join(left, "a").join(right, "b").where(equal >= F.lit(SIGNATURE_SHARE) * F.size("sa")).select("a", "b"), "likely")
+    both = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
         shingler = Shingler(shingle)
         for pdf in batches:
             keep, last, x = [], None, None
-            for ta, tb in zip(pdf["ta"], pdf["tb"]):
-                if ta is not last:
-                    last, x = ta, shingler(ta)
+            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"]):
+                if a != last:
+                    last, x = a, shingler(ta)
                 y = shingler(tb)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(len(x) > 0 and len(y) > 0 and share[1] * common >= share[0] * (len(x) + len(y) - common))
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
-
-
-def _remaining_pairs(members: DataFrame, reps: DataFrame, rows: int, share: tuple[int, int]) -> DataFrame:
-    """tile, a, b: the pairs of different components in the buckets of members (bucket, rep, component, n) that signatures and sizes allow.
-
-    A tile is two blocks of a bucket. A pair is given in the first band that it shares only; a bucket of that
-    band that is not among these was compared in full before."""
-    blocks = F.ceil(F.col("n") / TILE)
-    dealt = members.withColumn("own", F.pmod(F.xxhash64(F.lit(SEED), "rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.join(reps.select("rep", "signature", "n_shingles"), "rep")
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "signature")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = (pdf["own"] == key[1]).to_numpy()
-        left = np.flatnonzero(first)
-        right = left if key[1] == key[2] else np.flatnonzero(~first)
-        rep, component, n = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
-        signature, found = np.array(pdf["signature"].tolist(), dtype=np.int32), []
-        for at in range(0, len(left), 32):
-            x, y = (z.ravel() for z in np.meshgrid(left[at : at + 32], right, indexing="ij"))
-            keep = (component[x] != component[y]) & (share[1] * np.minimum(n[x], n[y]) >= share[0] * np.maximum(n[x], n[y]))
-            if key[1] == key[2]:
-                keep &= rep[x] < rep[y]
-            x, y = x[keep], y[keep]
-            same = signature[x] == signature[y]
-            likely = same.sum(axis=1) >= SIGNATURE_SHARE * same.shape[1]
-            x, y, same = x[likely], y[likely], same[likely]
-            band = same.reshape(len(x), same.shape[1] // rows, rows).all(axis=2).argmax(axis=1) if len(x) else np.zeros(0, int)
-            found.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "band": band, "x": x}))
-        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "band": [], "x": []}, dtype="int64")
-        # the bucket's own band: the one in which all members are equal
-        first_rows = (signature == signature[0]).reshape(len(signature), -1, rows).all(axis=2).all(axis=0)
-        out = out[out["band"] == int(first_rows.argmax())]
-        return pd.DataFrame({"bucket": key[0], "i": key[1], "j": key[2], "a": out["a"], "b": out["b"]})
-
-    made = dealt.groupBy("bucket", "i", "j").applyInPandas(run, "bucket long, i long, j long, a long, b long")
-    return made.select(F.xxhash64("bucket", "i", "j").alias("tile"), "a", "b")
-
-
-def _verified_in_tiles(pairs: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are links on full sets; a text goes to each tile once, not with each pair."""
-    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id").select(F.col("tile").alias("part"), "doc_id", "text")
-    shingler = Shingler(shingle)
+    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+
+
+def joined_in_tile(sets: list[np.ndarray], component: np.ndarray, asks: np.ndarray, own: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Positions (x, y) of links that join the components of a tile: each x that asks against every y of another
+    component; own: block of each, and where there are two, only pairs across them count."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    begins, label, held, found = ends - size, np.unique(component, return_inverse=True)[1], np.zeros(len(known), dtype=np.int32), []
+    # a set of which too much is in no other set here has no link; without it, other sets may be found to have none
+    able, before = np.ones(len(sets), dtype=bool), -1
+    while able.sum() != before:
+        before = able.sum()
+        times = np.bincount(ids[np.repeat(able, size)], minlength=len(known))
+        able &= share[1] * np.add.reduceat(times[ids] > 1, begins, dtype=np.int64) >= share[0] * size
+    two = own.min() != own.max()
+    for x in np.flatnonzero(asks & able):
+        apart = able & (label != label[x]) & (share[1] * np.minimum(size, size[x]) >= share[0] * np.maximum(size, size[x]))
+        if two:
+            apart &= own != own[x]
+        if not apart.any():
+            continue
+        mine = ids[begins[x] : ends[x]]
+        held[mine] = 1
+        common = np.add.reduceat(held[ids], begins)
+        held[mine] = 0
+        for y in np.flatnonzero(apart & (share[1] * common >= share[0] * (size + size[x] - common))):
+            if label[y] != label[x]:
+                found.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def _finished(members: DataFrame, label: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join components of one bucket, from the buckets of members (bucket, rep, n) that hold several."""
+    marked = members.where("n > 2").join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    marked = saved(marked.join(reps.select("rep", "n_shingles"), "rep"), "marked")
+    parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("mark"))
+    largest = F.max(F.struct("n", -F.col("component"), "weight")).alias("main")
+    mixed = parts.groupBy("bucket").agg(largest, F.count("*").alias("apart"), F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.sum("mark").alias("mark")).where("apart > 1")
+    # buckets of the same members are one
+    mixed = mixed.groupBy("n", "mark", "weight", "apart").agg(F.min(F.struct("bucket", "main")).alias("m"))
+    asking = F.ceil((F.col("weight") - F.col("m.main.weight")) / BLOCK).cast("int")
+    asked = F.ceil(F.col("m.main.weight") / BLOCK).cast("int")
+    one = F.col("weight") <= BLOCK
+    mixed = mixed.select(F.col("m.bucket").alias("bucket"), (-F.col("m.main.col2")).alias("main"), F.when(one, 1).otherwise(asking).alias("asking"), F.when(one, 0).otherwise(asked).alias("asked"))
+    dealt = marked.join(mixed, "bucket")
+    asks = F.col("component") != F.col("main")
+    # blocks 0 .. asking - 1 hold those that ask, the next ones the largest component (its own only where one block does not hold the bucket)
+    block = F.when(F.col("asked") == 0, 0).when(asks, F.pmod(F.xxhash64(F.lit(SEED), "rep"), "asking")).otherwise(F.col("asking") + F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.greatest("asked", F.lit(1)))).cast("int")
+    dealt = dealt.select("bucket", "rep", "component", asks.alias("asks"), block.alias("own"), "asking", "asked")
+    others = F.when(F.col("own") < F.col("asking"), F.sequence(F.lit(0), F.col("asking") + F.col("asked") - 1)).otherwise(F.sequence(F.lit(0), F.col("asking") - 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "own", "asks", "rep", "component")
+    whole = dealt.join(texts, "rep")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, rep = [shingler(t) for t in pdf["text"]], pdf["rep"].to_numpy()
+        found = joined_in_tile(sets, pdf["component"].to_numpy(), pdf["asks"].to_numpy(), pdf["own"].to_numpy(), share)
+        return pd.DataFrame([(rep[x], rep[y]) for x, y in found], columns=["a", "b"], dtype="int64")
 
-    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingler(t) for t in own["text"]]
-        size, keep = np.array([len(s) for s in sets], dtype=np.int64), []
-        at = {c: pd.DataFrame({c: own["doc_id"], r: range(len(own))})[size > 0] for c, r in (("a", "x"), ("b", "y"))}
-        rows = wanted[["a", "b"]].merge(at["a"], on="a").merge(at["b"], on="b")
-        if rows.empty:
-            return rows[["a", "b"]]
-        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        ids = np.split(ids, np.cumsum(size)[:-1])
-        for x, group in rows.groupby("x"):
-            held, y = np.zeros(len(known), dtype=np.int64), group["y"].to_numpy()
-            held[ids[x]] = 1
-            common = np.add.reduceat(held[np.concatenate([ids[k] for k in y])], np.cumsum(size[y]) - size[y])
-            keep.append(group[share[1] * common >= share[0] * (size[x] + size[y] - common)])
-        return pd.concat(keep)[["a", "b"]]
-
-    return texts.groupBy("part").cogroup(pairs.groupBy("tile")).applyInPandas(run, "a long, b long")
+    shingler = Shingler(shingle)
+    return whole.groupBy("tile").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -197,32 +194,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shing
     banded = reps.select("rep", F.explode(keys).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("n")).where("centre <> last")
     members = saved(banded.join(shared, "bucket").select("bucket", "rep", "centre", "n"), "members")
+    # the texts of classes that meet another; a repeated row's only once, of rows sharing an id all different ones
+    near = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = saved(near.groupBy("rep", F.xxhash64("text").alias("_t")).agg(F.min("text").alias("text")).drop("_t"), "texts")
 
     first = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(_verified(first, reps, docs, shingle, share), "links")
-    found, turn = components(links), 0
-    while True:
-        label = found.select(F.col("node").alias("rep"), "component")
-        marked = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if turn:
-            marked = marked.where(F.col("n") > NEAR + 1)
-        mixed = marked.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        block = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.ceil(F.col("n") / BLOCK))
-        dealt = marked.join(mixed, "bucket").select("bucket", block.alias("block"), "rep", "component").repartition("bucket", "block")
-        w = Window.partitionBy("bucket", "block").orderBy(F.xxhash64(F.lit(turn + 1000), "rep"), "rep")
-        ahead = [F.lead(F.struct("rep", "component"), k).over(w) for k in range(1, NEAR + 1)]
-        pairs = dealt.select("rep", "component", F.array(*ahead).alias("ahead")).select("rep", "component", F.explode("ahead").alias("o"))
-        pairs = pairs.where("o.rep is not null and o.component <> component").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
-        more = saved(_verified(pairs, reps, docs, shingle, share), "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        found, turn = components(links), turn + 1
-    rest = marked.where(F.col("n") > NEAR + 1).join(mixed, "bucket").select("bucket", "rep", "component", "n")
-    pairs = saved(_remaining_pairs(rest, reps, rows, share), "remaining")
-    more = saved(_verified_in_tiles(pairs, docs, shingle, share), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    links = saved(_verified(first, reps, texts, shingle, share), "links")
+    label = components(links).select(F.col("node").alias("rep"), "component")
+    links = links.union(saved(_finished(members, label, reps, texts, shingle, share), "links"))
+    found = components(links)
 
     named = reps.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
