@@ -8,7 +8,7 @@ from timetide.jobs.registry import query
 from timetide.operators import calendars as C
 
 KEYS = ["route_id", "dist", "trip"]
-HOLIDAYS = """years AS (SELECT unnest(generate_series(1995, 2003)) AS y), g AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
+HOLIDAYS = """years AS (SELECT unnest(generate_series(1995, 2010)) AS y), g AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
   g2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM g),
   g3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM g2), g4 AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM g3),
   easter AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS e FROM g4),
@@ -37,13 +37,13 @@ def trips(s):
 
 
 def days(s):
-    return C.service_days(trips(s), s.notes, C.czech_holidays(s.spark, 1995, 2003), KEYS)
+    return C.service_days(trips(s), s.notes, C.czech_holidays(s.spark, 1995, 2010), KEYS)
 
 
 @query("p18_czech_holidays", f"WITH {HOLIDAYS} SELECT DISTINCT h.day FROM hol h WHERE EXISTS (SELECT 1 FROM orders WHERE year(o_orderdate) = year(h.day))")
 def _(s):
     used = s.orders.select(F.year("o_orderdate").alias("y")).distinct()
-    return C.czech_holidays(s.spark, 1995, 2003).withColumn("y", F.year("day")).join(used, "y", "left_semi").select("day")
+    return C.czech_holidays(s.spark, 1995, 2010).withColumn("y", F.year("day")).join(used, "y", "left_semi").select("day")
 
 
 @query("c1_service_days", f"WITH {RUNS} SELECT * FROM runs_on")
@@ -65,14 +65,20 @@ def _(s):
     return C.calendar_days(trips(s).withColumn("pattern", C.weekly_pattern(F.col("codes"))), KEYS)
 
 
+def calendar(s):
+    return C.service_calendar(trips(s), s.notes, C.czech_holidays(s.spark, 1995, 2010), KEYS)
+
+
 @query("c4_compact_calendar", f"WITH {COMPACT} SELECT f.route_id, f.dist, f.trip FROM facts f WHERE n > 0 AND d <= n")
 def _(s):
-    return C.compact_calendar(trips(s), days(s), KEYS)[0].select(*KEYS)
+    services, plans = calendar(s)
+    return services.join(plans.where("pattern is not null").select("plan"), "plan").select(*KEYS)
 
 
 @query("c4_calendar_exceptions", f"WITH {COMPACT} SELECT b.route_id, b.dist, b.trip, day, CASE WHEN runs THEN 1 ELSE 2 END AS exception_type FROM bothd b JOIN facts f USING (route_id, dist, trip) WHERE n > 0 AND CASE WHEN d > n THEN runs ELSE runs <> planned END")
 def _(s):
-    return C.compact_calendar(trips(s), days(s), KEYS)[1]
+    services, plans = calendar(s)
+    return services.join(plans.select("plan", F.explode("changes").alias("c")), "plan").select(*KEYS, "c.day", "c.exception_type")
 
 
 @query("c5_dedupe_calendar", f"""WITH {COMPACT}, ex AS (SELECT b.route_id, b.dist, b.trip, string_agg(CAST(day AS STRING) || CASE WHEN runs THEN '+' ELSE '-' END, ',' ORDER BY day) AS x FROM bothd b JOIN facts f USING (route_id, dist, trip) WHERE n > 0 AND CASE WHEN d > n THEN runs ELSE runs <> planned END GROUP BY 1, 2, 3),
@@ -81,9 +87,9 @@ def _(s):
   grp AS (SELECT *, min(service_id) OVER (PARTITION BY bits, span, x) AS fst FROM s)
   SELECT service_id, 'CAL-' || bits || '-' || CAST(dense_rank() OVER (ORDER BY fst) - 1 AS STRING) AS calendar_id FROM grp""")
 def _(s):
-    calendar, exceptions = C.compact_calendar(trips(s), days(s), KEYS)
-    service = F.format_string("CIST-%d-%d-%d", *KEYS).alias("service_id")
-    return C.dedupe_calendar(calendar.select(service, "valid_from", "valid_to", "pattern"), exceptions.select(service, "day", "exception_type"))
+    services, plans = calendar(s)
+    services = services.select("plan", F.format_string("CIST-%d-%d-%d", *KEYS).alias("service_id"))
+    return services.join(C.calendar_names(services, plans, "service_id"), "plan").select("service_id", "calendar_id")
 
 
 def messages(s):

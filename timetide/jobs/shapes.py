@@ -48,7 +48,7 @@ SHAPES = {
         SELECT id, day, name, lat, lon FROM (
             SELECT 'E' || CAST(user_id % 50 AS STRING) AS id, CAST(ts AS DATE) AS day, 'name ' || CAST(user_id % 50 % 7 AS STRING) AS name,
                 CASE WHEN user_id % 50 <> 3 THEN (CASE WHEN day(CAST(ts AS DATE)) >= 15 THEN 1 ELSE 0 END) + user_id % 50 END AS lat, CASE WHEN user_id % 50 <> 3 THEN user_id % 50 * 2 END AS lon,
-                row_number() OVER (PARTITION BY user_id % 50, CAST(ts AS DATE) ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 3 <> 0) x WHERE rn = 1""",
+                row_number() OVER (PARTITION BY user_id % 50, CAST(ts AS DATE) ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1""",
     "snapshots": """
         SELECT train, snapshot_no, last_point, staying, planned, measured FROM (
             SELECT 'U' || CAST(user_id AS STRING) AS train, CAST((day(CAST(ts AS DATE)) - 1) * 4 + (hour(ts) - hour(ts) % 6) / 6 AS INT) AS snapshot_no, event_type AS last_point, event_id % 2 = 0 AS staying,
@@ -60,17 +60,17 @@ SHAPES = {
                 row_number() OVER (PARTITION BY user_id, day(CAST(ts AS DATE)) ORDER BY event_id) AS pos,
                 min(event_id) OVER (PARTITION BY user_id, day(CAST(ts AS DATE))) AS event_id0 FROM events) x""",
     "routes": """
-        SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY o_orderkey) AS INT) AS dist, d AS valid_from, days(d, CAST(27 + 30 * (o_orderkey % 3) AS INT)) AS valid_to,
+        SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY o_orderkey) AS INT) AS dist, d AS valid_from, days(d, CAST(CASE WHEN o_orderkey % 1009 = 5 THEN 1700 ELSE 13 + 7 * (o_orderkey % 3) END AS INT)) AS valid_to,
             o_orderkey % 5 = 0 AS detour, days(d, CAST(o_orderkey % 40 AS INT)) AS created, o_orderkey
-        FROM (SELECT CAST(o_custkey % 200 AS INT) AS route_id, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders WHERE o_orderkey % 10 = 0) x""",
+        FROM (SELECT CAST(o_custkey % 200 AS INT) AS route_id, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders) x""",
     "trips": """
         SELECT r.route_id, r.dist, CAST(i.l_linenumber AS INT) AS trip, r.valid_from, r.valid_to, i.l_partkey AS part, i.l_suppkey AS supp, i.qty,
             CASE i.l_partkey % 12 WHEN 0 THEN 'X' WHEN 1 THEN '+' WHEN 2 THEN 'X,+' WHEN 3 THEN '1,2,3' WHEN 4 THEN '6' WHEN 5 THEN '7,@' WHEN 6 THEN '{' WHEN 7 THEN '5,X' WHEN 8 THEN 'O' WHEN 9 THEN '+,6' WHEN 10 THEN '' ELSE '4' END AS codes
         FROM routes r JOIN items i ON i.l_orderkey = r.o_orderkey""",
     "notes": """
-        SELECT route_id, dist, trip, CASE WHEN supp % 9 <> 0 THEN CAST(supp % 9 AS INT) END AS note_type,
+        SELECT route_id, dist, trip, CASE WHEN supp % 9 <> 0 AND supp % 4 <> 1 THEN CAST(supp % 9 AS INT) END AS note_type,
             CASE WHEN part % 5 <> 0 THEN days(valid_from, qty % 20) END AS date_from, CASE WHEN part % 5 <> 0 AND part % 3 <> 0 THEN days(valid_from, qty % 20 + qty % 5) END AS date_to
-        FROM trips WHERE supp % 4 <> 1""",
+        FROM trips""",
     "trip_stops": """
         SELECT l_orderkey AS trip, CAST(l_linenumber AS INT) AS route_stop_id, CAST(l_suppkey % 60 AS INT) AS stop_id, CAST(l_linenumber * 3500 AS INT) AS metres,
             CASE WHEN l_returnflag = 'R' AND l_linenumber IN (2, 4) THEN 'pass' WHEN l_partkey % 17 <> 0 THEN 'time' END AS dep_kind,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
+from timetide.functions.lineage import shared_dir
+from timetide.jobs.calendars import RUNS
 from timetide.jobs.registry import query
 from timetide.operators import timetable as O
+from timetide.operators.calendars import calendar_days, czech_holidays
 from timetide.operators.timetable import add_coords, drop_empty_trips, gtfs_stop_times, headsigns, left_join_on, require_all, resolve_attributes, stop_zones
+from timetide.sources.gtfs import read_gtfs, write_gtfs
 
 C = F.col
 
@@ -56,7 +62,7 @@ def _(s):
     return s.trips.select("route_id", "dist", "trip", wheelchair.alias("wheelchair"), bikes.alias("bikes"), direction.alias("direction"))
 
 
-@query("p10_fill_required", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x' ELSE 'jrutil://invalid' END AS agency_url, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE CAST(s_suppkey AS DOUBLE) END AS lat FROM supplier")
+@query("p10_fill_required", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x' ELSE 'https://example.invalid' END AS agency_url, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE CAST(s_suppkey AS DOUBLE) END AS lat FROM supplier")
 def _(s):
     rows = s.supplier.select("s_suppkey", F.when(C("s_suppkey") % 2 == 0, "http://x").alias("agency_url"), F.when(C("s_suppkey") % 3 != 0, C("s_suppkey").cast("double")).alias("lat"), F.lit(0.0).alias("lon"))
     return O.fill_required(rows, rows)[0].select("s_suppkey", "agency_url").join(O.fill_required(rows, rows)[1].select("s_suppkey", "lat"), "s_suppkey")
@@ -194,32 +200,41 @@ def _(s):
 
 
 def jdf_tables(s):
-    """Timetable tables of the shapes: one batch per fifth of the routes."""
+    """Timetable tables of the shapes: one batch per fifth of the routes. TRIP_STOPS says the same in SQL."""
     batch = (C("route_id") % 5).alias("batch_id")
     trips, none = s.trips, F.lit(None).cast("string")
+    calls = trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("route_stop_id"), "part", "supp").withColumn("stop_id", ((C("supp") + C("route_stop_id")) % 60).cast("int"))
+    stops = calls.select("batch_id", "stop_id").distinct()
+    codes = "X+1234567@{O"
+    batches = s.routes.select(batch).distinct()
     return {
         "agencies": s.supplier.select((C("s_suppkey") % 5).cast("int").alias("batch_id"), C("s_suppkey").cast("int").alias("agency_id"), F.lit(0).alias("agency_dist"), C("s_name").alias("name"), F.lit("www.x.cz").alias("url"), none.alias("phone")),
         "routes": s.routes.select(batch, "route_id", "dist", F.lit(1).alias("agency_id"), F.lit(0).alias("agency_dist"), F.lit("r").alias("name"), F.lit("A").alias("mode"), F.lit("V").alias("kind"), "valid_from", "valid_to"),
-        "stops": s.spark.range(60 * 5).select((C("id") % 5).cast("int").alias("batch_id"), F.floor(C("id") / 5).cast("int").alias("stop_id"), F.concat(F.lit("Town "), F.floor(C("id") / 5).cast("string")).alias("town"), none.alias("district"), none.alias("place"), F.array().cast("array<int>").alias("attributes")),
-        "stop_posts": s.spark.createDataFrame([], "batch_id int, stop_id int, post_id int, post_name string"),
-        "stop_locations": s.spark.createDataFrame([], "batch_id int, stop_id int, precision string, lat double, lon double"),
-        "attribute_refs": s.spark.createDataFrame([(b, i, c) for b in range(5) for i, c in enumerate("X+1234567@{O")], "batch_id int, attribute_id int, code string"),
-        "route_stops": s.spark.createDataFrame([], "batch_id int, route_id int, dist int, route_stop_id int, stop_id int, zone string"),
-        "trips": trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.transform(F.filter(F.split("codes", ","), lambda c: c != ""), lambda c: F.instr(F.lit("X+1234567@{O"), c) - 1).alias("attributes")),
-        "trip_stops": trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("route_stop_id"), "part", "supp").select("batch_id", "route_id", "dist", "trip_id", "route_stop_id", ((C("supp") + C("route_stop_id")) % 60).cast("int").alias("stop_id"), F.lit(None).cast("int").alias("post_id"), F.array().cast("array<int>").alias("attributes"), F.lit("time").alias("dep_kind"), F.lit(None).cast("int").alias("arr_sec"), (3600 * ((C("part") + 7 * C("route_stop_id")) % 24)).cast("int").alias("dep_sec")),
+        "stops": stops.select("batch_id", "stop_id", F.concat(F.lit("Town "), C("stop_id").cast("string")).alias("town"), none.alias("district"), none.alias("place"), F.array().cast("array<int>").alias("attributes")),
+        "stop_posts": stops.where("stop_id % 2 = 0").select("batch_id", "stop_id", F.lit(1).alias("post_id"), F.when(C("stop_id") % 4 == 0, "A").alias("post_name")),
+        "stop_locations": stops.select("batch_id", "stop_id", F.when(C("stop_id") % 3 == 0, "S").otherwise("T").alias("precision"), (C("stop_id") / 64 + 48).alias("lat"), (C("stop_id") / 64 + 14).alias("lon")),
+        "attribute_refs": batches.select("batch_id", F.posexplode(F.split(F.lit(codes), "")).alias("attribute_id", "code")).where("code <> ''"),
+        "route_stops": calls.select("batch_id", "route_id", "dist", "route_stop_id", "stop_id", F.when(C("route_stop_id") != 2, F.concat(F.lit("Z"), C("route_stop_id").cast("string"))).alias("zone")).distinct(),
+        "trips": trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.transform(F.filter(F.split("codes", ","), lambda c: c != ""), lambda c: F.instr(F.lit(codes), c) - 1).alias("attributes")),
+        "trip_stops": calls.select("batch_id", "route_id", "dist", "trip_id", "route_stop_id", "stop_id", F.when((C("stop_id") % 2 == 0) & (C("part") % 2 == 0), 1).alias("post_id"), F.array().cast("array<int>").alias("attributes"), F.lit("time").alias("dep_kind"), F.lit(None).cast("int").alias("arr_sec"), (3600 * ((C("part") + 7 * C("route_stop_id")) % 24)).cast("int").alias("dep_sec")),
         "service_notes": s.notes.select(batch, "route_id", "dist", C("trip").alias("trip_id"), "note_type", "date_from", "date_to"),
     }
 
 
 def feed(s):
-    from timetide.operators.calendars import czech_holidays
+    return O.jdf_to_gtfs(jdf_tables(s), czech_holidays(s.spark, 1995, 2010))
 
-    return O.jdf_to_gtfs(jdf_tables(s), czech_holidays(s.spark, 1995, 2003))
 
+def written_feed(s, tables):
+    """The feed as a reader finds it that was written as GTFS files."""
+    path = f"{shared_dir(s.spark)}/gtfs-{uuid.uuid4().hex}"
+    write_gtfs(tables, path)
+    return read_gtfs(s.spark, path)
 
-from timetide.jobs.calendars import RUNS  # noqa: E402
 
 RUNNING = f"WITH {RUNS}, live AS (SELECT DISTINCT route_id, dist, trip FROM runs_on)"
+TRIP_STOPS = "ts AS (SELECT t.*, route_id % 5 AS batch_id, k, (supp + k) % 60 AS stop, CASE WHEN t.trip % 2 = 0 THEN -k ELSE k END AS o, 3600 * ((part + 7 * k) % 24) AS d, CASE WHEN (supp + k) % 60 % 2 = 0 AND part % 2 = 0 THEN '-1' ELSE '' END AS post FROM trips t, (SELECT unnest([1, 2, 3, 4]) AS k) z)"
+STOP_TIMES = f"{RUNNING}, {TRIP_STOPS}, l AS (SELECT ts.*, CASE WHEN d < lag(d) OVER (PARTITION BY route_id, dist, trip ORDER BY o) THEN 1 ELSE 0 END AS down FROM ts JOIN live USING (route_id, dist, trip)) SELECT 'CIST-' || route_id || '-' || dist || '-' || trip AS trip_id, 'JDFS-' || stop || post AS stop_id, row_number() OVER (PARTITION BY route_id, dist, trip ORDER BY o) - 1 AS stop_sequence, CAST(d + 86400 * sum(down) OVER (PARTITION BY route_id, dist, trip ORDER BY o) AS BIGINT) AS departure, CASE WHEN k <> 2 THEN 'Z' || k END AS zone FROM l"
 
 
 @query("g1_jdf_trips", f"{RUNNING} SELECT 'CIST-' || t.route_id || '-' || t.dist || '-' || t.trip AS trip_id, CASE WHEN t.trip % 2 = 0 THEN 'Town ' || (supp + 1) % 60 ELSE 'Town ' || (supp + 4) % 60 END AS trip_headsign, CASE WHEN t.trip % 2 = 0 THEN '0' ELSE '1' END AS direction_id, t.route_id || ' ' || t.trip AS trip_short_name FROM trips t JOIN live USING (route_id, dist, trip)")
@@ -227,14 +242,31 @@ def _(s):
     return feed(s)["trips"].select("trip_id", "trip_headsign", "direction_id", "trip_short_name")
 
 
-@query("g1_jdf_stop_times", f"{RUNNING}, st AS (SELECT t.*, k, CASE WHEN t.trip % 2 = 0 THEN -k ELSE k END AS o, 3600 * ((part + 7 * k) % 24) AS d FROM trips t JOIN live USING (route_id, dist, trip), (SELECT unnest([1, 2, 3, 4]) AS k) z), l AS (SELECT *, CASE WHEN d < lag(d) OVER (PARTITION BY route_id, dist, trip ORDER BY o) THEN 1 ELSE 0 END AS down FROM st) SELECT 'CIST-' || route_id || '-' || dist || '-' || trip AS trip_id, 'JDFS-' || (supp + k) % 60 AS stop_id, row_number() OVER (PARTITION BY route_id, dist, trip ORDER BY o) - 1 AS stop_sequence, CAST(d + 86400 * sum(down) OVER (PARTITION BY route_id, dist, trip ORDER BY o) AS BIGINT) AS departure FROM l")
+@query("g1_jdf_stop_times", STOP_TIMES)
+def _(s):
+    return feed(s)["stop_times"].select("trip_id", "stop_id", "stop_sequence", C("departure_time").alias("departure"), C("stop_zone_ids").alias("zone"))
+
+
+@query("snk2_src4_written_stop_times", STOP_TIMES.replace("SELECT 'CIST-'", "SELECT batch_id, 'CIST-'"))
+def _(s):
+    back = written_feed(s, {k: v for k, v in feed(s).items() if k != "calendar"})
+    return back["stop_times"].select("batch_id", "trip_id", "stop_id", "stop_sequence", C("departure_time").alias("departure"), C("stop_zone_ids").alias("zone"))
+
+
+@query("g1_feed_service_days", f"WITH {RUNS} SELECT route_id % 5 || ':CIST-' || route_id || '-' || dist || '-' || trip AS trip_id, day FROM runs_on")
 def _(s):
-    return feed(s)["stop_times"].select("trip_id", "stop_id", "stop_sequence", "departure")
+    """The days of each trip as a reader of the one feed of all batches finds them."""
+    back = written_feed(s, {k: v for k, v in O.one_feed(feed(s)).items() if k in ("agency", "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates")})
+    pattern = F.array(*[C(d) for d in O.WEEK]).alias("pattern")
+    weekly = calendar_days(back["calendar"].select("service_id", C("start_date").alias("valid_from"), C("end_date").alias("valid_to"), pattern), ["service_id"])
+    dates = back["calendar_dates"].withColumnRenamed("date", "day")
+    days = weekly.join(dates.where("exception_type = 2"), ["service_id", "day"], "left_anti").union(dates.where("exception_type = 1").select("service_id", "day"))
+    return back["trips"].join(days, "service_id").select("trip_id", "day")
 
 
-@query("g1_jdf_stops", "SELECT DISTINCT b AS batch_id, 'JDFS-' || n AS stop_id, 'Town ' || n AS stop_name, 0.0 AS lat FROM (SELECT unnest(generate_series(0, 59)) AS n) x, (SELECT unnest(generate_series(0, 4)) AS b) y WHERE EXISTS (SELECT 1 FROM routes)")
+@query("g1_jdf_stops", f"WITH {TRIP_STOPS}, st AS (SELECT batch_id, stop, string_agg(DISTINCT CASE WHEN k <> 2 THEN 'Z' || k END, ',' ORDER BY CASE WHEN k <> 2 THEN 'Z' || k END) AS zone, CASE WHEN stop % 3 = 0 THEN CAST(stop AS DOUBLE) / 64 + 48 ELSE 0.0 END AS lat FROM ts GROUP BY 1, 2) SELECT batch_id, 'JDFS-' || stop AS stop_id, 'Town ' || stop AS stop_name, lat, zone, NULL AS platform_code FROM st UNION ALL SELECT batch_id, 'JDFS-' || stop || '-1', 'Town ' || stop, lat, zone, CASE WHEN stop % 4 = 0 THEN 'A' ELSE '1' END FROM st WHERE stop % 2 = 0")
 def _(s):
-    return feed(s)["stops"].select("batch_id", "stop_id", "stop_name", "lat")
+    return feed(s)["stops"].select("batch_id", "stop_id", "stop_name", C("stop_lat").alias("lat"), C("zone_id").alias("zone"), "platform_code")
 
 
 @query("g1_jdf_routes", "SELECT '-CISR-' || route_id || '-' || dist AS route_id, 701 AS route_type, 'JDFA-1-0' AS agency_id FROM routes")

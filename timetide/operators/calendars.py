@@ -1,7 +1,7 @@
 """Service days, weekly calendars and their exceptions, holidays.
 
-A trip's day-set depends on its validity, attribute codes and notes only; days are therefore made once
-per distinct signature where trips repeat them (service_days does this itself).
+A trip's day-set depends on its validity, attribute codes and notes only; days, and calendars made of
+them, are therefore worked out once per distinct signature.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import cut, numbered
+
 #: Fixed holidays (month, day).
 FIXED_HOLIDAYS = ((1, 1), (5, 1), (5, 8), (7, 5), (7, 6), (9, 28), (10, 28), (11, 17), (12, 24), (12, 25), (12, 26))
 ONLY, NO, ALSO = 3, 4, 2
@@ -39,27 +41,21 @@ def czech_holidays(spark, start_year: int, end_year: int) -> DataFrame:
     return years.select(F.explode(F.concat(fixed, F.array(F.date_sub(easter, 2), F.date_add(easter, 1)))).alias("day"))
 
 
-def bounded_validity(trips: DataFrame, max_days: int = 1500) -> DataFrame:
-    """trips with valid_to at most max_days after valid_from: open-ended validity (year 3000) would make 360 000 days."""
-    return trips.withColumn("valid_to", F.least("valid_to", F.date_add("valid_from", max_days)))
-
+def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, _sign; the distinct signatures: _sign, valid_from, valid_to, codes, notes).
 
-def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str], max_days: int = 1500) -> DataFrame:
-    """keys, day: the days on which each trip runs.
-
-    trips: keys, valid_from, valid_to, codes (array of code strings). notes: keys, note_type, date_from,
-    date_to; a start defaults to the validity's start, an end to the note's start; notes without a type
-    do not count, and a note that ends before it starts covers nothing. The first rule that fires decides:
-    service only; no service; also; week parity; from-to; then the day codes; a trip without day codes runs."""
-    trips = bounded_validity(trips, max_days)
+    A trip's days depend on its validity, codes and notes only, so they are worked out once per signature."""
     typed = notes.where("note_type is not null").select(*keys, "note_type", "date_from", "date_to")
     listed = typed.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("note_type", "date_from", "date_to"))).alias("notes"))
-    known = trips.join(listed, keys, "left").withColumn("codes", F.sort_array(F.array_distinct("codes")))
+    known = trips.select(*keys, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(listed, keys, "left")
     sign = ["valid_from", "valid_to", "codes", "notes"]
     known = known.withColumn("_sign", F.xxhash64(*sign))
-    plans = known.select("_sign", *sign).dropDuplicates(["_sign"])
+    return known.select(*keys, "_sign"), known.select("_sign", *sign).dropDuplicates(["_sign"])
 
-    days = plans.select("_sign", *sign, F.explode(F.sequence("valid_from", "valid_to")).alias("day")).join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday"))), "day", "left")
+
+def signature_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
+    """_sign, day, runs, planned (by the weekly pattern alone): a row for each day of a signature's validity."""
+    days = plans.where("valid_from <= valid_to").select("*", F.explode(F.sequence("valid_from", "valid_to")).alias("day")).join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday"))), "day", "left")
     start = lambda n: F.coalesce(n["date_from"], F.col("valid_from"))
     covers = F.filter("notes", lambda n: (F.col("day") >= start(n)) & (F.col("day") <= F.coalesce(n["date_to"], start(n))))
     days = days.withColumn("now", F.coalesce(F.transform(covers, lambda n: n["note_type"]), F.array().cast("array<int>"))).withColumn("ever", F.coalesce(F.transform("notes", lambda n: n["note_type"]), F.array().cast("array<int>")))
@@ -76,7 +72,52 @@ def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys:
         .when(F.array_contains("codes", weekday.cast("string")), True)
         .otherwise(~F.arrays_overlap("codes", F.array(*[F.lit(c) for c in DAY_CODES])))
     )
-    return known.select(*keys, "_sign").join(days.where(runs).select("_sign", "day"), "_sign").select(*keys, "day")
+    return days.select("_sign", "day", runs.alias("runs"), F.element_at(weekly_pattern(F.col("codes")), weekday).alias("planned"))
+
+
+def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, day: all days on which each trip runs, to the end of its validity however long that is.
+
+    trips: keys, valid_from, valid_to, codes (array of code strings). notes: keys, note_type, date_from,
+    date_to; a start defaults to the validity's start, an end to the note's start; notes without a type
+    do not count, and a note that ends before it starts covers nothing. The first rule that fires decides:
+    service only; no service; also; week parity; from-to; then the day codes; a trip without day codes runs.
+    Where only the calendar of a trip is wanted, service_calendar() makes it without these rows."""
+    known, plans = signed_trips(trips, notes, keys)
+    return known.join(signature_days(plans, holidays).where("runs").select("_sign", "day"), "_sign").select(*keys, "day")
+
+
+def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, plan of the trips that run at all; plans: plan, valid_from, valid_to, pattern, changes).
+
+    The same as compact_calendar over service_days, made once per distinct signature and written: changes
+    are sorted (day, exception_type); a plan by list has neither pattern nor range. Signatures that come
+    to the same calendar share a plan."""
+    known, plans = signed_trips(trips, notes, keys)
+    listed = signature_days(plans, holidays).groupBy("_sign").agg(
+        F.collect_list(F.when(F.col("runs"), F.col("day"))).alias("on"),
+        F.collect_list(F.when(F.col("runs") != F.col("planned"), F.struct("day", F.when(F.col("runs"), 1).otherwise(2).alias("exception_type")))).alias("differ"),
+    )
+    by_list = F.size("differ") > F.size("on")
+    changes = F.when(by_list, F.transform("on", lambda d: F.struct(d.alias("day"), F.lit(1).alias("exception_type")))).otherwise(F.col("differ"))
+    made = plans.join(listed.where(F.size("on") > 0), "_sign")
+    made = made.select("_sign", F.when(~by_list, F.col("valid_from")).alias("valid_from"), F.when(~by_list, F.col("valid_to")).alias("valid_to"), F.when(~by_list, weekly_pattern(F.col("codes"))).alias("pattern"), F.sort_array(changes).alias("changes"))
+    made = cut(made.withColumn("plan", F.sha2(F.to_json(F.struct("valid_from", "valid_to", "pattern", "changes")), 256)))
+    return known.join(made.select("_sign", "plan"), "_sign").drop("_sign"), made.drop("_sign").dropDuplicates(["plan"])
+
+
+def calendar_names(services: DataFrame, plans: DataFrame, service: str, within: list[str] | None = None) -> DataFrame:
+    """within, plan -> calendar_id 'CAL-<bits|exc>-<i>', i the rank, from 0, of the plan by its smallest service."""
+    within = within or []
+    bits = F.coalesce(F.array_join(F.transform("pattern", lambda b: F.when(b, "1").otherwise("0")), ""), F.lit("exc"))
+    groups = services.groupBy(*within, "plan").agg(F.min(service).alias("_first"))
+    placed = numbered(groups, [*within, "_first"], "_i")
+    if within:
+        placed = placed.join(placed.groupBy(*within).agg(F.min("_i").alias("_least")), within)
+    else:
+        placed = placed.withColumn("_least", F.lit(1))
+    named = placed.join(plans.select("plan", bits.alias("bits")), "plan")
+    return named.select(*within, "plan", F.concat_ws("-", F.lit("CAL"), "bits", (F.col("_i") - F.col("_least")).cast("string")).alias("calendar_id"))
 
 
 def weekly_pattern(codes: Column) -> Column:
@@ -88,7 +129,7 @@ def weekly_pattern(codes: Column) -> Column:
 
 def calendar_days(calendar: DataFrame, keys: list[str]) -> DataFrame:
     """keys, day: the days of weekly calendars (valid_from, valid_to, pattern)."""
-    days = calendar.select(*keys, "pattern", F.explode(F.sequence("valid_from", "valid_to")).alias("day"))
+    days = calendar.where("valid_from <= valid_to").select(*keys, "pattern", F.explode(F.sequence("valid_from", "valid_to")).alias("day"))
     return days.where(F.element_at("pattern", F.weekday("day") + 1)).select(*keys, "day")
 
 
@@ -97,30 +138,29 @@ def compact_calendar(trips: DataFrame, days: DataFrame, keys: list[str]) -> tupl
 
     A trip that never runs is in neither. Where more days differ from the weekly pattern than it runs,
     there is no calendar row and every day is an added one (1); else the pattern, with added (1) and
-    removed (2) days."""
+    removed (2) days. One shuffle by the keys serves all steps."""
     base = trips.select(*keys, "valid_from", "valid_to", weekly_pattern(F.col("codes")).alias("pattern"))
-    wanted = calendar_days(base, keys).withColumn("planned", F.lit(True))
-    both = days.withColumn("runs", F.lit(True)).join(wanted, [*keys, "day"], "full")
-    both = both.select(*keys, "day", F.coalesce("runs", F.lit(False)).alias("runs"), F.coalesce("planned", F.lit(False)).alias("planned"))
-    facts = both.groupBy(*keys).agg(F.count_if("runs").alias("running"), F.count_if(F.col("runs") != F.col("planned")).alias("differ"))
-    listed = facts.where("running > 0").withColumn("by_list", F.col("differ") > F.col("running")).select(*keys, "by_list")
-    calendar = base.join(listed.where("not by_list"), keys).select(*keys, "valid_from", "valid_to", "pattern")
-    rows = both.join(listed, keys).where(F.when(F.col("by_list"), F.col("runs")).otherwise(F.col("runs") != F.col("planned")))
+    wanted = calendar_days(base, keys).select(*keys, "day", F.lit(False).alias("runs"), F.lit(True).alias("planned"))
+    both = days.select(*keys, "day", F.lit(True).alias("runs"), F.lit(False).alias("planned")).union(wanted).repartition(*keys)
+    both = both.groupBy(*keys, "day").agg(F.max("runs").alias("runs"), F.max("planned").alias("planned"))
+    own = Window.partitionBy(*keys)
+    both = both.withColumn("running", F.count_if("runs").over(own)).withColumn("differ", F.count_if(F.col("runs") != F.col("planned")).over(own)).where("running > 0")
+    both = cut(both.withColumn("by_list", F.col("differ") > F.col("running")).where(F.when(F.col("by_list"), F.col("runs")).otherwise(F.lit(True))))
+    calendar = base.join(both.where("not by_list").select(*keys).distinct(), keys).select(*keys, "valid_from", "valid_to", "pattern")
+    rows = both.where(F.col("by_list") | (F.col("runs") != F.col("planned")))
     return calendar, rows.select(*keys, "day", F.when(F.col("runs"), 1).otherwise(2).alias("exception_type"))
 
 
 def dedupe_calendar(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     """service_id -> calendar_id: services with the same pattern, range and exceptions share 'CAL-<bits|exc>-<i>'.
 
-    i is the rank, from 0, of the group by its smallest service id. Signatures are hashes; only distinct
-    ones are numbered in one place."""
-    listed = exceptions.groupBy("service_id").agg(F.sort_array(F.collect_list(F.struct("day", "exception_type"))).alias("ex"))
+    i is the rank, from 0, of the group by its smallest service id; for calendars that service_calendar()
+    made, calendar_names() does the same from their plans."""
+    listed = exceptions.groupBy("service_id").agg(F.sort_array(F.collect_list(F.struct("day", "exception_type"))).alias("changes"))
     both = calendar.select("service_id", "valid_from", "valid_to", "pattern").join(listed, "service_id", "full")
-    bits = F.coalesce(F.array_join(F.transform("pattern", lambda b: F.when(b, "1").otherwise("0")), ""), F.lit("exc"))
-    signed = both.select("service_id", bits.alias("bits"), F.sha2(F.to_json(F.struct("valid_from", "valid_to", "pattern", "ex")), 256).alias("sign"))
-    groups = signed.groupBy("sign", "bits").agg(F.min("service_id").alias("first"))
-    numbered = groups.withColumn("i", F.row_number().over(Window.orderBy("first")) - 1)
-    return signed.join(numbered.select("sign", F.concat_ws("-", F.lit("CAL"), "bits", F.col("i").cast("string")).alias("calendar_id")), "sign").select("service_id", "calendar_id")
+    both = cut(both.withColumn("plan", F.sha2(F.to_json(F.struct("valid_from", "valid_to", "pattern", "changes")), 256)))
+    names = calendar_names(both, both.dropDuplicates(["plan"]), "service_id")
+    return both.select("service_id", "plan").join(names, "plan").select("service_id", "calendar_id")
 
 
 def bitmap_days(messages: DataFrame, keys: list[str]) -> DataFrame:

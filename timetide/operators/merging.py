@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import numbered
+
 
 def merge_dimension(rows: DataFrame, identity: list[str], own: str, order: str = "batch_id") -> tuple[DataFrame, DataFrame]:
     """(merged rows with new_id, map batch_id + own id -> new_id) of rows equal, nulls too, in `identity`.
@@ -20,9 +22,9 @@ def merge_dimension(rows: DataFrame, identity: list[str], own: str, order: str =
     sign = F.sha2(F.to_json(F.struct(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in identity])), 256)
     signed = rows.withColumn("_sign", sign)
     first = signed.groupBy("_sign").agg(F.min(F.struct(order, own)).alias("_first"))
-    numbered = first.withColumn("new_id", F.row_number().over(Window.orderBy("_first"))).select("_sign", "_first", "new_id")
-    mapping = signed.select("batch_id", own, "_sign").join(numbered.select("_sign", "new_id"), "_sign").drop("_sign").distinct()
-    kept = signed.join(numbered, "_sign").where(F.struct(order, own) == F.col("_first")).drop("_sign", "_first")
+    ids = numbered(first, ["_first"], "new_id").select("_sign", "_first", "new_id")
+    mapping = signed.select("batch_id", own, "_sign").join(ids.select("_sign", "new_id"), "_sign").drop("_sign").distinct()
+    kept = signed.join(ids, "_sign").where(F.struct(order, own) == F.col("_first")).drop("_sign", "_first")
     return kept.dropDuplicates(["new_id"]), mapping
 
 
@@ -62,8 +64,8 @@ def merge_agencies(agencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     sign = F.sha2(F.to_json(F.struct(*[F.to_json(F.struct(c)) for c in what])), 256)
     signed = agencies.withColumn("_sign", sign)
     distinct = signed.groupBy("agency_id", "_sign").agg(F.min(F.struct("batch_id", "agency_dist")).alias("_first"))
-    numbered = distinct.withColumn("new_dist", F.row_number().over(Window.partitionBy("agency_id").orderBy("_first")))
-    joined = signed.join(numbered, ["agency_id", "_sign"])
+    ranked = distinct.withColumn("new_dist", F.row_number().over(Window.partitionBy("agency_id").orderBy("_first")))
+    joined = signed.join(ranked, ["agency_id", "_sign"])
     mapping = joined.select("batch_id", "agency_id", "agency_dist", "new_dist").distinct()
     kept = joined.where(F.struct("batch_id", "agency_dist") == F.col("_first")).dropDuplicates(["agency_id", "new_dist"])
     return kept.drop("_sign", "_first", "batch_id", "agency_dist"), mapping

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
+from timetide.functions.lineage import cut
+from timetide.operators import calendars, timetable
 
 #: Activity and train type codes with a meaning here. Fixed values.
 INTERNAL, UNPUBLISHED, REQUEST_STOP, BOARD_ONLY, EXIT_ONLY, PUBLIC_TRAIN = "0002", "CZ13", "0030", "0028", "0029", "1"
@@ -114,3 +116,40 @@ def czptt_agencies(locations: DataFrame, companies: DataFrame) -> DataFrame:
     used = public_locations(locations).select("company").distinct()
     named = with_company_names(used, companies)
     return named.select(F.concat(F.lit("-CZPTTA-"), F.col("company").cast("string")).alias("agency_id"), F.col("company_name").alias("agency_name"))
+
+
+def czptt_service_days(messages: DataFrame, locations: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """message_id, day: the days of the messages' bitmaps, moved by their least negative day offset, but for cancelled ones (message_id, day)."""
+    shift = locations.groupBy("message_id").agg(F.least(F.min(F.least("arr_offset", "dep_offset")), F.lit(0)).alias("offset_days"))
+    days = calendars.bitmap_days(messages.select("message_id", "start", "bitmap").join(shift, "message_id"), ["message_id"])
+    return days if cancelled is None else calendars.cancel_days(days, cancelled, ["message_id"])
+
+
+def czptt_to_gtfs(messages: DataFrame, locations: DataFrame, companies: DataFrame, cancelled: DataFrame | None = None, coords: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The GTFS tables of railway messages, ready for sources.gtfs.write_gtfs.
+
+    Trains of an unknown category and trains of which no day is left are not in the feed; trains of the
+    same days share one calendar, all of added days."""
+    routes, trips, _ = czptt_trips(messages, locations)
+    days = cut(czptt_service_days(messages, locations, cancelled).join(trips.select("message_id", "trip_id"), "message_id"))
+    listed = days.groupBy("message_id", "trip_id").agg(F.sort_array(F.collect_set("day")).alias("days"))
+    services = cut(listed.select("message_id", "trip_id", F.transform("days", lambda d: F.struct(d.alias("day"), F.lit(1).alias("exception_type"))).alias("changes"), F.sha2(F.to_json(F.struct("days")), 256).alias("plan")))
+    plans = services.select("plan", "changes", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(None).cast("array<boolean>").alias("pattern")).dropDuplicates(["plan"])
+    names = calendars.calendar_names(services, plans, "trip_id")
+    _, dates = timetable.calendar_tables(names, plans, [])
+    live = trips.drop("service_id").join(services.select("message_id", "plan"), "message_id").join(names, "plan").withColumnRenamed("calendar_id", "service_id")
+    times = czptt_stop_times(messages, locations).join(live.select("message_id", "trip_id"), "message_id")
+    stops = czptt_stops(locations).withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double"))
+    agencies = czptt_agencies(locations, companies).withColumn("agency_url", F.lit(None).cast("string")).withColumn("agency_timezone", F.lit("Europe/Prague"))
+    agencies, stops = timetable.fill_required(agencies, timetable.add_coords(stops, coords) if coords is not None else stops)
+    span = messages.select("start", F.date_add("start", F.length("bitmap") - 1).alias("end"))
+    info = calendars.feed_info(span).select(F.lit("timetide").alias("feed_publisher_name"), F.lit(timetable.NO_URL).alias("feed_publisher_url"), F.lit("cs").alias("feed_lang"), F.col("start_date").alias("feed_start_date"), F.col("end_date").alias("feed_end_date"))
+    return {
+        "agency": agencies,
+        "stops": stops.withColumnRenamed("lat", "stop_lat").withColumnRenamed("lon", "stop_lon"),
+        "routes": routes.withColumn("agency_id", F.concat(F.lit("-CZPTTA-"), F.col("agency_id").cast("string"))),
+        "trips": live.select("route_id", "service_id", "trip_id", "trip_headsign"),
+        "stop_times": times.select("trip_id", F.col("arrival").alias("arrival_time"), F.col("departure").alias("departure_time"), "stop_id", "stop_sequence", "pickup_type", "drop_off_type"),
+        "calendar_dates": dates,
+        "feed_info": info,
+    }

@@ -14,6 +14,9 @@ from timetide.functions import text as T
 from timetide.operators import calendars
 
 TRIP = ["batch_id", "route_id", "dist", "trip_id"]
+#: Where a feed must name a page and none is known.
+NO_URL = "https://example.invalid"
+WEEK = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
 def require_all(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
@@ -87,7 +90,7 @@ def add_coords(stops: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 def fill_required(agencies: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return agencies.withColumn("agency_url", F.coalesce("agency_url", F.lit("jrutil://invalid"))), stops.fillna(0.0, ["lat", "lon"])
+    return agencies.withColumn("agency_url", F.coalesce("agency_url", F.lit(NO_URL))), stops.fillna(0.0, ["lat", "lon"])
 
 
 def drop_empty_trips(rows: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,37 +128,61 @@ def gtfs_routes(routes: DataFrame) -> DataFrame:
     return routes.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), T.agency_id(F.col("agency_id"), F.col("agency_dist")).alias("agency_id"), F.col("route_id").cast("string").alias("route_short_name"), F.col("name").alias("route_long_name"), T.route_type(F.col("mode"), F.col("kind")).alias("route_type"))
 
 
-def jdf_to_gtfs(t: dict[str, DataFrame], holidays: DataFrame, cis: bool = False, max_days: int = 1500) -> dict[str, DataFrame]:
-    """GTFS tables of all batches. Tables and columns as sources.jdf gives them."""
+def calendar_tables(names: DataFrame, plans: DataFrame, within: list[str]) -> tuple[DataFrame, DataFrame]:
+    """GTFS calendar and calendar_dates of named plans (calendars.service_calendar, calendars.calendar_names)."""
+    known = names.join(plans, "plan").withColumnRenamed("calendar_id", "service_id")
+    days = [F.element_at("pattern", i + 1).alias(d) for i, d in enumerate(WEEK)]
+    calendar = known.where("pattern is not null").select(*within, "service_id", *days, F.col("valid_from").alias("start_date"), F.col("valid_to").alias("end_date"))
+    dates = known.select(*within, "service_id", F.explode("changes").alias("c")).select(*within, "service_id", F.col("c.day").alias("date"), "c.exception_type")
+    return calendar, dates
+
+
+def jdf_to_gtfs(t: dict[str, DataFrame], holidays: DataFrame, cis: bool = False, coords: DataFrame | None = None) -> dict[str, DataFrame]:
+    """GTFS tables of all batches, ready for sources.gtfs.write_gtfs: a feed per batch_id.
+
+    Tables and columns as sources.jdf gives them. Trips that never run are left out; services with the
+    same days share one calendar; stops take coordinates by id from coords (id, lat, lon) where given.
+    one_feed() makes a single feed of all batches."""
     stops = resolve_attributes(t["stops"], t["attribute_refs"])
     trips = resolve_attributes(t["trips"], t["attribute_refs"])
     times = resolve_attributes(t["trip_stops"], t["attribute_refs"])
     routes = t["routes"].select("batch_id", "route_id", "dist", "valid_from", "valid_to")
     valid = require_all(trips, routes, ["batch_id", "route_id", "dist"], "route").withColumn("codes", F.col("attributes"))
-    days = calendars.service_days(valid, t["service_notes"], holidays, TRIP, max_days)
-    calendar, exceptions = calendars.compact_calendar(calendars.bounded_validity(valid, max_days), days, TRIP)
-    service = T.trip_gtfs_id(F.col("route_id"), F.col("dist"), F.col("trip_id"))
+    running, plans = calendars.service_calendar(valid, t["service_notes"], holidays, TRIP)
+    trip = T.trip_gtfs_id(F.col("route_id"), F.col("dist"), F.col("trip_id"))
+    names = calendars.calendar_names(running.withColumn("_service", trip), plans, "_service", ["batch_id"])
+    calendar, dates = calendar_tables(names, plans, ["batch_id"])
 
     zone = left_join_on(times, t["route_stops"].select("batch_id", "route_id", "dist", "route_stop_id", "zone"), ["batch_id", "route_id", "dist", "route_stop_id"])
     of_stop = stops.select("batch_id", "stop_id", F.col("attributes").alias("stop_attributes"))
     full = require_all(zone, of_stop, ["batch_id", "stop_id"], "stop").withColumn("trip_no", F.col("trip_id"))
-    full = drop_empty_trips(full, days, TRIP)
+    full = full.join(running.select(*TRIP), TRIP, "left_semi")
     timed = gtfs_stop_times(full, TRIP)
     pickup, dropoff = T.pickup_dropoff(F.array_union("attributes", "stop_attributes"))
     stop = F.when(F.col("post_id").isNull(), T.stop_gtfs_id(F.col("stop_id"), cis)).otherwise(T.stop_gtfs_id(F.col("stop_id"), cis, F.col("post_id")))
-    stop_times = timed.select("batch_id", service.alias("trip_id"), "arrival", "departure", stop.alias("stop_id"), "stop_sequence", pickup.alias("pickup_type"), dropoff.alias("drop_off_type"), F.col("zone").alias("stop_zone_ids"))
+    stop_times = timed.select("batch_id", trip.alias("trip_id"), F.col("arrival").alias("arrival_time"), F.col("departure").alias("departure_time"), stop.alias("stop_id"), "stop_sequence", pickup.alias("pickup_type"), dropoff.alias("drop_off_type"), F.col("zone").alias("stop_zone_ids"))
 
     heads = headsigns(full, TRIP).join(stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"])
     wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
-    running = drop_empty_trips(trips, days, TRIP).join(heads.drop("stop_id"), TRIP, "left")
-    gtfs_trips = running.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), service.alias("service_id"), service.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
-    agencies, gtfs = fill_required(gtfs_agencies(t["agencies"]), gtfs_stops(t["stops"], t["stop_posts"], t["stop_locations"], t["route_stops"], cis))
+    live = trips.join(running, TRIP).join(names, ["batch_id", "plan"]).join(heads.drop("stop_id"), TRIP, "left")
+    gtfs_trips = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
+    placed = gtfs_stops(t["stops"], t["stop_posts"], t["stop_locations"], t["route_stops"], cis)
+    agencies, placed = fill_required(gtfs_agencies(t["agencies"]), add_coords(placed, coords) if coords is not None else placed)
     return {
         "agency": agencies,
-        "stops": gtfs,
+        "stops": placed.withColumnRenamed("lat", "stop_lat").withColumnRenamed("lon", "stop_lon"),
         "routes": gtfs_routes(t["routes"]),
         "trips": gtfs_trips,
         "stop_times": stop_times,
-        "calendar": calendar.select("batch_id", service.alias("service_id"), "valid_from", "valid_to", "pattern"),
-        "calendar_dates": exceptions.select("batch_id", service.alias("service_id"), "day", "exception_type"),
+        "calendar": calendar,
+        "calendar_dates": dates,
     }
+
+
+def one_feed(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The feeds of all batches as one: ids are told apart by their batch ('<batch>:<id>'), and the column goes."""
+    out = {}
+    for table, df in feed.items():
+        ids = [c for c in ("agency_id", "stop_id", "parent_station", "route_id", "trip_id", "service_id") if c in df.columns]
+        out[table] = df.withColumns({c: F.concat(F.col("batch_id").cast("string"), F.lit(":"), F.col(c)) for c in ids}).drop("batch_id")
+    return out
