@@ -47,7 +47,7 @@ def _(s):
     return A.same_sequence_dates(s.stop_history, "T7", F.lit(first))
 
 
-@query("a4_route_summaries", """WITH latest AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY trip_start_date DESC, CAST(substring(trip_id, 2) AS INT)) AS rn FROM trip_details),
+@query("a4_route_summaries", """WITH latest AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY trip_start_date DESC, trip_id) AS rn FROM trip_details),
   named AS (SELECT h.*, coalesce(v.name, h.stop_id) AS name FROM stop_history h LEFT JOIN stop_versions v ON v.id = h.stop_id AND h.trip_start_date >= v.valid_from AND h.trip_start_date < v.valid_to),
   short AS (SELECT route_id, first(route_short_name ORDER BY trip_start_date DESC, route_short_name DESC) AS short FROM trip_details WHERE route_short_name IS NOT NULL GROUP BY 1),
   span AS (SELECT route_id, min(trip_start_date) AS first_date, max(trip_start_date) AS last_date FROM trip_details GROUP BY 1),
@@ -118,12 +118,20 @@ def _(s):
     return A.heatmap_points(A.chart_series(s.stop_history), 300, 120)
 
 
-@query("a14_heatmap")
+RASTER = f"""{CHART}, box AS (SELECT min(x) AS x0, max(x) AS x1, min(delay) AS y0, max(delay) AS y1 FROM series),
+  p AS (SELECT trip_id, trip_start_date, x, delay, CAST(x - x0 AS DOUBLE) / greatest(x1 - x0, 1) * 119 AS px, CAST(delay - y0 AS DOUBLE) / greatest(y1 - y0, 1) * 59 AS py FROM series, box),
+  q AS (SELECT *, coalesce(lead(px) OVER w, px) AS qx, coalesce(lead(py) OVER w, py) AS qy FROM p WINDOW w AS (PARTITION BY trip_id, trip_start_date ORDER BY x, delay)),
+  l AS (SELECT *, CAST(floor(2 * greatest(abs(qx - px), abs(qy - py))) AS INT) + 1 AS n FROM q), st AS (SELECT *, unnest(generate_series(0, n)) AS k FROM l),
+  drawn AS (SELECT DISTINCT trip_id, trip_start_date, CAST(round_even(px + (qx - px) * k / n, 0) AS INT) AS cx, CAST(round_even(py + (qy - py) * k / n, 0) AS INT) AS cy FROM st)"""
+CELLS = "SELECT cx, cy, count(*) AS runs, round(sin(CAST(count(*) AS DOUBLE) / max(count(*)) OVER () * pi() / 2), 6) AS alpha FROM drawn"
+
+
+@query("a14_heatmap", f"WITH {RASTER} {CELLS} GROUP BY 1, 2")
 def _(s):
     return A.heatmap(A.chart_series(s.stop_history)).withColumn("alpha", F.round("alpha", 6))
 
 
-@query("a14_heatmap_chosen")
+@query("a14_heatmap_chosen", f"WITH {RASTER} {CELLS} WHERE (trip_id, trip_start_date) IN (SELECT (trip_id, trip_start_date) FROM drawn WHERE cx = 30 AND cy = 30) GROUP BY 1, 2")
 def _(s):
     return A.heatmap(A.chart_series(s.stop_history), chosen=(30, 30)).withColumn("alpha", F.round("alpha", 6))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +72,8 @@ def delay_percentiles(named: DataFrame, points: tuple[float, ...] = (0.15, 0.5,
 
 
 def route_summaries(details: DataFrame, history: DataFrame, versions: DataFrame) -> DataFrame:
-    """Per route its latest run (then the smallest trip), first and last day, name, and the first and last stop of that run."""
-    latest = F.max_by(F.struct("trip_id", "trip_start_date"), F.struct("trip_start_date", F.expr("-1 * cast(substring(trip_id, 2) as int)"))).alias("run")
+    """Per route its latest run (of one day the smallest trip id as text), first and last day, name, and the first and last stop of that run."""
+    latest = F.min(F.struct((-F.unix_date("trip_start_date")).alias("back"), "trip_id", "trip_start_date")).alias("run")
     named_on = F.max_by("route_short_name", F.when(F.col("route_short_name").isNotNull(), F.struct("trip_start_date", "route_short_name")))
     per = details.groupBy("route_id").agg(latest, F.min("trip_start_date").alias("first_date"), F.max("trip_start_date").alias("last_date"), named_on.alias("short"))
     per = per.select("route_id", "run.trip_id", "run.trip_start_date", "first_date", "last_date", F.coalesce("short", "route_id").alias("name"))
@@ -175,37 +174,24 @@ def heatmap_points(series: DataFrame, x_bin: int, y_bin: int) -> DataFrame:
 def heatmap(series: DataFrame, x_res: int = 120, y_res: int = 60, chosen: tuple[int, int] | None = None) -> DataFrame:
     """cx, cy, runs, alpha: distinct runs whose line of delays passes a cell; with `chosen`, only runs that pass that cell.
 
-    The plane spans the least and greatest x and delay of the series. Lines are drawn run by run in a
-    vectorised helper; counting is by partial aggregation. alpha = sin(share of the fullest cell * pi / 2)."""
+    The plane spans the least and greatest x and delay of the series. A line goes from point to point in
+    even steps of half a cell at most; counting is by partial aggregation. alpha = sin(share of the
+    fullest cell * pi / 2)."""
     box = series.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("delay").alias("y0"), F.max("delay").alias("y1"))
-    runs = series.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("x", "delay"))).alias("p")).join(F.broadcast(box), F.lit(True))
-    runs = runs.select(*RUN, F.col("p.x").alias("xs"), F.col("p.delay").alias("ys"), "x0", "x1", "y0", "y1")
-
-    @F.pandas_udf("array<int>")
-    def cells(xs: pd.Series, ys: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for x, y, a, b, c, d in zip(xs, ys, x0, x1, y0, y1):
-            px = (np.asarray(x, dtype=float) - a) / max(b - a, 1) * (x_res - 1)
-            py = (np.asarray(y, dtype=float) - c) / max(d - c, 1) * (y_res - 1)
-            found = set()
-            for i in range(len(px)):
-                j = min(i + 1, len(px) - 1)
-                n = int(2 * max(abs(px[j] - px[i]), abs(py[j] - py[i]))) + 2
-                gx, gy = np.rint(np.linspace(px[i], px[j], n)).astype(int), np.rint(np.linspace(py[i], py[j], n)).astype(int)
-                found.update((gx * y_res + gy).tolist())
-            out.append(sorted(found))
-        return pd.Series(out)
-
-    drawn = runs.select(*RUN, F.explode(cells("xs", "ys", "x0", "x1", "y0", "y1")).alias("cell"))
+    scaled = lambda c, lo, hi, n: (F.col(c) - F.col(lo)).cast("double") / F.greatest(F.col(hi) - F.col(lo), F.lit(1)) * F.lit(n - 1)
+    points = series.join(F.broadcast(box), F.lit(True)).select(*RUN, "x", "delay", scaled("x", "x0", "x1", x_res).alias("px"), scaled("delay", "y0", "y1", y_res).alias("py"))
+    along = Window.partitionBy(*RUN).orderBy("x", "delay")
+    lines = points.withColumn("qx", F.coalesce(F.lead("px").over(along), "px")).withColumn("qy", F.coalesce(F.lead("py").over(along), "py"))
+    lines = lines.withColumn("n", F.floor(2 * F.greatest(F.abs(F.col("qx") - F.col("px")), F.abs(F.col("qy") - F.col("py")))).cast("int") + 1)
+    steps = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda p, q: F.rint(F.col(p) + (F.col(q) - F.col(p)) * F.col("k") / F.col("n")).cast("int")
+    drawn = steps.select(*RUN, at("px", "qx").alias("cx"), at("py", "qy").alias("cy")).distinct()
     if chosen is not None:
-        through = drawn.where(F.col("cell") == chosen[0] * y_res + chosen[1]).select(*RUN)
+        through = drawn.where((F.col("cx") == chosen[0]) & (F.col("cy") == chosen[1])).select(*RUN)
         drawn = drawn.join(through, RUN, "left_semi")
-    counted = drawn.groupBy("cell").agg(F.count("*").alias("runs"))
+    counted = drawn.groupBy("cx", "cy").agg(F.count("*").alias("runs"))
     most = counted.agg(F.max("runs").alias("most"))
-    cell = F.col("cell")
-    return counted.join(F.broadcast(most), F.lit(True)).select(F.floor(cell / y_res).cast("int").alias("cx"), (cell % y_res).alias("cy"), "runs", F.sin(F.col("runs") / F.col("most") * 3.141592653589793 / 2).alias("alpha"))
+    return counted.join(F.broadcast(most), F.lit(True)).select("cx", "cy", "runs", F.sin(F.col("runs") / F.col("most") * F.pi() / 2).alias("alpha"))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

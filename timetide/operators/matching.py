@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from timetide.functions.geo import group_radius
 from timetide.functions.text import name_tokens
 
-MAX_CANDIDATES = 10_000
 RADIUS = 1000.0
 
 
@@ -44,8 +43,8 @@ def exact_name_match(query_forms, target_forms):
     return (F.size(query_forms) == F.size(target_forms)) & F.forall(F.zip_with(query_forms, target_forms, lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
 
 
-def match_candidates(queries: DataFrame, targets: DataFrame, synonyms: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """query, target, score, exact: targets whose expanded tokens hold every token of the query, the `limit` best of each query."""
+def match_candidates(queries: DataFrame, targets: DataFrame, synonyms: DataFrame, limit: int | None = None) -> DataFrame:
+    """query, target, score, exact: targets whose expanded tokens hold every token of the query; with `limit`, the best so many of each query."""
     q = expanded_names(queries, synonyms).select(F.col("name").alias("query"), F.col("tokens").alias("q_tokens"), F.col("forms").alias("q_forms"), F.col("all_forms").alias("q_all"))
     t = expanded_names(targets, synonyms).select(F.col("name").alias("target"), F.col("forms").alias("t_forms"), F.col("all_forms").alias("t_all"))
     postings = t.select("target", "t_forms", "t_all", F.explode("t_all").alias("token"))
@@ -54,11 +53,13 @@ def match_candidates(queries: DataFrame, targets: DataFrame, synonyms: DataFrame
     rarest = each.groupBy("query").agg(F.min(F.struct("n", "token")).alias("r")).select("query", F.col("r.token").alias("token"))
     met = q.join(rarest, "query").join(postings, "token").where(F.forall("q_tokens", lambda x: F.array_contains("t_all", x)))
     scored = met.select("query", "target", name_similarity(F.col("t_forms"), F.col("q_all")).alias("score"), exact_name_match(F.col("q_forms"), F.col("t_forms")).alias("exact"))
+    if limit is None:
+        return scored
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "target")
     return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit).drop("_n")
 
 
-def match_stops_by_name(stops: DataFrame, targets: DataFrame, synonyms: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
+def match_stops_by_name(stops: DataFrame, targets: DataFrame, synonyms: DataFrame, limit: int | None = None) -> DataFrame:
     """stops (name, …) joined with the candidate targets (name as target, …) and score, exact."""
     found = match_candidates(stops, targets, synonyms, limit)
     right = targets.withColumnRenamed("name", "target")
