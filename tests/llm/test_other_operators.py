@@ -54,13 +54,20 @@ def test_fingerprints(spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
 
 
-def test_fingerprint_edges(odd, empty):
-    out = {r["doc_id"]: r for r in fingerprints.with_edited_and_next(odd).collect()}
-    assert sorted(out) == [1, 2, 3, 4, 5, 6, 7, 8]
+def test_fingerprint_edges(spark, odd, empty):
+    got = fingerprints.with_edited_and_next(odd).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4, 4, 5, 6, 7, 8]
+    out = {r["doc_id"]: r for r in got}
     assert out[1]["fingerprint"] == out[2]["fingerprint"] == out[7]["fingerprint"] == ""
     assert out[1]["near_next"] == 1.0 and out[2]["near_next"] == 0.0 and out[3]["near_next"] == 1.0 and out[3]["fingerprint"] == out[4]["fingerprint"]
     assert out[5]["near_next"] > 0.9
     assert fingerprints.with_edited_and_next(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0
+    # an id shared by different texts, and rows without an id: all have their own fingerprints
+    texts = [(5, "one two three"), (5, "four five six seven"), (5, "four five six seven"), (None, "eight"), (None, "nine ten")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    both = [(r["doc_id"], r["n_chars"], r["fingerprint"]) for r in fingerprints.with_edited_and_next(rows).collect()]
+    assert sorted((str(i), n) for i, n, _ in both) == sorted((str(i), len(t)) for i, t in texts) and len(set(both)) == 4
+    assert sorted(map(str, fingerprints.fingerprints(rows).collect())) == sorted(f"Row(doc_id={i}, fingerprint='{f}')" for i, _, f in both)
 
 
 def brute_links(rows, threshold=0.9):
@@ -138,7 +145,7 @@ def test_warc_texts_order_and_edges(spark):
     same = "x" * 120
     rows = [(5, "http://b.example.org/2", same), (2, "https://www.b.example.org:80/1?q#f", same), (9, None, same), (None, "u", same), (7, "http://a.example.org", "short"), (8, "http://a.example.org/", "short"), (3, "http://é.cz/\r\nx", None), (2, "https://www.b.example.org:80/1?q#f", same)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("x")).withColumn("file", F.lit(1)).repartition(3)
-    index, records, _ = warc.archive(df, file_bytes=200, partitions=4)
+    index, records, _ = warc.archive(df, file_bytes=200, range_rows=2)
     got = {r["page_id"]: r for r in records.collect()}
     assert len(records.collect()) == 8
     assert got[5]["refers_to"] == got[9]["refers_to"] == got[None]["refers_to"] == 2 and got[2]["record_type"] == "response" and got[2]["html"] == same
@@ -148,6 +155,36 @@ def test_warc_texts_order_and_edges(spark):
     assert warc.archive(df.limit(0))[1].count() == 0
 
 
+def test_embedding_sizes_beyond_squares(spark):
+    """Cosines do not depend on the length of the vectors, however long or short."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [1e-200, 0.0]), (5, [3.0, 0.0]), (6, [1.0, 1.0]), (7, [5e-324, 0.0]), (8, [1.7e308, -1.7e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (3, 3), 4: (3, 3), 5: (3, 3), 7: (3, 3), 8: (0, 8)}
+
+
+def test_warc_capture_times_and_read_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    rows = [(i, "http://a.example.org/", f"{i} " + hashlib.sha256(str(i).encode()).hexdigest() * 3, None if i == 7 else f"2020-01-{1 + (60 - i) % 28:02d} 00:00:{i:02d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string").withColumn("captured_at", F.col("captured_at").cast("timestamp")).repartition(5)
+    index, records, _ = warc.archive(df, range_rows=10)
+    assert records.rdd.getNumPartitions() > 4  # one URL, a few files: the readers share them
+    assert {(r["page_id"], r["html"]) for r in records.collect()} == {(r[0], r[2]) for r in rows}
+    times = [(r["captured_at"], r["page_id"]) for r in index.orderBy("part", "place").collect()]
+    assert times == sorted((f"{t[:10]}T{t[11:]}Z" if t else "2024-01-01T00:00:07Z", i) for i, _, _, t in rows)
+    assert index.select("part").distinct().count() > 3
+
+
+def test_warc_reading_checks_payloads(spark, tmp_path):
+    record = warc.record_bytes(1, "u", "2024-01-01T00:00:00Z", b"payload", hashlib.sha256(b"another").hexdigest(), "response", None)
+    import gzip
+
+    data = gzip.compress(record)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    index = spark.createDataFrame([("x.warc.gz", 0, len(data))], "file string, offset long, length long")
+    with pytest.raises(Exception, match="not the one of the record"):
+        warc.read_archives(index, str(tmp_path)).collect()
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(0, 9):

@@ -242,6 +242,8 @@ def test_language_accuracy_and_rejection(spark, odd, empty):
     out = {r["doc_id"]: r for r in langid.identify(odd, langid.fit(odd)).collect()}
     assert out[1]["lang_pred"] == out[2]["lang_pred"] == out[7]["lang_pred"] == "und" and out[3]["lang_pred"] in ("en", "fr", "de")
     assert langid.identify(empty, langid.fit(empty)).count() == 0
+    lone = langid.identify(odd.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")), langid.fit(odd)).collect()
+    assert [r["held_out"] for r in lone] == [False]
     assert langid.keep_identified(odd, langid.fit(odd)).columns == odd.columns
 
 

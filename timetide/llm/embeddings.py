@@ -81,9 +81,14 @@ class PivotIndex:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, vector (array<double>) and a class key; vector is null where it cannot link."""
     v = F.col("embedding").cast("array<double>")
-    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
-    clean = F.transform(v, lambda x: x + F.lit(0.0))
+    # scaled by a power of two, which leaves the cosines as they are, so that no square of a component is too large or too small
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (top > 0), F.lit(False))
+    power = F.floor(F.log2(top)).cast("double")
+    scale = F.when(F.abs(power) < 300, 0.0).otherwise(-power)
+    half = F.pow(F.lit(2.0), scale / 2 - F.pmod(scale, F.lit(2.0)) / 2)
+    rest = F.pow(F.lit(2.0), scale / 2 + F.pmod(scale, F.lit(2.0)) / 2)
+    clean = F.transform(v, lambda x: x * half * rest + F.lit(0.0))
     out = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.when(fine, clean).alias("vector"))
     return out.withColumn("key", F.when(F.col("vector").isNotNull(), F.sha2(F.to_json(F.struct("vector")), 256)))
 

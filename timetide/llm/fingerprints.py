@@ -9,13 +9,16 @@ sample. Two documents agree in a sample with the probability of their generalise
 All of it is DataFrame code inside generated loops: a gamma variate is minus the logarithm of a product
 of two uniform numbers cut from a 64-bit hash, and the smallest a is a plain minimum of longs that hold
 ln a in fixed point above 32 bits naming (word, t).
-Texts are dealt once by doc_id; counting and sampling then need no further shuffle, a third of all
+Texts are dealt once by document; counting and sampling then need no further shuffle, a third of all
 rows sharing words or texts makes no hot key.
 
+A document is a distinct (doc_id, text). Documents are in order of doc_id, those sharing an id in order
+of a hash of their text, those without an id first; after the last comes the first, and a lone document
+is its own next one.
+
 Edge cases: null text counts as empty; a text without words has the empty string as its fingerprint,
-alike (1.0) with another empty one and unlike (0.0) any other; rows without doc_id are dropped; of
-rows sharing an id the shortest text (then the smallest) counts, once. After the last document comes the first; a lone
-document is its own next one.
+alike (1.0) with another empty one and unlike (0.0) any other; every row has a result row, repeated rows
+the same one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from timetide.llm.common import GAP, saved, text_or_empty
 
 SAMPLES = 32
+#: What tells documents apart and orders them: the id (the least number where it is missing) and a hash of the text.
+KEY = ["_id", "_text"]
 SEED = 4
 _RANGE_ROWS = 100_000
 
@@ -54,17 +59,17 @@ def _sample(term: Column, seed: int, log_weight: Column) -> Column:
 
 
 def sampled(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> DataFrame:
-    """doc_id and, for each text column, an array of `samples` ints (null without words), one row per document with words.
+    """KEY and, for each text column, an array of `samples` ints (null without words), one row per document with words.
 
-    No shuffle happens where texts is partitioned by doc_id."""
-    sides = texts.select("doc_id", F.posexplode(F.array(*columns)).alias("side", "t"))
-    words = sides.select("doc_id", "side", F.explode(F.split(F.lower("t"), GAP)).alias("word")).where("word <> ''")
-    counts = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(*[F.sum(F.when(F.col("side") == i, 1.0)).alias(f"w{i}") for i in range(len(columns))])
-    logs = counts.select("doc_id", "term", *[F.log(f"w{i}").alias(f"w{i}") for i in range(len(columns))])
+    No shuffle happens where texts is partitioned by KEY."""
+    sides = texts.select(*KEY, F.posexplode(F.array(*columns)).alias("side", "t"))
+    words = sides.select(*KEY, "side", F.explode(F.split(F.lower("t"), GAP)).alias("word")).where("word <> ''")
+    counts = words.groupBy(*KEY, F.xxhash64("word").alias("term")).agg(*[F.sum(F.when(F.col("side") == i, 1.0)).alias(f"w{i}") for i in range(len(columns))])
+    logs = counts.select(*KEY, "term", *[F.log(f"w{i}").alias(f"w{i}") for i in range(len(columns))])
     least = [F.min(_sample(F.col("term"), SEED * 1000 + k, F.col(f"w{i}"))).alias(f"m{i}_{k}") for i in range(len(columns)) for k in range(samples)]
-    best = logs.groupBy("doc_id").agg(*least)
+    best = logs.groupBy(*KEY).agg(*least)
     arrays = [F.when(F.col(f"m{i}_0").isNotNull(), F.array(*[F.col(f"m{i}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)])).alias(c) for i, c in enumerate(columns)]
-    return best.select("doc_id", *arrays)
+    return best.select(*KEY, *arrays)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,27 +82,40 @@ def as_text(samples: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
 
 
-def one_text_per_id(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("m")).select("doc_id", F.col("m.text").alias("text"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """KEY, doc_id, text of every row."""
+    id_ = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(id_, F.lit(-(2**63))).alias("_id"), F.xxhash64(text_or_empty()).alias("_text"), id_.alias("doc_id"), text_or_empty().alias("text"))
+
+
+def documents_once(docs: DataFrame) -> DataFrame:
+    """KEY, doc_id, text, times of each document."""
+    return keyed(docs).groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count("*").alias("times"))
+
+
+def as_often(rows: DataFrame) -> DataFrame:
+    """Each row `times` times."""
+    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, fingerprint."""
-    base = one_text_per_id(docs)
-    return base.select("doc_id").join(sampled(base, ["text"], samples), "doc_id", "left").select("doc_id", as_text(F.col("text")).alias("fingerprint"))
+    base = documents_once(docs)
+    found = base.select(*KEY, "doc_id", "times").join(sampled(base, ["text"], samples), KEY, "left")
+    return as_often(found.select("doc_id", as_text(F.col("text")).alias("fingerprint"), "times"))
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """ids with next_id: the next doc_id in ascending order, after the last the first.
+    """ids (KEY, …) with `next`: the KEY of the next document, after the last that of the first.
 
     Ids are dealt in ranges; only the first id of each range is compared over all ranges."""
     parts = max(1, math.ceil(ids.count() / _RANGE_ROWS))
-    ranged = saved(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
-    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"))
+    ranged = saved(ids.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()), "ranges")
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(*KEY)).alias("first"))
     wrapped = F.min("first").over(Window.partitionBy())
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), wrapped).alias("first"))
-    inner = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return ranged.withColumn("n", inner).join(firsts, "part").withColumn("next_id", F.coalesce("n", "first")).drop("n", "part", "first")
+    inner = F.lead(F.struct(*KEY)).over(Window.partitionBy("part").orderBy(*KEY))
+    return ranged.withColumn("n", inner).join(firsts, "part").withColumn("next", F.coalesce("n", "first")).drop("n", "part", "first")
 
 
 def with_edited_and_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -106,18 +124,18 @@ def with_edited_and_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by as many (or
     all) from the start of the next document. Whole texts are shuffled once; only the part that the
     document before needs goes on a second time."""
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.length(text_or_empty()).cast("long").alias("n")).groupBy("doc_id").agg(F.min("n").alias("n_chars"))
+    ids = keyed(docs).select(*KEY, F.length("text").cast("long").alias("n")).groupBy(*KEY).agg(F.min("n").alias("n_chars"))
     order = saved(followers(saved(ids, "ids")), "order")
-    base = one_text_per_id(docs)
-    needs = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("q"))
-    heads = base.join(needs, "doc_id").select(F.col("to").alias("doc_id"), F.expr("substring(text, 1, q)").alias("head"))
+    base = documents_once(docs)
+    needs = order.select(*[F.col(f"next.{c}").alias(c) for c in KEY], F.struct(*KEY).alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("q"))
+    heads = base.join(needs, KEY).select(*[F.col(f"to.{c}").alias(c) for c in KEY], F.expr("substring(text, 1, q)").alias("head"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    both = base.join(heads, "doc_id").select("doc_id", "text", edited.alias("edited"))
+    both = base.join(heads, KEY).select(*KEY, "doc_id", "times", "text", edited.alias("edited"))
     signs = sampled(both, ["text", "edited"], samples)
-    facts = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    own = facts.join(signs, "doc_id", "left").join(order.select("doc_id", "next_id"), "doc_id")
-    own = saved(own, "fingerprints")
-    after = own.select(F.col("doc_id").alias("next_id"), F.col("text").alias("after"))
-    out = own.join(after, "next_id")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("text")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("text"), F.col("after")).alias("near_next"))
+    facts = both.select(*KEY, "doc_id", "times", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    own = saved(facts.join(signs, KEY, "left"), "fingerprints")
+    after = order.select(*KEY, F.col("next._id").alias("_next_id"), F.col("next._text").alias("_next_text"))
+    following = own.select(F.col("_id").alias("_next_id"), F.col("_text").alias("_next_text"), F.col("text").alias("after"))
+    out = own.join(after, KEY).join(following, ["_next_id", "_next_text"])
+    return as_often(out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("text")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("text"), F.col("after")).alias("near_next"), "times"))

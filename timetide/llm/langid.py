@@ -144,7 +144,7 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: one row per row of docs."""
-    p = docs.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), predicted(model, F.col("text")).alias("p"))
+    p = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), predicted(model, F.col("text")).alias("p"))
     return p.select("doc_id", "held_out", "p.*")
 
 

@@ -10,7 +10,10 @@ Of records with equal payloads of at least `min_bytes` the one with the smallest
 response; the others are revisit records that name it and hold no payload, but its digest and length.
 A file of a lost or repeated attempt is not in the index and never read.
 
-Edge cases: null html is an empty payload; a null url is written as an empty target with key ''; a
+Reading back checks each response's payload against the digest of its record; a difference is an error.
+captured_at is the pages' own time where they have such a column, else a fixed day plus page_id seconds.
+
+Edge cases: null html is an empty payload; a null captured_at counts as one that is not there; a null url is written as an empty target with key ''; a
 null page_id stays null and is never the one referred to; repeated rows are captures of their own
 (equal ids: both responses).
 """
@@ -18,6 +21,8 @@ null page_id stays null and is never the one referred to; repeated rows are capt
 from __future__ import annotations
 
 import gzip
+import hashlib
+import math
 import re
 import uuid
 
@@ -29,6 +34,8 @@ from timetide.llm.common import new_path, saved
 
 MIN_BYTES = 100
 FILE_BYTES = 16 << 20
+#: Captures that a range of the merge holds, and bytes of archives that a task reads back.
+RANGE_ROWS, READ_BYTES = 100_000, 16 << 20
 CRLF = b"\r\n"
 INDEX = "url_key string, captured_at string, page_id long, run string, file string, offset long, length long"
 
@@ -43,14 +50,18 @@ def url_key(url: Column) -> Column:
 
 
 def with_record_types(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload, payload_digest, record_type, refers_to."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
+    """page_id, url, captured_at (as WARC-Date), payload, payload_digest, record_type, refers_to."""
+    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)))
+    if "captured_at" in pages.columns:
+        stamp = F.coalesce(F.col("captured_at").try_cast("timestamp"), stamp)
+    when = F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), when, F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     same = same.where("n > 1").select(F.col("payload_digest").alias("_d"), "first")
     joined = rows.join(same, rows["payload_digest"] == same["_d"], "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "captured_at", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def _file_system(path: str):
@@ -83,7 +94,7 @@ def parse_record(data: bytes) -> dict:
 
 
 def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write records (see with_record_types, and captured_at, url_key) and return their INDEX rows, a sorted run per task."""
+    """Write records (see with_record_types, and url_key) and return their INDEX rows, a sorted run per task."""
 
     def run(batches):
         system, path = _file_system(folder)
@@ -149,9 +160,13 @@ class LoserTree:
             self.winner = at
 
 
-def merge_index(index: DataFrame, partitions: int) -> DataFrame:
-    """INDEX rows in global order: ascending over the partitions and inside each, with `part` and `place`."""
-    ranged = index.repartitionByRange(partitions, "url_key", "captured_at", "page_id").withColumn("part", F.spark_partition_id())
+def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """INDEX rows in global order: ascending over the partitions and inside each, with `part` and `place`.
+
+    Ranges are made for their number of rows, whatever the size of the index; no two captures are equal in
+    what they are ranged by, so that the captures of one URL are split too."""
+    partitions = max(1, math.ceil(index.count() / range_rows))
+    ranged = index.repartitionByRange(partitions, "url_key", "captured_at", "page_id", "run", "file", "offset").withColumn("part", F.spark_partition_id())
 
     def merge(batches):
         runs: dict[str, list] = {}
@@ -169,7 +184,11 @@ def merge_index(index: DataFrame, partitions: int) -> DataFrame:
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """The records of the index, read along each file: page_id, url, record_type, payload_digest, payload_bytes, refers_to, html."""
+    """The records of the index, read along each file: page_id, url, record_type, payload_digest, payload_bytes, refers_to, html.
+
+    Tasks read READ_BYTES each, or less where that would leave cores without work; large files are shared."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(size / READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism * 2, math.ceil(size / (256 << 10))))
 
     def run(batches):
         system, path = _file_system(folder)
@@ -183,24 +202,23 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     name, source = r.file, system.open_input_file(f"{path}/{r.file}")
                 f = parse_record(gzip.decompress(source.read_at(r.length, r.offset)))
                 number = lambda k: None if f.get(k, "<urn:page:None>") == "<urn:page:None>" else int(f[k][10:-1])  # noqa: B023,E731
-                html = f["payload"].decode() if f["warc-type"] == "response" else None
-                out.append((number("warc-record-id"), f["warc-target-uri"], f["warc-type"], f["warc-payload-digest"].removeprefix("sha256:"), f["http-length"], number("warc-refers-to"), html))
+                html, digest = None, f["warc-payload-digest"].removeprefix("sha256:")
+                if f["warc-type"] == "response":
+                    html, found = f["payload"].decode(), hashlib.sha256(f["payload"]).hexdigest()
+                    if found != digest or len(f["payload"]) != f["http-length"]:
+                        raise ValueError(f"{r.file} at {r.offset}: the payload is not the one of the record's digest and length")
+                out.append((number("warc-record-id"), f["warc-target-uri"], f["warc-type"], digest, f["http-length"], number("warc-refers-to"), html))
             made = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "html"])
             yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, html string"
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInPandas(run, schema)
-
+    return index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(run, schema)
 
-def archive(pages: DataFrame, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, partitions: int | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """Write the archives of pages; returns (merged index, written table; records read back; folder).
 
-    captured_at is the pages' own column where they have one, else a fixed day plus page_id seconds."""
-    spark = pages.sparkSession
-    folder = new_path(spark, "warc")
-    records = with_record_types(pages, min_bytes)
-    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(86_400)))
-    records = records.withColumn("captured_at", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("url_key", url_key(F.col("url")))
+def archive(pages: DataFrame, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame, str]:
+    """Write the archives of pages; returns (merged index, written table; records read back; folder)."""
+    folder = new_path(pages.sparkSession, "warc")
+    records = with_record_types(pages, min_bytes).withColumn("url_key", url_key(F.col("url")))
     index = saved(write_archives(records, folder, file_bytes), "runs")
-    merged = saved(merge_index(index, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))), "index")
+    merged = saved(merge_index(index, range_rows), "index")
     return merged, read_archives(merged, folder), folder
