@@ -156,3 +156,65 @@ def test_dimensions(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"features":[{"properties":{"name":"A","region":"PH"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}}]}')
     p = realtime.read_polygons(spark, str(tmp_path / "p.json")).first()
     assert p["name"] == "A" and len(p["ring"]) == 4
+
+
+def test_polygons_with_holes_and_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from timetide.functions.geo import towns_of_points
+
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    features = [
+        {"properties": {"name": "around", "region": "R"}, "geometry": {"type": "Polygon", "coordinates": [square(0, 10), square(4, 6)]}},
+        {"properties": {"name": "enclave", "region": "R"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(4, 6)], [square(20, 21)]]}},
+    ]
+    import json
+
+    (tmp_path / "p.json").write_text(json.dumps({"features": features}))
+    polygons = realtime.read_polygons(spark, str(tmp_path / "p.json"))
+    points = spark.createDataFrame([(1, 5.0, 5.1), (2, 1.0, 1.5), (3, 20.5, 20.4), (4, 15.0, 15.5), (5, 7.0, 5.1)], "id int, x double, y double")
+    got = {r["id"]: r["name"] for r in towns_of_points(points, polygons, ["id"], 1.0).select("id", F.col("name")).collect()}
+    assert got == {1: "enclave", 2: "around", 3: "enclave", 4: None, 5: "around"}
+
+
+def test_jdf_large_file_in_parts(spark, batches, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdf, "PART_LINES", 1)
+    t = jdf.read_jdf(spark, str(batches / "one"))
+    jdf.write_jdf(t, str(tmp_path / "out")).collect()
+    again = jdf.read_jdf(spark, str(tmp_path / "out"))
+    for name in ("stops", "trip_stops", "attribute_refs"):
+        assert sorted(map(repr, t[name].drop("batch_id").collect())) == sorted(map(repr, again[name].drop("batch_id").collect())), name
+
+
+def test_merge_of_whole_batches(spark, tmp_path):
+    """Two batches of one line: a later plain version cuts the earlier one; stops, agencies and attributes meet."""
+    from pyspark.sql import functions as F
+
+    from timetide.operators.merging import merge_jdf
+
+    for n, (first, last, created, extra) in enumerate((("01012024", "31122024", "01122023", "Olomouc"), ("01062024", "31122024", "01052024", "Zlín"))):
+        folder = tmp_path / "in" / f"b{n}"
+        folder.mkdir(parents=True)
+        put = lambda name, text: (folder / name).write_bytes(text.encode("cp1250"))  # noqa: B023,E731
+        put("verzejdf.txt", record("1.11", "", "", "", created, "x"))
+        put("zastavky.txt", record("1", "Brno", "", "", "", "CZ", str(n + 5), *[""] * 5) + record("2", extra, "", "", "", "CZ", *[""] * 6))
+        put("dopravci.txt", record("11", "", "Dopravce", *[""] * 9, "1"))
+        put("linky.txt", record("100001", f"Linka {n}", "11", "A", "A", *["0"] * 4, "", "", "", "", first, last, "1", "1"))
+        put("spoje.txt", record("100001", "1", str(n + 5), *[""] * 9, "7", "1"))
+        put("spojskup.txt", record("7", "", ""))
+        put("zasspoje.txt", record("100001", "1", "1", "1", "", "", "", "", "0", "", "0615", "", "", "1") + record("100001", "1", "2", "2", "", "", "", "", "9", "0630", "", "", "", "1"))
+        put("pevnykod.txt", record(str(n + 5), "X", ""))
+        put("polzast.txt", record("1", "49.2", "16.6", "S"))
+    t = jdf.read_jdf(spark, str(tmp_path / "in"))
+    merged = merge_jdf(t, F.lit(D(2024, 6, 2)))
+    assert merged.pop("location_warnings").count() == 0
+    jdf.write_jdf(merged, str(tmp_path / "out")).collect()
+    back = jdf.read_jdf(spark, str(tmp_path / "out"))
+    rows = lambda n, *c: sorted(tuple(r) for r in back[n].select(*c).collect())
+    assert rows("version", "version", "created") == [("1.11", D(2024, 6, 2))]
+    assert rows("stops", "stop_id", "town", "attributes") == [(1, "Brno", [1]), (2, "Olomouc", []), (3, "Zlín", [])]
+    assert rows("routes", "dist", "valid_from", "valid_to", "agency_dist") == [(1, D(2024, 1, 1), D(2024, 5, 31), 1), (2, D(2024, 6, 1), D(2024, 12, 31), 1)]
+    assert rows("trip_stops", "dist", "route_stop_id", "stop_id") == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 3)]
+    assert rows("trips", "dist", "group_id", "attributes") == [(1, 1, [1]), (2, 2, [1])]
+    assert rows("trip_groups", "group_id") == [(1,), (2,)] and len(rows("agencies", "agency_id")) == 1
+    assert [(r[0], round(float(r[1]), 4), round(float(r[2]), 4)) for r in back["stop_locations"].select("stop_id", "lat", "lon").collect()] == [(1, 49.2, 16.6)]

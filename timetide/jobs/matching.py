@@ -138,11 +138,11 @@ def _(s):
     return R.urban_naming_batches(rows)
 
 
-PATTERNS = """tp AS (SELECT trip % 9 AS line, trip, route_stop_id AS pos, stop_id, metres FROM trip_stops WHERE part % 5 > 0), pr AS (SELECT line, trip, string_agg(pos || ':' || metres, ',' ORDER BY pos, metres, stop_id) AS p FROM tp GROUP BY 1, 2), pk AS (SELECT line, min(trip) AS pattern FROM pr GROUP BY line, p)"""
+PATTERNS = """tp AS (SELECT trip % 9 AS line, trip, route_stop_id AS pos, stop_id, metres FROM trip_stops), pr AS (SELECT line, trip, string_agg(pos || ':' || metres, ',' ORDER BY pos, metres, stop_id) AS p FROM tp GROUP BY 1, 2), pk AS (SELECT line, min(trip) AS pattern FROM pr GROUP BY line, p)"""
 
 
 def line_stops(s):
-    return s.trip_stops.where("part % 5 > 0").select((C("trip") % 9).alias("line"), "trip", C("route_stop_id").alias("pos"), "stop_id", "metres")
+    return s.trip_stops.select((C("trip") % 9).alias("line"), "trip", C("route_stop_id").alias("pos"), "stop_id", "metres")
 
 
 @query("x9_trip_patterns", f"WITH {PATTERNS} SELECT pk.line, pattern, pos, stop_id, metres FROM pk JOIN tp ON tp.line = pk.line AND tp.trip = pattern")
@@ -297,14 +297,31 @@ def _(s):
     return stops.select("p_partkey").join(M.conflicting_town(stops, away, ["p_partkey"]), "p_partkey", "left_anti")
 
 
-@query("x15_fix_jdf")
-def _(s):
+def repaired(s):
     none = F.lit(None).cast("string")
     stops = s.batches.select("batch_id", "stop_id", "town", "district", "place", none.alias("region"), none.alias("country"))
-    rows = s.items.select((C("l_suppkey") % 5).cast("int").alias("batch_id"), C("l_orderkey").alias("trip"), C("l_linenumber").alias("pos"), C("l_partkey").cast("int").alias("stop_id"), (C("l_linenumber") * 3500).alias("metres"))
-    known = s.batches.where("size % 2 = 0").select(T.matching_name(C("town"), C("district"), C("place")).alias("name"), C("size") * 100.0, (C("size") * 50.0).alias("y"), F.lit("PH").alias("t_region"), F.lit("CZ").alias("t_country"), F.lit("S").alias("precision")).toDF("name", "x", "y", "t_region", "t_country", "precision").distinct()
-    towns = s.spark.createDataFrame([], "name string, region string, x double, y double")
-    foreign = s.spark.createDataFrame([], "name string, country string, x double, y double")
-    route_towns = s.spark.createDataFrame([], "batch_id int, town string")
-    out = R.fix_jdf(stops, rows, known, towns, foreign, route_towns, synonyms(s))
-    return out.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
+    rows = s.items.select((C("l_suppkey") % 5).cast("int").alias("batch_id"), C("l_orderkey").alias("trip"), (C("l_orderkey") % 2 + 1).alias("direction"), C("l_linenumber").alias("pos"), C("l_partkey").cast("int").alias("stop_id"), (C("l_linenumber") * 3500).alias("metres"), F.lit("time").alias("dep_kind"), F.lit(None).cast("int").alias("arr_sec"))
+    name = T.matching_name(C("town"), C("district"), C("place")).alias("name")
+    known = s.batches.where("size > 25").select(name, (C("size") * 100.0).alias("x"), (C("size") * 50.0).alias("y"), F.lit("PH").alias("t_region"), F.lit("CZ").alias("t_country"), F.lit("S").alias("precision")).distinct()
+    towns = s.batches.where("size between 11 and 20").groupBy(C("town").alias("name")).agg(F.lit("JM").alias("region"), F.min(C("size") * 100.0).alias("x"), F.min(C("size") * 50.0).alias("y"))
+    foreign = s.nation.select(C("n_name").alias("name"), F.lit("DE").alias("country"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    routes = s.batches.groupBy("batch_id").agg(F.concat(F.lit("MHD "), F.min("town"), F.lit(" linka 1")).alias("name"))
+    return R.fix_jdf(stops, rows, routes, known, towns, foreign, synonyms(s))
+
+
+@query("x15_fix_jdf")
+def _(s):
+    out = repaired(s)
+    return out["stops"].join(out["locations"], ["batch_id", "stop_id"], "left").withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+@query("x15_fix_jdf_primary", """WITH n AS (SELECT batch_id, stop_id, town || ',' || district || ',' || coalesce(place, '') AS name, town, size FROM batches), k AS (SELECT DISTINCT name, size * 100.0 AS x, size * 50.0 AS y FROM n WHERE size > 25),
+  r AS (SELECT name, max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS radius FROM (SELECT *, avg(x) OVER (PARTITION BY name) AS cx, avg(y) OVER (PARTITION BY name) AS cy FROM k) z GROUP BY 1)
+  SELECT batch_id, stop_id, 'PH' AS region FROM n JOIN r USING (name) WHERE radius < 1000""")
+def _(s):
+    """Stops whose name's targets lie together: all of them are placed and take the targets' region."""
+    out = repaired(s)
+    known = s.batches.where("size > 25").select(T.matching_name(C("town"), C("district"), C("place")).alias("name"), (C("size") * 100.0).alias("x"), (C("size") * 50.0).alias("y")).distinct()
+    own = G.group_radius(known, ["name"]).where("radius < 1000").select("name")
+    placed = out["stops"].join(out["locations"], ["batch_id", "stop_id"], "left_semi")
+    return placed.withColumn("name", T.matching_name(C("town"), C("district"), C("place"))).join(own, "name", "left_semi").select("batch_id", "stop_id", "region")

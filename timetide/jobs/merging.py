@@ -36,9 +36,9 @@ def _(s):
     return M.merge_stops(stops(s), by="id")[0].select("new_id", "batch_id")
 
 
-@query("m1_merge_attribute_refs", "WITH r AS (SELECT DISTINCT batch_id, size % 9 AS attribute_id, 'c' || size % 4 AS code FROM batches WHERE size % 9 <> 4), f AS (SELECT code, min((batch_id, attribute_id)) AS fst FROM r GROUP BY 1), n AS (SELECT code, row_number() OVER (ORDER BY fst) AS new_id FROM f) SELECT DISTINCT batch_id, attribute_id, new_id FROM r JOIN n USING (code)")
+@query("m1_merge_attribute_refs", "WITH r AS (SELECT DISTINCT batch_id, size % 9 AS attribute_id, 'c' || size % 4 AS code FROM batches), f AS (SELECT code, min((batch_id, attribute_id)) AS fst FROM r GROUP BY 1), n AS (SELECT code, row_number() OVER (ORDER BY fst) AS new_id FROM f) SELECT DISTINCT batch_id, attribute_id, new_id FROM r JOIN n USING (code)")
 def _(s):
-    refs = s.batches.where("size % 9 <> 4").select("batch_id", (C("size") % 9).alias("attribute_id"), F.concat(F.lit("c"), (C("size") % 4).cast("string")).alias("code"), F.lit(None).cast("string").alias("reserved")).distinct()
+    refs = s.batches.select("batch_id", (C("size") % 9).alias("attribute_id"), F.concat(F.lit("c"), (C("size") % 4).cast("string")).alias("code"), F.lit(None).cast("string").alias("reserved")).distinct()
     return M.merge_attribute_refs(refs)[1]
 
 
@@ -94,9 +94,9 @@ def _(s):
     return M.rekey(facts, mapping(s), ["batch_id", "stop_id"], "new_id", "stop_id").select("l_orderkey", "l_linenumber", "stop_id")
 
 
-@query("m7_merge_trip_groups", "SELECT batch_id, stop_id AS group_id, row_number() OVER (ORDER BY batch_id, stop_id) AS new_id FROM batches WHERE stop_id % 7 = 0")
+@query("m7_merge_trip_groups", "SELECT batch_id, stop_id AS group_id, row_number() OVER (ORDER BY batch_id, stop_id) AS new_id FROM batches")
 def _(s):
-    return M.merge_trip_groups(s.batches.where("stop_id % 7 = 0").select("batch_id", C("stop_id").alias("group_id")))
+    return M.merge_trip_groups(s.batches.select("batch_id", C("stop_id").alias("group_id")))
 
 
 @query("m8_resolve_route_overlaps")

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timetide.functions.lineage import numbered
+from timetide.functions.geo import project, unproject
+from timetide.functions.lineage import cut, numbered
 
 
 def merge_dimension(rows: DataFrame, identity: list[str], own: str, order: str = "batch_id") -> tuple[DataFrame, DataFrame]:
@@ -175,9 +176,91 @@ def resolve_route_overlaps(routes: DataFrame) -> DataFrame:
         out.insert(0, "route_id", pdf["route_id"].iloc[0])
         return out
 
-    return routes.groupBy("route_id").applyInPandas(resolve, "route_id int, source_dist int, dist int, valid_from date, valid_to date")
+    kind = routes.schema["route_id"].dataType.simpleString()
+    return routes.groupBy("route_id").applyInPandas(resolve, f"route_id {kind}, source_dist int, dist int, valid_from date, valid_to date")
 
 
 def follow_routes(facts: DataFrame, pieces: DataFrame) -> DataFrame:
     """Rows of a dependent table (route_id, dist) for the resolved routes."""
     return facts.withColumnRenamed("dist", "source_dist").join(pieces.select("route_id", "source_dist", "dist"), ["route_id", "source_dist"]).drop("source_dist")
+
+
+def recoded(rows: DataFrame, ref_map: DataFrame, column: str = "attributes") -> DataFrame:
+    """rows with the attribute ids of an array replaced by the merged ones; a batch has few attributes."""
+    maps = ref_map.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_id", "new_id"))).alias("_map"))
+    known = F.transform(column, lambda i: F.get(F.array(F.element_at(F.coalesce("_map", F.create_map().cast("map<int,bigint>")), i)), F.lit(0)).cast("int"))
+    return rows.join(maps, "batch_id", "left").withColumn(column, F.filter(known, lambda i: i.isNotNull())).drop("_map")
+
+
+#: Tables that hang on a route (route_id, dist), and columns of theirs that name a stop.
+OF_ROUTES = {
+    "route_integrations": (), "route_stops": ("stop_id",), "trips": (), "trip_stops": ("stop_id",), "route_info": (), "service_notes": (),
+    "transfers": ("to_stop", "to_end"), "agency_alternations": (), "alternate_route_names": (), "reservation_options": (),
+}
+CODED = ("stops", "route_stops", "trips", "trip_stops", "agency_alternations")
+
+
+def merge_jdf(t: dict[str, DataFrame], created: Column, by: str = "name", batch: str = "merged") -> dict[str, DataFrame]:
+    """One batch of many: tables as sources.jdf reads and writes them, all under one batch_id.
+
+    Attributes, stops, agencies and trip groups get new ids, everything that names them follows by joins;
+    versions of a licence number that overlap are resolved, and what hangs on a route goes with its pieces."""
+    refs, ref_map = merge_attribute_refs(t["attribute_refs"])
+    ref_map = cut(ref_map)
+    t = t | {n: recoded(t[n], ref_map) for n in CODED}
+    stops, stop_map = merge_stops(t["stops"], by)
+    stop_map = cut(stop_map)
+    agencies, agency_map = merge_agencies(t["agencies"])
+    agency_map = cut(agency_map)
+    numbered_routes = cut(merge_routes(t["routes"], agency_map).withColumn("agency_dist", F.coalesce("new_agency_dist", "agency_dist")).drop("new_agency_dist"))
+    # a licence number's versions, each with the date of its batch
+    dates = t["version"].groupBy("batch_id").agg(F.max("created").alias("created"))
+    versions = numbered_routes.join(dates, "batch_id", "left").select("route_id", F.col("new_dist").alias("dist"), "valid_from", "valid_to", F.coalesce("detour", F.lit(False)).alias("detour"), "created")
+    pieces = cut(resolve_route_overlaps(versions))
+    of = cut(_pieces_of(numbered_routes, pieces))
+
+    groups = merge_trip_groups(t["trip_groups"].select("batch_id", "group_id", "reserved1", "reserved2"))
+    group_map = groups.select("batch_id", "group_id", F.col("new_id").alias("_group"))
+    out = {
+        "version": version_row(stops.sparkSession, created),
+        "attribute_refs": refs.withColumn("attribute_id", F.col("new_id")).drop("new_id"),
+        "stops": stops.withColumn("stop_id", F.col("new_id")).drop("new_id"),
+        "stop_posts": _as_table(t["stop_posts"], merge_stop_posts(t["stop_posts"], stop_map).withColumnRenamed("new_id", "stop_id")),
+        "agencies": agencies.withColumnRenamed("new_dist", "agency_dist"),
+        "trip_groups": groups.withColumn("group_id", F.col("new_id")).drop("new_id"),
+        "routes": _moved(numbered_routes.drop("new_dist"), of, dates=True),
+    }
+    x, y = project(F.col("lat").cast("double"), F.col("lon").cast("double"))
+    placed, far = merge_stop_locations(t["stop_locations"].withColumn("x", x).withColumn("y", y), stop_map)
+    lat, lon = unproject(F.col("x"), F.col("y"))
+    out["stop_locations"] = placed.select(F.col("new_id").alias("stop_id"), lat.alias("lat"), lon.alias("lon"), "precision")
+    for name, columns in OF_ROUTES.items():
+        rows = t[name]
+        for c in columns:
+            rows = rekey(rows, stop_map.withColumnRenamed("stop_id", c), ["batch_id", c], "new_id", c)
+        if name == "trips":
+            rows = rows.join(group_map, ["batch_id", "group_id"], "left").withColumn("group_id", F.col("_group")).drop("_group")
+        if name == "agency_alternations":
+            rows = rows.join(agency_map, ["batch_id", "agency_id", "agency_dist"], "left").withColumn("agency_dist", F.coalesce("new_dist", "agency_dist")).drop("new_dist")
+        out[name] = _moved(rows, of)
+    merged = {n: _as_table(t[n], df.withColumn("batch_id", F.lit(batch))) for n, df in out.items()}
+    return merged | {"location_warnings": far}
+
+
+def _pieces_of(routes: DataFrame, pieces: DataFrame) -> DataFrame:
+    """batch_id, route_id, _old (dist in the batch), _new, _from, _to of each piece."""
+    new = pieces.select("route_id", F.col("source_dist").alias("new_dist"), F.col("dist").alias("_new"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    return routes.select("batch_id", "route_id", F.col("dist").alias("_old"), "new_dist").join(new, ["route_id", "new_dist"]).drop("new_dist")
+
+
+def _moved(rows: DataFrame, of: DataFrame, dates: bool = False) -> DataFrame:
+    """Rows of a table with (batch_id, route_id, dist) for every piece of their route; routes take the pieces' dates."""
+    out = rows.withColumnRenamed("dist", "_old").join(of, ["batch_id", "route_id", "_old"]).withColumn("dist", F.col("_new"))
+    if dates:
+        out = out.withColumn("valid_from", F.col("_from")).withColumn("valid_to", F.col("_to"))
+    return out.drop("_old", "_new", "_from", "_to")
+
+
+def _as_table(like: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the columns and types of a table; columns that they do not have are null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema if f.name != "batch_id" or "batch_id" in rows.columns])

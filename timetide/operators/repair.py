@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
+from timetide.functions.geo import boundary_distance, unproject
 from timetide.functions.lineage import cut
-from timetide.operators.matching import exact_matches, match_stops_by_name, primary_matches, top_stop_match
+from timetide.operators.matching import exact_matches, match_by_top_town, match_stops_by_name, primary_matches, top_stop_match
 
 STOP_TOLERANCE, TOWN_TOLERANCE = 1000, 10_000
 PRECISE, LOOSE = 4000, 20_000
@@ -117,41 +118,166 @@ def choose_naming(plain: DataFrame, urban: DataFrame) -> DataFrame:
     return both.select("batch_id", (F.col("_u") > F.col("_p") + 1).alias("urban"))
 
 
-def fix_jdf(stops: DataFrame, trip_stops: DataFrame, targets: DataFrame, towns: DataFrame, foreign: DataFrame, route_towns: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """batch_id, stop_id, town, district, place, region, country, x, y, precision of every stop of all batches.
-
-    stops: batch_id, stop_id, town, district, place, region, country. trip_stops: batch_id, trip, pos,
-    stop_id, metres. targets: name (in matching form), x, y, t_region, t_country, precision. towns: name,
-    region, x, y. foreign: name, country, x, y. Steps: names split and regions taken from them; exact
-    matches; urban naming where it matches more; positions from neighbours; regions along the line."""
-    keys = ["batch_id", "stop_id"]
+STOP = ["batch_id", "stop_id"]
+#: Towns that share one urban network, in which stops carry either name; the first stands for all. Fixed values.
+JOINED_TOWNS = (("Ústí nad Labem", "Ústí n.L.", "Trmice", "Telnice", "Petrovice,Krásný Les"),)
+
+
+def joined_towns(spark, groups=JOINED_TOWNS) -> DataFrame:
+    """head, town, place of each town of a group; place counts from 0."""
+    return spark.createDataFrame([(g[0], t, i) for g in groups for i, t in enumerate(g)], "head string, town string, place int")
+
+
+def same_words(a, b):
+    return T.name_tokens(a) == T.name_tokens(b)
+
+
+def urban_votes(stops: DataFrame, matches: DataFrame, towns: DataFrame, joined: DataFrame) -> DataFrame:
+    """batch_id, stop_id, town: towns that would make the name of a stop, given in its town alone, that of a target.
+
+    A stop that has an exact match and begins with a domestic town does not vote."""
+    bare = stops.where("district is null and place is null").select(*STOP, F.col("town").alias("own"))
+    settled = bare.join(exact_matches(matches).select(*STOP).distinct(), STOP).withColumn("name", F.trim(F.substring_index("own", ",", 1))).join(towns.select("name").distinct(), "name").select(*STOP)
+    met = bare.join(settled, STOP, "left_anti").join(matches.select(*STOP, "target"), STOP).withColumn("town", F.trim(F.substring_index("target", ",", 1)))
+    fits = same_words(F.concat_ws(",", "town", "own"), F.col("target")) & ~same_words(F.col("own"), F.col("target"))
+    named = met.where(fits).select(*STOP, "town").distinct()
+    return named.join(joined.select("town", "head"), "town", "left").select(*STOP, F.coalesce("head", "town").alias("town")).distinct()
+
+
+def urban_naming(stops: DataFrame, chosen: DataFrame, targets: DataFrame, towns: DataFrame, joined: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """stops of the batches of chosen (batch_id, town) under urban names.
+
+    A stop named by its town alone becomes 'town, first part, rest' with the first town of the joined ones
+    under which it has a match; else, where its first part is a domestic town, that is its town; else the
+    first town is taken."""
+    own = stops.join(chosen.select("batch_id").distinct(), "batch_id", "left_semi")
+    bare = own.where("district is null and place is null")
+    groups = chosen.join(joined.select(F.col("head").alias("town"), F.col("town").alias("member"), "place"), "town", "left")
+    options = groups.select("batch_id", F.coalesce("member", "town").alias("town"), (F.coalesce("place", F.lit(0)) + 1).alias("rank"))
+    tried = cut(urban_names(bare, options))
+    keys = [*STOP, "rank"]
+    matched = match_stops_by_name(tried.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place"))), targets, synonyms)
+    fit = top_stop_match(exact_matches(matched), keys).select(*keys, F.lit(True).alias("fit"))
+    parts = F.split("own", ",")
+    first = F.trim(F.get(parts, F.lit(0)))
+    known = bare.select(*STOP, F.col("town").alias("own")).withColumn("first", first).join(towns.select(F.col("name").alias("first"), F.lit(True).alias("is_town")).distinct(), "first", "left")
+    ranked = tried.join(fit, keys, "left").join(known, STOP)
+    best = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*STOP).orderBy(F.coalesce("fit", F.lit(False)).desc(), "rank"))).where("_n = 1")
+    split = F.coalesce("is_town", F.lit(False)) & F.col("fit").isNull()
+    part = lambda i: T.null_if_empty(F.trim(F.get(parts, F.lit(i))))
+    renamed = best.select(*STOP, F.when(split, F.col("first")).otherwise(F.col("town")).alias("town"), F.when(split, part(1)).otherwise(F.col("district")).alias("district"), F.when(split, part(2)).otherwise(T.null_if_empty(F.trim("place"))).alias("place"), "region", "country")
+    return renamed.unionByName(own.where("district is not null or place is not null").select(*renamed.columns))
+
+
+def more_positions(found: DataFrame, candidates: DataFrame, profiles: DataFrame, tolerance: int) -> DataFrame:
+    """found with secondary matches along the patterns of direction 1, then of direction 2."""
+    for direction in (1, 2):
+        patterns = profiles.where(F.col("direction") == direction).join(found.select(*STOP, F.col("cx").alias("x"), F.col("cy").alias("y")), STOP, "left")
+        more = secondary_matches(patterns, candidates, ["batch_id"], tolerance)
+        found = cut(found.unionByName(more.join(found, STOP, "left_anti")))
+    return found
+
+
+def matched_stops(stops: DataFrame, targets: DataFrame, towns: DataFrame, foreign: DataFrame, synonyms: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stops with what their town alone tells; positions; exact candidates) under the stops' names as they are."""
+    named = stops.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place")))
+    exact = cut(exact_matches(match_stops_by_name(named, targets, synonyms)).select(*STOP, "x", "y", "precision", "t_region", "t_country"))
+    found = primary_matches(top_stop_match(exact, STOP), stops, foreign, towns, STOP).drop("radius")
+    found = more_positions(cut(found), exact, profiles, STOP_TOLERANCE)
+    by_town = cut(match_by_top_town(stops.join(found, STOP, "left_anti"), towns, foreign, STOP).where("rule <> 'none'"))
+    points = by_town.where("cx is not null").select(*STOP, "cx", "cy", F.lit("T").alias("precision"), F.col("region").alias("t_region"), F.col("country").alias("t_country"))
+    told = by_town.select(*STOP, F.col("region").alias("_r"), F.col("country").alias("_c"))
+    known = stops.join(told, STOP, "left").withColumn("region", F.coalesce("region", "_r")).withColumn("country", F.coalesce("country", "_c")).drop("_r", "_c")
+    return cut(known), cut(found.unionByName(points)), exact
+
+
+def regions_along(stops: DataFrame, places: DataFrame, profiles: DataFrame, regions: DataFrame | None, towns: DataFrame, backwards: bool) -> DataFrame:
+    """stops with regions filled along the patterns of profiles.
+
+    regions (region, ring), where given, guard it: a new region stays only if in some pattern the stop is
+    nearer, along the line, to the last stop of known position and the same region than that one is to the
+    region's edge. A stop left without a region takes that of the towns of its name that lie within the way
+    and 1 km, if they agree."""
+    by = ["batch_id", "direction", "pattern"]
+    line = profiles.join(stops.select(*STOP, "town", "region", "country"), STOP)
+    filled = fill_regions(line, by, backwards=backwards)
+    at = places.select(*STOP, F.col("cx").alias("x"), F.col("cy").alias("y"))
+    old = stops.select(*STOP, F.col("region").alias("old_region"), F.col("country").alias("old_country"))
+    rows = filled.join(at, STOP, "left").join(old, STOP)
+    order = F.col("pos").desc() if backwards else F.col("pos")
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sure = F.when(F.col("x").isNotNull() & (F.col("old_country") == "CZ") & F.col("old_region").isNotNull(), F.struct("x", "y", "metres", F.col("old_region").alias("region")))
+    rows = rows.withColumn("last", F.last(sure, ignorenulls=True).over(before)).withColumn("way", F.abs(F.col("metres") - F.col("last.metres")))
+    if regions is not None:
+        ring = regions.groupBy(F.col("region").alias("_edge_of")).agg(F.collect_list("ring").alias("_rings"))
+        rows = rows.join(ring, F.col("last.region") == F.col("_edge_of"), "left")
+        edge = F.array_min(F.transform("_rings", lambda r: boundary_distance(F.col("last.x"), F.col("last.y"), r)))
+        fresh = ~F.col("region").eqNullSafe(F.col("old_region"))
+        near = F.coalesce((F.col("last.region") == F.col("region")) & (F.col("country") == "CZ") & (F.col("way") <= edge), F.lit(False))
+        some = F.max(near).over(Window.partitionBy(*STOP))
+        rows = rows.withColumn("_take", ~fresh | some).withColumn("region", F.when(F.col("_take"), F.col("region")).otherwise(F.col("old_region"))).withColumn("country", F.when(F.col("_take"), F.col("country")).otherwise(F.col("old_country")))
+    open_ = rows.where("region is null and (country is null or country = 'CZ') and last is not null").select(*STOP, "town", "last", "way")
+    reach = F.hypot(F.col("tx") - F.col("last.x"), F.col("ty") - F.col("last.y"))
+    near_towns = open_.join(towns.select(F.col("name").alias("town"), F.col("region").alias("t_region"), F.col("x").alias("tx"), F.col("y").alias("ty")), "town").where(reach < F.col("way") + 1000)
+    agreed = near_towns.groupBy(*STOP).agg(F.count_distinct("t_region").alias("_n"), F.max("t_region").alias("t_region")).where("_n = 1").drop("_n")
+    rows = rows.join(agreed, STOP, "left").withColumn("country", F.when(F.col("region").isNull() & F.col("t_region").isNotNull(), "CZ").otherwise(F.col("country"))).withColumn("region", F.coalesce("region", "t_region"))
+    best = richest_rows(rows.select(*STOP, "region", "country"), STOP).select(*STOP, F.col("region").alias("_r"), F.col("country").alias("_c"))
+    out = stops.join(best, STOP, "left").withColumn("region", F.coalesce("region", "_r")).withColumn("country", F.coalesce("country", "_c"))
+    return cut(out.drop("_r", "_c"))
+
+
+def fix_jdf(stops: DataFrame, trip_stops: DataFrame, routes: DataFrame, targets: DataFrame, towns: DataFrame, foreign: DataFrame, synonyms: DataFrame, regions: DataFrame | None = None, joined: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole repair of all batches: repaired stops, their locations, and what to look at.
+
+    In: stops: batch_id, stop_id, town, district, place, region, country. trip_stops: batch_id, trip,
+    direction (1, 2), pos, stop_id, metres, dep_kind, arr_sec. routes: batch_id, name. targets: name (in
+    matching form), x, y, t_region, t_country, precision. towns: name, region, x, y. foreign: name, country,
+    x, y. regions: region, ring. Positions are projected metres.
+
+    Steps: regions out of names; names split; matches, neighbours and unambiguous towns under plain names,
+    and under urban names for the town with most votes; per batch urban names where they match over one stop
+    more; neighbours again with towns and a wider tolerance; regions of the matches, then along the lines,
+    both ways. Out: stops; locations (lat, lon in WGS84, precision S or T); missing (stops without a region);
+    far (stops too far from the one before on the longest trip of each batch)."""
+    joined = joined_towns(stops.sparkSession) if joined is None else joined
     town, region = T.region_in_town(F.col("town"))
-    named = stops.withColumn("_r", region).withColumn("town", town).withColumn("region", F.coalesce("_r", "region")).withColumn("country", F.when(F.col("_r").isNotNull(), "CZ").otherwise(F.col("country"))).drop("_r")
+    base = stops.select(*STOP, town.alias("town"), "district", "place", F.coalesce(region, F.col("region")).alias("region"), F.when(region.isNotNull(), "CZ").otherwise(F.col("country")).alias("country"))
+    base = cut(base)
     a, b, c = T.split_stop_name(F.col("town"), F.col("district"), F.col("place"))
-    named = cut(named.select(*keys, a.alias("town"), b.alias("district"), c.alias("place"), "region", "country"))
-
-    def matched(rows: DataFrame, on: list[str]) -> DataFrame:
-        with_name = rows.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place")))
-        return exact_matches(match_stops_by_name(with_name, targets, synonyms)).select(*on, "x", "y", "precision", "t_region", "t_country")
-
-    plain = cut(primary_matches(top_stop_match(matched(named, keys), keys), named, foreign, towns, keys))
-    urban_stops = named.join(urban_naming_batches(named), "batch_id", "left_semi")
-    votes = match_stops_by_name(urban_stops.withColumn("name", F.col("town")), targets.withColumn("t_town", F.substring_index("name", ",", 1)), synonyms).select("batch_id", "stop_id", F.col("t_town").alias("town"))
-    renamed = cut(urban_names(urban_stops, town_candidates(votes, route_towns).where("rank = 1")))
-    urban = cut(top_stop_match(matched(renamed, keys), keys))
-    as_urban = cut(choose_naming(plain, urban).where("urban").select("batch_id"))
-    chosen = cut(named.join(as_urban, "batch_id", "left_anti").unionByName(renamed.drop("rank").join(as_urban, "batch_id", "left_semi")))
-    first = cut(plain.join(as_urban, "batch_id", "left_anti").unionByName(urban.join(as_urban, "batch_id", "left_semi")))
-
-    profiles = cut(trip_patterns(trip_stops, ["batch_id"], "trip"))
-    patterns = profiles.join(first.select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y")), keys, "left")
-    loose = match_stops_by_name(chosen.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place"))), targets, synonyms).where("score = 1").select(*keys, "x", "y", "precision", "t_region", "t_country")
-    second = secondary_matches(patterns, loose, ["batch_id"])
-    places = first.drop("radius").unionByName(second.join(first, keys, "left_anti"))
-    full = cut(chosen.join(places, keys, "left").withColumn("region", F.coalesce("region", "t_region")).withColumn("country", F.coalesce("country", "t_country")).drop("t_region", "t_country"))
-
-    line = profiles.join(full.select(*keys, "region", "country"), keys)
-    filled = fill_regions(line, ["batch_id", "pattern"]).unionByName(fill_regions(line, ["batch_id", "pattern"], backwards=True))
-    best = richest_rows(filled.select(*keys, "region", "country"), keys)
-    out = full.drop("region", "country").join(best, keys, "left").join(full.select(*keys, F.col("region").alias("_r"), F.col("country").alias("_c")), keys)
-    return out.select(*keys, "town", "district", "place", F.coalesce("_r", "region").alias("region"), F.coalesce("_c", "country").alias("country"), F.col("cx").alias("x"), F.col("cy").alias("y"), "precision")
+    whole = base.select(*STOP, a.alias("town"), b.alias("district"), c.alias("place"), "region", "country")
+    a, b = T.split_non_urban(F.col("town"), F.col("district"), F.col("place"))
+    plain = cut(whole.select(*STOP, a.alias("town"), b.alias("district"), "place", "region", "country"))
+    profiles = cut(trip_patterns(trip_stops, ["batch_id", "direction"], "trip"))
+    plain_stops, plain_found, plain_exact = matched_stops(plain, targets, towns, foreign, synonyms, profiles)
+
+    matches = match_stops_by_name(whole.withColumn("name", T.matching_name(F.col("town"), F.col("district"), F.col("place"))), targets, synonyms)
+    votes = urban_votes(whole, matches, towns, joined)
+    named_town = routes.select("batch_id", T.town_candidate(F.col("name")).alias("town")).join(towns.select(F.col("name").alias("town")).distinct(), "town", "left_semi")
+    chosen = cut(town_candidates(votes, named_town).where("rank = 1").select("batch_id", "town"))
+    urban = cut(urban_naming(base, chosen, targets, towns, joined, synonyms))
+    urban_stops, urban_found, urban_exact = matched_stops(urban, targets, towns, foreign, synonyms, profiles)
+    as_urban = cut(choose_naming(plain_found.join(chosen, "batch_id", "left_semi"), urban_found).where("urban").select("batch_id"))
+    either = lambda x, y: cut(x.join(as_urban, "batch_id", "left_anti").unionByName(y.join(as_urban, "batch_id", "left_semi")))
+    named, found, exact = either(plain_stops, urban_stops), either(plain_found, urban_found), either(plain_exact, urban_exact)
+
+    near_towns = named.join(found, STOP, "left_anti").join(towns.select(F.col("name").alias("town"), "x", "y", F.col("region").alias("t_region")), "town")
+    agrees = F.col("region").isNull() | (F.col("region") == F.col("t_region"))
+    home = F.col("country").isNull() | (F.col("country") == "CZ")
+    near_towns = near_towns.where(agrees & home).select(*STOP, "x", "y", F.lit("T").alias("precision"), "t_region", F.lit("CZ").alias("t_country"))
+    places = more_positions(found, exact.unionByName(near_towns), profiles, TOWN_TOLERANCE)
+
+    told = places.select(*STOP, F.col("t_region").alias("_r"), F.col("t_country").alias("_c"))
+    out = cut(named.join(told, STOP, "left").withColumn("region", F.coalesce("region", "_r")).withColumn("country", F.coalesce("country", "_c")).drop("_r", "_c"))
+    for direction in (1, 2):
+        for backwards in (False, True):
+            out = regions_along(out, places, profiles.where(F.col("direction") == direction), regions, towns, backwards)
+
+    lat, lon = unproject(F.col("cx"), F.col("cy"))
+    longest = trip_stops.groupBy("batch_id", "trip").agg(F.count("*").alias("n")).groupBy("batch_id").agg(F.max(F.struct("n", "trip")).alias("m")).select("batch_id", "m.trip")
+    run = trip_stops.join(longest, ["batch_id", "trip"]).join(places.select(*STOP, F.col("cx").alias("x"), F.col("cy").alias("y"), "precision"), STOP, "left")
+    return {
+        "stops": out,
+        "locations": places.select(*STOP, lat.alias("lat"), lon.alias("lon"), "precision"),
+        "missing": missing_region_report(out, trip_stops, STOP),
+        "far": distance_warnings(run, ["batch_id", "trip"]),
+    }

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import cut, shared_dir
 from timetide.functions.text import null_if_empty
 
 VERSION_FILE = "verzejdf"
@@ -79,7 +80,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
                 else:
                     members = [(folder, file, content)]
                 for batch, member, data in members:
-                    stem = member.lower().removesuffix(".txt")
+                    stem = re.sub(r"(\.[0-9]+)?\.txt$", "", member.lower())
                     out += [(batch, stem, i, cols) for i, cols in enumerate(_records(data))] if member.lower().endswith(".txt") else []
             yield pd.DataFrame(out, columns=["batch_id", "file", "row_no", "cols"])
 
@@ -138,8 +139,12 @@ def upgrade(rows: DataFrame, table: str, version: str) -> DataFrame:
 
 
 def read_jdf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of all batches, each batch in the layout that its version names, upgraded to 1.11."""
-    raw = read_raw(spark, path)
+    """All tables of all batches, each batch in the layout that its version names, upgraded to 1.11.
+
+    Files are unpacked and decoded once and written by table, so that a table reads its own rows only."""
+    stored = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    read_raw(spark, path).repartition("file", "batch_id").write.partitionBy("file").parquet(stored)
+    raw = spark.read.schema(RAW).parquet(stored)
     versions = raw.where(F.col("file") == VERSION_FILE).groupBy("batch_id").agg(F.first(F.get("cols", F.lit(0))).alias("v"))
     known = F.col("v").isin("1.8", "1.9", "1.10", "1.11")
     checked = versions.withColumn("v", F.when(known, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("unknown version "), "v"))))
@@ -179,26 +184,36 @@ def to_lines(rows: DataFrame, table: str) -> DataFrame:
     return rows.select("batch_id", F.lit(file).alias("file"), line.alias("line"))
 
 
+#: Lines that a task writes into one part of a file.
+PART_LINES = 500_000
+
+
 def write_jdf(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write one folder per batch with a cp1250 file per table; returns batch_id, file, rows written.
+    """Write one folder per batch with cp1250 files per table; returns batch_id, file, rows written.
 
-    A file is one task's group: a batch is one line's timetable and small. Files are written under a name of
-    their own and renamed, so that a repeated attempt leaves one whole file."""
+    Lines are in order of their text, in parts of about PART_LINES lines: a file of more is written by
+    several tasks, as <file>.txt, <file>.1.txt, …, which read_jdf reads as one table. Parts are written
+    under a name of their own and renamed, so that a repeated attempt leaves one whole file."""
     from functools import reduce
 
     lines = reduce(DataFrame.unionByName, [to_lines(t, n) for n, t in tables.items()])
+    lines = cut(lines)
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_LINES))
+    counts = lines.groupBy("batch_id", "file").agg(F.count("*").alias("n")).select("batch_id", "file", wanted.alias("parts"))
+    dealt = lines.join(counts, ["batch_id", "file"]).withColumn("part", F.pmod(F.xxhash64("line"), "parts").cast("int"))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-        batch, file = pdf["batch_id"].iloc[0], pdf["file"].iloc[0]
+        batch, file, part = pdf["batch_id"].iloc[0], pdf["file"].iloc[0], int(pdf["part"].iloc[0])
         folder = f"{root}/{re.sub(r'[^A-Za-z0-9_.-]+', '_', str(batch)).strip('_')}"
         system.create_dir(folder, recursive=True)
         own = f"{folder}/.{uuid.uuid4().hex}"
         with system.open_output_stream(own) as out:
             out.write("".join(x + "\r\n" for x in sorted(pdf["line"])).encode("cp1250"))
-        system.move(own, f"{folder}/{file}.txt")
+        system.move(own, f"{folder}/{file}{f'.{part}' if part else ''}.txt")
         return pd.DataFrame({"batch_id": [str(batch)], "file": [file], "rows": [len(pdf)]})
 
-    return lines.groupBy("batch_id", "file").applyInPandas(write, "batch_id string, file string, rows long")
+    written = dealt.groupBy("batch_id", "file", "part").applyInPandas(write, "batch_id string, file string, rows long")
+    return written.groupBy("batch_id", "file").agg(F.sum("rows").alias("rows"))
