@@ -92,3 +92,67 @@ def test_upsert_replay_and_scd2_gaps(spark):
     days = [("a", "n", D(2024, 1, d), x, 0) for d, x in ((1, 1), (2, 1), (4, 1), (5, 2), (6, None), (7, None))]
     got = realtime.stops_scd2(spark.createDataFrame([(i, n, d, x, y) for i, n, d, x, y in days], "id string, name string, day date, lat int, lon int"))
     assert [(r["valid_from"].day, r["valid_to"].day, r["lat"]) for r in got.orderBy("valid_from").collect()] == [(1, 3, 1), (4, 5, 1), (5, 6, 2), (6, 7, None), (7, 8, None)]
+
+
+UNDATED = "trip string, pos int, fixed_pos int, clock_date date, clock_sec int, arrived int, should_arrive int, departed int, should_depart int"
+
+
+def test_undated_stop_history(spark):
+    """A trip of one day, and one over midnight, as seen at its third stop."""
+    h = lambda a, b: a * 3600 + b * 60
+    one = [(None, None, h(9, 10), h(9, 8)), (h(10, 11), h(10, 10), None, h(10, 15)), (h(10, 30), h(10, 30), h(10, 30), h(10, 30))]
+    two = [(None, None, h(23, 10), h(23, 0)), (h(0, 10), h(0, 0), h(0, 10), h(0, 5)), (h(2, 0), h(2, 0), h(2, 20), h(2, 10))]
+    rows = [("one", i, 0, D(2020, 1, 1), h(10, 0), *x) for i, x in enumerate(one)] + [("two", i, 2, D(2020, 1, 10), h(3, 0), *x) for i, x in enumerate(two)]
+    got = realtime.date_stop_history(spark.createDataFrame(rows, UNDATED), ["trip"]).orderBy("trip", "pos").collect()
+    days = [(r["trip"], r["arrived_day"], r["should_arrive_day"], r["departed_day"], r["should_depart_day"]) for r in got]
+    first, late, early = D(2020, 1, 1), D(2020, 1, 10), D(2020, 1, 9)
+    assert days[:3] == [("one", None, None, first, first), ("one", first, first, None, first), ("one", first, first, first, first)]
+    assert days[3:] == [("two", None, None, early, early), ("two", late, late, late, late), ("two", late, late, late, late)]
+
+
+def test_service_days_of_open_validity(spark):
+    """A route valid to the year 3000 runs to its end; its calendar is a pattern with the holidays as exceptions."""
+    trips = spark.createDataFrame([("a", D(2024, 1, 1), D(3000, 1, 1), ["X"]), ("b", D(2024, 1, 1), D(2024, 1, 5), ["7"]), ("c", D(2024, 2, 1), D(2024, 1, 1), [])], "trip string, valid_from date, valid_to date, codes array<string>")
+    notes = spark.createDataFrame([("b", 2, D(2024, 1, 2), None)], "trip string, note_type int, date_from date, date_to date")
+    holidays = calendars.czech_holidays(spark, 2024, 2030)
+    days = calendars.service_days(trips, notes, holidays, ["trip"])
+    last = {r[0]: r[1] for r in days.groupBy("trip").agg(F.max("day")).collect()}
+    assert last == {"a": D(3000, 1, 1), "b": D(2024, 1, 2)}
+    services, plans = calendars.service_calendar(trips, notes, holidays, ["trip"])
+    got = {r["trip"]: r for r in services.join(plans, "plan").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["pattern"] == [True] * 5 + [False] * 2 and got["a"]["valid_to"] == D(3000, 1, 1)
+    assert {c["exception_type"] for c in got["a"]["changes"]} == {2} and len(got["a"]["changes"]) == len([d for d in (r["day"] for r in holidays.collect()) if d.weekday() < 5])
+    assert got["b"]["pattern"] == [False] * 6 + [True] and [(c["day"], c["exception_type"]) for c in got["b"]["changes"]] == [(D(2024, 1, 2), 1)]
+    calendar, exceptions = calendars.compact_calendar(trips.where("trip <> 'a'"), days.where("trip <> 'a'"), ["trip"])
+    assert [r["trip"] for r in calendar.collect()] == ["b"] and [(r["day"], r["exception_type"]) for r in exceptions.collect()] == [(D(2024, 1, 2), 1)]
+
+
+def test_latest_run_of_any_trip_id(spark):
+    from timetide.operators import analytics
+
+    details = spark.createDataFrame([("115_23_1", D(2024, 1, 2), "R", None), ("115_23_0", D(2024, 1, 2), "R", "Nine"), ("z", D(2024, 1, 1), "R", None)], "trip_id string, trip_start_date date, route_id string, route_short_name string")
+    history = spark.createDataFrame([("115_23_0", D(2024, 1, 2), 1, "S1"), ("115_23_0", D(2024, 1, 2), 2, "S2")], "trip_id string, trip_start_date date, trip_stop_index int, stop_id string")
+    versions = spark.createDataFrame([("S2", D(2024, 1, 1), D(2024, 2, 1), "Two")], "id string, valid_from date, valid_to date, name string")
+    got = analytics.route_summaries(details, history, versions).collect()
+    assert [(r["trip_id"], r["name"], r["first_stop"], r["last_stop"]) for r in got] == [("115_23_0", "Nine", "S1", "Two")]
+
+
+def test_day_table_survives_a_cut_merge(spark, tmp_path, monkeypatch):
+    """A run that ends after the merged days are written, with a day already deleted, loses nothing."""
+    import shutil
+
+    from timetide.streaming import history
+
+    schema = "trip_id string, trip_start_date date, trip_stop_index int, stop_id string, arrived int, seq long"
+    table = history.DayTable(spark, str(tmp_path / "stops"), schema)
+    row = lambda t, day, i, seq: (t, day, i, f"s{i}", 10 * i, seq)
+    put = lambda *rows: table.merge(spark.createDataFrame(list(rows), schema), realtime.truncate_tail)
+    put(row("a", D(2024, 1, 1), 1, 1), row("a", D(2024, 1, 1), 2, 1), row("b", D(2024, 1, 2), 1, 1), row("n", None, 1, 1))
+    monkeypatch.setattr(history.DayTable, "put_in_place", lambda self: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        put(row("a", D(2024, 1, 1), 1, 2))
+    shutil.rmtree(tmp_path / "stops" / "trip_start_date=2024-01-01")
+    monkeypatch.undo()
+    put(row("c", D(2024, 1, 3), 1, 3))
+    got = sorted((r["trip_id"], r["trip_stop_index"], r["seq"]) for r in table.read().collect())
+    assert got == [("a", 1, 2), ("b", 1, 1), ("c", 1, 3), ("n", 1, 1)]

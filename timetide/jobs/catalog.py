@@ -6,7 +6,7 @@ import importlib
 
 from timetide.jobs.registry import ORACLES, QUERIES
 
-MODULES = ("analytics", "realtime", "calendars", "timetable", "rail", "merging", "matching", "streaming")
+MODULES = ("analytics", "realtime", "calendars", "timetable", "rail", "merging", "matching", "sources", "streaming")
 
 
 def _load() -> None:

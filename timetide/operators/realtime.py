@@ -45,9 +45,10 @@ def truncate_tail(rows: DataFrame) -> DataFrame:
     A write is all rows of one (run, seq); writes without rows are not seen and so ignored."""
     writes = rows.groupBy(*RUN, "seq").agg(F.max("trip_stop_index").alias("top"))
     later = Window.partitionBy(*RUN).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    shortest = writes.select(*RUN, "seq", F.min("top").over(later).alias("shortest"))
-    kept = upsert_stop_history(rows).join(shortest, [*RUN, "seq"])
-    return kept.where("shortest is null or trip_stop_index <= shortest").drop("shortest")
+    shortest = writes.select(*[F.col(c).alias(f"_{c}") for c in (*RUN, "seq")], F.min("top").over(later).alias("shortest"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*RUN, "seq")]  # a run without a day is one too
+    kept = upsert_stop_history(rows).join(shortest, same)
+    return kept.where("shortest is null or trip_stop_index <= shortest").drop("shortest", *[f"_{c}" for c in (*RUN, "seq")])
 
 
 def upsert_trip_details(rows: DataFrame) -> DataFrame:

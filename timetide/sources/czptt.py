@@ -48,8 +48,12 @@ def _seconds(time):
 
 
 def read_czptt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parse_messages() of every message below the path."""
+    return parse_messages(read_texts(spark, path))
+
+
+def parse_messages(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(timetables, locations, cancellations) in the columns that operators.rail and operators.calendars take; a message of neither kind is an error."""
-    texts = read_texts(spark, path)
     sure = F.when(F.col("kind") == "unknown", F.raise_error(F.concat(F.lit("no known message: "), "message_id"))).otherwise(F.col("kind"))
     parsed = texts.withColumn("kind", sure).select("message_id", "kind", F.from_xml("xml", MESSAGE, {"attributePrefix": "_"}).alias("m"))
     ids = F.coalesce("m.Identifiers.PlannedTransportIdentifiers", "m.PlannedTransportIdentifiers")
