@@ -235,14 +235,66 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_language_model_is_normalised():
+def small_model(rng, words=60):
+    """A model of a few counted words with random parameters, and the counts."""
+    counts = {int(h): int(c) for h, c in zip(rng.integers(0, 2**60, words), rng.integers(1, 90, words))} | {language_model.END: 20}
+    tops = sorted(counts.items(), key=lambda x: -x[1])[:20]
+    if language_model.END not in dict(tops):
+        tops = tops[:-1] + [(language_model.END, 20)]
+    buckets = np.full(20, 0.5)
+    for h, c in counts.items():
+        if h not in dict(tops):
+            buckets[h % 20] += c + 0.5
+    model = language_model.Model.start(tops, buckets)
+    return model.with_parameters(model.parameters() + rng.normal(0, 0.2, len(model.parameters()))), counts, buckets
+
+
+def test_language_model_equals_brute_force():
+    """Scores as written out word by word, normalised over all words and one unknown word of each bucket."""
     rng = np.random.default_rng(1)
-    model = language_model.Model.start([(int(h), int(c)) for h, c in zip(rng.integers(0, 2**60, 30), rng.integers(1, 90, 30))] + [(language_model.END, 20)], 3000, 400)
-    model = model.with_parameters(model.parameters() + rng.normal(0, 0.2, len(model.parameters())))
-    k = len(model.unigram)
-    for context in (0, 5 * k + 7):
-        p = np.exp(model.log_probability(np.arange(k), np.full(k, context)))
-        assert p.sum() == pytest.approx(1, abs=1e-5)
+    m, counts, buckets = small_model(rng)
+    k = len(m.mass)
+    end = int(m.classes(np.array([language_model.END]))[0][0])
+
+    def brute(word: int, last: int, before: int) -> float:
+        (c,), (own,) = m.classes(np.array([word]))
+        h = m.q[last] * m.c1 + m.q[before] * m.c2
+        groups = np.exp([h @ u + a for u, a in zip(m.u, m.a)])
+        g = c // m.size
+        inside = np.exp([h @ m.r[x] + m.b[x] for x in range(g * m.size, min(k, (g + 1) * m.size))])
+        share = 1.0 if own else (counts.get(word, 0) + 0.5) / buckets[word % 20]
+        return float(groups[g] / groups.sum() * inside[c - g * m.size] / inside.sum() * share)
+
+    unknown = []
+    for bucket in range(20):
+        unknown.append(next(x for x in range(bucket + 20_000, 10**6, 20) if x not in counts))
+    assert sum(brute(w, 3, 5) for w in [*counts, *unknown]) == pytest.approx(1, abs=1e-5)
+    text = np.array([*rng.choice([*counts, *unknown], 50), language_model.END])
+    classes, own = m.classes(text)
+    got = m.log_probability(classes, m.contexts(classes, np.array([0])))
+    got = got + np.where(own, 0.0, np.log((np.array([counts.get(int(w), 0) for w in text]) + 0.5) / m.mass[classes]))
+    want = [np.log(brute(int(w), int(classes[i - 1]) if i else end, int(classes[i - 2]) if i > 1 else end)) for i, w in enumerate(text)]
+    assert got == pytest.approx(np.array(want), abs=1e-4)
+
+
+def test_language_model_training_follows_the_gradient():
+    """Over many noise samples, training brings the probabilities of a repeated pair of words up."""
+    rng = np.random.default_rng(2)
+    m, counts, _ = small_model(rng, 30)
+    classes = np.tile(m.classes(np.array(list(counts)[:4]))[0], 3000)
+    contexts = m.contexts(classes, np.array([0]))
+    trainer = language_model.Trainer(m)
+    before = m.log_probability(classes, contexts).mean()
+    for _ in range(20):
+        trainer.train(contexts, classes)
+    assert trainer.m.log_probability(classes, contexts).mean() > max(before, -1.0)
+
+
+def test_language_model_does_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK_CHARS", 200_000)
+    docs = spark.createDataFrame([(d["doc_id"], d["text"]) for d in documents()], "doc_id long, text string")
+    scores = [{r["doc_id"]: r["score"] for r in language_model.score_documents(docs.repartition(n)).collect()} for n in (2, 7)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
 
 
 def test_language_model_edges(odd, empty):
