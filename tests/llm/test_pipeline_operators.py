@@ -365,3 +365,12 @@ def test_word_encoder_on_documents():
     for cp in [*range(1, 0x250), 0x1C4, 0x3A3, 0x2581, 0x1E9E, 0xFB01]:
         for text in (chr(cp), f"a{chr(cp)}b", f"1{chr(cp)}'S"):
             assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, hex(cp)
+
+
+def test_running_offsets(spark, monkeypatch):
+    from timetide.llm import common
+
+    monkeypatch.setattr(common, "SPAN", 3)
+    rows = [(g, b, (7 * b + len(g)) % 5) for g in ("a", "bb") for b in range(17) if (b + len(g)) % 4]
+    got = {(r["g"], r["b"]): r["before"] for r in common.running_offsets(spark.createDataFrame(rows, "g string, b long, n long"), ["g"], "b", "n").collect()}
+    assert got == {(g, b): sum(n for h, c, n in rows if h == g and c < b) for g, b, _ in rows}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timetide.functions.lineage import shared_dir
@@ -47,13 +47,20 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def running_offsets(counts: DataFrame, group: list[str], order: str, size: str) -> DataFrame:
-    """Exclusive running sum of `size` over `order` inside `group`, for a table of per-bucket totals."""
-    from pyspark.sql import Window
+#: Buckets whose totals are summed up in one task.
+SPAN = 1024
+
 
-    w = Window.partitionBy(*group).orderBy(order)
-    before = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("before", F.coalesce(before, F.lit(0)).cast("long"))
+def running_offsets(counts: DataFrame, group: list[str], order: str, size: str) -> DataFrame:
+    """Exclusive running sum of `size` over `order` (whole numbers) inside `group`, for a table of per-bucket totals.
+
+    Spans of SPAN buckets are summed up apart; only one total per span comes together."""
+    spans = counts.withColumn("_span", F.floor(F.col(order) / SPAN))
+    totals = spans.groupBy(*group, "_span").agg(F.sum(size).alias("_total"))
+    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_span", F.coalesce(F.sum("_total").over(upto(group, "_span")), F.lit(0)).alias("_start"))
+    inside = spans.withColumn("_inside", F.coalesce(F.sum(size).over(upto([*group, "_span"], order)), F.lit(0)))
+    return inside.join(starts, [*group, "_span"]).withColumn("before", (F.col("_start") + F.col("_inside")).cast("long")).drop("_span", "_start", "_inside")
 
 
 class WordHashes(dict):

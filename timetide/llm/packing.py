@@ -33,6 +33,8 @@ from tokenizers import Tokenizer
 from timetide.llm.common import running_offsets, saved
 
 CAPACITY = 2048
+#: Lines of a plan that are sent to every executor: 48 bytes each.
+BROADCAST_LINES = 200_000
 GROUPS = 256
 #: Lengths up to this share of the capacity are small ones.
 SMALL = 1 / 8
@@ -257,8 +259,9 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, groups:
     offsets = running_offsets(totals, ["length"], "bucket", "n").select("length", "bucket", "before")
     w = Window.partitionBy("length", "bucket").orderBy("h", "doc_id", "piece")
     ranked = dealt.withColumn("r", F.row_number().over(w) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("r"))
-    # the plan has a few lines per length and configuration, whatever the number of documents
-    hit = ranked.join(F.broadcast(lines), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    # the plan has a few lines per length and configuration, whatever the number of documents; a longer one is joined by length
+    plan_rows = F.broadcast(lines) if len(plan.lines) <= BROADCAST_LINES else lines
+    hit = ranked.join(plan_rows, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     k = F.col("rank") - F.col("lo")
     sequence = F.col("first") + F.floor(k / F.col("per"))
     offset = F.col("at") + (k % F.col("per")) * F.col("length")
