@@ -88,9 +88,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(id_, F.lit(-(2**63))).alias("_id"), F.xxhash64(text_or_empty()).alias("_text"), id_.alias("doc_id"), text_or_empty().alias("text"))
 
 
-def documents_once(docs: DataFrame) -> DataFrame:
-    """KEY, doc_id, text, times of each document."""
-    return keyed(docs).groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count("*").alias("times"))
+def texts_once(docs: DataFrame) -> DataFrame:
+    """KEY, text of each document."""
+    return keyed(docs).groupBy(*KEY).agg(F.min("text").alias("text"))
+
+
+def ids_once(docs: DataFrame) -> DataFrame:
+    """KEY, doc_id, n_chars, times of each document."""
+    return keyed(docs).select(*KEY, "doc_id", F.length("text").cast("long").alias("n")).groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n_chars"), F.count("*").alias("times"))
 
 
 def as_often(rows: DataFrame) -> DataFrame:
@@ -100,8 +105,7 @@ def as_often(rows: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, fingerprint."""
-    base = documents_once(docs)
-    found = base.select(*KEY, "doc_id", "times").join(sampled(base, ["text"], samples), KEY, "left")
+    found = ids_once(docs).join(sampled(texts_once(docs), ["text"], samples), KEY, "left")
     return as_often(found.select("doc_id", as_text(F.col("text")).alias("fingerprint"), "times"))
 
 
@@ -124,18 +128,16 @@ def with_edited_and_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by as many (or
     all) from the start of the next document. Whole texts are shuffled once; only the part that the
     document before needs goes on a second time."""
-    ids = keyed(docs).select(*KEY, F.length("text").cast("long").alias("n")).groupBy(*KEY).agg(F.min("n").alias("n_chars"))
-    order = saved(followers(saved(ids, "ids")), "order")
-    base = documents_once(docs)
+    order = saved(followers(saved(ids_once(docs), "ids")), "order")
+    base = texts_once(docs)  # with the same columns wherever it is used, so that it is shuffled once
     needs = order.select(*[F.col(f"next.{c}").alias(c) for c in KEY], F.struct(*KEY).alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("q"))
     heads = base.join(needs, KEY).select(*[F.col(f"to.{c}").alias(c) for c in KEY], F.expr("substring(text, 1, q)").alias("head"))
-    n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    both = base.join(heads, KEY).select(*KEY, "doc_id", "times", "text", edited.alias("edited"))
+    both = base.join(heads, KEY).select(*KEY, "text", edited.alias("edited"))
     signs = sampled(both, ["text", "edited"], samples)
-    facts = both.select(*KEY, "doc_id", "times", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    own = saved(facts.join(signs, KEY, "left"), "fingerprints")
-    after = order.select(*KEY, F.col("next._id").alias("_next_id"), F.col("next._text").alias("_next_text"))
+    facts = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
+    facts = facts.join(signs, KEY, "left").join(order.select(*KEY, "doc_id", "n_chars", "times", F.col("next._id").alias("_next_id"), F.col("next._text").alias("_next_text")), KEY)
+    own = saved(facts, "fingerprints")
     following = own.select(F.col("_id").alias("_next_id"), F.col("_text").alias("_next_text"), F.col("text").alias("after"))
-    out = own.join(after, KEY).join(following, ["_next_id", "_next_text"])
+    out = own.join(following, ["_next_id", "_next_text"])
     return as_often(out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("text")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("text"), F.col("after")).alias("near_next"), "times"))
