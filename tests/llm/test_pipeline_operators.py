@@ -331,6 +331,90 @@ def test_word_encoder_equals_whole_text():
         assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def brute_language_vector(text: str) -> np.ndarray | None:
+    """Dampened counts of hashed 1- to 3-grams of letters, runs of anything else being one space, gram by gram."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    if not letters.strip():
+        return None
+    padded = " " + " ".join(letters.split()) + " "
+    counts = np.zeros(langid.DIM)
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            key = 0
+            for c, mult in zip(padded[i : i + n], langid._MULTIPLIERS):
+                key = (key ^ ord(c)) * int(mult) % 2**32
+            counts[(key ^ key >> 15) * 2654435769 % 2**32 >> 20] += 1
+    return np.log1p(counts)
+
+
+def test_language_equals_brute_force(spark):
+    """The nearest of all centroids by cosine, worked out one by one, with rejection under the threshold."""
+    docs = spark.createDataFrame(documents(), DOC_SCHEMA)
+    model = langid.fit(langid.training_rows(docs))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for d in documents():
+        v = brute_language_vector(d["text"] or "")
+        r = got[d["doc_id"]]
+        if v is None:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        x = v * model.idf
+        cosines = [float(np.dot(x, c) / np.linalg.norm(x)) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        lang = int(model.owner[best])
+        assert r["lang_pred"] == model.langs[lang] and r["score"] == pytest.approx(cosines[best], abs=1e-9)
+        assert r["rejected"] == (r["score"] < model.thresholds[lang])
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage: what each keeps of its own input."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    source = spark.createDataFrame(documents(), DOC_SCHEMA)
+    model = langid.fit(langid.training_rows(source))
+    docs = {d["doc_id"]: d for d in documents()}
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    known = stages["language ID"](spark, source, SF).persist()
+    want = {i: d["text"] for i, d in docs.items() if not model.predict(d["text"])[2]}
+    assert texts(known) == want
+
+    drops = brute_line_drops(want, 1)
+    lined = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in drops) for i, t in want.items()}
+    lined = {i: t for i, t in lined.items() if t.strip(" ") or not any(d == i for d, _ in drops)}
+    new = stages["line dedup"](spark, known, SF).persist()
+    assert texts(new) == lined
+    assert all(r["n_chars"] == len(r["text"]) for r in new.collect() if any(d == r["doc_id"] for d, _ in drops))
+
+    kept = stages["MinHash near-dedup"](spark, new, SF).persist()
+    assert texts(kept) == {i: lined[i] for i, c in near_duplicate_components(lined).items() if i == c}
+
+    rows = [r.asDict() for r in kept.collect()]
+    taken = {r["doc_id"]: r for r in mixing.mix(kept).collect()}
+    check_mix(taken.values(), rows)
+    mixed = stages["source mixing"](spark, kept, SF).persist()
+    times = defaultdict(int)
+    for r in mixed.collect():
+        times[r["doc_id"]] += 1
+    assert times == {i: n for i, n in ((i, 1 if r["size"] == 0 else -(-r["taken"] // r["size"])) for i, r in taken.items()) if n}
+
+    packed = stages["best-fit packing"](spark, mixed, SF).collect()
+    tok = Tokenizer.from_file(TOKENIZER)
+    own = {i: len(tok.encode(lined[i] or "", add_special_tokens=False).ids) + 1 for i in times}
+    lengths, places = defaultdict(int), defaultdict(list)
+    for r in packed:
+        lengths[r["doc_id"]] += r["length"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert lengths == {i: n * own[i] for i, n in times.items()}
+    for sequence in places.values():
+        end = 0
+        for offset, length in sorted(sequence):
+            assert offset == end
+            end += length
+        assert end <= packing.CAPACITY
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
