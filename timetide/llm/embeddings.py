@@ -88,9 +88,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     scale = F.when(F.abs(power) < 300, 0.0).otherwise(-power)
     half = F.pow(F.lit(2.0), scale / 2 - F.pmod(scale, F.lit(2.0)) / 2)
     rest = F.pow(F.lit(2.0), scale / 2 + F.pmod(scale, F.lit(2.0)) / 2)
-    clean = F.transform(v, lambda x: x * half * rest + F.lit(0.0))
+    clean = F.when(scale == 0, F.transform(v, lambda x: x + F.lit(0.0))).otherwise(F.transform(v, lambda x: x * half * rest + F.lit(0.0)))
     out = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.when(fine, clean).alias("vector"))
-    return out.withColumn("key", F.when(F.col("vector").isNotNull(), F.sha2(F.to_json(F.struct("vector")), 256)))
+    # 128 bits of hash tell vectors apart
+    return out.withColumn("key", F.when(F.col("vector").isNotNull(), F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.xxhash64(F.lit(SEED), "vector")))))
 
 
 def _unit_groups(vectors) -> list[tuple[int, np.ndarray, np.ndarray]]:
