@@ -34,12 +34,17 @@ def named_stops(history: DataFrame, versions: DataFrame, any_version: bool = Tru
     return named.withColumn("name", F.coalesce("_valid", "_any", "stop_id")).drop("_valid", "_any").select(*keys, *[c for c in history.columns if c not in keys], "name")
 
 
+def sequence_hash() -> Column:
+    """Of a run's ordered `rows`, a hash of their stops and planned times."""
+    plan = F.transform("rows", lambda r: F.struct(r["stop_id"], r["should_arrive"], r["should_depart"]))
+    return F.sha2(F.to_json(F.struct(plan.alias("s"))), 256)
+
+
 def run_sequences(history: DataFrame) -> DataFrame:
     """Runs with the hash of their ordered (stop, planned arrival, planned departure) list."""
     rows = F.sort_array(F.collect_list(F.struct("trip_stop_index", "stop_id", "should_arrive", "should_depart")))
     listed = history.groupBy(*RUN).agg(rows.alias("rows"))
-    plan = F.transform("rows", lambda r: F.struct(r["stop_id"], r["should_arrive"], r["should_depart"]))
-    return listed.select(*RUN, F.sha2(F.to_json(F.struct(plan.alias("s"))), 256).alias("sequence"))
+    return listed.select(*RUN, sequence_hash().alias("sequence"))
 
 
 def sequence_groups(history: DataFrame) -> DataFrame:
@@ -61,9 +66,11 @@ def delay_percentiles(named: DataFrame, points: tuple[float, ...] = (0.15, 0.5,
 
     Exact percentiles hold a group's values; groups are one stop of one sequence of one trip. For groups
     of a whole network take approximate=True."""
-    w = Window.partitionBy("trip_id", "sequence")
-    runs = run_sequences(named).withColumn("ssg", F.min("trip_start_date").over(w)).select(*RUN, "ssg")
-    rows = named.join(runs, RUN).withColumn("arr", (F.col("arrived") - F.col("should_arrive")) / 60).withColumn("dep", (F.col("departed") - F.col("should_depart")) / 60)
+    # the stops of a run travel as one row, so that finding its group needs no second pass over them
+    stop = F.struct("trip_stop_index", "stop_id", "should_arrive", "should_depart", "name", "arrived", "departed")
+    listed = named.groupBy(*RUN).agg(F.sort_array(F.collect_list(stop)).alias("rows")).withColumn("sequence", sequence_hash())
+    grouped = listed.withColumn("ssg", F.min("trip_start_date").over(Window.partitionBy("trip_id", "sequence")))
+    rows = grouped.select("trip_id", "ssg", F.inline("rows")).withColumn("arr", (F.col("arrived") - F.col("should_arrive")) / 60).withColumn("dep", (F.col("departed") - F.col("should_depart")) / 60)
     measure = (lambda c: F.percentile_approx(c, list(points), 1000)) if approximate else (lambda c: F.percentile(c, F.array(*map(F.lit, points))))
     out = rows.groupBy("trip_id", "ssg", "trip_stop_index", "stop_id", "name").agg(F.min("should_arrive").alias("should_arrive"), F.min("should_depart").alias("should_depart"), measure("arr").alias("arr"), measure("dep").alias("dep"))
     names = [f"{k}_p{round(100 * p)}" for k in ("arr", "dep") for p in points]
