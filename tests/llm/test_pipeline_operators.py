@@ -458,3 +458,22 @@ def test_running_offsets(spark, monkeypatch):
     rows = [(g, b, (7 * b + len(g)) % 5) for g in ("a", "bb") for b in range(17) if (b + len(g)) % 4]
     got = {(r["g"], r["b"]): r["before"] for r in common.running_offsets(spark.createDataFrame(rows, "g string, b long, n long"), ["g"], "b", "n").collect()}
     assert got == {(g, b): sum(n for h, c, n in rows if h == g and c < b) for g, b, _ in rows}
+
+
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    from timetide.llm import common
+
+    monkeypatch.setattr(common, "_SLICE", 64)
+    monkeypatch.setattr(common, "_tables", {})
+    rng, seen = np.random.default_rng(4), {}
+    lengths = [1, 2, 3, 62, 63, 64, 65, 66, 200]
+    words_ = ["".join("abcé"[int(k)] for k in rng.integers(0, 4, n)) for n in lengths for _ in range(4)]
+    for _ in range(60):
+        picked = [words_[int(i)] for i in rng.integers(0, len(words_), int(rng.integers(0, 12)))]
+        text = "".join(w + " \t\n\r\x0b\x0c"[int(rng.integers(6))] * int(rng.integers(1, 90)) for w in picked)
+        text = text.upper().replace("É", "é") if rng.random() < 0.5 else text
+        got = common.word_hashes(text.rstrip() if rng.random() < 0.3 else text).tolist()
+        assert len(got) == len(picked)
+        for w, h in zip(picked, got):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) and len(common.word_hashes(None)) == len(common.word_hashes(" \n")) == 0

@@ -1,8 +1,8 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
-Words are hashed once; every later step reads the written hashes. Counts of all training words are exact
-and come from the whole corpus: every chunk of documents counts its own distinct words, the counts meet
-by word, and each chunk gets back the totals of its words only; no task or driver holds the vocabulary.
+Counts of all training words are exact and come from the whole corpus: every chunk of documents counts
+its own distinct words, the counts meet by word, and each chunk gets back the totals of its words only;
+no task or driver holds the vocabulary.
 
 The model predicts the next word's class from the two before: h = q1 * C1 + q2 * C2. Classes are the
 most frequent words, each its own, and as many buckets that all other words are dealt to by hash, inside
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.common import WordHashes, remainder, saved
+from timetide.llm.common import remainder, saved, word_hashes
 
 MIN_WORDS = 128
 DIM = 16
@@ -40,7 +40,7 @@ NOISE = 16
 BATCH, LEAST_BATCH, BATCHES = 8192, 512, 64
 RATE = 0.3
 #: Tokens that are trained on at once, characters of a chunk of documents, and chunks that train one after the other.
-TRAIN_TOKENS = 2_000_000
+TRAIN_TOKENS = 1_000_000
 CHUNK_CHARS = 8 << 20
 TRAIN_CHUNKS = 4
 #: Parameters of a block, when they are averaged.
@@ -48,18 +48,9 @@ BLOCK = 4096
 END = -1
 
 
-class WordHasher:
+def token_hashes(text: str | None) -> np.ndarray:
     """Words of a text as hashes, then END (negative, so apart from them)."""
-
-    def __init__(self):
-        self.words = WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode().lower().split()
-        out = np.empty(len(tokens) + 1, dtype=np.int64)
-        out[:-1] = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
-        out[-1] = END
-        return out
+    return np.append(word_hashes(text).view(np.int64), END)
 
 
 def own_words(v: int) -> int:
@@ -247,23 +238,12 @@ def _starts(lengths: list[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
 
 
-def encoded(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """doc_id, held_out, chunk, ids (the hashes of the words and END, as bytes): chunks of about CHUNK_CHARS characters, by hash."""
+def chunked(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """doc_id, held_out, chunk, text: chunks of about CHUNK_CHARS characters, by hash."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / CHUNK_CHARS))
     held = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
-    rows = docs.select("doc_id", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), "text")
-
-    def run(batches):
-        hasher = WordHasher()
-        for pdf in batches:
-            yield pdf.assign(ids=[hasher(t).tobytes() for t in pdf["text"]]).drop(columns="text").astype({"doc_id": "Int64"})
-
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, chunk long, ids binary")
-
-
-def _ids(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.int64) for x in column]
+    return docs.select("doc_id", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), "text")
 
 
 def word_counts(parts: DataFrame) -> DataFrame:
@@ -272,7 +252,7 @@ def word_counts(parts: DataFrame) -> DataFrame:
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, counts = [], []
         for held in (False, True):
-            ids = _ids(pdf["ids"][pdf["held_out"] == held])
+            ids = [token_hashes(t) for t in pdf["text"][pdf["held_out"] == held]]
             if ids:
                 h, n = np.unique(np.concatenate(ids), return_counts=True)
                 kept.append(h)
@@ -309,16 +289,16 @@ def trained(parts: DataFrame, model: Model) -> Model:
     ways = math.ceil(math.sqrt(units))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids"])  # in an order of its own, whatever way the rows came
-        trainer, waiting, ids = Trainer(model), 0, []
-        for k, x in enumerate(_ids(pdf["ids"])):
-            ids.append(x)
-            waiting += len(x)
+        pdf = pdf.sort_values(["doc_id", "text"])  # in an order of its own, whatever way the rows came
+        trainer, waiting, seen, ids = Trainer(model), 0, 0.0, []
+        for k, text in enumerate(pdf["text"]):
+            ids.append(token_hashes(text))
+            waiting += len(ids[-1])
+            seen += len(ids[-1])
             if waiting >= TRAIN_TOKENS or k == len(pdf) - 1:
                 classes, _ = model.classes(np.concatenate(ids))
                 trainer.train(model.contexts(classes, _starts([len(y) for y in ids])), classes)
                 waiting, ids = 0, []
-        seen = float(sum(len(x) for x in pdf["ids"]) // 8)
         flat = trainer.m.parameters().astype(np.float64) * seen
         blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
         return pd.DataFrame({"block": range(len(blocks)), "way": int(pdf["unit"].iloc[0]) % ways, "x": [b.tobytes() for b in blocks], "n": seen})
@@ -328,7 +308,7 @@ def trained(parts: DataFrame, model: Model) -> Model:
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "way": [pdf["way"].iloc[0]], "x": [total.tobytes()], "n": [pdf["n"].sum()]})
 
     schema = "block int, way int, x binary, n double"
-    learnt = parts.where("not held_out").select("doc_id", (F.col("chunk") % units).alias("unit"), "ids").groupBy("unit").applyInPandas(learn, schema)
+    learnt = parts.where("not held_out").select("doc_id", (F.col("chunk") % units).alias("unit"), "text").groupBy("unit").applyInPandas(learn, schema)
     # in two steps, so that no task adds up more than about the square root of the units
     mean = learnt.groupBy("block", "way").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).toPandas().sort_values("block")
     if not len(mean):
@@ -345,7 +325,7 @@ def scored(parts: DataFrame, known: DataFrame, model: Model, n: int, v: int) ->
             return pd.DataFrame({c: [] for c in columns})
         words = words.sort_values("h")
         hashes, counts = words["h"].to_numpy(np.int64), words["c"].to_numpy(np.float64)
-        ids = _ids(docs["ids"])
+        ids = [token_hashes(t) for t in docs["text"]]
         lengths = np.array([len(x) for x in ids])
         starts, h = _starts(lengths.tolist()), np.concatenate(ids)
         if len(hashes):
@@ -368,7 +348,7 @@ def scored(parts: DataFrame, known: DataFrame, model: Model, n: int, v: int) ->
 
 def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row per row of docs: learns from the documents outside the held-out fold, scores all."""
-    parts = saved(encoded(docs.select(F.col("doc_id").cast("long"), "text"), folds, held_out), "encoded")
+    parts = chunked(docs.select(F.col("doc_id").cast("long"), "text"), folds, held_out)
     counts = saved(word_counts(parts), "counts")
     totals = saved(counts.groupBy("h").agg(F.sum("own").alias("c")).where("c > 0"), "totals")
     known = counts.select("chunk", "h").join(totals, "h").select("chunk", "h", "c")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timetide.llm.common import WordHashes, saved
+from timetide.llm.common import saved, word_hashes
 from timetide.llm.components import components
 
 SHINGLE = 5
@@ -44,18 +44,17 @@ SEED = 20_240_229
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes; keeps the hashes of words it has met, within a bound."""
+    """Sets of 64-bit shingle hashes."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, WordHashes()
+        self.size = size
         rng = np.random.default_rng(SEED)
         self.powers = rng.integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
-        if not tokens:
+        h = word_hashes(text)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, tokens), np.uint64, len(tokens))
         n = min(self.size, len(h))
         out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
