@@ -41,8 +41,8 @@ def czech_holidays(spark, start_year: int, end_year: int) -> DataFrame:
     return years.select(F.explode(F.concat(fixed, F.array(F.date_sub(easter, 2), F.date_add(easter, 1)))).alias("day"))
 
 
-def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys, _sign; the distinct signatures: _sign, valid_from, valid_to, codes, notes).
+def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str], store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(keys, _sign; the distinct signatures: _sign, valid_from, valid_to, codes, notes); with store, of a written table.
 
     A trip's days depend on its validity, codes and notes only, so they are worked out once per signature."""
     typed = notes.where("note_type is not null").select(*keys, "note_type", "date_from", "date_to")
@@ -50,6 +50,7 @@ def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str]) -> tuple[D
     known = trips.select(*keys, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(listed, keys, "left")
     sign = ["valid_from", "valid_to", "codes", "notes"]
     known = known.withColumn("_sign", F.xxhash64(*sign))
+    known = cut(known) if store else known
     return known.select(*keys, "_sign"), known.select("_sign", *sign).dropDuplicates(["_sign"])
 
 
@@ -93,7 +94,7 @@ def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, ke
     The same as compact_calendar over service_days, made once per distinct signature and written: changes
     are sorted (day, exception_type); a plan by list has neither pattern nor range. Signatures that come
     to the same calendar share a plan."""
-    known, plans = signed_trips(trips, notes, keys)
+    known, plans = signed_trips(trips, notes, keys, store=True)
     listed = signature_days(plans, holidays).groupBy("_sign").agg(
         F.collect_list(F.when(F.col("runs"), F.col("day"))).alias("on"),
         F.collect_list(F.when(F.col("runs") != F.col("planned"), F.struct("day", F.when(F.col("runs"), 1).otherwise(2).alias("exception_type")))).alias("differ"),
@@ -103,7 +104,8 @@ def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, ke
     made = plans.join(listed.where(F.size("on") > 0), "_sign")
     made = made.select("_sign", F.when(~by_list, F.col("valid_from")).alias("valid_from"), F.when(~by_list, F.col("valid_to")).alias("valid_to"), F.when(~by_list, weekly_pattern(F.col("codes"))).alias("pattern"), F.sort_array(changes).alias("changes"))
     made = cut(made.withColumn("plan", F.sha2(F.to_json(F.struct("valid_from", "valid_to", "pattern", "changes")), 256)))
-    return known.join(made.select("_sign", "plan"), "_sign").drop("_sign"), made.drop("_sign").dropDuplicates(["plan"])
+    services = cut(known.join(made.select("_sign", "plan"), "_sign").drop("_sign"))
+    return services, made.drop("_sign").dropDuplicates(["plan"])
 
 
 def calendar_names(services: DataFrame, plans: DataFrame, service: str, within: list[str] | None = None) -> DataFrame:
