@@ -95,10 +95,29 @@ class Model:
         other = self.bucket_class[hashes % len(self.bucket_class)]
         if not len(self.tops):
             return other, np.zeros(len(hashes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.tops, hashes), len(self.tops) - 1)
+        shift, places = self.places()
+        at = places[(hashes >> shift) & (len(places) - 1)]
         own = self.tops[at] == hashes
         return np.where(own, self.top_class[at], other), own
 
+    def places(self) -> tuple[int, np.ndarray]:
+        """A table of where in tops a hash can be, by bits of the hash in which no two tops agree."""
+        if "_places" not in self.__dict__:
+            bits = 20
+            while True:
+                for shift in range(0, 63 - bits, 3):
+                    keys = (self.tops >> shift) & ((1 << bits) - 1)
+                    if len(np.unique(keys)) == len(keys):
+                        places = np.zeros(1 << bits, dtype=np.int32)
+                        places[keys] = np.arange(len(keys))
+                        self.__dict__["_places"] = shift, places
+                        return self.__dict__["_places"]
+                bits += 1
+        return self.__dict__["_places"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}
+
     def contexts(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """k * (class before the last) + last class, for each token; END stands before a text."""
         k, end = len(self.mass), int(self.classes(np.array([END]))[0][0])
@@ -328,19 +347,25 @@ def scored(parts: DataFrame, known: DataFrame, model: Model, n: int, v: int) ->
         ids = [token_hashes(t) for t in docs["text"]]
         lengths = np.array([len(x) for x in ids])
         starts, h = _starts(lengths.tolist()), np.concatenate(ids)
+        # what a word brings is worked out once per distinct word; the last place stands for all unknown ones
+        base = np.log10((np.append(counts, 0.0) + 0.5) / (n + 0.5 * (v + 1)))
+        at = np.full(len(h), len(hashes))
         if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            c = np.where(hashes[at] == h, counts[at], 0.0)
-        else:
-            c = np.zeros(len(h))
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            found = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            at = np.where(hashes[found] == h, found, at)
         log_p = np.zeros(len(h))
         if n:
-            classes, own = model.classes(h)
+            classes, _ = model.classes(h)
             log_p = model.log_probability(classes, model.contexts(classes, starts))
-            log_p += np.where(own, 0.0, np.log((c + 0.5) / model.mass[classes]))
+            of_word, own = model.classes(hashes)
+            shares = np.where(own, 0.0, np.log((counts + 0.5) / model.mass[of_word]))
+            log_p += np.append(shares, 0.0)[at]
+            unknown = at == len(hashes)
+            log_p[unknown] += np.log(0.5 / model.mass[classes[unknown]])
+        known_ = (at < len(hashes)).astype(np.int64)
+        base = base[at]
         sums = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(), "n_tokens": lengths, "n_known": sums((c > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(base), "score": sums(log_p) / math.log(10)}, columns=columns).astype({"doc_id": "Int64"})
+        return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(), "n_tokens": lengths, "n_known": sums(known_), "train_tokens": n, "base_score": sums(base), "score": sums(log_p) / math.log(10)}, columns=columns).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
