@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import embeddings, fingerprints, langid, language_model, line_dedup, minhash, mixing, packing, token_counts, warc
+from timetide.llm import embeddings, fingerprints, langid, language_model, lexical_search, line_dedup, minhash, mixing, packing, token_counts, warc
 from timetide.llm.common import table
 
 
@@ -54,12 +54,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_warc, op7_token_counts, op8_lm_scoring, op9_language_id, op10_source_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_warc, op7_token_counts, op8_lm_scoring, op9_language_id, op10_source_mixing, op11_lexical_search, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_lexical_search": lexical_search.ORACLE}
