@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import embeddings, fingerprints, html_extraction, langid, language_model, lexical_search, line_dedup, minhash, mixing, packing, token_counts, warc
+from timetide.llm import embeddings, fingerprints, html_extraction, langid, language_model, lexical_search, line_dedup, minhash, mixing, packing, token_alignment, token_counts, warc
 from timetide.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extraction.extract(pages, html_extraction.fit(pages))
@@ -69,6 +74,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_warc, op7_token_counts, op8_lm_scoring, op9_language_id, op10_source_mixing, op11_lexical_search, op13_html_extraction, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_warc, op7_token_counts, op8_lm_scoring, op9_language_id, op10_source_mixing, op11_lexical_search, op12_token_alignment, op13_html_extraction, pipeline)}
 
 ORACLES: dict[str, str] = {"op11_lexical_search": lexical_search.ORACLE}
