@@ -128,24 +128,51 @@ def test_realtime_json(spark):
     texts = lambda s: spark.createDataFrame([(s,)], "json string")
     assert tuple(realtime.stops_from_geojson(texts(geo)).first()) == ("-PIDS-U1", "Anděl", 50.1, 14.5)
     assert tuple(realtime.train_summary(texts(trains)).first()) == (7, "Os-1234", 50.0, 14.0)
-    snap = '{"timestamp":"05.01.2024 10:00:00","result":[{"id":"1","point":"Brno","planned":"10:05","measured":"","staying":true}]}'
-    assert tuple(realtime.train_snapshots(texts(snap)).first())[1:] == ("1", "Brno", True, 36_300, None)
+    snap = '{"md":"05.01.2024 10:00:00","success":true,"result":[{"type":"Feature","properties":{"id":"x/1/2/3/4/20240105","tt":"Os","tn":"1234","na":"","cna":"Brno","de":2,"cp":"10:05","cr":"","rr":1}}]}'
+    messages = [(7, snap), (8, snap.replace("10:05", "25:05")), (9, snap.replace("05.01", "35.01")), (10, "nothing"), (11, None), (12, '{"md":"05.01.2024 10:00:00","result":[]}')]
+    rows, rejects = realtime.train_snapshots(spark.createDataFrame(messages, "seq long, json string"))
+    assert [tuple(r) for r in rows.collect()] == [(7, datetime.datetime(2024, 1, 5, 10), "x/1/2/3/4/20240105", "Brno", True, 36_300, None, "Os 1234 ")]
+    assert sorted((r["seq"], r["reason"]) for r in rejects.collect()) == [(8, "train without id or times"), (9, "time of the response"), (10, "no response"), (11, "no response")]
+
+
+def vehicle(trip="t", kind=0, start="2024-06-30T22:30:00.000Z", positions=None, **last):
+    """A trip as the source gives it."""
+    stop = dict(id="U1", sequence=3, arrival_time="2024-07-01T09:50:00.000Z", departure_time="2024-07-01T09:51:00.000Z") | last
+    at = {"type": "Feature", "geometry": {"type": "Point", "coordinates": [14.0, 50.0]}, "properties": {"origin_timestamp": "2024-07-01T10:00:00.000Z", "last_stop": stop, "delay": {"actual": 60, "last_stop_arrival": None, "last_stop_departure": 60}}}
+    trip = {"gtfs": {"trip_id": trip, "route_id": "L9", "route_short_name": "9"}, "cis": {"line_id": "none", "trip_number": 1042}, "vehicle_type": None if kind is None else {"id": kind, "description_en": "bus"}, "start_timestamp": start}
+    return {"type": "Feature", "geometry": at["geometry"], "properties": {"trip": trip, "all_positions": {"type": "FeatureCollection", "features": [at, at] if positions is None else positions}}}
 
 
 def test_vehicle_positions(spark):
     import json
 
-    def message(**more):
-        at = dict(origin_timestamp="2024-07-01T10:00:00Z", lat=50.0, lon=14.0, last_stop_id="U1", last_stop_sequence=3, last_stop_arrival_time="2024-07-01T09:50:00Z", last_stop_departure_time="2024-07-01T09:51:00Z", delay_arrival=None, delay_departure=60)
-        return json.dumps(dict(gtfs_trip_id="t", gtfs_route_id="r", gtfs_trip_short_name=None, gtfs_route_short_name="9", vehicle_type=3 if more.get("train") else 0, start_timestamp="2024-06-30T22:30:00Z", positions=[at, dict(at, lat=1.0)]) | {k: v for k, v in more.items() if k != "train"})
-
-    rows = [(1, message()), (2, message(vehicle_type=None)), (3, message(train=True)), (4, "{}")]
+    response = lambda *trips: json.dumps({"type": "FeatureCollection", "features": trips})
+    unplaced = [{"geometry": {"coordinates": [14.0]}, "properties": {"origin_timestamp": "2024-07-01T10:00:00.000Z", "last_stop": {}, "delay": {}}}]
+    rows = [
+        (1, response(vehicle(), vehicle("train", None), vehicle("three", 3, sequence=None, arrival_time=None))), (2, response(vehicle(None), vehicle("late", start="2024-06-30 22:30"), vehicle("empty", positions=[]))),
+        (3, response(vehicle("a", arrival_time=None), vehicle("b", positions=unplaced), vehicle("c", id=None))), (4, "{}"), (5, "<html>"), (6, None), (7, response()),
+    ]
     coords, stops, details, rejected = realtime.process_positions(spark.createDataFrame(rows, "seq long, json string"))
-    c = coords.collect()
-    assert len(c) == 1 and c[0]["lat"] == 50.0 and c[0]["trip_start_date"] == D(2024, 7, 1) and c[0]["observation_time"] == datetime.datetime(2024, 7, 1, 12)
-    s = stops.collect()
-    assert len(s) == 1 and s[0]["arrived"] == datetime.datetime(2024, 7, 1, 11, 51) and s[0]["departed"] == datetime.datetime(2024, 7, 1, 11, 52) and s[0]["stop_id"] == "-PIDS-U1"
-    assert details.first()["route_short_name"] == "9" and [r["seq"] for r in rejected.collect()] == [4]
+    c = {r["trip_id"]: r for r in coords.collect()}
+    assert c.keys() == {"-PIDT-t", "-PIDT-three"} and c["-PIDT-t"]["lat"] == 50.0 and c["-PIDT-t"]["lon"] == 14.0
+    assert c["-PIDT-t"]["trip_start_date"] == D(2024, 7, 1) and c["-PIDT-t"]["observation_time"].astimezone(datetime.UTC).replace(tzinfo=None) == datetime.datetime(2024, 7, 1, 10)
+    (s,) = stops.collect()
+    at = lambda h, m: datetime.datetime(2024, 7, 1, h, m)
+    assert (s["stop_id"], s["trip_stop_index"], s["arrived_at"], s["should_arrive_at"], s["departed_at"], s["should_depart_at"]) == ("-PIDS-U1", 3, at(11, 51), at(11, 50), at(11, 52), at(11, 51))
+    assert {(r["trip_id"], r["route_id"], r["short_name"], r["route_short_name"]) for r in details.collect()} == {(f"-PIDT-{t}", "-PIDT-L9", "9 (1042)", "9") for t in ("t", "three", "empty")}
+    assert sorted((r["seq"], r["item"] or "", r["reason"]) for r in rejected.collect()) == [
+        (2, "0", "no ids"), (2, "late", "start time"), (3, "a", "last stop without id or times"), (3, "b", "position without time or place"), (3, "c", "last stop without id or times"),
+        (4, "", "no response"), (5, "", "no response"), (6, "", "no response"),
+    ]
+    trains = realtime.process_positions(spark.createDataFrame(rows[:1], "seq long, json string"), no_trains=False)[2]
+    assert {r["trip_id"] for r in trains.collect()} == {"-PIDT-t", "-PIDT-three", "-PIDT-train"}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        again = realtime.process_positions(spark.createDataFrame(rows[:1], "seq long, json string"))
+        assert again[1].first()["arrived_at"] == at(11, 51) and again[2].first()["trip_start_date"] == D(2024, 7, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_dimensions(spark, tmp_path):

@@ -98,33 +98,70 @@ def _(s):
     return czptt.parse_messages(messages(s))[1].select("message_id", "pos", "code", "company", "arr_sec", "dep_sec", F.array_join("activities", ",").alias("activity"))
 
 
-POSITIONS = """pos AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS seq, CAST(ts AS DATE) AS day, date_trunc('second', ts) + INTERVAL 1 HOUR AS seen FROM events WHERE user_id % 7 > 0 AND user_id % 5 <> 3)"""
+#: What vehicles said in two polls a day, before noon and from six on, and why a trip cannot be read.
+POSITIONS = """e AS (SELECT *, CAST(ts AS DATE) AS day, date_trunc('second', ts) AS clock FROM events, (VALUES (0), (1)) v(r) WHERE (r = 0 AND hour(ts) < 12) OR (r = 1 AND hour(ts) >= 6)),
+  t AS (SELECT user_id, day, r, min(event_id) AS e0, bool_or(event_id % 499 = 0) AS b1, bool_or(event_id % 5 > 0 AND event_id % 211 = 0) AS b2 FROM e GROUP BY 1, 2, 3),
+  m AS (SELECT *, min(e0) OVER (PARTITION BY day, r, user_id % 5) * 2 + r AS msg, row_number() OVER (PARTITION BY day, r, user_id % 5 ORDER BY user_id) - 1 AS place,
+    CASE WHEN user_id % 7 = 1 AND day(day) % 10 = 3 THEN 'no ids' WHEN user_id % 7 = 2 AND day(day) % 10 = 4 THEN 'start time' WHEN b1 THEN 'position without time or place' WHEN b2 THEN 'last stop without id or times' END AS reason FROM t),
+  pos AS (SELECT e.*, msg * 1048576 + place AS seq, '-PIDT-' || e.user_id AS trip_id FROM e JOIN m ON m.user_id = e.user_id AND m.day = e.day AND m.r = e.r WHERE e.user_id % 7 > 0 AND reason IS NULL)"""
+STOP_ROWS = """s AS (SELECT seq, trip_id, day AS trip_start_date, CAST(event_id % 8 AS INT) AS trip_stop_index, '-PIDS-U' || event_id % 60 AS stop_id,
+    CAST(clock + INTERVAL 1 HOUR + to_seconds(60 + coalesce(CASE WHEN event_id % 2 > 0 THEN event_id % 90 END, CASE WHEN event_id % 3 > 0 THEN event_id % 70 END, 0)) AS STRING) AS arrived,
+    CAST(clock + INTERVAL 1 HOUR + to_seconds(120 + coalesce(CASE WHEN event_id % 3 > 0 THEN event_id % 70 END, 0)) AS STRING) AS departed
+    FROM (SELECT *, row_number() OVER (PARTITION BY seq, event_id % 8 ORDER BY event_id) AS n FROM pos WHERE event_id % 5 > 0) x WHERE n = 1)"""
+
+
+def positions(s):
+    """seq, json: responses of a vehicle source, two polls a day in five pages each; every seventh trip is a train. One junk message per nation."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
+    later = lambda n: iso(F.timestamp_add("SECOND", F.lit(n), C("ts")))
+    e, u, some = C("event_id"), C("user_id"), lambda ok, c: F.when(ok, c)
+    last = F.struct(F.concat(F.lit("U"), text(e % 60)).alias("id"), some(e % 5 > 0, (e % 8).cast("int")).alias("sequence"), some(e % 211 > 0, later(60)).alias("arrival_time"), later(120).alias("departure_time"))
+    delay = F.struct(some(e % 2 > 0, (e % 90).cast("int")).alias("last_stop_arrival"), some(e % 3 > 0, (e % 70).cast("int")).alias("last_stop_departure"))
+    point = F.struct(F.lit("Point").alias("type"), F.array((e % 777).cast("double"), (e % 1000).cast("double")).alias("coordinates"))
+    seen = F.struct(point.alias("geometry"), F.struct(F.when(e % 499 == 0, "yesterday").otherwise(iso(C("ts"))).alias("origin_timestamp"), last.alias("last_stop"), delay.alias("delay")).alias("properties"))
+    polls = s.events.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1)))).where("(r = 0 and hour(ts) < 12) or (r = 1 and hour(ts) >= 6)").withColumn("day", F.to_date("ts"))
+    trips = polls.groupBy("user_id", "day", "r").agg(F.min("event_id").alias("e0"), F.transform(F.sort_array(F.collect_list(F.struct("event_id", seen.alias("x")))), lambda p: p["x"]).alias("features"))
+    gtfs = F.struct(some((u % 7 != 1) | (F.day("day") % 10 != 3), text(u)).alias("trip_id"), F.concat(F.lit("r"), text(u % 9)).alias("route_id"), text(u % 4).alias("route_short_name"))
+    kind = some(u % 7 > 0, F.struct((u % 5).cast("int").alias("id"), F.lit("kind").alias("description_en")))
+    start = F.when((u % 7 == 2) & (F.day("day") % 10 == 4), "soon").otherwise(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T12:00:00.000Z")))
+    trip = F.struct(gtfs.alias("gtfs"), F.struct((u % 100).cast("int").alias("trip_number")).alias("cis"), kind.alias("vehicle_type"), start.alias("start_timestamp"))
+    feature = F.struct("user_id", F.struct(F.struct(trip.alias("trip"), F.struct("features").alias("all_positions")).alias("properties")).alias("x"))
+    pages = trips.groupBy("day", "r", u % 5).agg((F.min("e0") * 2 + C("r")).alias("seq"), F.transform(F.sort_array(F.collect_list(feature)), lambda f: f["x"]).alias("features"))
+    return pages.select("seq", F.to_json(F.struct("features")).alias("json")).union(s.sql("SELECT -1 - CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN n_nationkey % 2 = 0 THEN '<html>' ELSE '{\"error\": 1}' END AS json FROM nation"))
+
+
+@query("src6_rt2_coordinates", f"WITH {POSITIONS} SELECT seq, trip_id, day AS trip_start_date, CAST(clock AS STRING) AS seen, lat, lon FROM (SELECT *, CAST(event_id % 1000 AS DOUBLE) AS lat, CAST(event_id % 777 AS DOUBLE) AS lon, row_number() OVER (PARTITION BY seq, clock ORDER BY event_id) AS n FROM pos) x WHERE n = 1")
+def _(s):
+    coords = realtime.process_positions(positions(s))[0]
+    return coords.select("seq", "trip_id", "trip_start_date", F.date_format("observation_time", "yyyy-MM-dd HH:mm:ss").alias("seen"), "lat", "lon")
 
 
-def vehicles(s):
-    """seq, json: what a vehicle said of its trip on a day; every seventh has no type."""
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    e, some = C("event_id"), lambda ok, c: F.when(ok, c)
-    one = F.struct(
-        e.alias("_e"), iso(C("ts")).alias("origin_timestamp"), some(e % 13 > 0, (e % 1000).cast("double")).alias("lat"), (e % 777).cast("double").alias("lon"), F.concat(F.lit("U"), text(e % 60)).alias("last_stop_id"),
-        some(e % 5 > 0, (e % 8).cast("int")).alias("last_stop_sequence"), iso(F.timestamp_add("SECOND", F.lit(60), C("ts"))).alias("last_stop_arrival_time"), some(e % 2 > 0, (e % 90).cast("int")).alias("delay_arrival"), some(e % 3 > 0, (e % 70).cast("int")).alias("delay_departure"),
-    )
-    trips = s.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("seq"), F.sort_array(F.collect_list(one)).alias("positions"))
-    u = C("user_id")
-    message = F.struct(text(u).alias("gtfs_trip_id"), F.concat(F.lit("r"), text(u % 9)).alias("gtfs_route_id"), text(u % 4).alias("gtfs_route_short_name"), some(u % 7 > 0, (u % 5).cast("int")).alias("vehicle_type"), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T12:00:00Z")).alias("start_timestamp"), "positions")
-    return trips.select("seq", F.to_json(message).alias("json"))
+def stop_times(stops):
+    return stops.select("seq", "trip_id", "trip_start_date", "trip_stop_index", "stop_id", F.date_format("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived"), F.date_format("departed_at", "yyyy-MM-dd HH:mm:ss").alias("departed"))
 
 
-@query("src6_rt2_coordinates", f"WITH {POSITIONS} SELECT seq, '-PIDT-' || user_id AS trip_id, day AS trip_start_date, CAST(seen AS STRING) AS seen, lat FROM (SELECT *, CAST(event_id % 1000 AS DOUBLE) AS lat, row_number() OVER (PARTITION BY user_id, day, seen ORDER BY event_id) AS n FROM pos WHERE event_id % 13 > 0) x WHERE n = 1")
+@query("src6_rt2_stop_rows", f"WITH {POSITIONS}, {STOP_ROWS} SELECT * FROM s")
 def _(s):
-    coords = realtime.process_positions(vehicles(s))[0]
-    return coords.select("seq", "trip_id", "trip_start_date", F.date_format("observation_time", "yyyy-MM-dd HH:mm:ss").alias("seen"), "lat")
+    return stop_times(realtime.process_positions(positions(s))[1])
+
+
+@query("src6_rt2_details", f"WITH {POSITIONS} SELECT DISTINCT seq, trip_id, day AS trip_start_date, '-PIDT-r' || user_id % 9 AS route_id, (user_id % 4) || ' (' || (user_id % 100) || ')' AS short_name, CAST(user_id % 4 AS STRING) AS route_short_name FROM pos")
+def _(s):
+    return realtime.process_positions(positions(s))[2]
+
+
+@query("src6_rt2_all_trips", f"WITH {POSITIONS} SELECT CAST(count(*) AS BIGINT) AS trips, CAST(count(*) FILTER (WHERE user_id % 7 = 0) AS BIGINT) AS trains FROM m WHERE reason IS NULL")
+def _(s):
+    details = realtime.process_positions(positions(s), no_trains=False)[2]
+    return details.agg(F.count("*").alias("trips"), F.count(F.when(F.substring("trip_id", 7, 20).cast("int") % 7 == 0, 1)).alias("trains"))
+
+
+REJECTS = f"WITH {POSITIONS} SELECT msg AS seq, CASE WHEN reason = 'no ids' THEN CAST(place AS STRING) ELSE CAST(user_id AS STRING) END AS item, reason FROM m WHERE user_id % 7 > 0 AND reason IS NOT NULL UNION ALL SELECT -1 - n_nationkey, NULL, 'no response' FROM nation"
 
 
-@query("src6_rt2_stop_rows", f"WITH {POSITIONS} SELECT seq, '-PIDT-' || user_id AS trip_id, CAST(event_id % 8 AS INT) AS trip_stop_index, '-PIDS-U' || event_id % 60 AS stop_id, CAST(seen + to_seconds(60 + coalesce(CASE WHEN event_id % 2 > 0 THEN event_id % 90 END, CASE WHEN event_id % 3 > 0 THEN event_id % 70 END, 0)) AS STRING) AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, event_id % 8 ORDER BY event_id) AS n FROM pos WHERE event_id % 5 > 0) x WHERE n = 1")
+@query("src6_rt2_rejects", REJECTS)
 def _(s):
-    stops = realtime.process_positions(vehicles(s))[1]
-    return stops.select("seq", "trip_id", "trip_stop_index", "stop_id", F.date_format("arrived", "yyyy-MM-dd HH:mm:ss").alias("arrived"))
+    return realtime.process_positions(positions(s))[3].drop("json")
 
 
 @query("src7_stops_from_geojson", "SELECT '-PIDS-' || s_suppkey AS id, s_name AS name, 48 + s_suppkey % 64 / 64 AS lat, 14 + s_suppkey % 32 / 32 AS lon FROM supplier")
@@ -134,13 +171,31 @@ def _(s):
     return realtime.stops_from_geojson(pages)
 
 
-@query("src8_train_snapshots", "SELECT CAST(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(snapshot_no * 21600) AS STRING) AS taken, train, last_point, staying, planned, CASE WHEN measured % 420 > 0 THEN measured END AS measured FROM snapshots")
-def _(s):
+def responses(s):
+    """seq, json: responses of the train map, one per snapshot; every 97th has a time that is none, and one junk message per nation."""
     at = F.timestamp_add("SECOND", C("snapshot_no") * 21_600, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     short = lambda c: F.substring(clock(C(c)), 1, 5)
-    row = F.struct(C("train").alias("id"), C("last_point").alias("point"), short("planned").alias("planned"), F.when(C("measured") % 420 > 0, short("measured")).otherwise("").alias("measured"), "staying")
-    texts = s.snapshots.groupBy(at.alias("at")).agg(F.collect_list(row).alias("result")).select(F.to_json(F.struct(F.date_format("at", "dd.MM.yyyy HH:mm:ss").alias("timestamp"), "result")).alias("json"))
-    return realtime.train_snapshots(texts).withColumn("taken", F.date_format("taken", "yyyy-MM-dd HH:mm:ss"))
+    number = F.substring("train", 2, 10)
+    name = F.when(number.cast("int") % 13 == 0, C("train")).otherwise(F.concat(F.lit("x/"), number, F.lit("/c/v/y"), F.lit("/20240101")))
+    of = F.struct(name.alias("id"), F.lit("Os").alias("tt"), number.alias("tn"), F.lit("").alias("na"), C("last_point").alias("cna"), short("planned").alias("cp"), F.when(C("measured") % 420 > 0, short("measured")).otherwise("").alias("cr"), C("staying").cast("int").alias("rr"), F.lit(3).alias("de"))
+    each = s.snapshots.groupBy("snapshot_no", at.alias("at")).agg(F.collect_list(F.struct(of.alias("properties"))).alias("result"))
+    time = F.when(C("snapshot_no") % 97 == 96, "now").otherwise(F.date_format("at", "dd.MM.yyyy HH:mm:ss"))
+    texts = each.select(C("snapshot_no").cast("long").alias("seq"), F.to_json(F.struct(time.alias("md"), "result")).alias("json"))
+    return texts.union(s.sql("SELECT -1 - CAST(n_nationkey AS BIGINT) AS seq, '[]' AS json FROM nation"))
+
+
+SNAPSHOTS = """p AS (SELECT *, CAST(substr(train, 2) AS BIGINT) AS no, CASE WHEN measured % 420 > 0 THEN measured END AS m FROM snapshots WHERE snapshot_no % 97 < 96),
+  sn AS (SELECT snapshot_no, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(snapshot_no * 21600) AS STRING) AS taken, CASE WHEN no % 13 = 0 THEN train ELSE 'x/' || no || '/c/v/y/20240101' END AS train, last_point, staying, planned, m AS measured, 'Os ' || no || ' ' AS short_name FROM p)"""
+
+
+@query("src8_train_snapshots", f"WITH {SNAPSHOTS} SELECT * FROM sn")
+def _(s):
+    return realtime.train_snapshots(responses(s))[0].withColumn("taken", F.date_format("taken", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("src8_rejects", "SELECT DISTINCT CAST(snapshot_no AS BIGINT) AS seq, 'time of the response' AS reason FROM snapshots WHERE snapshot_no % 97 = 96 UNION ALL SELECT -1 - n_nationkey, 'no response' FROM nation")
+def _(s):
+    return realtime.train_snapshots(responses(s))[1].select("seq", "reason")
 
 
 @query("src9_train_summary", "SELECT o_orderkey AS id, 'Os-' || o_orderkey AS trip_id, 48 + o_orderkey % 64 / 64 AS lat, 14 + o_orderkey % 32 / 32 AS lon FROM orders")

@@ -39,16 +39,32 @@ def upsert_coord_history(rows: DataFrame) -> DataFrame:
     return last_write(rows, [*RUN, "observation_time"])
 
 
-def truncate_tail(rows: DataFrame) -> DataFrame:
-    """upsert_stop_history with tails cut: a row goes if any later write of its run had no index as high.
+def tail_log(writes: DataFrame) -> DataFrame:
+    """trip_id, trip_start_date, seq, top: of the writes (seq, top: highest index) of each run those that can still cut a tail.
 
-    A write is all rows of one (run, seq); writes without rows are not seen and so ignored."""
-    writes = rows.groupBy(*RUN, "seq").agg(F.max("trip_stop_index").alias("top"))
+    A write that a later one reaches no further than says nothing more, so that of a run at most one write per
+    index stays, and the log of a union of logs is that of all their writes."""
+    per = writes.groupBy(*RUN, "seq").agg(F.max("top").alias("top"))
     later = Window.partitionBy(*RUN).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    shortest = writes.select(*[F.col(c).alias(f"_{c}") for c in (*RUN, "seq")], F.min("top").over(later).alias("shortest"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*RUN, "seq")]  # a run without a day is one too
-    kept = upsert_stop_history(rows).join(shortest, same)
-    return kept.where("shortest is null or trip_stop_index <= shortest").drop("shortest", *[f"_{c}" for c in (*RUN, "seq")])
+    return per.withColumn("_later", F.min("top").over(later)).where("_later is null or top < _later").drop("_later")
+
+
+def writes_of(rows: DataFrame) -> DataFrame:
+    """A write is all rows of one (run, seq); writes without rows are not seen and so ignored."""
+    return rows.groupBy(*RUN, "seq").agg(F.max("trip_stop_index").alias("top"))
+
+
+def truncate_tail(rows: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """upsert_stop_history with tails cut: a row goes if any later write of its run had no index as high.
+
+    Where rows are what is left of earlier writes, log (tail_log) has all the writes; else rows tell them."""
+    log = tail_log(writes_of(rows)) if log is None else log
+    last = upsert_stop_history(rows)
+    row = F.struct(*last.columns)
+    both = last.select(*RUN, "seq", F.lit(None).cast("int").alias("top"), row.alias("row")).unionByName(log.select(*RUN, "seq", "top"), allowMissingColumns=True)
+    later = Window.partitionBy(*RUN).orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    kept = both.withColumn("shortest", F.min("top").over(later)).where("row is not null and (shortest is null or row.trip_stop_index <= shortest)")
+    return kept.select("row.*")
 
 
 def upsert_trip_details(rows: DataFrame) -> DataFrame:
@@ -87,8 +103,8 @@ def snapshot_delta(snapshots: DataFrame) -> DataFrame:
     return delta_rows(rows)
 
 
-def delta_rows(rows: DataFrame) -> DataFrame:
-    """The row for a changed record next to its older one (`old`, may be null); shared with the stream."""
+def delta_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """The row for a changed record next to its older one (`old`, may be null), and the columns `more`; shared with the stream."""
     left = F.coalesce(~F.col("staying") & F.col("old.staying") & (F.col("old.last_point") == F.col("last_point")), F.lit(False))
     missing = F.col("planned").isNull() | F.col("measured").isNull() | (left & (F.col("old.planned").isNull() | F.col("old.measured").isNull()))
     kind = F.when(missing, "error").when(F.col("staying"), "arrival").when(left, "full").otherwise("departure")
@@ -96,7 +112,7 @@ def delta_rows(rows: DataFrame) -> DataFrame:
     index = (F.floor(at / 60) % 60 + 100 * F.floor(at / 3600)).cast("int")
     here = lambda c: F.when(kind == "arrival", F.col(c)).when(kind == "full", F.col(f"old.{c}"))
     gone = lambda c: F.when(kind.isin("full", "departure"), F.col(c))
-    return rows.select("train", "snapshot_no", F.col("last_point").alias("stop"), F.when(kind != "error", index).alias("stop_index"), here("measured").alias("arrived"), here("planned").alias("should_arrive"), gone("measured").alias("departed"), gone("planned").alias("should_depart"), kind.alias("kind"))
+    return rows.select("train", "snapshot_no", F.col("last_point").alias("stop"), F.when(kind != "error", index).alias("stop_index"), here("measured").alias("arrived"), here("planned").alias("should_arrive"), gone("measured").alias("departed"), gone("planned").alias("should_depart"), kind.alias("kind"), *more)
 
 
 def date_bare_times(times: DataFrame, keys: list[str], order: str = "pos", time: str = "time_sec") -> DataFrame:
@@ -138,6 +154,23 @@ def day_of_bare_time(time: Column, clock_date: Column, clock_sec: Column, litera
     return F.when(ahead, F.date_sub(clock_date, 1)).otherwise(clock_date)
 
 
+def delta_stop_rows(deltas: DataFrame, stops: DataFrame, prefix: str = "SZMAPAST-") -> DataFrame:
+    """Stop rows of delta_rows with `taken` and `short_name`: trip and day from the train's id, ids of stops by name, times with
+    their days. A train id of another form gives a null trip_id."""
+    part = F.split("train", "/")
+    at = lambda k: F.get(part, F.lit(k))
+    trip = F.concat(F.lit("-CZTRAINT-"), at(4), F.lit(":"), at(1), F.lit(":"), at(2), F.lit(":"), at(3))
+    start = F.when(at(5).rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(at(5), 1, 4), F.substring(at(5), 5, 2), F.substring(at(5), 7, 2))).try_cast("date")
+    day, clock = F.to_date("taken"), (F.hour("taken") * 3600 + F.minute("taken") * 60 + F.second("taken"))
+    time = lambda c: F.when(F.col(c).isNotNull(), day_of_bare_time(F.col(c), day, clock, literal=True).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(c).cast("decimal(18,6)")))
+    named = stop_ids(deltas.withColumn("stop_name", F.col("stop")), stops, prefix)
+    return named.select(
+        F.when(start.isNotNull(), trip).alias("trip_id"), start.alias("trip_start_date"), F.col("stop_index").alias("trip_stop_index"), "stop_id", F.lit("Europe/Prague").alias("time_zone"),
+        time("arrived").alias("arrived_at"), time("should_arrive").alias("should_arrive_at"), time("departed").alias("departed_at"), time("should_depart").alias("should_depart_at"),
+        F.col("kind").isin("arrival", "full").alias("stopped"), F.col("snapshot_no").cast("long").alias("seq"), "train", "kind", "short_name",
+    )
+
+
 def stop_ids(names: DataFrame, stops: DataFrame, prefix: str) -> DataFrame:
     """names (stop_name) with stop_id: the smallest id of that name, else prefix and the name with underscores."""
     ids = stops.groupBy(F.col("name").alias("stop_name")).agg(F.min("id").alias("_id"))
