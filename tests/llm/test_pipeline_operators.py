@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -152,30 +153,43 @@ def test_line_dedup_exact_lines_brute_force(spark):
                 assert any(len(k) == len(key) and sum(x == y for x, y in zip(k, key)) >= 0.6 * len(key) for k in n_docs if k != key)
 
 
-def brute_line_drops(texts: dict, min_tokens: int) -> set:
-    """(doc_id, line_no) of the lines to drop, by comparing all lines of a leaf."""
+def line_templates(form: tuple) -> set:
+    """All templates of a masked line."""
+    n, out = len(form), {form}
+    open_tokens = (n - n * 4 // 5) if n % 5 == 0 else n // 5
+    if n < 4 or not open_tokens:
+        return out
+    step, most = max(1, open_tokens // 2), min(2, open_tokens)
+    runs = [form[i : i + step] for i in range(4, n, step)]
+    for hidden in itertools.combinations_with_replacement(range(len(runs)), 2):
+        if most == 2 or hidden[0] == hidden[1]:
+            out.add((form[:4], n, hidden, tuple(r for k, r in enumerate(runs) if k not in hidden)))
+    return out
+
+
+def brute_line_drops(texts, min_tokens: int) -> set:
+    """(doc, line_no) of the lines to drop, one form after the other in the order of their first lines. texts: {doc: text}, docs in order."""
+    docs, first = defaultdict(set), {}
     lines = []
-    for doc_id, text in texts.items():
-        for number, line in enumerate((text or "").encode().split(b"\n")):
+    for doc in sorted(texts):
+        for number, line in enumerate((texts[doc] or "").encode().split(b"\n")):
             t = line.split()
             if t and len(t) >= min_tokens:
-                lines.append((doc_id, number, tuple(b"<*>" if len(t) >= 4 and any(48 <= c <= 57 for c in x) else x for x in t)))
-    forms = {f for _, _, f in lines}
-    leaves, links = defaultdict(list), []
-    for f in forms:
-        leaves[len(f), f[:4]].append(f)
-    for (n, _), own in leaves.items():
-        open_tokens = (n - n * 4 // 5) if n % 5 == 0 else n // 5
-        if n < 4 or not open_tokens:
-            continue
-        step, most = max(1, open_tokens // 2), min(2, open_tokens)
-        for k, x in enumerate(own):
-            links += [(x, y) for y in own[:k] if sum(x[i : i + step] != y[i : i + step] for i in range(4, n, step)) <= most]
-    group = reachable(forms, links)
-    docs = defaultdict(set)
-    for doc_id, _, f in lines:
-        docs[group[f]].add(doc_id)
-    return {(d, i) for d, i, f in lines if len(docs[group[f]]) > 1 and d != min(docs[group[f]])}
+                form = tuple(b"<*>" if len(t) >= 4 and any(48 <= c <= 57 for c in x) else x for x in t)
+                lines.append((doc, number, form))
+                first.setdefault(form, doc)
+                for template in line_templates(form):
+                    docs[template].add(doc)
+    held, goes = defaultdict(set), {}
+    for form in first:
+        recurring = [t for t in line_templates(form) if len(docs[t]) > 1]
+        for_it = set().union(*[held[t] for t in recurring])
+        if for_it:
+            goes[form] = for_it
+        else:
+            for t in recurring:
+                held[t].add(first[form])
+    return {(d, i) for d, i, f in lines if any(d != x for x in goes.get(f, {first[f]})) and (f in goes or len(docs[f]) > 1)}
 
 
 def line_drops(frame, **options) -> set:
@@ -216,6 +230,51 @@ def test_line_dedup_templates_of_one_leaf(spark):
         assert line_drops(frame) == {(i, 0) for i in range(n_a + n_b) if i not in (0, n_a)}
 
 
+def test_line_dedup_shared_ids(spark):
+    """Rows of one id are documents of their own: what only one of them has stays."""
+    rows = [(2, "unique first line of this row here\nalpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon\nnever seen text of the other row"), (2, "alpha beta gamma delta epsilon\nnever seen text of the other row"), (3, "alpha beta gamma delta epsilon\nthird"), (None, "alpha beta gamma delta epsilon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("x")).withColumn("doc", F.lit(1))
+    out = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs, min_tokens=1).drop("line_dedup").collect()]
+    assert len(out) == 5 and (None, rows[4][1]) in out and (3, "third") in out
+    text = "\n".join(t for _, t in out if _ == 2)
+    assert "unique first line" in text and text.count("never seen text") == 2
+    kept = [t for i, t in out if i == 2 and t.count("alpha")]
+    assert len({*kept}) == 1  # the first of the two texts, in each row that has it
+    again = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.keep_new_lines(docs, min_tokens=1).collect())
+    assert again == sorted((i or 0, t) for i, t in out)
+
+
+def chain(n: int) -> list[str]:
+    """Lines of 20 tokens, each two tokens from the one before, ever further from the first."""
+    words = [f"w{'abcdefghijklmnopqrst'[k]}" for k in range(20)]
+    lines = [" ".join(words)]
+    for k in range(1, n):
+        for at in (4 + 2 * k % 16, 4 + (2 * k + 1) % 16):
+            words[at] = f"v{'abcdefghijklmnopqrst'[at]}{'klmnopqr'[k % 8]}{'xyz'[k // 8 % 3]}"
+        lines.append(" ".join(words))
+    return lines
+
+
+@pytest.mark.parametrize("rounds", [16, 1])
+def test_line_dedup_chain_keeps_what_is_new(spark, rounds):
+    """A line goes only if one that stays is alike: no line of a chain goes with another that has gone."""
+    lines = chain(9 if rounds == 16 else 24)
+    drops = {d for d, _ in line_drops(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), ordered_rounds=rounds)}
+    if rounds == 16:
+        assert drops == {d for d, _ in brute_line_drops(dict(enumerate(lines)), 4)} and drops.isdisjoint({0, 3, 6})
+    kept = [k for k in range(len(lines)) if k not in drops]
+    for k in drops:
+        assert any(sum(x == y for x, y in zip(lines[k].split(), lines[j].split())) >= 16 for j in kept)
+    assert not any(line_templates(tuple(lines[a].encode().split())) & line_templates(tuple(lines[b].encode().split())) for a in kept for b in kept if a < b)
+
+
+def test_line_dedup_more_documents(spark):
+    """min_docs of 3: what two documents share stays."""
+    rows = [(1, "one two three four five six\na b c d e"), (2, "one two three four five six\na b c d e"), (3, "one two three four five six")]
+    got = line_drops(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
+    assert got == {(2, 0), (3, 0)}
+
+
 def test_line_dedup_short_lines(spark, tmp_path):
     """The query and the stage drop short lines too, as exact repeats."""
     import corpus_pipeline
