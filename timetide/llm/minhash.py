@@ -156,11 +156,11 @@ def _finished(members: DataFrame, label: DataFrame, reps: DataFrame, texts: Data
     """Links (a, b) that join components of one bucket, from the buckets of members (bucket, rep, n) that hold several."""
     marked = members.where("n > 2").join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     marked = saved(marked.join(reps.select("rep", "n_shingles"), "rep"), "marked")
-    parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("mark"))
+    parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(SEED), "rep")).alias("mark2"))
     largest = F.max(F.struct("n", -F.col("component"), "weight")).alias("main")
-    mixed = parts.groupBy("bucket").agg(largest, F.count("*").alias("apart"), F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.sum("mark").alias("mark")).where("apart > 1")
-    # buckets of the same members are one
-    mixed = mixed.groupBy("n", "mark", "weight", "apart").agg(F.min(F.struct("bucket", "main")).alias("m"))
+    mixed = parts.groupBy("bucket").agg(largest, F.count("*").alias("apart"), F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"), F.bit_xor("mark2").alias("mark2")).where("apart > 1")
+    # buckets of the same members are one: 128 bits and three counts of them agree
+    mixed = mixed.groupBy("n", "mark", "mark2", "weight", "apart").agg(F.min(F.struct("bucket", "main")).alias("m"))
     asking = F.ceil((F.col("weight") - F.col("m.main.weight")) / BLOCK).cast("int")
     asked = F.ceil(F.col("m.main.weight") / BLOCK).cast("int")
     one = F.col("weight") <= BLOCK
