@@ -425,6 +425,16 @@ def test_language_equals_brute_force(spark):
         assert r["rejected"] == (r["score"] < model.thresholds[lang])
 
 
+def test_word_encoder_of_any_tokenizer():
+    """The cache of words is for the file that it knows; any other one encodes whole texts."""
+    texts = ["The  Cat's 12 tails\n<|endoftext|> naïve ÀÉ", "", None, "x" * 3000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tok = Tokenizer.from_file(public_tokenizers.path(name))
+        encode = packing.word_encoder(public_tokenizers.path(name))
+        for text in texts:
+            assert np.frombuffer(encode(text), dtype="<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
+
+
 def test_pipeline_equals_brute_force(spark):
     """Stage by stage: what each keeps of its own input."""
     import corpus_pipeline

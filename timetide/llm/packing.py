@@ -17,6 +17,7 @@ repeated rows are documents of their own; rows are never dropped, and a null doc
 from __future__ import annotations
 
 import math
+import json
 import os
 import struct
 import zlib
@@ -42,6 +43,14 @@ BUCKET_ROWS = 500
 _CACHE = 500_000
 
 
+#: What the word cache below knows of a tokenizer file; with any other file whole texts are encoded. Fixed values.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
 #: Words that need none of the tokenizer's normalising but lower case; its pattern of word parts; its byte alphabet.
 _SIMPLE = regex.compile(r"[!-;=-~\u00a1-\u012f\u0131-\u017f]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -90,7 +99,14 @@ class _Words(dict):
 def word_encoder(tokenizer_file: str):
     """text -> its ids as little-endian unsigned 32-bit bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    known = _Words(Tokenizer.from_file(tokenizer_file))
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    spec = json.loads(tokenizer.to_str())
+    plain = all(spec[part] == own for part, own in _KNOWN.items()) and not any(_SIMPLE.fullmatch(t["content"]) for t in spec["added_tokens"])
+    if not plain or spec["truncation"] or spec["padding"] or spec["model"]["dropout"]:
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    known = _Words(tokenizer)
 
     def encode(text: str | None) -> bytes:
         # ASCII white space only; the tokenizer sees to the rest
