@@ -120,13 +120,13 @@ def shared_templates(met: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return keyed.join(several, "template")
 
 
-def _recurring_templates(of: DataFrame, met: DataFrame, min_docs: int) -> DataFrame:
+def _recurring_templates(of: DataFrame, forms: DataFrame, named: DataFrame, min_docs: int) -> DataFrame:
     """template of those in at least min_docs documents."""
-    docs = met.select("node", "doc").distinct() if min_docs > 2 else met.groupBy("node").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).select("node", F.explode(F.array("a", "b")).alias("doc"))
-    owned = of.join(docs, "node")
     if min_docs > 2:
-        return owned.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    return owned.groupBy("template").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where(F.lit(min_docs < 2) | (F.col("a") != F.col("b"))).select("template")
+        owned = of.join(named.select("node", "doc").distinct(), "node").select("template", "doc").distinct()
+        return owned.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    met = of.join(forms.select("node", "least", "most"), "node").groupBy("template").agg(F.min("least").alias("a"), F.max("most").alias("b"))
+    return met.where(F.lit(min_docs < 2) | (F.col("a") != F.col("b"))).select("template")
 
 
 def replaced_forms(of: DataFrame, ordered_rounds: int = ORDERED_ROUNDS) -> DataFrame:
@@ -157,21 +157,22 @@ def replaced_forms(of: DataFrame, ordered_rounds: int = ORDERED_ROUNDS) -> DataF
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, ordered_rounds: int = ORDERED_ROUNDS) -> DataFrame:
     """doc_id, text_hash, line_no of the lines to drop."""
-    doc = F.struct("doc_id", "text_hash")
+    doc, mark = F.struct("doc_id", "text_hash"), F.xxhash64("doc_id", "text_hash")
     lines = saved(parsed_lines(docs, depth, similarity, min_tokens), "parsed")
     # a leaf of one document has no recurring template
-    leaves = lines.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
+    leaves = lines.groupBy("leaf").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.min("form").alias("f"), F.max("form").alias("g")).where("a <> b")
     leaves = saved(leaves.select("leaf", (F.col("f") != F.col("g")).alias("several")), "leaves")
     met = saved(lines.join(leaves, "leaf"), "lines")
     of = saved(shared_templates(met.where("several"), similarity), "templates")
-    named = met.select(F.xxhash64("leaf", "form").alias("node"), doc.alias("doc"), "line_no")
-    nodes = named.join(of.select("node").distinct(), "node", "left_semi")
-    places = nodes.groupBy("node").agg(F.min(F.struct("doc", "line_no", "node")).alias("place"))
-    edges = saved(of.join(_recurring_templates(of, nodes, min_docs), "template").join(places, "node"), "edges")
+    named = met.select(F.xxhash64("leaf", "form").alias("node"), doc.alias("doc"), "line_no", mark.alias("mark"))
+    # of each form its first line, and marks that tell whether it has several documents
+    first = F.min(F.struct("doc", "line_no", "node")).alias("place")
+    count = [F.count_distinct("doc").alias("docs")] if min_docs > 2 else []
+    forms = saved(named.groupBy("node").agg(first, F.min("mark").alias("least"), F.max("mark").alias("most"), *count), "forms")
+    edges = saved(of.join(_recurring_templates(of, forms, named, min_docs), "template").join(forms.select("node", "place"), "node"), "edges")
     goes = saved(replaced_forms(edges, ordered_rounds), "replaced")
-    forms = named.groupBy("node").agg(F.min("doc").alias("own"), F.max("doc").alias("other"), *([F.count_distinct("doc").alias("docs")] if min_docs > 2 else []))
-    several = F.col("docs") >= min_docs if min_docs > 2 else F.lit(min_docs < 2) | (F.col("own") != F.col("other"))
-    forms = forms.join(edges.select("node").distinct().withColumn("shares", F.lit(True)), "node", "left").where(several | F.col("shares"))
+    several = F.col("docs") >= min_docs if min_docs > 2 else F.lit(min_docs < 2) | (F.col("least") != F.col("most"))
+    forms = forms.withColumn("own", F.col("place.doc")).join(edges.select("node").distinct().withColumn("shares", F.lit(True)), "node", "left").where(several | F.col("shares"))
     # a form that stays is kept in its first document, one that goes where no form that stays is kept in another document
     forms = forms.join(goes, "node", "left").select("node", F.coalesce("first", "own").alias("first"), F.coalesce("last", "own").alias("last"))
     dropped = named.join(forms, "node").where((F.col("doc") != F.col("first")) | (F.col("doc") != F.col("last")))
