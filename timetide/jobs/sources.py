@@ -62,6 +62,22 @@ def _(s):
     return jdf.cast_table(old_routes(s), "routes", "1.8").select("batch_id", "route_id", "valid_from", "valid_to")
 
 
+def odd_routes(s):
+    """Records of routes, a batch each, with a version; some have a version that is none, a flag, a date or a number of another form."""
+    k, version = C("o_orderkey"), F.when(C("o_orderkey") % 53 == 7, "2.0").otherwise("1.11")
+    batch = F.concat_ws("-", text("route_id"), text("dist"))
+    cells = [text("route_id"), F.lit("Line"), F.lit("11"), F.lit("A"), F.lit("A"), F.when(k % 31 == 3, "yes").otherwise("0"), *[F.lit("0")] * 3, *[F.lit("")] * 4, F.when(k % 37 == 3, "31022024").otherwise(F.date_format("valid_from", "ddMMyyyy")), F.date_format("valid_to", "ddMMyyyy"), F.lit("1"), F.when(k % 41 == 3, "x").otherwise(text("dist"))]
+    lines = s.routes.select(batch.alias("batch_id"), F.lit("linky").alias("file"), F.lit(0).alias("row_no"), F.array(*cells).alias("cols"))
+    return lines.union(s.routes.select(batch, F.lit("verzejdf"), F.lit(0), F.array(version)))
+
+
+@query("src2_rejects", """SELECT route_id || '-' || dist AS batch_id, CASE WHEN o_orderkey % 53 = 7 THEN 'read' ELSE 'cast' END AS step,
+  CASE WHEN o_orderkey % 53 = 7 THEN 'unknown version' WHEN o_orderkey % 31 = 3 THEN 'detour of routes' WHEN o_orderkey % 37 = 3 THEN 'valid_from of routes' ELSE 'dist of routes' END AS reason
+  FROM routes WHERE o_orderkey % 53 = 7 OR o_orderkey % 31 = 3 OR o_orderkey % 37 = 3 OR o_orderkey % 41 = 3""")
+def _(s):
+    return jdf.raw_rejects(odd_routes(s))[1].select("batch_id", "step", "reason")
+
+
 @query("src3_upgrade", "SELECT route_id || '-' || dist AS batch_id, CAST(route_id AS STRING) AS route_id, 'A' AS mode, FALSE AS detour, 0 AS dist, CASE WHEN dist % 3 > 0 THEN valid_to ELSE DATE '3000-01-01' END AS valid_to FROM routes")
 def _(s):
     return jdf.upgrade(jdf.cast_table(old_routes(s), "routes", "1.8"), "routes", "1.8").select("batch_id", "route_id", "mode", "detour", "dist", "valid_to")

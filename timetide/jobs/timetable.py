@@ -10,6 +10,7 @@ from timetide.functions import text as T
 from timetide.functions.lineage import shared_dir
 from timetide.jobs.calendars import RUNS
 from timetide.jobs.registry import query
+from timetide.operators import rejects
 from timetide.operators import timetable as O
 from timetide.operators.calendars import calendar_days, czech_holidays
 from timetide.operators.timetable import add_coords, drop_empty_trips, gtfs_stop_times, headsigns, left_join_on, require_all, resolve_attributes, stop_zones
@@ -199,16 +200,16 @@ def _(s):
     return require_all(s.orders.select("o_orderkey", C("o_custkey").alias("c_custkey")), s.customer.select("c_custkey", "c_mktsegment"), ["c_custkey"], "customer").select("o_orderkey", "c_mktsegment")
 
 
-def jdf_tables(s):
-    """Timetable tables of the shapes: one batch per fifth of the routes. TRIP_STOPS says the same in SQL."""
-    batch = (C("route_id") % 5).alias("batch_id")
+def jdf_tables(s, batches=5):
+    """Timetable tables of the shapes: one batch per fifth of the routes, or another share. TRIP_STOPS says the same in SQL."""
+    n, batch = batches, (C("route_id") % batches).alias("batch_id")
     trips, none = s.trips, F.lit(None).cast("string")
     calls = trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("route_stop_id"), "part", "supp").withColumn("stop_id", ((C("supp") + C("route_stop_id")) % 60).cast("int"))
     stops = calls.select("batch_id", "stop_id").distinct()
     codes = "X+1234567@{O"
     batches = s.routes.select(batch).distinct()
     return {
-        "agencies": s.supplier.select((C("s_suppkey") % 5).cast("int").alias("batch_id"), C("s_suppkey").cast("int").alias("agency_id"), F.lit(0).alias("agency_dist"), C("s_name").alias("name"), F.lit("www.x.cz").alias("url"), none.alias("phone")),
+        "agencies": s.supplier.select((C("s_suppkey") % n).cast("int").alias("batch_id"), C("s_suppkey").cast("int").alias("agency_id"), F.lit(0).alias("agency_dist"), C("s_name").alias("name"), F.lit("www.x.cz").alias("url"), none.alias("phone")),
         "routes": s.routes.select(batch, "route_id", "dist", F.lit(1).alias("agency_id"), F.lit(0).alias("agency_dist"), F.lit("r").alias("name"), F.lit("A").alias("mode"), F.lit("V").alias("kind"), "valid_from", "valid_to"),
         "stops": stops.select("batch_id", "stop_id", F.concat(F.lit("Town "), C("stop_id").cast("string")).alias("town"), none.alias("district"), none.alias("place"), F.array().cast("array<int>").alias("attributes")),
         "stop_posts": stops.where("stop_id % 2 = 0").select("batch_id", "stop_id", F.lit(1).alias("post_id"), F.when(C("stop_id") % 4 == 0, "A").alias("post_name")),
@@ -277,3 +278,52 @@ def _(s):
 @query("g1_jdf_agencies", "SELECT 'JDFA-' || s_suppkey || '-0' AS agency_id, 'http://www.x.cz' AS agency_url, s_name AS agency_name FROM supplier")
 def _(s):
     return feed(s)["agency"].select("agency_id", "agency_url", "agency_name")
+
+
+def broken_tables(s):
+    """Forty batches, of which 1 to 8 are broken, each in its own way."""
+    t = jdf_tables(s, 40)
+    is_batch = lambda k: C("batch_id") == k
+    t["routes"] = t["routes"].where(~(is_batch(1) & (C("dist") == 1))).withColumn("agency_dist", F.when(is_batch(8), 7).otherwise(0))
+    t["stops"] = t["stops"].where(~(is_batch(2) & (C("stop_id") > 9))).withColumn("attributes", F.when(is_batch(3), F.array(F.lit(0), F.lit(99))).otherwise(C("attributes")))
+    t["trips"] = t["trips"].withColumn("attributes", F.when(is_batch(4), F.array_append("attributes", 77)).otherwise(C("attributes"))).withColumn("group_id", F.lit(None).cast("int"))
+    t["stop_posts"] = t["stop_posts"].withColumn("stop_id", F.when(is_batch(5), C("stop_id") + 1000).otherwise(C("stop_id")))
+    t["route_stops"] = t["route_stops"].where(~(is_batch(6) & (C("route_stop_id") == 3)))
+    t["trip_stops"] = t["trip_stops"].withColumn("arr_kind", F.when(is_batch(7) & (C("route_stop_id") == 2), "pass"))
+    t["agencies"] = t["routes"].select("batch_id", "agency_id").distinct().withColumns({"agency_dist": F.lit(0), "name": F.lit("a"), "url": F.lit(None).cast("string"), "phone": F.lit(None).cast("string")})
+    return t
+
+
+BROKEN = """WITH tr AS (SELECT *, route_id % 40 AS batch_id, 0 AS z FROM trips), ts AS (SELECT tr.*, k, (supp + k) % 60 AS stop FROM tr, (SELECT unnest([1, 2, 3, 4]) AS k) x),
+  st AS (SELECT DISTINCT batch_id, stop FROM ts)"""
+SHARED = """SELECT batch_id, 'trips' AS step, 'route not found' AS reason, count(*) AS n FROM tr WHERE batch_id = 1 AND dist = 1 GROUP BY 1
+  UNION ALL SELECT batch_id, 'trip_stops', 'stop not found', count(*) FROM ts WHERE batch_id = 2 AND stop > 9 GROUP BY 1
+  UNION ALL SELECT batch_id, 'stop_posts', 'stop not found', count(*) FROM st WHERE batch_id IN (2, 5) AND stop % 2 = 0 AND (batch_id = 5 OR stop > 9) GROUP BY 1
+  UNION ALL SELECT batch_id, 'stops', 'attribute not found', count(*) FROM st WHERE batch_id = 3 GROUP BY 1
+  UNION ALL SELECT batch_id, 'trips', 'attribute not found', count(*) FROM tr WHERE batch_id = 4 GROUP BY 1"""
+
+
+@query("g1_rejects", f"""{BROKEN} {SHARED} UNION ALL SELECT batch_id, 'trip_stops', 'route stop not found', count(*) FROM ts WHERE batch_id = 6 AND k = 3 GROUP BY 1
+  UNION ALL SELECT batch_id, 'trip_stops', 'arrival passed, departure not', count(*) FROM ts WHERE batch_id = 7 AND k = 2 GROUP BY 1""")
+def _(s):
+    return rejects.conversion_rejects(broken_tables(s)).drop("item")
+
+
+@query("w1_rejects", "SELECT 7 AS batch_id, route_id, dist, trip AS trip_id FROM trips WHERE route_id % 40 = 7")
+def _(s):
+    """Trips whose arrivals contradict their departures, batch by batch; w1 and g1 have them in no feed."""
+    t = broken_tables(s)["trip_stops"]
+    bad = t.join(rejects.contradictory_times(t).select("batch_id"), "batch_id", "left_semi").where("arr_kind = 'pass'")
+    return bad.select("batch_id", "route_id", "dist", "trip_id").distinct()
+
+
+@query("g1_accepted_stop_times", STOP_TIMES + " WHERE route_id % 40 NOT BETWEEN 1 AND 7")
+def _(s):
+    """The feeds of all batches but the broken ones."""
+    accepted, _ = rejects.convert(broken_tables(s), czech_holidays(s.spark, 1995, 2010))
+    return accepted["stop_times"].select("trip_id", "stop_id", "stop_sequence", C("departure_time").alias("departure"), C("stop_zone_ids").alias("zone"))
+
+
+@query("m_rejects", f"{BROKEN} {SHARED} UNION ALL SELECT CAST(route_id % 40 AS INT), 'routes', 'agency not found', count(*) FROM routes WHERE route_id % 40 = 8 GROUP BY 1 UNION ALL SELECT batch_id, 'route_stops', 'stop not found', count(*) FROM (SELECT DISTINCT batch_id, route_id, dist, k, stop, CASE WHEN k <> 2 THEN k END AS zone FROM ts WHERE batch_id = 2 AND stop > 9) x GROUP BY 1")
+def _(s):
+    return rejects.merging_rejects(broken_tables(s)).drop("item")

@@ -47,14 +47,19 @@ def _seconds(time):
     return part(1) * 3600 + part(4) * 60 + part(7)
 
 
-def read_czptt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_czptt(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """parse_messages() of every message below the path."""
-    return parse_messages(read_texts(spark, path))
+    return parse_messages(read_texts(spark, path), strict)
 
 
-def parse_messages(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(timetables, locations, cancellations) in the columns that operators.rail and operators.calendars take; a message of neither kind is an error."""
-    sure = F.when(F.col("kind") == "unknown", F.raise_error(F.concat(F.lit("no known message: "), "message_id"))).otherwise(F.col("kind"))
+def message_rejects(texts: DataFrame) -> DataFrame:
+    """message_id, reason of the texts that are neither kind of message."""
+    return texts.where("kind = 'unknown'").select("message_id", F.lit("no known message").alias("reason"))
+
+
+def parse_messages(texts: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(timetables, locations, cancellations) in the columns that operators.rail and operators.calendars take; a message of neither kind is an error, or, if not strict, left out (message_rejects has it)."""
+    sure = F.when(F.col("kind") == "unknown", F.raise_error(F.concat(F.lit("no known message: "), "message_id")) if strict else None).otherwise(F.col("kind"))
     parsed = texts.withColumn("kind", sure).select("message_id", "kind", F.from_xml("xml", MESSAGE, {"attributePrefix": "_"}).alias("m"))
     ids = F.coalesce("m.Identifiers.PlannedTransportIdentifiers", "m.PlannedTransportIdentifiers")
     path_id = F.get(F.filter(ids, lambda i: i["ObjectType"] == "PA"), F.lit(0))

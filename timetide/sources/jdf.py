@@ -10,6 +10,8 @@ import io
 import re
 import uuid
 import zipfile
+import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,10 @@ from timetide.functions.lineage import cut, shared_dir
 from timetide.functions.text import null_if_empty
 
 VERSION_FILE = "verzejdf"
+#: Name of what could not be unpacked or decoded, in place of a file's.
+UNREADABLE = "!unreadable"
+#: Tables whose file a batch must hold, if only whole batches are taken. Fixed values of the format.
+MANDATORY = ("version", "stops", "agencies", "routes", "route_stops", "trips", "trip_stops", "attribute_refs", "service_notes")
 RAW = "batch_id string, file string, row_no int, cols array<string>"
 #: Columns by table of layout 1.11, in file order, with kinds: s text, i integer, d date, b flag, k kilometres
 #: (decimal), t stop time, a[n] n attribute columns. Fixed values of the format.
@@ -64,64 +70,107 @@ def _records(data: bytes) -> list[list[str]]:
     return out
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """batch_id, file (lower case, no suffix), row_no, cols of every batch below the path."""
+def _unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all text files below the path, one row with row_no -1 per file, and one named UNREADABLE per file or archive that cannot be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     files = files.where(F.lower("path").rlike(r"\.(zip|txt)$"))
 
+    def members(name: str, content: bytes):
+        folder, _, file = name.rpartition("/")
+        if not file.lower().endswith(".zip"):
+            yield folder, file, content
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for n in z.namelist():
+                yield name, n.rpartition("/")[2], z.read(n)
+
+    def rows(name: str, content: bytes):
+        batch, file = name, name
+        try:
+            for batch, file, data in members(name, content):
+                if file.lower().endswith(".txt"):
+                    stem = re.sub(r"(\.[0-9]+)?\.txt$", "", file.lower())
+                    yield from [(batch, stem, -1, None), *((batch, stem, i, cols) for i, cols in enumerate(_records(data)))]
+        except (zipfile.BadZipFile, UnicodeDecodeError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error) as e:
+            yield batch, UNREADABLE, 0, [file.rpartition("/")[2], f"{type(e).__name__}: {e}"[:200]]
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                folder, _, file = name.rpartition("/")
-                if file.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = [(name, n.rpartition("/")[2], z.read(n)) for n in z.namelist()]
-                else:
-                    members = [(folder, file, content)]
-                for batch, member, data in members:
-                    stem = re.sub(r"(\.[0-9]+)?\.txt$", "", member.lower())
-                    out += [(batch, stem, i, cols) for i, cols in enumerate(_records(data))] if member.lower().endswith(".txt") else []
+            out = [r for name, content in zip(pdf["path"], pdf["content"]) for r in rows(name, content)]
             yield pd.DataFrame(out, columns=["batch_id", "file", "row_no", "cols"])
 
-    raw = files.mapInPandas(run, RAW)
+    return files.mapInPandas(run, RAW)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, file (lower case, no suffix), row_no, cols of every batch below the path; files are decoded once."""
+    raw = cut(_unpacked(spark, path))
     batches = raw.where(F.col("file") == VERSION_FILE).select("batch_id").distinct()
-    return raw.join(batches, "batch_id", "left_semi")
+    return raw.where("row_no >= 0").join(batches, "batch_id", "left_semi")
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(x.split(":")) for x in spec.split()]
 
 
-def _cast(kind: str, at: int) -> Column:
-    c = null_if_empty(F.trim(F.get("cols", F.lit(at))))
+_CLOCK = "^([01][0-9]|2[0-3])([0-5][0-9])$"
+
+
+def _cell(at: int) -> Column:
+    return null_if_empty(F.trim(F.get("cols", F.lit(at))))
+
+
+def _numbers(at: int, width: int) -> Column:
+    return F.filter(F.transform(F.slice("cols", at + 1, width), lambda c: null_if_empty(F.trim(c))), lambda c: c.isNotNull())
+
+
+def _typed(kind: str, c: Column) -> Column:
+    """The cell's value; null where it has none or another form."""
     if kind == "d":
-        return F.to_date(c, "ddMMyyyy")
+        return F.try_to_timestamp(c, F.lit("ddMMyyyy")).cast("date")
     if kind == "b":
-        return F.when(c == "1", True).when(c.isNull() | (c == "0"), False).otherwise(F.raise_error(F.concat(F.lit("not a flag: "), c)).cast("boolean"))
-    return c.cast(TYPES[kind])
+        return F.when(c == "1", True).when(c.isNull() | (c == "0"), False)
+    return c.try_cast(TYPES[kind])
+
+
+def _places(table: str, version: str):
+    """(name, kind, place of the first cell, cells) of the columns that a layout has."""
+    at, missing = 0, MISSING_COLUMNS.get(version, {}).get(table, ())
+    for name, kind in _columns(LAYOUT_111[table][1]):
+        if name not in missing:
+            width = int(kind[1:]) if kind[0] == "a" else 1
+            yield name, kind[0], at, width
+            at += width
+
+
+def cell_errors(raw: DataFrame, table: str, version: str = "1.11") -> DataFrame:
+    """batch_id, row_no, reason: the first cell of each row of the table that has another form than its column."""
+    reason = F.lit(None).cast("string")
+    for name, kind, at, width in reversed(list(_places(table, version))):
+        c = _cell(at)
+        if kind == "a":
+            bad = F.exists(_numbers(at, width), lambda x: x.try_cast("int").isNull())
+        elif kind == "t":
+            bad = c.isNotNull() & ~c.isin("|", "<") & ~c.rlike(_CLOCK)
+        else:
+            bad = c.isNotNull() & _typed(kind, c).isNull()
+        reason = reason if kind == "s" else F.when(F.coalesce(bad, F.lit(False)), f"{name} of {table}").otherwise(reason)
+    rows = raw.where((F.col("file") == LAYOUT_111[table][0]) & (F.col("row_no") >= 0))
+    return rows.select("batch_id", "row_no", reason.alias("reason")).where("reason is not null")
 
 
 def cast_table(raw: DataFrame, table: str, version: str = "1.11") -> DataFrame:
-    """Typed columns of one table in a layout. A time column becomes <name>_kind ('time', 'pass', 'notpass', null) and <name>_sec."""
-    file, spec = LAYOUT_111[table]
-    missing = MISSING_COLUMNS.get(version, {}).get(table, ())
-    rows = raw.where(F.col("file") == file)
-    out, at = [F.col("batch_id")], 0
-    for name, kind in _columns(spec):
-        if name in missing:
-            continue
-        width = int(kind[1:]) if kind[0] == "a" else 1
-        if kind[0] == "a":
-            out.append(F.filter(F.transform(F.slice("cols", at + 1, width), lambda c: null_if_empty(F.trim(c)).cast("int")), lambda c: c.isNotNull()).alias(name))
+    """Typed columns of one table in a layout; cells of another form (cell_errors) are null. A time column becomes <name>_kind ('time', 'pass', 'notpass', null) and <name>_sec."""
+    rows, out = raw.where((F.col("file") == LAYOUT_111[table][0]) & (F.col("row_no") >= 0)), [F.col("batch_id")]
+    for name, kind, at, width in _places(table, version):
+        c = _cell(at)
+        if kind == "a":
+            out.append(F.filter(F.transform(_numbers(at, width), lambda x: x.try_cast("int")), lambda x: x.isNotNull()).alias(name))
         elif kind == "t":
-            c = null_if_empty(F.trim(F.get("cols", F.lit(at))))
             out.append(F.when(c == "|", "pass").when(c == "<", "notpass").when(c.isNotNull(), "time").alias(f"{name}_kind"))
-            digits = F.regexp_extract(c, "^([0-9]{2})([0-9]{2})$", 1), F.regexp_extract(c, "^([0-9]{2})([0-9]{2})$", 2)
-            out.append(F.when(digits[0] != "", null_if_empty(digits[0]).cast("int") * 3600 + null_if_empty(digits[1]).cast("int") * 60).alias(f"{name}_sec"))
+            out.append(F.when(c.rlike(_CLOCK), F.substring(c, 1, 2).cast("int") * 3600 + F.substring(c, 3, 2).cast("int") * 60).alias(f"{name}_sec"))
         else:
-            out.append(_cast(kind, at).alias(name))
-        at += width
+            out.append(_typed(kind, c).alias(name))
     return rows.select(*out)
 
 
@@ -138,26 +187,64 @@ def upgrade(rows: DataFrame, table: str, version: str) -> DataFrame:
     return rows
 
 
-def read_jdf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of all batches, each batch in the layout that its version names, upgraded to 1.11.
-
-    Files are unpacked and decoded once and written by table, so that a table reads its own rows only."""
+LAYOUTS = {"1.11": ("1.11",), "1.10": ("1.10",), "1.8": ("1.8", "1.9")}
+
+
+def raw_rejects(raw: DataFrame, complete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(batches with the version of each, batch_id, v; rejects: batch_id, step, reason, item, n) of raw records.
+
+    Rejected: batches of which a file cannot be read, whose version is none, that have a cell of another form than its
+    column, and, if complete, that lack a mandatory file (one without a byte counts as missing)."""
+    stated = raw.where((F.col("file") == VERSION_FILE) & (F.col("row_no") >= 0)).groupBy("batch_id").agg(F.min_by(F.get("cols", F.lit(0)), "row_no").alias("v"))
+    known = [v for vs in LAYOUTS.values() for v in vs]
+    good = stated.where(F.col("v").isin(known))
+    named = lambda df, step, reason, item, n: df.select("batch_id", F.lit(step).alias("step"), reason.alias("reason"), item.alias("item"), n.cast("long").alias("n"))
+    unread = raw.where(F.col("file") == UNREADABLE)
+    own = unread.where(F.lower("batch_id").endswith(".zip")).unionByName(unread.join(stated, "batch_id", "left_semi")).distinct()
+    found = [
+        named(own.groupBy("batch_id").agg(F.min(F.struct(F.get("cols", F.lit(1)).alias("why"), F.get("cols", F.lit(0)).alias("file"))).alias("m"), F.count("*").alias("n")), "read", F.col("m.why"), F.col("m.file"), F.col("n")),
+        named(stated.where(~F.coalesce(F.col("v").isin(known), F.lit(False))), "read", F.lit("unknown version"), F.col("v"), F.lit(1)),
+    ]
+    if complete:
+        needed = good.select("batch_id", F.explode(F.array(*[F.lit(LAYOUT_111[t][0]) for t in MANDATORY])).alias("file"))
+        lacking = needed.join(raw.select("batch_id", "file").distinct(), ["batch_id", "file"], "left_anti").join(own.select("batch_id"), "batch_id", "left_anti")
+        found.append(named(lacking.groupBy("batch_id").agg(F.min("file").alias("file"), F.count("*").alias("n")), "read", F.lit("file missing"), F.col("file"), F.col("n")))
+    for version, own_versions in LAYOUTS.items():
+        of = raw.join(good.where(F.col("v").isin(*own_versions)).select("batch_id"), "batch_id", "left_semi")
+        for table in LAYOUT_111:
+            if table not in MISSING_TABLES.get(version, ()):
+                errors = cell_errors(of, table, version).groupBy("batch_id", "reason").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n"))
+                found.append(named(errors, "cast", F.col("reason"), F.concat(F.lit("row "), F.col("row_no").cast("string")), F.col("n")))
+    return good, reduce(DataFrame.unionByName, found)
+
+
+def read_batches(spark: SparkSession, path: str, complete: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(all tables of the batches that can be read, each in the layout that its version names, upgraded to 1.11; rejects of
+    the others, see raw_rejects).
+
+    Files are unpacked and decoded once and written by table, large ones in several parts, so that a table reads its own
+    rows only."""
     stored = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
-    read_raw(spark, path).repartition("file", "batch_id").write.partitionBy("file").parquet(stored)
+    part = F.floor(F.greatest("row_no", F.lit(0)) / PART_LINES)
+    _unpacked(spark, path).repartition("file", "batch_id", part).write.partitionBy("file").parquet(stored)
     raw = spark.read.schema(RAW).parquet(stored)
-    versions = raw.where(F.col("file") == VERSION_FILE).groupBy("batch_id").agg(F.first(F.get("cols", F.lit(0))).alias("v"))
-    known = F.col("v").isin("1.8", "1.9", "1.10", "1.11")
-    checked = versions.withColumn("v", F.when(known, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("unknown version "), "v"))))
-    of = {v: raw.join(checked.where(F.col("v").isin(*vs)).select("batch_id"), "batch_id", "left_semi") for v, vs in (("1.11", ("1.11",)), ("1.10", ("1.10",)), ("1.8", ("1.8", "1.9")))}
+    versions, rejects = raw_rejects(raw, complete)
+    rejects = cut(rejects)
+    checked = cut(versions.join(rejects.select("batch_id").distinct(), "batch_id", "left_anti"))
+    of = {v: raw.join(checked.where(F.col("v").isin(*vs)).select("batch_id"), "batch_id", "left_semi") for v, vs in LAYOUTS.items()}
     tables = {}
     for table in LAYOUT_111:
         parts = [upgrade(cast_table(of[v], table, v), table, v) for v in of if table not in MISSING_TABLES.get(v, ())]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        tables[table] = out
-    code = F.col("code")
-    tables["attribute_refs"] = tables["attribute_refs"].withColumn("code", F.trim(code))
+        tables[table] = reduce(DataFrame.unionByName, parts)
+    tables["attribute_refs"] = tables["attribute_refs"].withColumn("code", F.trim("code"))
+    return tables, rejects
+
+
+def read_jdf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """read_batches where every batch must be readable: the first ones that are not are an error."""
+    tables, rejects = read_batches(spark, path)
+    if bad := rejects.orderBy("batch_id", "reason").limit(5).collect():
+        raise ValueError("batches that cannot be read: " + "; ".join(f"{r['batch_id']}: {r['reason']} ({r['item']})" for r in bad))
     return tables
 
 
@@ -194,8 +281,6 @@ def write_jdf(tables: dict[str, DataFrame], path: str) -> DataFrame:
     Lines are in order of their text, in parts of about PART_LINES lines: a file of more is written by
     several tasks, as <file>.txt, <file>.1.txt, …, which read_jdf reads as one table. Parts are written
     under a name of their own and renamed, so that a repeated attempt leaves one whole file."""
-    from functools import reduce
-
     lines = reduce(DataFrame.unionByName, [to_lines(t, n) for n, t in tables.items()])
     lines = cut(lines)
     wanted = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_LINES))
