@@ -127,6 +127,41 @@ def test_service_days_of_open_validity(spark):
     assert [r["trip"] for r in calendar.collect()] == ["b"] and [(r["day"], r["exception_type"]) for r in exceptions.collect()] == [(D(2024, 1, 2), 1)]
 
 
+def test_calendars_by_ranges_equal_calendars_by_days(spark):
+    """Random validities, codes and notes: what ranges give is what a look at every day gives."""
+    import random
+
+    rng, day = random.Random(4), lambda n: D(2024, 1, 1) + datetime.timedelta(days=n)
+    trips, notes = [], []
+    for k in range(400):
+        first = rng.randrange(40)
+        trips.append((k, day(first), day(first + rng.choice([-1, 0, 3, 20, 90, 500])), rng.choice([[], ["X"], ["+"], ["X", "+"], ["6"], ["1", "2"], ["7", "@"], ["{"], ["+", "6"]])))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            a = rng.randrange(-10, 130)
+            notes.append((k, rng.choice([None, *range(1, 9)]), day(a) if rng.random() < 0.85 else None, day(a + rng.choice([-2, 0, 1, 7, 60, 600])) if rng.random() < 0.7 else None))
+    trips = spark.createDataFrame(trips, "trip int, valid_from date, valid_to date, codes array<string>")
+    notes = spark.createDataFrame(notes, "trip int, note_type int, date_from date, date_to date")
+    holidays = calendars.czech_holidays(spark, 2024, 2026)
+    services, plans = calendars.service_calendar(trips, notes, holidays, ["trip"])
+    got = {r["trip"]: (r["valid_from"], r["pattern"], [tuple(c) for c in r["changes"]]) for r in services.join(plans, "plan").collect()}
+    days = calendars.service_days(trips, notes, holidays, ["trip"])
+    calendar, exceptions = calendars.compact_calendar(trips, days, ["trip"])
+    base = {r["trip"]: (r["valid_from"], r["pattern"]) for r in calendar.collect()}
+    listed = {}
+    for r in exceptions.collect():
+        listed.setdefault(r["trip"], []).append((r["day"], r["exception_type"]))
+    want = {t: (*base.get(t, (None, None)), sorted(listed.get(t, []))) for t in base.keys() | listed.keys()}
+    assert got == want and len(want) > 200
+
+
+def test_a_long_validity_costs_its_holidays(spark):
+    plans = spark.createDataFrame([(1, D(2024, 1, 1), D(3000, 1, 1), ["X"], None), (2, D(2024, 1, 1), D(3000, 1, 1), ["1"], None)], "_sign long, valid_from date, valid_to date, codes array<string>, notes array<struct<note_type:int,date_from:date,date_to:date>>")
+    holidays = calendars.czech_holidays(spark, 2020, 2030)
+    assert {r["_sign"]: r["count"] for r in calendars.odd_days(plans, holidays).groupBy("_sign").count().collect()} == {1: 7 * 13}
+    changed = {r["_sign"]: r for r in calendars.signature_changes(plans, holidays).collect()}
+    assert len(changed[1]["changes"]) == len([h for h in holidays.collect() if h["day"].year >= 2024 and h["day"].weekday() < 5]) and changed[2]["changes"] == []
+
+
 def test_latest_run_of_any_trip_id(spark):
     from timetide.operators import analytics
 

@@ -54,16 +54,23 @@ def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str], store: boo
     return known.select(*keys, "_sign"), known.select("_sign", *sign).dropDuplicates(["_sign"])
 
 
-def signature_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
-    """_sign, day, runs, planned (by the weekly pattern alone): a row for each day of a signature's validity."""
-    days = plans.where("valid_from <= valid_to").select("*", F.explode(F.sequence("valid_from", "valid_to")).alias("day")).join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday"))), "day", "left")
-    start = lambda n: F.coalesce(n["date_from"], F.col("valid_from"))
-    covers = F.filter("notes", lambda n: (F.col("day") >= start(n)) & (F.col("day") <= F.coalesce(n["date_to"], start(n))))
-    days = days.withColumn("now", F.coalesce(F.transform(covers, lambda n: n["note_type"]), F.array().cast("array<int>"))).withColumn("ever", F.coalesce(F.transform("notes", lambda n: n["note_type"]), F.array().cast("array<int>")))
-    has = lambda c, *t: F.arrays_overlap(c, F.array(*[F.lit(x) for x in t]))
+def _start(n: Column) -> Column:
+    return F.coalesce(n["date_from"], F.col("valid_from"))
+
+
+def _end(n: Column) -> Column:
+    return F.coalesce(n["date_to"], _start(n))
+
+
+def judged_days(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """days (columns of a signature, and day) with runs and planned (by the weekly pattern alone)."""
+    days = days.join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday"))), "day", "left")
+    covers = F.filter("notes", lambda n: (F.col("day") >= _start(n)) & (F.col("day") <= _end(n)))
+    days = days.withColumn("now", F.coalesce(F.transform(covers, lambda n: n["note_type"]), F.array().cast("array<int>"))).withColumn("ever", _types())
     week_even, weekday = F.weekofyear("day") % 2 == 0, F.weekday("day") + 1
     code = lambda c: F.array_contains("codes", c)
     holiday = F.coalesce("holiday", F.lit(False))
+    has = _has
     runs = (
         F.when(has("now", ONLY), True).when(has("ever", ONLY), False).when(has("now", NO), False).when(has("now", ALSO), True)
         .when(has("now", *ODD) & week_even, False).when(has("now", *EVEN) & ~week_even, False)
@@ -73,7 +80,94 @@ def signature_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
         .when(F.array_contains("codes", weekday.cast("string")), True)
         .otherwise(~F.arrays_overlap("codes", F.array(*[F.lit(c) for c in DAY_CODES])))
     )
-    return days.select("_sign", "day", runs.alias("runs"), F.element_at(weekly_pattern(F.col("codes")), weekday).alias("planned"))
+    return days.withColumn("runs", runs).withColumn("planned", F.element_at(weekly_pattern(F.col("codes")), weekday)).drop("holiday", "now", "ever")
+
+
+def _types() -> Column:
+    return F.coalesce(F.transform("notes", lambda n: n["note_type"]), F.array().cast("array<int>"))
+
+
+def _has(c: Column | str, *types: int) -> Column:
+    return F.arrays_overlap(c, F.array(*[F.lit(x) for x in types]))
+
+
+def signature_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
+    """_sign, day, runs, planned: a row for each day of a signature's validity."""
+    days = plans.where("valid_from <= valid_to").select("*", F.explode(F.sequence("valid_from", "valid_to")).alias("day"))
+    return judged_days(days, holidays).select("_sign", "day", "runs", "planned")
+
+
+def planned_between(pattern: Column, first: Column, last: Column) -> Column:
+    """How many days from first to last a weekly pattern has, without listing them."""
+    ahead = lambda w: F.pmod(F.lit(w) - F.weekday(first), F.lit(7))
+    times = [F.when(pattern[w], F.greatest(F.lit(0), F.floor((F.datediff(last, first) - ahead(w)) / 7).cast("int") + 1)).otherwise(0) for w in range(7)]
+    return F.when(first <= last, sum(times[1:], times[0])).otherwise(0)
+
+
+def base_ranges() -> Column:
+    """Of a signature, the ranges of days (s, e) on which it runs as its pattern says where no other note and no holiday changes
+    that: none where it runs on noted days only, its merged from-to notes where it has any, else its validity."""
+    clipped = F.transform(F.filter("notes", lambda n: n["note_type"] == FROM_TO), lambda n: F.struct(F.greatest(_start(n), "valid_from").alias("s"), F.least(_end(n), "valid_to").alias("e")))
+    none = F.array().cast("array<struct<s:date,e:date>>")
+
+    def joined(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e")))
+        return F.when(x["s"] <= F.date_add(last["e"], 1), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), longer)).otherwise(F.concat(done, F.array(x)))
+
+    merged = F.aggregate(F.sort_array(F.filter(clipped, lambda x: x["s"] <= x["e"])), none, joined)
+    whole = F.array(F.struct(F.col("valid_from").alias("s"), F.col("valid_to").alias("e")))
+    return F.when(_has(_types(), ONLY), none).when(_has(_types(), FROM_TO), merged).otherwise(whole)
+
+
+def odd_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
+    """The columns of plans, and day: the days of each signature that its base ranges and pattern may not settle, those of notes
+    of other kinds than from-to, and holidays where the codes ask for them; inside its validity."""
+    other = F.filter("notes", lambda n: n["note_type"] != FROM_TO)
+    clipped = F.transform(other, lambda n: F.struct(F.greatest(_start(n), "valid_from").alias("s"), F.least(_end(n), "valid_to").alias("e")))
+    noted = F.flatten(F.transform(F.filter(clipped, lambda x: x["s"] <= x["e"]), lambda x: F.sequence(x["s"], x["e"])))
+    every = holidays.agg(F.array_sort(F.collect_set("day")).alias("_holidays"))
+    asked = F.arrays_overlap("codes", F.array(F.lit("X"), F.lit("+")))
+    own = F.when(asked, F.filter("_holidays", lambda d: d.between(F.col("valid_from"), F.col("valid_to")))).otherwise(F.array().cast("array<date>"))
+    with_all = plans.join(F.broadcast(every), F.lit(True))
+    return with_all.select(*plans.columns, F.explode(F.array_distinct(F.concat(F.coalesce(noted, F.array().cast("array<date>")), own))).alias("day"))
+
+
+def _in_base() -> Column:
+    return F.exists("base", lambda r: F.col("day").between(r["s"], r["e"]))
+
+
+def signature_changes(plans: DataFrame, holidays: DataFrame) -> DataFrame:
+    """_sign, by_list, changes (day, exception_type; unsorted) of the signatures that run at all.
+
+    Running days, and days on which a signature differs from its weekly pattern, are counted: odd days one by one, the others
+    in closed form over ranges. Only what the calendar itself has to list is then listed, so a long validity costs no rows."""
+    struct = lambda kind: F.struct("day", kind.cast("int").alias("exception_type"))
+    pattern = weekly_pattern(F.col("codes"))
+    own = plans.where("valid_from <= valid_to").withColumn("base", base_ranges()).withColumn("pattern", pattern)
+    total = F.aggregate("base", F.lit(0), lambda n, r: n + planned_between(F.col("pattern"), r["s"], r["e"]))
+    own = own.withColumn("n_base", total).withColumn("n_planned", planned_between(F.col("pattern"), F.col("valid_from"), F.col("valid_to")))
+    odd = judged_days(odd_days(own, holidays), holidays).withColumn("based", F.col("planned") & _in_base())
+    count = lambda c: F.count_if(c).cast("int")
+    differs = F.col("runs") != F.col("planned")
+    seen = odd.groupBy("_sign").agg(
+        count(F.col("runs")).alias("odd_on"), count(F.col("based")).alias("odd_based"), count(differs).alias("odd_differ"), count(F.col("planned") & ~F.col("based")).alias("odd_off"),
+        F.collect_list(F.when(F.col("runs"), struct(F.lit(1)))).alias("on"), F.collect_list(F.when(differs, struct(F.when(F.col("runs"), 1).otherwise(2)))).alias("differ"), F.collect_list("day").alias("odd"),
+    )
+    none = {"odd_on": 0, "odd_based": 0, "odd_differ": 0, "odd_off": 0}
+    both = own.join(seen, "_sign", "left").fillna(none)
+    both = both.withColumn("n_on", F.col("odd_on") + F.col("n_base") - F.col("odd_based"))
+    both = both.withColumn("n_differ", F.col("odd_differ") + F.col("n_planned") - F.col("n_base") - F.col("odd_off")).where("n_on > 0")
+    both = cut(both.withColumn("by_list", F.col("n_differ") > F.col("n_on")))
+    # planned days that are not odd: those that run where all running days are listed, else those that do not
+    wanted = both.where(F.when(F.col("by_list"), F.col("n_on") > F.col("odd_on")).otherwise(F.col("n_differ") > F.col("odd_differ")))
+    ranges = F.when(F.col("by_list"), F.col("base")).otherwise(F.array(F.struct(F.col("valid_from").alias("s"), F.col("valid_to").alias("e"))))
+    days = wanted.withColumn("r", F.explode(ranges)).withColumn("day", F.explode(F.sequence("r.s", "r.e"))).where(F.element_at("pattern", F.weekday("day") + 1))
+    days = days.where((F.col("by_list") | ~_in_base()) & ~F.coalesce(F.array_contains("odd", F.col("day")), F.lit(False)))
+    rest = days.groupBy("_sign").agg(F.collect_list(struct(F.when(F.col("by_list"), 1).otherwise(2))).alias("rest"))
+    listed = F.when(F.col("by_list"), F.col("on")).otherwise(F.col("differ"))
+    empty = F.array().cast("array<struct<day:date,exception_type:int>>")
+    return both.join(rest, "_sign", "left").select("_sign", "by_list", F.concat(F.coalesce(listed, empty), F.coalesce("rest", empty)).alias("changes"))
 
 
 def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,18 +185,13 @@ def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys:
 def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, plan of the trips that run at all; plans: plan, valid_from, valid_to, pattern, changes).
 
-    The same as compact_calendar over service_days, made once per distinct signature and written: changes
+    The same as compact_calendar over service_days, made once per distinct signature from ranges of days, and written: changes
     are sorted (day, exception_type); a plan by list has neither pattern nor range. Signatures that come
     to the same calendar share a plan."""
     known, plans = signed_trips(trips, notes, keys, store=True)
-    listed = signature_days(plans, holidays).groupBy("_sign").agg(
-        F.collect_list(F.when(F.col("runs"), F.col("day"))).alias("on"),
-        F.collect_list(F.when(F.col("runs") != F.col("planned"), F.struct("day", F.when(F.col("runs"), 1).otherwise(2).alias("exception_type")))).alias("differ"),
-    )
-    by_list = F.size("differ") > F.size("on")
-    changes = F.when(by_list, F.transform("on", lambda d: F.struct(d.alias("day"), F.lit(1).alias("exception_type")))).otherwise(F.col("differ"))
-    made = plans.join(listed.where(F.size("on") > 0), "_sign")
-    made = made.select("_sign", F.when(~by_list, F.col("valid_from")).alias("valid_from"), F.when(~by_list, F.col("valid_to")).alias("valid_to"), F.when(~by_list, weekly_pattern(F.col("codes"))).alias("pattern"), F.sort_array(changes).alias("changes"))
+    made = plans.join(signature_changes(plans, holidays), "_sign")
+    by_list = F.col("by_list")
+    made = made.select("_sign", F.when(~by_list, F.col("valid_from")).alias("valid_from"), F.when(~by_list, F.col("valid_to")).alias("valid_to"), F.when(~by_list, weekly_pattern(F.col("codes"))).alias("pattern"), F.sort_array("changes").alias("changes"))
     made = cut(made.withColumn("plan", F.sha2(F.to_json(F.struct("valid_from", "valid_to", "pattern", "changes")), 256)))
     services = cut(known.join(made.select("_sign", "plan"), "_sign").drop("_sign"))
     return services, made.drop("_sign").dropDuplicates(["plan"])
@@ -174,9 +263,10 @@ def bitmap_days(messages: DataFrame, keys: list[str]) -> DataFrame:
 
 def days_to_bitmap(days: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start, bitmap from the first day to the last."""
-    own = days.groupBy(*keys).agg(F.min("day").alias("start"), F.max("day").alias("end"), F.collect_set("day").alias("set"))
-    bits = F.transform(F.sequence("start", "end"), lambda d: F.when(F.array_contains("set", d), "1").otherwise("0"))
-    return own.select(*keys, "start", F.array_join(bits, "").alias("bitmap"))
+    own = days.groupBy(*keys).agg(F.min("day").alias("start"), F.sort_array(F.collect_set("day")).alias("set"))
+    # gaps between one day and the next as runs of 0: linear in the range
+    gap = F.transform("set", lambda d, i: F.concat(F.when(i > 0, F.repeat(F.lit("0"), F.datediff(d, F.get("set", i - 1)) - 1)).otherwise(""), F.lit("1")))
+    return own.select(*keys, "start", F.array_join(gap, "").alias("bitmap"))
 
 
 def bitmap_not(a: Column) -> Column:
