@@ -44,6 +44,7 @@ def test_route_overlaps():
     day = datetime.timedelta(days=1)
     plain, late = (1, jan, dec, False, D(2023, 1, 1)), (2, jan, dec, False, D(2023, 5, 1))
     assert resolved(plain, late) == [(2, 2, jan, dec)]
+    assert resolved(plain, (2, jan, dec, False, D(2023, 1, 1))) == [(1, 1, jan, dec)]  # of equal rank the first stays
     inside = (2, jun, jun + 9 * day, True, D(2023, 5, 1))
     assert resolved(plain, inside) == [(1, 1, jan, jun - day), (1, 3, jun + 10 * day, dec), (2, 2, jun, jun + 9 * day)]
     staggered = (2, jun, D(2025, 3, 1), False, D(2023, 5, 1))
@@ -65,6 +66,26 @@ def test_resolved_routes_do_not_overlap(spark):
         assert all(x[1] < y[0] for x, y in zip(out, out[1:])), (rows, out)
 
 
+def test_many_variants_of_one_number():
+    """Each day goes to the variant of the highest priority that has it; thousands of variants take no square of their number."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    for n, span in ((12, 60), (40, 200), (4000, 40_000)):
+        rows = [(d, first := D(1950, 1, 1) + datetime.timedelta(days=rng.randrange(span)), first + datetime.timedelta(days=rng.randrange(25)), d > 0.7 * n, D(2020, 1, 1) + datetime.timedelta(days=x)) for d, x in zip(range(1, n + 1), [*range(n - n * 3 // 10), *rng.sample(range(n), n * 3 // 10)])]
+        began = time.time()
+        pieces = merging._resolved(rows)
+        assert time.time() - began < 5
+        rank, owner = {d: (t, c) for d, _, _, t, c in rows}, {}
+        for d, a, b, _, _ in rows:
+            for k in range((b - a).days + 1):
+                day = a + datetime.timedelta(days=k)
+                owner[day] = max(owner.get(day, d), d, key=rank.get)
+        got = [(a + datetime.timedelta(days=k), s) for s, _, a, b in pieces for k in range((b - a).days + 1)]
+        assert dict(got) == owner and len(got) == len(owner)
+
+
 def test_projection_round_trip(spark):
     points = spark.createDataFrame([(52.0, 10.0), (50.0875, 14.4213), (48.1486, 17.1077), (38.7, -9.1)], "lat double, lon double")
     x, y = geo.project(F.col("lat"), F.col("lon"))

@@ -104,6 +104,21 @@ def _(s):
     return M.resolve_route_overlaps(s.routes)
 
 
+#: Routes as batches in order of their dates give them, the detours last, in any order: each day then has one rightful owner.
+APART = "SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN detour THEN 1 + o_orderkey % 1009 ELSE 0 END, o_orderkey) AS INT) AS dist, valid_from, valid_to, detour, days(CAST('1990-01-01' AS DATE), CAST(o_orderkey AS INT)) AS created FROM routes"
+
+
+@query("m8_day_owners", f"""WITH apart AS ({APART}), d AS (SELECT *, CAST(unnest(generate_series(valid_from, valid_to, INTERVAL 1 DAY)) AS DATE) AS day FROM apart),
+  o AS (SELECT route_id, day, arg_max(dist, (CAST(detour AS INT), created)) AS source_dist FROM d GROUP BY 1, 2)
+  SELECT route_id, source_dist, count(*) AS days, min(day) AS first_day, max(day) AS last_day, CAST(sum(date_diff('day', DATE '1990-01-01', day)) AS BIGINT) AS day_sum FROM o GROUP BY 1, 2""")
+def _(s):
+    """Which variant has which days, counted from the pieces."""
+    pieces = M.resolve_route_overlaps(s.sql(APART))
+    days = pieces.select("route_id", "source_dist", F.explode(F.sequence("valid_from", "valid_to")).alias("day"))
+    since = F.datediff("day", F.to_date(F.lit("1990-01-01")))
+    return days.groupBy("route_id", "source_dist").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum(since).alias("day_sum"))
+
+
 @query("m8_follow_routes")
 def _(s):
     return M.follow_routes(s.trips.select("route_id", "dist", "trip"), M.resolve_route_overlaps(s.routes))

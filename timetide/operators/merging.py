@@ -6,7 +6,9 @@ come from row numbers over distinct dimension values only, never over facts.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,30 +101,74 @@ def version_row(spark, created: datetime.date | Column) -> DataFrame:
     return spark.range(1).select(F.lit("1.11").alias("version"), F.lit(created).alias("created"))
 
 
+class _Apart:
+    """Pieces that do not overlap, in order of their first days; each remembers when it was added."""
+
+    def __init__(self):
+        self.starts: list[datetime.date] = []
+        self.at: list[list] = []
+        self.added: dict[int, int] = {}
+        self.count = 0
+
+    def meeting(self, first: datetime.date, last: datetime.date) -> list[list]:
+        """Pieces that meet a range, in the order in which they were added."""
+        low = max(bisect.bisect_right(self.starts, first) - 1, 0)
+        found = [p for p in self.at[low : bisect.bisect_right(self.starts, last)] if p[3] >= first]
+        return sorted(found, key=lambda p: self.added[id(p)])
+
+    def append(self, piece: list) -> None:
+        self.count += 1
+        self.added[id(piece)] = self.count
+        self.place(piece)
+
+    def remove(self, piece: list) -> None:
+        del self.added[id(piece)]
+
+    def unplace(self, piece: list) -> None:
+        """Take a piece out of the order while its first day may change."""
+        k = bisect.bisect_left(self.starts, piece[2])
+        del self.starts[k], self.at[k]
+
+    def place(self, piece: list) -> None:
+        """Put it back, unless it was removed."""
+        if id(piece) in self.added:
+            k = bisect.bisect_left(self.starts, piece[2])
+            self.starts.insert(k, piece[2])
+            self.at.insert(k, piece)
+
+    def pieces(self) -> list[list]:
+        return sorted(self.at, key=lambda p: self.added[id(p)])
+
+
 def _resolved(variants: list[tuple]) -> list[tuple]:
     """Pieces (source dist, new dist, from, to) left of one licence number's variants (dist, from, to, detour, created).
 
     Later variants are held against the earlier ones in turn. Where two overlap, the part that both claim
     goes to the one with priority: a detour over a plain route, else the one created later. A plain route
-    on both sides of a detour is split, and its second piece is a copy with a new distinction."""
+    on both sides of a detour is split, and its second piece is a copy with a new distinction. A variant that ends before it
+    starts has no piece.
+
+    What is held against is always apart, so it is kept by its first days, and a variant meets only those that it overlaps."""
     day, oldest = datetime.timedelta(days=1), datetime.date.min
-    live = [[d, d, a, b, bool(t), c or oldest] for d, a, b, t, c in sorted(variants, key=lambda v: v[0])]
-    top = max((v[0] for v in live), default=0)
-    queue = list(live)
-    done: list[list] = []
+    live = [[d, d, a, b, bool(t), c or oldest] for d, a, b, t, c in sorted(variants, key=lambda v: v[0]) if a <= b]
+    top = max((v[0] for v in variants), default=0)
+    queue = deque(live)
+    done = _Apart()
     while queue:
-        new, alive = queue.pop(0), True
-        for old in list(done):
+        new, alive = queue.popleft(), True
+        for old in done.meeting(new[2], new[3]):
             if not alive or new[3] < old[2] or old[3] < new[2]:
                 continue
             new_wins = (new[4] and (not old[4] or old[5] < new[5])) or (not old[4] and old[5] < new[5])
             old_wins = old[4] and (not new[4] or new[5] < old[5])
             if (new[2], new[3]) == (old[2], old[3]):
-                if old_wins:
-                    alive = False
-                else:
+                if new_wins:
+                    done.unplace(old)
                     done.remove(old)
+                else:
+                    alive = False
                 continue
+            done.unplace(old)
             covers_new, covers_old = old[2] <= new[2] and new[3] <= old[3], new[2] <= old[2] and old[3] <= new[3]
             if new[2] == old[2] or new[3] == old[3]:
                 small, large = (new, old) if covers_new else (old, new)
@@ -158,9 +204,10 @@ def _resolved(variants: list[tuple]) -> list[tuple]:
                 new[3] = old[2] - day
             else:
                 old[2] = new[3] + day
+            done.place(old)
         if alive:
             done.append(new)
-    return [(s, n, a, b) for s, n, a, b, _, _ in done if a <= b]
+    return [(s, n, a, b) for s, n, a, b, _, _ in done.pieces()]
 
 
 def resolve_route_overlaps(routes: DataFrame) -> DataFrame:
