@@ -96,6 +96,43 @@ def test_projection_round_trip(spark):
     assert all(r["a"] == pytest.approx(r["lat"], abs=1e-7) and r["b"] == pytest.approx(r["lon"], abs=1e-7) for r in rows)
 
 
+def test_polygon_cover_equals_even_odd_rule(spark):
+    """Random star polygons, some with holes, against a walk along the whole ring; no cell holds more than its own edges."""
+    import math
+    import random
+
+    rng = random.Random(9)
+
+    def star(x, y, n, big):
+        turns = sorted(rng.random() * 2 * math.pi for _ in range(n))
+        return [(x + math.cos(t) * r, y + math.sin(t) * r) for t in turns for r in [big * (0.3 + 0.7 * rng.random())]]
+
+    rings = {}
+    for k in range(25):
+        x, y = rng.random() * 8, rng.random() * 8
+        outer = star(x, y, rng.randrange(3, 40), 0.2 + 2 * rng.random())
+        hole = star(x, y, 5, 0.05) if k % 3 == 0 else []
+        rings[f"p{k}"] = outer + ([outer[0], *hole, hole[0], outer[0]] if hole else [])
+    rings["square"] = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
+    points = [(k, rng.random() * 10 - 1, rng.random() * 10 - 1) for k in range(600)]
+
+    def holds(ring, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return odd
+
+    polygons = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in r]) for n, r in rings.items()], "name string, ring array<struct<x:double,y:double>>")
+    frame = spark.createDataFrame(points, "id int, x double, y double")
+    for cell in (0.37, 5.0):
+        got = {r["id"]: r["name"] for r in geo.towns_of_points(frame, polygons.union(polygons.limit(3)), ["id"], cell).collect()}
+        for k, x, y in points:
+            own = [n for n, r in rings.items() if holds(r, x, y)]
+            assert got[k] == (own[0] if len(own) == 1 else None), (k, cell, own)
+    cover = geo.polygon_cover(polygons, 0.05)
+    assert cover.where("edges is null and not inside").count() == 0 and cover.agg(F.max(F.size("edges"))).first()[0] < 20
+
+
 def test_name_search(spark):
     targets = spark.createDataFrame([("Hostivice", 1), ("Hostivice-Sadová", 2), ("Praha-Dejvice", 3)], "name string, data int")
     none = spark.createDataFrame([], "group_id int, token string")

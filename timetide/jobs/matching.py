@@ -229,6 +229,29 @@ def _(s):
     return G.towns_of_points(points, squares, ["c_custkey"], 0.5).select("c_custkey", "name")
 
 
+#: A diamond around the middle of each nation's square, with a corner cut off, and points around them.
+DIAMONDS = """p AS (SELECT c_custkey, c_custkey % 3000 / 100.0 + 0.005 AS x, (c_custkey % 131) / 100.0 - 0.1512 AS y FROM customer)"""
+
+
+@query("j11_town_by_point_in_diamonds", f"WITH {DIAMONDS} SELECT c_custkey, 'NATION_' || CAST(floor(x) AS INT) AS name FROM p WHERE x < 25 AND abs(x - floor(x) - 0.5) + abs(y - 0.5) < 0.5 AND y < 0.8")
+def _(s):
+    n = C("n_nationkey").cast("double")
+    corner = lambda dx, dy: F.struct((n + dx).alias("x"), F.lit(float(dy)).alias("y"))
+    diamonds = s.nation.select(C("n_name").alias("name"), F.array(corner(0.5, 0), corner(1, 0.5), corner(0.7, 0.8), corner(0.3, 0.8), corner(0, 0.5)).alias("ring"))
+    points = s.customer.select("c_custkey", (C("c_custkey") % 3000 / 100.0 + 0.005).alias("x"), (C("c_custkey") % 131 / 100.0 - 0.1512).alias("y"))
+    return G.towns_of_points(points, diamonds, ["c_custkey"], 0.07).where("name is not null").select("c_custkey", "name")
+
+
+@query("x12_boundary_distance", "SELECT c_custkey, c_nationkey, round(least(x - c_nationkey, c_nationkey + 1 - x, y, 1 - y), 9) AS edge FROM (SELECT c_custkey, c_nationkey, c_nationkey + (c_custkey % 97 + 1) / 128.0 AS x, (c_custkey % 89 + 2) / 128.0 AS y FROM customer) p")
+def _(s):
+    """How far each point inside a square lies from its edge."""
+    n = C("n_nationkey").cast("double")
+    corner = lambda dx, dy: F.struct((n + dx).alias("x"), F.lit(float(dy)).alias("y"))
+    squares = s.nation.select(C("n_nationkey").alias("c_nationkey"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    points = s.customer.select("c_custkey", "c_nationkey", (C("c_nationkey") + (C("c_custkey") % 97 + 1) / 128.0).cast("double").alias("x"), ((C("c_custkey") % 89 + 2) / 128.0).cast("double").alias("y"))
+    return points.join(G.boundary_distances(points, squares, "c_nationkey"), ["x", "y", "c_nationkey"]).select("c_custkey", "c_nationkey", F.round("edge", 9).alias("edge"))
+
+
 @query("x16_map_stop_full_name", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'official' WHEN p_size % 4 = 1 THEN p_name WHEN p_size % 4 = 2 THEN p_name ELSE p_type || ',' || p_name END AS name FROM part")
 def _(s):
     k = C("p_size") % 4

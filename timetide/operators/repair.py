@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
-from timetide.functions.geo import boundary_distance, unproject
+from timetide.functions.geo import boundary_distances, unproject
 from timetide.functions.lineage import cut
 from timetide.operators.matching import exact_matches, match_by_top_town, match_stops_by_name, primary_matches, top_stop_match
 
@@ -209,9 +209,12 @@ def regions_along(stops: DataFrame, places: DataFrame, profiles: DataFrame, regi
     sure = F.when(F.col("x").isNotNull() & (F.col("old_country") == "CZ") & F.col("old_region").isNotNull(), F.struct("x", "y", "metres", F.col("old_region").alias("region")))
     rows = rows.withColumn("last", F.last(sure, ignorenulls=True).over(before)).withColumn("way", F.abs(F.col("metres") - F.col("last.metres")))
     if regions is not None:
-        ring = regions.groupBy(F.col("region").alias("_edge_of")).agg(F.collect_list("ring").alias("_rings"))
-        rows = rows.join(ring, F.col("last.region") == F.col("_edge_of"), "left")
-        edge = F.array_min(F.transform("_rings", lambda r: boundary_distance(F.col("last.x"), F.col("last.y"), r)))
+        # positions are few beside the rows of lines: distances once for each position and region
+        rows = cut(rows)
+        apart = boundary_distances(rows.where("last is not null").select("last.x", "last.y", "last.region"), regions, "region")
+        apart = apart.select(F.col("x").alias("_ex"), F.col("y").alias("_ey"), F.col("region").alias("_er"), "edge")
+        rows = rows.join(apart, (F.col("last.x") == F.col("_ex")) & (F.col("last.y") == F.col("_ey")) & (F.col("last.region") == F.col("_er")), "left").drop("_ex", "_ey", "_er")
+        edge = F.col("edge")
         fresh = ~F.col("region").eqNullSafe(F.col("old_region"))
         near = F.coalesce((F.col("last.region") == F.col("region")) & (F.col("country") == "CZ") & (F.col("way") <= edge), F.lit(False))
         some = F.max(near).over(Window.partitionBy(*STOP))
