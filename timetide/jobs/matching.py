@@ -93,25 +93,28 @@ def _(s):
     return M.match_by_rail_code(stops, to).select("k", C("target").cast("long").alias("id"))
 
 
-TOWNS = "dom AS (SELECT p_type || ' ' || p_brand AS name, min(p_size) AS region FROM part WHERE p_size % 2 = 0 GROUP BY p_type, p_brand), fgn AS (SELECT DISTINCT p_type || ' ' || p_brand AS name, CASE WHEN p_size % 3 = 0 THEN 'DE' ELSE 'PL' END AS country FROM part WHERE p_size % 5 = 0)"
+#: Forty towns of each type and brand; of some, only the domestic table or only the foreign one has the name.
+TOWN = "p_type || ' ' || p_brand || ' ' || (p_partkey % 40)"
+TOWNS = f"dom AS (SELECT CASE WHEN p_size % 2 = 0 THEN '' ELSE 'Old ' END || {TOWN} AS name, min(p_size) AS region FROM part GROUP BY 1), fgn AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN '' ELSE 'Far ' END || {TOWN} AS name, CASE WHEN p_size % 3 = 0 THEN 'DE' ELSE 'PL' END AS country FROM part)"
 
 
 def town_tables(s):
-    name = F.concat("p_type", F.lit(" "), "p_brand").alias("name")
-    home = s.part.where("p_size % 2 = 0").groupBy(name).agg(F.min("p_size").alias("region"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
-    away = s.part.where("p_size % 5 = 0").select(name, F.when(C("p_size") % 3 == 0, "DE").otherwise("PL").alias("country"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y")).distinct()
-    stops = s.part.select("p_partkey", F.concat("p_type", F.lit(" "), "p_brand").alias("town"), F.lit(None).cast("int").alias("region"), F.when(C("p_partkey") % 3 == 0, "CZ").alias("country"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("string").alias("place"))
+    town = F.concat("p_type", F.lit(" "), "p_brand", F.lit(" "), (C("p_partkey") % 40).cast("string"))
+    named = lambda ok, other: F.concat(F.when(ok, "").otherwise(other), town).alias("name")
+    home = s.part.groupBy(named(C("p_size") % 2 == 0, "Old ")).agg(F.min("p_size").alias("region"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    away = s.part.select(named(C("p_size") % 5 == 0, "Far "), F.when(C("p_size") % 3 == 0, "DE").otherwise("PL").alias("country"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y")).distinct()
+    stops = s.part.select("p_partkey", town.alias("town"), F.lit(None).cast("int").alias("region"), F.when(C("p_partkey") % 3 == 0, "CZ").alias("country"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("string").alias("place"))
     return stops, home, away
 
 
-@query("x7_conflicting_town", f"WITH {TOWNS} SELECT p_partkey FROM part WHERE p_type || ' ' || p_brand IN (SELECT name FROM fgn)")
+@query("x7_conflicting_town", f"WITH {TOWNS} SELECT p_partkey FROM part WHERE {TOWN} IN (SELECT name FROM fgn)")
 def _(s):
     stops, _, away = town_tables(s)
     return M.conflicting_town(stops, away, ["p_partkey"])
 
 
 @query("x8_match_by_top_town", f"""WITH {TOWNS}, f AS (SELECT name, count(*) AS n, max(country) AS c, count(DISTINCT country) AS nc FROM fgn GROUP BY 1),
-  j AS (SELECT p_partkey, dom.region, CASE WHEN p_partkey % 3 = 0 THEN 'CZ' END AS country, dom.name IS NOT NULL AS h, coalesce(n, 0) AS n, c, coalesce(nc, 0) AS nc FROM part LEFT JOIN dom ON dom.name = p_type || ' ' || p_brand LEFT JOIN f ON f.name = p_type || ' ' || p_brand),
+  j AS (SELECT p_partkey, dom.region, CASE WHEN p_partkey % 3 = 0 THEN 'CZ' END AS country, dom.name IS NOT NULL AS h, coalesce(n, 0) AS n, c, coalesce(nc, 0) AS nc FROM part LEFT JOIN dom ON dom.name = {TOWN} LEFT JOIN f ON f.name = {TOWN}),
   k AS (SELECT *, CASE WHEN h AND (country = 'CZ' OR n = 0) THEN 'home' WHEN country IS NULL AND NOT h AND nc = 1 THEN 'abroad' ELSE 'none' END AS rule FROM j)
   SELECT p_partkey, CASE WHEN rule = 'home' THEN region END AS region, CASE rule WHEN 'home' THEN 'CZ' WHEN 'abroad' THEN c ELSE country END AS country, rule FROM k""")
 def _(s):
@@ -119,7 +122,7 @@ def _(s):
     return M.match_by_top_town(stops, home, away, ["p_partkey"]).select("p_partkey", "region", "country", "rule")
 
 
-@query("x11_primary_matches", f"WITH {TOWNS} SELECT p_partkey FROM part WHERE p_type || ' ' || p_brand NOT IN (SELECT name FROM fgn) AND p_type || ' ' || p_brand NOT IN (SELECT name FROM dom)")
+@query("x11_primary_matches", f"WITH {TOWNS} SELECT p_partkey FROM part WHERE {TOWN} NOT IN (SELECT name FROM fgn) AND {TOWN} NOT IN (SELECT name FROM dom)")
 def _(s):
     stops, home, away = town_tables(s)
     return M.primary_matches(stops.select("p_partkey"), stops, away, home, ["p_partkey"])
@@ -132,9 +135,9 @@ def _(s):
     return R.missing_region_report(stops, used, ["batch_id", "stop_id"])
 
 
-@query("a12_urban_naming_batches", "SELECT batch_id FROM (SELECT stop_id % 97 AS batch_id, place FROM batches) x GROUP BY 1 HAVING bool_and(place IS NULL)")
+@query("a12_urban_naming_batches", "SELECT batch_id FROM (SELECT CAST(floor(stop_id / 2) AS BIGINT) AS batch_id, place FROM batches) x GROUP BY 1 HAVING bool_and(place IS NULL)")
 def _(s):
-    rows = s.batches.select((C("stop_id") % 97).alias("batch_id"), F.lit(None).cast("string").alias("district"), "place")
+    rows = s.batches.select(F.floor(C("stop_id") / 2).alias("batch_id"), F.lit(None).cast("string").alias("district"), "place")
     return R.urban_naming_batches(rows)
 
 
@@ -212,12 +215,18 @@ def _(s):
     return R.choose_naming(rows.where("size % 3 = 0"), rows.where("size % 2 = 0"))
 
 
-@query("p23_project_laea")
+#: The projection written out: authalic latitude, then the equal-area plane around the centre.
+LAEA = f"""p AS (SELECT id, 48 + x / 1000.0 AS lat, 12 + y / 1000.0 AS lon FROM names), s AS (SELECT *, sin(radians(lat)) AS s, radians(lon) - {G.LON0!r} AS dl FROM p),
+  b AS (SELECT *, asin(least(1.0, {1 - G.E2!r} * (s / (1 - {G.E2!r} * s * s) - ln((1 - {G.E!r} * s) / (1 + {G.E!r} * s)) / {2 * G.E!r}) / {G.QP!r})) AS beta FROM s),
+  k AS (SELECT *, {G.RQ!r} * sqrt(2 / (1 + sin({G.BETA0!r}) * sin(beta) + cos({G.BETA0!r}) * cos(beta) * cos(dl))) AS k FROM b)"""
+
+
+@query("p23_project_laea", f"WITH {LAEA} SELECT id, round({G.X0} + k * {G.D!r} * cos(beta) * sin(dl), 2) AS x, round({G.Y0} + k / {G.D!r} * (cos({G.BETA0!r}) * sin(beta) - sin({G.BETA0!r}) * cos(beta) * cos(dl)), 2) AS y, CAST(0 AS DOUBLE) AS lat_error, CAST(0 AS DOUBLE) AS lon_error FROM k")
 def _(s):
     points = s.names.select("id", (48 + C("x") / 1000).alias("lat"), (12 + C("y") / 1000).alias("lon"))
     x, y = G.project(C("lat"), C("lon"))
     lat, lon = G.unproject(x, y)
-    return points.select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), F.round(lat - C("lat"), 8).alias("lat_error"), F.round(lon - C("lon"), 8).alias("lon_error"))
+    return points.select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), (F.round(lat - C("lat"), 8) + 0.0).alias("lat_error"), (F.round(lon - C("lon"), 8) + 0.0).alias("lon_error"))
 
 
 @query("j11_town_by_point", "SELECT c_custkey, CASE WHEN x < 25 AND y < 1 THEN 'NATION_' || CAST(floor(x) AS INT) END AS name FROM (SELECT c_custkey, c_custkey % 3000 / 100.0 + 0.005 AS x, (c_custkey % 13) / 10.0 + 0.03 AS y FROM customer) z")
@@ -314,7 +323,7 @@ def _(s):
     return M.stop_names(s.batches).agg(F.count("*").alias("n"))
 
 
-@query("u4_unmatched_stops", f"WITH {TOWNS} SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM fgn WHERE name = p_type || ' ' || p_brand)")
+@query("u4_unmatched_stops", f"WITH {TOWNS} SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM fgn WHERE name = {TOWN})")
 def _(s):
     stops, _, away = town_tables(s)
     return stops.select("p_partkey").join(M.conflicting_town(stops, away, ["p_partkey"]), "p_partkey", "left_anti")

@@ -68,7 +68,18 @@ def _(s):
     return R.date_bare_times(s.bare_times, ["trip"]).select("trip", "pos", "time_sec", "day")
 
 
-@query("rt9_date_stop_history")
+def dated_series(name, departure):
+    """SQL of one series: arrival, departure, arrival, … of a trip, with the day of each."""
+    return f"""{name}0 AS (SELECT trip, pos, fixed_pos, clock_date, clock_sec, pos * 2 AS at_pos, time_sec AS t FROM bare_times UNION ALL SELECT trip, pos, fixed_pos, clock_date, clock_sec, pos * 2 + 1, time_sec + {departure} FROM bare_times),
+  {name}1 AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY trip ORDER BY at_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {name}0),
+  {name}2 AS (SELECT *, sum(CASE WHEN t < prev THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY at_pos) AS n FROM {name}1),
+  {name}3 AS (SELECT trip, arg_min(n, at_pos) AS nk, arg_min(t, at_pos) AS tk FROM {name}2 WHERE at_pos >= fixed_pos AND t IS NOT NULL GROUP BY 1),
+  {name} AS (SELECT a.trip, pos, at_pos, CASE WHEN t IS NOT NULL THEN CAST(clock_date + CAST(n - nk - CASE WHEN tk > clock_sec THEN 1 ELSE 0 END AS INT) AS DATE) END AS day FROM {name}2 a LEFT JOIN {name}3 k ON k.trip = a.trip)"""
+
+
+@query("rt9_date_stop_history", f"""WITH {dated_series('act', 60)}, {dated_series('plan', 30)}, d AS (SELECT a.trip, a.pos, max(CASE WHEN a.at_pos % 2 = 0 THEN a.day END) AS arrived_day, max(CASE WHEN a.at_pos % 2 = 1 THEN a.day END) AS departed_day,
+    max(CASE WHEN a.at_pos % 2 = 0 THEN p.day END) AS should_arrive_day, max(CASE WHEN a.at_pos % 2 = 1 THEN p.day END) AS should_depart_day FROM act a JOIN plan p ON p.trip = a.trip AND p.at_pos = a.at_pos GROUP BY 1, 2)
+  SELECT b.trip, b.pos, b.fixed_pos, b.clock_sec, b.time_sec AS arrived, b.time_sec + 60 AS departed, b.time_sec AS should_arrive, b.time_sec + 30 AS should_depart, arrived_day, departed_day, should_arrive_day, should_depart_day FROM bare_times b JOIN d ON d.trip = b.trip AND d.pos = b.pos""")
 def _(s):
     stops = s.bare_times.select("trip", "pos", "fixed_pos", "clock_date", "clock_sec", F.col("time_sec").alias("arrived"), (F.col("time_sec") + 60).alias("departed"), F.col("time_sec").alias("should_arrive"), (F.col("time_sec") + 30).alias("should_depart"))
     return R.date_stop_history(stops, ["trip"]).drop("clock_date")
