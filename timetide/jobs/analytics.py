@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import shared_dir
 from timetide.jobs.registry import query
 from timetide.operators import analytics as A
 
@@ -165,3 +168,11 @@ def _(s):
 @query("snk3_export_rows", "SELECT trip_id, trip_start_date, trip_stop_index, arrived FROM stop_history WHERE trip_id LIKE 'T1_' AND trip_start_date BETWEEN DATE '1996-05-01' AND DATE '1996-07-31'")
 def _(s):
     return A.export_rows(s.stop_history, "trip_id", "T1_", D(F.lit("1996-05-01")), D(F.lit("1996-07-31"))).select("trip_id", "trip_start_date", "trip_stop_index", "arrived")
+
+
+@query("snk3_exported_csv", "SELECT trip_id, trip_start_date, trip_stop_index, stop_id, arrived FROM stop_history WHERE trip_id LIKE 'T1_' AND trip_start_date BETWEEN DATE '1996-05-01' AND DATE '1996-07-31'")
+def _(s):
+    """The rows as a reader of the exported files finds them."""
+    path, columns = f"{shared_dir(s.spark)}/export-{uuid.uuid4().hex}", ["trip_id", "trip_start_date", "trip_stop_index", "stop_id", "arrived"]
+    A.export_csv(A.export_rows(s.stop_history, "trip_id", "T1_", D(F.lit("1996-05-01")), D(F.lit("1996-07-31"))).select(*columns), path)
+    return s.spark.read.schema("trip_id string, trip_start_date date, trip_stop_index int, stop_id string, arrived int").option("header", True).csv(path)

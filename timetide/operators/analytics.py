@@ -230,3 +230,8 @@ def export_rows(table: DataFrame, id_column: str, pattern: str, start: Column |
     """Rows whose id is LIKE the pattern and whose start day is in the range; both filters reach the scan."""
     out = table.where(F.col(id_column).like(pattern))
     return out if start is None else out.where(F.col("trip_start_date").between(start, end))
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """Write rows as CSV with a header, in as many files as they need."""
+    rows.write.option("header", True).option("escape", '"').csv(path)
