@@ -175,6 +175,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     forms = forms.withColumn("own", F.col("place.doc")).join(edges.select("node").distinct().withColumn("shares", F.lit(True)), "node", "left").where(several | F.col("shares"))
     # a form that stays is kept in its first document, one that goes where no form that stays is kept in another document
     forms = forms.join(goes, "node", "left").select("node", F.coalesce("first", "own").alias("first"), F.coalesce("last", "own").alias("last"))
+    forms = saved(forms, "recurring")  # so that the lines of one very common form are a skewed join's, which Spark splits
     dropped = named.join(forms, "node").where((F.col("doc") != F.col("first")) | (F.col("doc") != F.col("last")))
     return dropped.select("doc.doc_id", "doc.text_hash", "line_no")
 
