@@ -85,6 +85,10 @@ def test_region_guard(spark):
     towns = spark.createDataFrame([("c", "OL", 5000.0, 13_000.0), ("c", "ZL", 90_000.0, 0.0)], "name string, region string, x double, y double")
     got = {r["stop_id"]: (r["region"], r["country"]) for r in repair.regions_along(stops, places, profiles, regions, towns, False).collect()}
     assert got == {1: ("JM", "CZ"), 2: ("JM", "CZ"), 3: ("OL", "CZ")}
+    square = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    areas = spark.createDataFrame([("c", "OL", square(5000.0, 14_900.0, 900.0)), ("c", "ZL", square(4000.0, 15_100.0, 900.0)), ("b", "ZL", square(0.0, 0.0, 9.0))], "name string, region string, ring array<struct<x:double,y:double>>")
+    near = {r["stop_id"]: (r["region"], r["country"]) for r in repair.regions_along(stops, places, profiles, regions, towns, False, areas).collect()}
+    assert near == got  # its edge, not its middle, lies within 9000 + 1000 m; the other town's does not
 
 
 def test_coverage_report_and_pages(spark):

@@ -251,6 +251,20 @@ def _(s):
     return G.towns_of_points(points, diamonds, ["c_custkey"], 0.07).where("name is not null").select("c_custkey", "name")
 
 
+@query("x12_towns_within_reach", """WITH a AS (SELECT 'R' || n_regionkey AS town, n_nationkey % 3 AS region, n_nationkey * 10000.0 AS x0 FROM nation),
+  o AS (SELECT c_custkey, 'R' || c_custkey % 5 AS town, c_custkey % 250 * 1000.0 AS x, c_custkey % 13 * 700.0 - 3000 AS y, c_custkey % 40 * 500 AS way FROM customer),
+  d AS (SELECT c_custkey, region, way, greatest(x0 - x, x - x0 - 4000, 0) AS dx, greatest(0 - y, y - 2000, 0) AS dy FROM o JOIN a USING (town))
+  SELECT c_custkey, max(region) AS t_region FROM d WHERE sqrt(dx * dx + dy * dy) < way + 1000 GROUP BY 1 HAVING count(DISTINCT region) = 1""")
+def _(s):
+    """Towns that share a name, as rectangles; stops some way along a line from a known position."""
+    x0 = C("n_nationkey") * 10_000.0
+    corner = lambda dx, dy: F.struct((x0 + dx).alias("x"), F.lit(float(dy)).alias("y"))
+    areas = s.nation.select(F.concat(F.lit("R"), C("n_regionkey").cast("string")).alias("name"), (C("n_nationkey") % 3).alias("region"), F.array(corner(0, 0), corner(4000, 0), corner(4000, 2000), corner(0, 2000)).alias("ring"))
+    k = C("c_custkey")
+    stops = s.customer.select("c_custkey", F.concat(F.lit("R"), (k % 5).cast("string")).alias("town"), (k % 250 * 1000.0).alias("x"), (k % 13 * 700.0 - 3000).alias("y"), (k % 40 * 500).alias("way"))
+    return R.towns_within_reach(stops, areas, ["c_custkey"])
+
+
 @query("x12_boundary_distance", "SELECT c_custkey, c_nationkey, round(least(x - c_nationkey, c_nationkey + 1 - x, y, 1 - y), 9) AS edge FROM (SELECT c_custkey, c_nationkey, c_nationkey + (c_custkey % 97 + 1) / 128.0 AS x, (c_custkey % 89 + 2) / 128.0 AS y FROM customer) p")
 def _(s):
     """How far each point inside a square lies from its edge."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
-from timetide.functions.geo import boundary_distances, unproject
+from timetide.functions.geo import boundary_distances, polygon_distances, unproject
 from timetide.functions.lineage import cut
 from timetide.operators.matching import exact_matches, match_by_top_town, match_stops_by_name, primary_matches, top_stop_match
 
@@ -191,7 +191,19 @@ def matched_stops(stops: DataFrame, targets: DataFrame, towns: DataFrame, foreig
     return cut(known), cut(found.unionByName(points)), exact
 
 
-def regions_along(stops: DataFrame, places: DataFrame, profiles: DataFrame, regions: DataFrame | None, towns: DataFrame, backwards: bool) -> DataFrame:
+#: Metres by which a town may lie farther off than the line is long.
+TOWN_TOLERANCE = 1000
+
+
+def towns_within_reach(open_stops: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t_region of the stops (keys, town, x, y of the last known position, way since then) for which all areas (name,
+    region, ring) of their town's name that lie within the way and TOWN_TOLERANCE of that position agree on a region."""
+    apart = polygon_distances(open_stops.select("x", "y", F.col("town").alias("name")), areas, "name", "region")
+    near = open_stops.join(apart.select("x", "y", F.col("name").alias("town"), F.col("region").alias("t_region"), "distance"), ["x", "y", "town"]).where(F.col("distance") < F.col("way") + TOWN_TOLERANCE)
+    return near.groupBy(*keys).agg(F.count_distinct("t_region").alias("_n"), F.max("t_region").alias("t_region")).where("_n = 1").drop("_n")
+
+
+def regions_along(stops: DataFrame, places: DataFrame, profiles: DataFrame, regions: DataFrame | None, towns: DataFrame, backwards: bool, areas: DataFrame | None = None) -> DataFrame:
     """stops with regions filled along the patterns of profiles.
 
     regions (region, ring), where given, guard it: a new region stays only if in some pattern the stop is
@@ -220,16 +232,19 @@ def regions_along(stops: DataFrame, places: DataFrame, profiles: DataFrame, regi
         some = F.max(near).over(Window.partitionBy(*STOP))
         rows = rows.withColumn("_take", ~fresh | some).withColumn("region", F.when(F.col("_take"), F.col("region")).otherwise(F.col("old_region"))).withColumn("country", F.when(F.col("_take"), F.col("country")).otherwise(F.col("old_country")))
     open_ = rows.where("region is null and (country is null or country = 'CZ') and last is not null").select(*STOP, "town", "last", "way")
-    reach = F.hypot(F.col("tx") - F.col("last.x"), F.col("ty") - F.col("last.y"))
-    near_towns = open_.join(towns.select(F.col("name").alias("town"), F.col("region").alias("t_region"), F.col("x").alias("tx"), F.col("y").alias("ty")), "town").where(reach < F.col("way") + 1000)
-    agreed = near_towns.groupBy(*STOP).agg(F.count_distinct("t_region").alias("_n"), F.max("t_region").alias("t_region")).where("_n = 1").drop("_n")
+    if areas is None:
+        reach = F.hypot(F.col("tx") - F.col("last.x"), F.col("ty") - F.col("last.y"))
+        near_towns = open_.join(towns.select(F.col("name").alias("town"), F.col("region").alias("t_region"), F.col("x").alias("tx"), F.col("y").alias("ty")), "town").where(reach < F.col("way") + TOWN_TOLERANCE)
+        agreed = near_towns.groupBy(*STOP).agg(F.count_distinct("t_region").alias("_n"), F.max("t_region").alias("t_region")).where("_n = 1").drop("_n")
+    else:
+        agreed = towns_within_reach(open_.select(*STOP, "town", "last.x", "last.y", "way"), areas, STOP)
     rows = rows.join(agreed, STOP, "left").withColumn("country", F.when(F.col("region").isNull() & F.col("t_region").isNotNull(), "CZ").otherwise(F.col("country"))).withColumn("region", F.coalesce("region", "t_region"))
     best = richest_rows(rows.select(*STOP, "region", "country"), STOP).select(*STOP, F.col("region").alias("_r"), F.col("country").alias("_c"))
     out = stops.join(best, STOP, "left").withColumn("region", F.coalesce("region", "_r")).withColumn("country", F.coalesce("country", "_c"))
     return cut(out.drop("_r", "_c"))
 
 
-def fix_jdf(stops: DataFrame, trip_stops: DataFrame, routes: DataFrame, targets: DataFrame, towns: DataFrame, foreign: DataFrame, synonyms: DataFrame, regions: DataFrame | None = None, joined: DataFrame | None = None) -> dict[str, DataFrame]:
+def fix_jdf(stops: DataFrame, trip_stops: DataFrame, routes: DataFrame, targets: DataFrame, towns: DataFrame, foreign: DataFrame, synonyms: DataFrame, regions: DataFrame | None = None, joined: DataFrame | None = None, areas: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole repair of all batches: repaired stops, their locations, and what to look at.
 
     In: stops: batch_id, stop_id, town, district, place, region, country. trip_stops: batch_id, trip,
@@ -273,7 +288,7 @@ def fix_jdf(stops: DataFrame, trip_stops: DataFrame, routes: DataFrame, targets:
     out = cut(named.join(told, STOP, "left").withColumn("region", F.coalesce("region", "_r")).withColumn("country", F.coalesce("country", "_c")).drop("_r", "_c"))
     for direction in (1, 2):
         for backwards in (False, True):
-            out = regions_along(out, places, profiles.where(F.col("direction") == direction), regions, towns, backwards)
+            out = regions_along(out, places, profiles.where(F.col("direction") == direction), regions, towns, backwards, areas)
 
     lat, lon = unproject(F.col("cx"), F.col("cy"))
     longest = trip_stops.groupBy("batch_id", "trip").agg(F.count("*").alias("n")).groupBy("batch_id").agg(F.max(F.struct("n", "trip")).alias("m")).select("batch_id", "m.trip")
