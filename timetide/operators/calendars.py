@@ -128,7 +128,10 @@ def odd_days(plans: DataFrame, holidays: DataFrame) -> DataFrame:
     noted = F.flatten(F.transform(F.filter(clipped, lambda x: x["s"] <= x["e"]), lambda x: F.sequence(x["s"], x["e"])))
     every = holidays.agg(F.array_sort(F.collect_set("day")).alias("_holidays"))
     asked = F.arrays_overlap("codes", F.array(F.lit("X"), F.lit("+")))
-    own = F.when(asked, F.filter("_holidays", lambda d: d.between(F.col("valid_from"), F.col("valid_to")))).otherwise(F.array().cast("array<date>"))
+    # a short validity looks its days up among the holidays, a long one the holidays in its range
+    short = F.array_intersect(F.sequence("valid_from", "valid_to"), "_holidays")
+    found = F.when(F.datediff("valid_to", "valid_from") <= 366, short).otherwise(F.filter("_holidays", lambda d: d.between(F.col("valid_from"), F.col("valid_to"))))
+    own = F.when(asked, found).otherwise(F.array().cast("array<date>"))
     with_all = plans.join(F.broadcast(every), F.lit(True))
     return with_all.select(*plans.columns, F.explode(F.array_distinct(F.concat(F.coalesce(noted, F.array().cast("array<date>")), own))).alias("day"))
 
