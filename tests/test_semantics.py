@@ -249,3 +249,20 @@ def test_day_table_survives_a_cut_merge(spark, tmp_path, monkeypatch):
     put(row("c", D(2024, 1, 3), 1, 3))
     got = sorted((r["trip_id"], r["trip_stop_index"], r["seq"]) for r in table.read().collect())
     assert got == [("a", 1, 2), ("b", 1, 1), ("c", 1, 3), ("n", 1, 1)]
+
+
+def test_poll_delta_counts_take_unchanged_records(spark, tmp_path):
+    """Two records of a train that say the same, in snapshots next to each other."""
+    import duckdb
+
+    from timetide.jobs import catalog
+
+    first = datetime.datetime(2024, 1, 1, 1)
+    rows = [(2, first, 7, "a"), (2 + 2 * 1440, first + datetime.timedelta(hours=6), 7, "a"), (3, first + datetime.timedelta(hours=12), 7, "a")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sql = catalog.oracles()["rt8_poll_delta_counts"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT train, n, full_rows FROM ({sql}) x").fetchall()
+    got = catalog.queries()["rt8_poll_delta_counts"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.select("train", "n", "full_rows").collect()] == want == [("U7", 3, 1)]

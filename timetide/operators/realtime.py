@@ -96,11 +96,18 @@ def snapshot_delta(snapshots: DataFrame) -> DataFrame:
     should_arrive, departed, should_depart, kind: 'arrival' (stands there), 'full' (left the point where it
     stood; arrival values of the older record), 'departure' (passed), or 'error' (a time is missing).
     An unchanged record adds nothing; a train absent from the snapshot before has no older record."""
+    rows = with_older(snapshots)
+    return delta_rows(rows.where(~_record().eqNullSafe(F.col("old"))))
+
+
+def _record() -> Column:
+    return F.struct("last_point", "staying", "planned", "measured")
+
+
+def with_older(snapshots: DataFrame) -> DataFrame:
+    """snapshots with `old`: the train's record in the snapshot just before, null where it was absent."""
     w = Window.partitionBy("train").orderBy("snapshot_no")
-    record = F.struct("last_point", "staying", "planned", "measured")
-    old = F.when(F.lag("snapshot_no").over(w) == F.col("snapshot_no") - 1, F.lag(record).over(w))
-    rows = snapshots.withColumn("old", old).where(~record.eqNullSafe(F.col("old")))
-    return delta_rows(rows)
+    return snapshots.withColumn("old", F.when(F.lag("snapshot_no").over(w) == F.col("snapshot_no") - 1, F.lag(_record()).over(w)))
 
 
 def delta_rows(rows: DataFrame, *more: str) -> DataFrame:
