@@ -266,3 +266,10 @@ def test_poll_delta_counts_take_unchanged_records(spark, tmp_path):
     want = con.execute(f"SELECT train, n, full_rows FROM ({sql}) x").fetchall()
     got = catalog.queries()["rt8_poll_delta_counts"](spark, str(tmp_path))
     assert [tuple(r) for r in got.select("train", "n", "full_rows").collect()] == want == [("U7", 3, 1)]
+
+
+def test_variants_created_past_the_last_year_of_python(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (1, 1, DATE'2024-01-01', DATE'2024-01-31', FALSE, date_add(DATE'1990-01-01', 30000000)),
+        (1, 2, DATE'2024-01-10', DATE'2024-01-20', FALSE, date_add(DATE'1990-01-01', 30000001)), (1, 3, DATE'2024-03-01', DATE'2024-03-02', FALSE, NULL) t(route_id, dist, valid_from, valid_to, detour, created)""")
+    got = sorted((r["source_dist"], r["valid_from"], r["valid_to"]) for r in merging.resolve_route_overlaps(rows).collect())
+    assert got == [(1, D(2024, 1, 1), D(2024, 1, 9)), (1, D(2024, 1, 21), D(2024, 1, 31)), (2, D(2024, 1, 10), D(2024, 1, 20)), (3, D(2024, 3, 1), D(2024, 3, 2))]

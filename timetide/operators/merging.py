@@ -149,8 +149,8 @@ def _resolved(variants: list[tuple]) -> list[tuple]:
     starts has no piece.
 
     What is held against is always apart, so it is kept by its first days, and a variant meets only those that it overlaps."""
-    day, oldest = datetime.timedelta(days=1), datetime.date.min
-    live = [[d, d, a, b, bool(t), c or oldest] for d, a, b, t, c in sorted(variants, key=lambda v: v[0]) if a <= b]
+    day, oldest = datetime.timedelta(days=1), (0,)
+    live = [[d, d, a, b, bool(t), oldest if c is None else (1, c)] for d, a, b, t, c in sorted(variants, key=lambda v: v[0]) if a <= b]
     top = max((v[0] for v in variants), default=0)
     queue = deque(live)
     done = _Apart()
@@ -215,16 +215,18 @@ def resolve_route_overlaps(routes: DataFrame) -> DataFrame:
 
     Columns in: route_id, dist, valid_from, valid_to, detour, created. Dependent tables follow by a join on
     (route_id, source_dist): pieces of one variant copy its rows, a variant without a piece drops them. The
-    variants of one licence number are few; each group is one small task."""
+    variants of one licence number are few; each group is one small task. Of created only the order counts, so it
+    goes as a number of days: a date may lie past the year 9999, the last that Python has."""
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(r.dist), r.valid_from, r.valid_to, r.detour, None if pd.isna(r.created) else r.created) for r in pdf.itertuples()]
+        rows = [(int(r.dist), r.valid_from, r.valid_to, r.detour, None if pd.isna(r.created) else int(r.created)) for r in pdf.itertuples()]
         out = pd.DataFrame(_resolved(rows), columns=["source_dist", "dist", "valid_from", "valid_to"])
         out.insert(0, "route_id", pdf["route_id"].iloc[0])
         return out
 
     kind = routes.schema["route_id"].dataType.simpleString()
-    return routes.groupBy("route_id").applyInPandas(resolve, f"route_id {kind}, source_dist int, dist int, valid_from date, valid_to date")
+    counted = routes.select("route_id", "dist", "valid_from", "valid_to", "detour", F.unix_date("created").alias("created"))
+    return counted.groupBy("route_id").applyInPandas(resolve, f"route_id {kind}, source_dist int, dist int, valid_from date, valid_to date")
 
 
 def follow_routes(facts: DataFrame, pieces: DataFrame) -> DataFrame:
