@@ -273,3 +273,10 @@ def test_variants_created_past_the_last_year_of_python(spark):
         (1, 2, DATE'2024-01-10', DATE'2024-01-20', FALSE, date_add(DATE'1990-01-01', 30000001)), (1, 3, DATE'2024-03-01', DATE'2024-03-02', FALSE, NULL) t(route_id, dist, valid_from, valid_to, detour, created)""")
     got = sorted((r["source_dist"], r["valid_from"], r["valid_to"]) for r in merging.resolve_route_overlaps(rows).collect())
     assert got == [(1, D(2024, 1, 1), D(2024, 1, 9)), (1, D(2024, 1, 21), D(2024, 1, 31)), (2, D(2024, 1, 10), D(2024, 1, 20)), (3, D(2024, 3, 1), D(2024, 3, 2))]
+
+
+def test_tails_are_cut_in_one_pass_over_the_writes(spark):
+    """The plan has no frame that shrinks from row to row, which Spark works out anew for each row of a run."""
+    rows = spark.range(10).selectExpr("'t' AS trip_id", "DATE'2024-01-01' AS trip_start_date", "CAST(id % 3 AS INT) AS trip_stop_index", "id AS seq")
+    plan = realtime.truncate_tail(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), -1" in plan and "unboundedfollowing$()" not in plan

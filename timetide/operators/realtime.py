@@ -45,7 +45,8 @@ def tail_log(writes: DataFrame) -> DataFrame:
     A write that a later one reaches no further than says nothing more, so that of a run at most one write per
     index stays, and the log of a union of logs is that of all their writes."""
     per = writes.groupBy(*RUN, "seq").agg(F.max("top").alias("top"))
-    later = Window.partitionBy(*RUN).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # the newest first: a frame that only grows is linear, one that only shrinks is worked out anew for each row
+    later = Window.partitionBy(*RUN).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return per.withColumn("_later", F.min("top").over(later)).where("_later is null or top < _later").drop("_later")
 
 
@@ -62,7 +63,7 @@ def truncate_tail(rows: DataFrame, log: DataFrame | None = None) -> DataFrame:
     last = upsert_stop_history(rows)
     row = F.struct(*last.columns)
     both = last.select(*RUN, "seq", F.lit(None).cast("int").alias("top"), row.alias("row")).unionByName(log.select(*RUN, "seq", "top"), allowMissingColumns=True)
-    later = Window.partitionBy(*RUN).orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*RUN).orderBy(F.col("seq").desc()).rangeBetween(Window.unboundedPreceding, -1)
     kept = both.withColumn("shortest", F.min("top").over(later)).where("row is not null and (shortest is null or row.trip_stop_index <= shortest)")
     return kept.select("row.*")
 
