@@ -102,3 +102,17 @@ def test_coverage_report_and_pages(spark):
     assert [r["stop_id"] for r in matching.report_page(report, perfect=True).collect()] == [2]
     assert [r["stop_id"] for r in matching.report_page(report, text="BRN", sort="match", page=2, size=1).collect()] == [4]
     assert {r["match_type"]: r["n"] for r in matching.match_summary(report).collect()} == {"map by name": 2, "map by code": 1, "none": 1}
+
+
+def test_written_tables_do_not_pass_through_the_driver(spark):
+    """Rows that repeat themselves make small files; their joins by stop are no broadcasts."""
+    from timetide.functions.lineage import cut
+    from timetide.operators import matching
+
+    rows = cut(spark.range(1000).selectExpr("id AS k", "1.0D AS x", "2.0D AS y", "'PH' AS t_region", "'CZ' AS t_country", "'S' AS precision"))
+    top = matching.top_stop_match(rows, ["k"])
+    stops = spark.range(1000).selectExpr("id AS k", "'a' AS town", "CAST(NULL AS STRING) AS district", "CAST(NULL AS STRING) AS place")
+    towns = spark.createDataFrame([("a",)], "name string")
+    placed = matching.primary_matches(top, cut(stops), towns, towns, ["k"])
+    plan = placed._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
