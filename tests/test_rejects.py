@@ -97,3 +97,18 @@ def test_messages_of_no_kind(spark):
     texts = spark.createDataFrame([("a", "unknown", "<x/>"), ("b", "timetable", "<CZPTTCISMessage/>")], "message_id string, kind string, xml string")
     assert [tuple(r) for r in czptt.message_rejects(texts).collect()] == [("a", "no known message")]
     assert [r["message_id"] for r in czptt.parse_messages(texts, strict=False)[0].collect()] == ["b"]
+
+
+def test_feed_tables_on_demand(spark):
+    """Agencies are made without a look at trips, and the trips that run are those that have a calendar."""
+    from timetide.jobs import calendars as jobs
+    from timetide.jobs import timetable
+    from timetide.jobs.shapes import Shapes
+
+    s = Shapes(spark, "/root/testdata/sf0.001")
+    feed = timetable.feed(s, "agency")
+    assert list(feed) == ["agency"] and not any("lineitem" in f for f in feed["agency"].inputFiles())
+    made = (jobs.trips(s), s.notes, calendars.czech_holidays(spark, 1995, 2010), jobs.KEYS)
+    running = calendars.running_trips(*made)
+    with_days = calendars.service_calendar(*made)[0].select(*jobs.KEYS)
+    assert running.count() == with_days.count() > 0 and running.exceptAll(with_days).isEmpty()

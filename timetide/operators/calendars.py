@@ -140,16 +140,19 @@ def _in_base() -> Column:
     return F.exists("base", lambda r: F.col("day").between(r["s"], r["e"]))
 
 
+def based_plans(plans: DataFrame) -> DataFrame:
+    """plans of some validity with base (base_ranges), pattern, and n_base: how many days of the base are planned."""
+    own = plans.where("valid_from <= valid_to").withColumn("base", base_ranges()).withColumn("pattern", weekly_pattern(F.col("codes")))
+    return own.withColumn("n_base", F.aggregate("base", F.lit(0), lambda n, r: n + planned_between(F.col("pattern"), r["s"], r["e"])))
+
+
 def signature_changes(plans: DataFrame, holidays: DataFrame) -> DataFrame:
     """_sign, by_list, changes (day, exception_type; unsorted) of the signatures that run at all.
 
     Running days, and days on which a signature differs from its weekly pattern, are counted: odd days one by one, the others
     in closed form over ranges. Only what the calendar itself has to list is then listed, so a long validity costs no rows."""
     struct = lambda kind: F.struct("day", kind.cast("int").alias("exception_type"))
-    pattern = weekly_pattern(F.col("codes"))
-    own = plans.where("valid_from <= valid_to").withColumn("base", base_ranges()).withColumn("pattern", pattern)
-    total = F.aggregate("base", F.lit(0), lambda n, r: n + planned_between(F.col("pattern"), r["s"], r["e"]))
-    own = own.withColumn("n_base", total).withColumn("n_planned", planned_between(F.col("pattern"), F.col("valid_from"), F.col("valid_to")))
+    own = based_plans(plans).withColumn("n_planned", planned_between(F.col("pattern"), F.col("valid_from"), F.col("valid_to")))
     odd = judged_days(odd_days(own, holidays), holidays).withColumn("based", F.col("planned") & _in_base())
     count = lambda c: F.count_if(c).cast("int")
     differs = F.col("runs") != F.col("planned")
@@ -173,6 +176,18 @@ def signature_changes(plans: DataFrame, holidays: DataFrame) -> DataFrame:
     return both.join(rest, "_sign", "left").select("_sign", "by_list", F.concat(F.coalesce(listed, empty), F.coalesce("rest", empty)).alias("changes"))
 
 
+def running_trips(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of the trips of service_calendar() that run at all: their days are counted, and no calendar is made.
+
+    A day that runs is a base day that is planned and not odd, or an odd day judged to run."""
+    known, plans = signed_trips(trips, notes, keys, store=True)
+    own = based_plans(plans)
+    odd = judged_days(odd_days(own, holidays), holidays)
+    seen = odd.groupBy("_sign").agg((F.count_if("runs") - F.count_if(F.col("planned") & _in_base())).alias("_more"))
+    live = own.join(seen, "_sign", "left").where(F.col("n_base") + F.coalesce("_more", F.lit(0)) > 0).select("_sign")
+    return known.join(live, "_sign", "left_semi").select(*keys)
+
+
 def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
     """keys, day: all days on which each trip runs, to the end of its validity however long that is.
 

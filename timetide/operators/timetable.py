@@ -7,6 +7,8 @@ once by trip and all windows and the headsign use that one partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,21 +139,44 @@ def calendar_tables(names: DataFrame, plans: DataFrame, within: list[str]) -> tu
     return calendar, dates
 
 
-def jdf_to_gtfs(t: dict[str, DataFrame], holidays: DataFrame, cis: bool = False, coords: DataFrame | None = None) -> dict[str, DataFrame]:
+#: Tables of a feed.
+FEED = ("agency", "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates")
+
+
+def jdf_to_gtfs(t: dict[str, DataFrame], holidays: DataFrame, cis: bool = False, coords: DataFrame | None = None, only: Collection[str] = FEED) -> dict[str, DataFrame]:
     """GTFS tables of all batches, ready for sources.gtfs.write_gtfs: a feed per batch_id.
 
     Tables and columns as sources.jdf gives them. Trips that never run are left out; services with the
     same days share one calendar; stops take coordinates by id from coords (id, lat, lon) where given.
-    one_feed() makes a single feed of all batches."""
+    one_feed() makes a single feed of all batches. `only` names the tables that are wanted: calendars are worked
+    out where trips or calendars are, and only which trips run at all where stop times are."""
+    made = {}
+    if {"agency", "stops"} & set(only):
+        placed = gtfs_stops(t["stops"], t["stop_posts"], t["stop_locations"], t["route_stops"], cis)
+        agencies, placed = fill_required(gtfs_agencies(t["agencies"]), add_coords(placed, coords) if coords is not None else placed)
+        made |= {"agency": agencies, "stops": placed.withColumnRenamed("lat", "stop_lat").withColumnRenamed("lon", "stop_lon")}
+    if "routes" in only:
+        made["routes"] = gtfs_routes(t["routes"])
+    if set(only) - set(made) - {"routes"}:
+        made |= _running_feed(t, holidays, cis, only)
+    return {k: made[k] for k in FEED if k in only}
+
+
+def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only: Collection[str]) -> dict[str, DataFrame]:
+    """The tables of jdf_to_gtfs that depend on which trips run."""
     stops = resolve_attributes(t["stops"], t["attribute_refs"])
     trips = resolve_attributes(t["trips"], t["attribute_refs"])
     times = resolve_attributes(t["trip_stops"], t["attribute_refs"])
     routes = t["routes"].select("batch_id", "route_id", "dist", "valid_from", "valid_to")
     valid = require_all(trips, routes, ["batch_id", "route_id", "dist"], "route").withColumn("codes", F.col("attributes"))
-    running, plans = calendars.service_calendar(valid, t["service_notes"], holidays, TRIP)
     trip = T.trip_gtfs_id(F.col("route_id"), F.col("dist"), F.col("trip_id"))
-    names = calendars.calendar_names(running.withColumn("_service", trip), plans, "_service", ["batch_id"])
-    calendar, dates = calendar_tables(names, plans, ["batch_id"])
+    made = {}
+    if {"trips", "calendar", "calendar_dates"} & set(only):
+        running, plans = calendars.service_calendar(valid, t["service_notes"], holidays, TRIP)
+        names = calendars.calendar_names(running.withColumn("_service", trip), plans, "_service", ["batch_id"])
+        made["calendar"], made["calendar_dates"] = calendar_tables(names, plans, ["batch_id"])
+    else:
+        running = calendars.running_trips(valid, t["service_notes"], holidays, TRIP)
 
     zone = left_join_on(times, t["route_stops"].select("batch_id", "route_id", "dist", "route_stop_id", "zone"), ["batch_id", "route_id", "dist", "route_stop_id"])
     of_stop = stops.select("batch_id", "stop_id", F.col("attributes").alias("stop_attributes"))
@@ -161,22 +186,15 @@ def jdf_to_gtfs(t: dict[str, DataFrame], holidays: DataFrame, cis: bool = False,
     pickup, dropoff = T.pickup_dropoff(F.array_union("attributes", "stop_attributes"))
     stop = F.when(F.col("post_id").isNull(), T.stop_gtfs_id(F.col("stop_id"), cis)).otherwise(T.stop_gtfs_id(F.col("stop_id"), cis, F.col("post_id")))
     stop_times = timed.select("batch_id", trip.alias("trip_id"), F.col("arrival").alias("arrival_time"), F.col("departure").alias("departure_time"), stop.alias("stop_id"), "stop_sequence", pickup.alias("pickup_type"), dropoff.alias("drop_off_type"), F.col("zone").alias("stop_zone_ids"))
+    made["stop_times"] = stop_times
+    if "trips" not in only:
+        return made
 
     heads = headsigns(full, TRIP).join(stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"])
     wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
     live = trips.join(running, TRIP).join(names, ["batch_id", "plan"]).join(heads.drop("stop_id"), TRIP, "left")
-    gtfs_trips = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
-    placed = gtfs_stops(t["stops"], t["stop_posts"], t["stop_locations"], t["route_stops"], cis)
-    agencies, placed = fill_required(gtfs_agencies(t["agencies"]), add_coords(placed, coords) if coords is not None else placed)
-    return {
-        "agency": agencies,
-        "stops": placed.withColumnRenamed("lat", "stop_lat").withColumnRenamed("lon", "stop_lon"),
-        "routes": gtfs_routes(t["routes"]),
-        "trips": gtfs_trips,
-        "stop_times": stop_times,
-        "calendar": calendar,
-        "calendar_dates": dates,
-    }
+    made["trips"] = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
+    return made
 
 
 def one_feed(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
