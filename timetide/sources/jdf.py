@@ -12,6 +12,7 @@ import uuid
 import zipfile
 import zlib
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,13 +62,15 @@ FAR = "3000-01-01"
 TYPES = {"s": "string", "i": "int", "d": "date", "b": "boolean", "k": "decimal(12,6)"}
 
 
-def _records(data: bytes) -> list[list[str]]:
-    out = []
-    for line in data.decode("cp1250").splitlines():
+def _records(text: str):
+    for line in text.splitlines():
         line = line.strip()
         if line:
-            out.append(line.removesuffix(";").removeprefix('"').removesuffix('"').split('","'))
-    return out
+            yield line.removesuffix(";").removeprefix('"').removesuffix('"').split('","')
+
+
+#: Records that a task holds as Python lists at once.
+ROWS = 20_000
 
 
 def _unpacked(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +93,17 @@ def _unpacked(spark: SparkSession, path: str) -> DataFrame:
             for batch, file, data in members(name, content):
                 if file.lower().endswith(".txt"):
                     stem = re.sub(r"(\.[0-9]+)?\.txt$", "", file.lower())
-                    yield from [(batch, stem, -1, None), *((batch, stem, i, cols) for i, cols in enumerate(_records(data)))]
+                    text = data.decode("cp1250")  # whole, so that a file that is not readable gives no record
+                    yield batch, stem, -1, None
+                    yield from ((batch, stem, i, cols) for i, cols in enumerate(_records(text)))
         except (zipfile.BadZipFile, UnicodeDecodeError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error) as e:
             yield batch, UNREADABLE, 0, [file.rpartition("/")[2], f"{type(e).__name__}: {e}"[:200]]
 
     def run(batches):
         for pdf in batches:
-            out = [r for name, content in zip(pdf["path"], pdf["content"]) for r in rows(name, content)]
-            yield pd.DataFrame(out, columns=["batch_id", "file", "row_no", "cols"])
+            found = (r for name, content in zip(pdf["path"], pdf["content"]) for r in rows(name, content))
+            while out := list(islice(found, ROWS)):
+                yield pd.DataFrame(out, columns=["batch_id", "file", "row_no", "cols"])
 
     return files.mapInPandas(run, RAW)
 
@@ -272,7 +278,7 @@ def to_lines(rows: DataFrame, table: str) -> DataFrame:
 
 
 #: Lines that a task writes into one part of a file.
-PART_LINES = 500_000
+PART_LINES = 100_000
 
 
 def write_jdf(tables: dict[str, DataFrame], path: str) -> DataFrame:
