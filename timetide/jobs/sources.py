@@ -236,5 +236,6 @@ def _(s):
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))).alias("coordinates"))
     feature = F.struct(F.struct(F.concat(F.lit("c"), text("c_custkey")).alias("name"), F.concat(F.lit("n"), text("c_nationkey")).alias("region")).alias("properties"), shape.alias("geometry"))
     path = folder(s, "polygons")
-    s.customer.groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("json")).select("json").write.option("maxRecordsPerFile", 1).text(path)
+    # a file holds at most so many keys of a nation, however large the table
+    s.customer.groupBy("c_nationkey", F.floor(C("c_custkey") / 50_000)).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("json")).select("json").write.option("maxRecordsPerFile", 1).text(path)
     return realtime.read_polygons(s.spark, path).select("name", "region", F.size("ring").alias("points"), F.array_min(F.transform("ring", lambda p: p["x"])).alias("x"))
