@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import DOC_SCHEMA, SF, documents, near_duplicate_components, odd_documents, reachable, words
 from tokenizers import Tokenizer
 
-from timetide.llm import components, langid, line_dedup, minhash, mixing, packing, queries
+from timetide.llm import common, components, langid, line_dedup, minhash, mixing, packing, queries
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -425,6 +425,15 @@ def test_language_equals_brute_force(spark):
         assert r["rejected"] == (r["score"] < model.thresholds[lang])
 
 
+def test_packing_holds_little_at_once(spark):
+    """Tasks of a worker share one cache of words, and get few texts at once."""
+    assert packing.word_encoder(TOKENIZER) is packing.word_encoder(TOKENIZER)
+    sizes = lambda df: [r["n"] for r in df.mapInPandas(lambda it: (p.assign(n=len(p))[["n"]].head(1) for p in it), "n long").collect()]
+    with common.arrow_rows(spark, 7):
+        assert max(sizes(spark.range(50))) == 7
+    assert max(sizes(spark.range(50, numPartitions=1))) == 50
+
+
 def test_word_encoder_of_any_tokenizer():
     """The cache of words is for the file that it knows; any other one encodes whole texts."""
     texts = ["The  Cat's 12 tails\n<|endoftext|> naïve ÀÉ", "", None, "x" * 3000]

@@ -23,6 +23,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from timetide.llm.common import running_offsets, saved
+from timetide.llm.common import arrow_rows, running_offsets, saved
 
 CAPACITY = 2048
 #: Lines of a plan that are sent to every executor: 48 bytes each.
@@ -40,7 +41,10 @@ GROUPS = 256
 #: Lengths up to this share of the capacity are small ones.
 SMALL = 1 / 8
 BUCKET_ROWS = 500
-_CACHE = 500_000
+#: Words, and word parts, that a Python worker remembers: about half a kilobyte for both.
+_CACHE = 120_000
+#: Texts that a worker is given at once.
+BATCH_ROWS = 1000
 
 
 #: What the word cache below knows of a tokenizer file; with any other file whole texts are encoded. Fixed values.
@@ -96,8 +100,9 @@ class _Words(dict):
         return found
 
 
+@lru_cache(maxsize=1)
 def word_encoder(tokenizer_file: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes."""
+    """text -> its ids as little-endian unsigned 32-bit bytes; tasks of one worker share what it remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(tokenizer_file)
     spec = json.loads(tokenizer.to_str())
@@ -264,7 +269,8 @@ class Plan:
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """pieces() with sequence_id and offset."""
     spark = docs.sparkSession
-    rows = saved(pieces(docs, tokenizer_file, capacity), "pieces")
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = saved(pieces(docs, tokenizer_file, capacity), "pieces")
     counts = {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}  # one row per length, capacity at most
     plan = Plan(counts, capacity, groups)
     lines = spark.createDataFrame(plan.lines or [(0, 0, 0, 0, 1, 0)], "plan_length long, lo long, hi long, first long, per long, at long")
