@@ -122,6 +122,15 @@ def test_czptt(spark, tmp_path):
         czptt.read_czptt(spark, str(tmp_path))[0].collect()
 
 
+def test_czptt_reads_each_message_once(spark):
+    """However the messages are made: joined ones too are parsed where they are exploded, and nowhere else."""
+    ids = spark.createDataFrame([("a",)], "message_id string")
+    texts = spark.createDataFrame([("a", "timetable", TIMETABLE)], "message_id string, kind string, xml string").join(ids.hint("merge"), "message_id")
+    located = czptt.parse_messages(texts)[1]
+    assert [r["pos"] for r in located.orderBy("pos").collect()] == [0, 1]
+    assert located._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
 def test_realtime_json(spark):
     geo = '{"features":[{"geometry":{"coordinates":[14.5,50.1],"type":"Point"},"properties":{"stop_id":"U1","stop_name":"Anděl"}}]}'
     trains = '{"Status":"ok","Trains":[{"Id":7,"GPS":[50.0,14.0],"Title":"Os 1234 Praha - Brno"}]}'

@@ -94,14 +94,20 @@ def tag(name, value):
 def messages(s):
     """message_id, kind, xml: a timetable message of each train."""
     timing = lambda q, c: F.concat(F.lit(f'<Timing TimingQualifierCode="{q}">'), tag("Time", clock(c)), tag("Offset", F.lit("0")), F.lit("</Timing>"))
-    place = tag("Location", F.concat(tag("CountryCodeISO", F.lit("CZ")), tag("LocationPrimaryCode", text("code")), tag("PrimaryLocationName", F.concat(F.lit("Stop "), text("code")))))
-    times = tag("TimingAtLocation", F.concat(timing("ALA", C("qty") * 600), timing("ALD", C("qty") * 600 + 60)))
-    rest = F.concat(tag("ResponsibleRU", text("operator")), tag("TrainType", F.lit("1")), tag("TrafficType", F.lit("Os")), tag("TrainActivity", tag("TrainActivityType", F.when(C("public"), "0001").otherwise("0002"))))
-    located = s.locations.groupBy("train").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", tag("CZPTTLocation", F.concat(place, times, rest)).alias("x")))), lambda r: r["x"]), "").alias("body"))
+
+    def location(r):
+        place = tag("Location", F.concat(tag("CountryCodeISO", F.lit("CZ")), tag("LocationPrimaryCode", text(r["code"])), tag("PrimaryLocationName", F.concat(F.lit("Stop "), text(r["code"])))))
+        times = tag("TimingAtLocation", F.concat(timing("ALA", r["qty"] * 600), timing("ALD", r["qty"] * 600 + 60)))
+        rest = F.concat(tag("ResponsibleRU", text(r["operator"])), tag("TrainType", F.lit("1")), tag("TrafficType", F.lit("Os")), tag("TrainActivity", tag("TrainActivityType", F.when(r["public"], "0001").otherwise("0002"))))
+        return tag("CZPTTLocation", F.concat(place, times, rest))
+
+    # the rows are shuffled, not their XML
+    located = s.locations.groupBy("train").agg(F.sort_array(F.collect_list(F.struct("pos", "code", "qty", "operator", "public"))).alias("rows"))
+    body = F.array_join(F.transform("rows", location), "")
     ids = tag("Identifiers", tag("PlannedTransportIdentifiers", F.concat(tag("ObjectType", F.lit("PA")), tag("Core", text("train")), tag("Variant", F.lit("01")), tag("TimetableYear", F.lit("2024")))))
     days = tag("PlannedCalendar", F.concat(tag("BitmapDays", F.lpad(F.bin("bits"), 20, "0")), tag("ValidityPeriod", tag("StartDateTime", F.concat(F.date_format("start", "yyyy-MM-dd"), F.lit("T00:00:00"))))))
     whole = located.join(s.bitmaps.select(C("id").alias("train"), "bits", "start"), "train")
-    return whole.select(text("train").alias("message_id"), F.lit("timetable").alias("kind"), tag("CZPTTCISMessage", F.concat(ids, tag("CZPTTInformation", F.concat("body", days)))).alias("xml"))
+    return whole.select(text("train").alias("message_id"), F.lit("timetable").alias("kind"), tag("CZPTTCISMessage", F.concat(ids, tag("CZPTTInformation", F.concat(body, days)))).alias("xml"))
 
 
 @query("src5_czptt_messages", "SELECT DISTINCT CAST(id AS STRING) AS core, start, lpad(bin(bits), 20, '0') AS bitmap FROM bitmaps JOIN locations ON train = id")

@@ -66,7 +66,8 @@ def parse_messages(texts: DataFrame, strict: bool = True) -> tuple[DataFrame, Da
     calendar = F.coalesce("m.CZPTTInformation.PlannedCalendar", "m.PlannedCalendar")
     head = parsed.select("message_id", "kind", path_id.alias("p"), calendar.alias("c"), F.col("m.CZPTTInformation.CZPTTLocation").alias("l"))
     facts = head.select("message_id", "kind", F.col("p.TimetableYear").alias("year"), F.col("p.Core").alias("core"), F.col("p.Variant").alias("variant"), F.to_date(F.substring("c.ValidityPeriod.StartDateTime", 1, 10)).alias("start"), F.col("c.BitmapDays").alias("bitmap"))
-    locations = head.where("kind = 'timetable'").select("message_id", F.posexplode("l").alias("pos", "x"))
+    # outer: for an inner one Spark tests the array's size further down, and each test reads the whole XML again
+    locations = head.where("kind = 'timetable'").select("message_id", F.posexplode_outer("l").alias("pos", "x")).where("pos is not null")
     timing = lambda q: F.get(F.filter("x.TimingAtLocation.Timing", lambda t: t["_TimingQualifierCode"] == q), F.lit(0))
     located = locations.select(
         "message_id", "pos", F.col("x.Location.CountryCodeISO").alias("country"), F.col("x.Location.LocationPrimaryCode").alias("code"), F.col("x.Location.PrimaryLocationName").alias("name"),
