@@ -94,6 +94,14 @@ def test_gtfs_round_trip(spark, tmp_path):
         gtfs.read_gtfs(spark, str(tmp_path / "in"))
 
 
+def test_written_feed_is_compressed(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id % 3 as batch_id", "concat('CIST-', id) as trip_id", "3600 as arrival_time", "3600 as departure_time", "'JDFS-1' as stop_id", "0 as stop_sequence")
+    gtfs.write_gtfs({"stop_times": rows}, str(tmp_path))
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert files and sum(f.stat().st_size for f in files) < 20_000 * 20
+    assert spark.read.option("header", True).csv(str(tmp_path / "stop_times.txt")).count() == 20_000
+
+
 TIMETABLE = """<?xml version="1.0"?><CZPTTCISMessage><Identifiers><PlannedTransportIdentifiers><ObjectType>TR</ObjectType><Core>9</Core></PlannedTransportIdentifiers>
 <PlannedTransportIdentifiers><ObjectType>PA</ObjectType><Company>54</Company><Core>KADR-1</Core><Variant>01</Variant><TimetableYear>2024</TimetableYear></PlannedTransportIdentifiers></Identifiers>
 <CZPTTInformation><CZPTTLocation><Location><CountryCodeISO>CZ</CountryCodeISO><LocationPrimaryCode>54321</LocationPrimaryCode><PrimaryLocationName>Brno</PrimaryLocationName></Location>
