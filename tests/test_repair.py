@@ -116,3 +116,18 @@ def test_written_tables_do_not_pass_through_the_driver(spark):
     placed = matching.primary_matches(top, cut(stops), towns, towns, ["k"])
     plan = placed._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
+
+
+def test_pairs_of_one_name_are_dealt_to_many_tasks(spark):
+    """Stops and targets that all share a name: no task makes most of the pairs, and none is lost or made twice."""
+    from pyspark.sql import functions as F
+
+    from timetide.functions.lineage import spread_join
+
+    left, right = spark.range(300).selectExpr("id AS a", "concat('n', id % 1) AS name"), spark.range(200).selectExpr("id AS b", "concat('n', id % 1) AS name")
+    joined = spread_join(left, right, ["name"], cell=20, pairs=2000)
+    per_task = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert joined.select("a", "b").distinct().count() == joined.count() == sum(per_task) == 60_000
+    assert max(per_task) < 10_000
+    few = spread_join(left.where("a < 3"), right.unionByName(right), ["name"])
+    assert few.count() == 1200 and set(few.columns) == set(joined.columns) == {"name", "a", "b"}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions.geo import group_radius
-from timetide.functions.lineage import shuffled
+from timetide.functions.lineage import cut, shuffled, spread_join
 from timetide.functions.text import name_tokens
 
 RADIUS = 1000.0
@@ -61,10 +61,12 @@ def match_candidates(queries: DataFrame, targets: DataFrame, synonyms: DataFrame
 
 
 def match_stops_by_name(stops: DataFrame, targets: DataFrame, synonyms: DataFrame, limit: int | None = None) -> DataFrame:
-    """stops (name, …) joined with the candidate targets (name as target, …) and score, exact."""
-    found = match_candidates(stops, targets, synonyms, limit)
-    right = targets.withColumnRenamed("name", "target")
-    return shuffled(stops).join(found.withColumnRenamed("query", "name"), "name").join(right, "target")
+    """stops (name, …) joined with the candidate targets (name as target, …) and score, exact.
+
+    Many stops may share a name with many targets: pairs of rows are dealt to tasks evenly."""
+    found = cut(match_candidates(stops, targets, synonyms, limit))
+    met = shuffled(stops).join(found.withColumnRenamed("query", "name"), "name")
+    return spread_join(met, targets.withColumnRenamed("name", "target"), ["target"])
 
 
 def exact_matches(matches: DataFrame) -> DataFrame:
