@@ -131,3 +131,20 @@ def test_pairs_of_one_name_are_dealt_to_many_tasks(spark):
     assert max(per_task) < 10_000
     few = spread_join(left.where("a < 3"), right.unionByName(right), ["name"])
     assert few.count() == 1200 and set(few.columns) == set(joined.columns) == {"name", "a", "b"}
+
+
+def test_coverage_by_classes(spark):
+    """Ids that several rows share, or none: the report holds best matches only and sorts no others out; its pages need no report."""
+    stops = [(1, "Brno", None), (1, "Praha", None), (2, "Praha", "123"), (3, "Nikde", None), (4, "Brno", "9"), (4, "Brno", "9"), (5, "Lom", "7"), (5, "Nikde", None), (None, "Brno", None), (None, "Nikde", None)]
+    stops = spark.createDataFrame(stops, "stop_id int, name string, sr70 string")
+    targets = [("Brno", None, "ext", 0, 0), ("Brno hlavní", None, "map", 10, 0), ("Brno hlavní", None, "map", 30, 0), ("Jinak", "00123", "map", 5, 5), ("Praha", None, "ext", 1, 1), ("Praha", None, "map", 100, 40), ("Sedm", "7", "ext", 3, 4), ("Lom", "8", "other", None, None)]
+    targets = spark.createDataFrame(targets, "name string, sr70 string, kind string, x int, y int")
+    given = stops, targets, spark.createDataFrame([], "group_id int, token string")
+    report = matching.coverage_report(*given)
+    got = sorted((r["stop_id"] or 0, r["name"], r["target"] or "", r["priority"], r["x"] or 0) for r in report.collect())
+    both = [("Brno hlavní", 2, 10), ("Brno hlavní", 2, 30)]
+    want = [(0, "Brno", *b) for b in both] + [(0, "Brno", "", 5, 0), (0, "Nikde", "", 5, 0)] + [(1, "Brno", *b) for b in both] + [(1, "Praha", "Praha", 2, 100), (2, "Praha", "Jinak", 1, 5), (3, "Nikde", "", 5, 0)] + [(4, "Brno", *b) for b in both * 2] + [(5, "Lom", "Sedm", 3, 3)]
+    assert got == sorted(want)
+    assert "rank(" not in report._jdf.queryExecution().toString()
+    for options in ({}, {"perfect": True}, {"sort": "radius"}, {"sort": "match", "size": 3, "page": 2}, {"text": "brn"}):
+        assert matching.coverage_page(*given, **options).collect() == matching.report_page(report, **options).collect(), options

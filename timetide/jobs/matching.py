@@ -312,20 +312,20 @@ def _(s):
     return M.match_summary(s.names.select(F.concat(F.lit("type "), (C("x") % 5).cast("string")).alias("match_type"))).withColumn("percent", F.round("percent", 4))
 
 
-def report(s):
+def report_tables(s):
     stops = s.names.select(C("id").alias("stop_id"), "name", F.when(C("id") % 4 == 0, (C("id") % 70).cast("string")).alias("sr70"))
     to = targets(s).withColumn("kind", F.when(C("id") % 2 == 0, "map").otherwise("ext")).withColumn("sr70", F.when(C("id") % 5 == 0, (C("id") % 70).cast("string"))).drop("id")
-    return M.coverage_report(stops, to, synonyms(s))
+    return stops, to, synonyms(s)
 
 
 @query("x17_coverage_report")
 def _(s):
-    return report(s).withColumn("score", F.round("score", 6))
+    return M.coverage_report(*report_tables(s)).withColumn("score", F.round("score", 6))
 
 
 @query("t5_report_page")
 def _(s):
-    return M.report_page(report(s), text="o", perfect=True, sort="radius", size=20).withColumn("radius", F.round("radius", 4))
+    return M.coverage_page(*report_tables(s), text="o", perfect=True, sort="radius", size=20).withColumn("radius", F.round("radius", 4))
 
 
 @query("a17_jdf_stop_names", "SELECT DISTINCT town || ',' || district || ',' || coalesce(place, '') AS name FROM batches")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from timetide.functions.geo import group_radius
 from timetide.functions.lineage import cut, shuffled, spread_join
-from timetide.functions.text import name_tokens
+from timetide.functions.text import name_tokens, normal_sr70
 
 RADIUS = 1000.0
 
@@ -84,8 +84,6 @@ def top_stop_match(matches: DataFrame, keys: list[str], radius: float = RADIUS)
 
 def match_by_rail_code(stops: DataFrame, targets: DataFrame) -> DataFrame:
     """Stops and targets of one normalised rail code (column sr70)."""
-    from timetide.functions.text import normal_sr70
-
     left = stops.where("sr70 is not null").withColumn("_code", normal_sr70(F.col("sr70")))
     right = targets.where("sr70 is not null").select(F.col("name").alias("target"), "x", "y", normal_sr70(F.col("sr70")).alias("_code"))
     return left.join(right, "_code").drop("_code")
@@ -131,24 +129,61 @@ def match_summary(best: DataFrame) -> DataFrame:
     return counts.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.col("n").desc(), "match_type")
 
 
+def coverage_classes(stops: DataFrame, targets: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stop_id, name, priority, place: the stops by what their best matches depend on; priority, place, target, score, x, y: these).
+
+    place is the name, or the code, by which a stop is matched at the best priority of its stop_id (null without any match).
+    Stops of one name or code have the same matches, which are found once for all of them."""
+    found = cut(match_candidates(stops, targets, synonyms).select("query", "target", "score"))
+    kinds = targets.withColumn("_code", normal_sr70(F.col("sr70")))
+    named = kinds.select(F.col("name").alias("target"), "x", "y", F.when(F.col("kind") == "map", 2).otherwise(4).alias("priority"))
+    coded = kinds.where("kind in ('map', 'ext') and _code is not null").select(F.when(F.col("kind") == "map", 1).otherwise(3).alias("priority"), F.col("_code").alias("place"), F.col("name").alias("target"), F.lit(1.0).alias("score"), "x", "y")
+    at_names = found.join(named.select("target", "priority").distinct(), "target").groupBy(F.col("query").alias("name")).agg(F.min("priority").alias("_n"))
+    at_codes = coded.groupBy(F.col("place").alias("_code")).agg(F.min("priority").alias("_c"))
+    known = stops.select("stop_id", "name", normal_sr70(F.col("sr70")).alias("_code")).join(at_names, "name", "left").join(at_codes, "_code", "left")
+    best = known.withColumn("priority", F.min(F.least("_n", "_c")).over(Window.partitionBy("stop_id")))
+    place = F.when(F.col("priority").isin(1, 3), F.col("_code")).otherwise(F.col("name"))
+    rows = found.join(named, "target").select("priority", F.col("query").alias("place"), "target", "score", "x", "y").unionByName(coded)
+    return best.select("stop_id", "name", "priority", F.when(F.col("priority").isNotNull(), place).alias("place")), rows
+
+
+def _unmatched(known: DataFrame) -> DataFrame:
+    return known.where("priority is null or stop_id is null").select("stop_id", "name", F.lit(5).alias("priority"), F.lit(None).cast("double").alias("score"))
+
+
 def coverage_report(stops: DataFrame, targets: DataFrame, synonyms: DataFrame) -> DataFrame:
     """stop_id, name, target, priority, match_type, score, x, y of each stop's best matches; stops without any have type 'none'.
 
     Priorities: 1 map by code, 2 map by name, 3 external by code, 4 external by name. stops: stop_id, name,
-    sr70; targets: name, sr70, kind ('map' or 'ext'), x, y."""
-    rank = lambda by_code: F.when(F.col("kind") == "map", 1 if by_code else 2).otherwise(3 if by_code else 4)
-    by_name = match_stops_by_name(stops, targets.drop("sr70"), synonyms).select("stop_id", "name", "target", "score", "x", "y", rank(False).alias("priority"))
-    parts = [match_by_rail_code(stops, targets.where(F.col("kind") == k)).select("stop_id", "name", "target", F.lit(1.0).alias("score"), "x", "y", F.lit(p).alias("priority")) for k, p in (("map", 1), ("ext", 3))]
-    every = by_name.union(parts[0]).union(parts[1])
-    best = top_priority(every, ["stop_id"])
-    typed = best.withColumn("match_type", F.element_at(F.array(*map(F.lit, ("map by code", "map by name", "external by code", "external by name"))), F.col("priority")))
-    none = stops.join(every, "stop_id", "left_anti").select("stop_id", "name", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"), F.lit(5).alias("priority"), F.lit("none").alias("match_type"))
+    sr70; targets: name, sr70, kind ('map' or 'ext'), x, y. Only the best matches of a stop are made, none to be sorted out."""
+    known, rows = coverage_classes(stops, targets, synonyms)
+    types = F.array(*map(F.lit, ("map by code", "map by name", "external by code", "external by name")))
+    typed = spread_join(known, rows, ["priority", "place"]).select("stop_id", "name", "target", "score", "x", "y", "priority", F.element_at(types, F.col("priority")).alias("match_type"))
+    none = _unmatched(known).select("stop_id", "name", F.lit(None).cast("string").alias("target"), "score", F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"), "priority", F.lit("none").alias("match_type"))
     return typed.unionByName(none)
 
 
+def coverage_page(stops: DataFrame, targets: DataFrame, synonyms: DataFrame, **page) -> DataFrame:
+    """report_page() of coverage_report(), without its rows: scores and radii are those of classes of stops (coverage_classes).
+
+    A stop_id of several rows has the matches of all of them, so radii are worked out once per list of classes."""
+    known, rows = coverage_classes(stops, targets, synonyms)
+    of_class = rows.groupBy("priority", "place").agg(F.max("score").alias("score"))
+    matched = known.join(of_class, ["priority", "place"])
+    lists = matched.where("stop_id is not null").groupBy("stop_id").agg(F.array_sort(F.collect_list(F.struct("priority", "place"))).alias("classes"))
+    points = lists.select("classes").distinct().select("classes", F.inline("classes")).join(rows.where("x is not null"), ["priority", "place"])
+    radius = lists.join(shuffled(group_radius(points, ["classes"])), "classes").select("stop_id", "radius")
+    each = matched.select("stop_id", "name", "priority", "score").unionByName(_unmatched(known))
+    return _page(each, radius, **page)
+
+
 def report_page(report: DataFrame, text: str = "", perfect: bool = False, sort: str = "name", page: int = 1, size: int = 20) -> DataFrame:
     """One page of stops of the report: name contains the text; perfect: matched by code or with score 1."""
     radius = group_radius(report.where("x is not null"), ["stop_id"]).select("stop_id", "radius")
+    return _page(report, radius, text, perfect, sort, page, size)
+
+
+def _page(report: DataFrame, radius: DataFrame, text: str = "", perfect: bool = False, sort: str = "name", page: int = 1, size: int = 20) -> DataFrame:
     stops = report.groupBy("stop_id", "name").agg(F.min("priority").alias("priority"), F.max("score").alias("score")).join(radius, "stop_id", "left")
     rows = stops.where(F.col("name").ilike(f"%{text}%")) if text else stops
     rows = rows.where(F.col("priority").isin(1, 3) | (F.col("score") == 1)) if perfect else rows
