@@ -280,3 +280,18 @@ def test_tails_are_cut_in_one_pass_over_the_writes(spark):
     rows = spark.range(10).selectExpr("'t' AS trip_id", "DATE'2024-01-01' AS trip_start_date", "CAST(id % 3 AS INT) AS trip_stop_index", "id AS seq")
     plan = realtime.truncate_tail(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedpreceding$(), -1" in plan and "unboundedfollowing$()" not in plan
+
+
+def test_signatures_are_judged_in_their_own_rows(spark):
+    """A calendar is made of its signature's row alone, without a shuffle; its holidays are those of both years of a short validity."""
+    note = "array<struct<note_type:int,date_from:date,date_to:date>>"
+    plans = [(1, D(2023, 12, 20), D(2024, 1, 5), ["X"], [(4, D(2023, 12, 28), None)]), (2, D(2023, 1, 1), D(2024, 12, 31), ["+"], None), (3, D(2024, 1, 2), D(2024, 1, 1), ["X"], None)]
+    plans = spark.createDataFrame(plans, f"_sign long, valid_from date, valid_to date, codes array<string>, notes {note}")
+    made = calendars.judged_signatures(plans, calendars.czech_holidays(spark, 2020, 2030))
+    assert "hashpartitioning(_sign" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["_sign"]: r for r in made.collect()}
+    assert set(got) == {1, 2}
+    assert [(c["day"], c["exception_type"]) for c in got[1]["changes"]] == [(D(2023, 12, 25), 2), (D(2023, 12, 26), 2), (D(2023, 12, 28), 2), (D(2024, 1, 1), 2)]
+    assert got[1]["n_on"] == 9 and not got[1]["by_list"]
+    days = calendars.signature_days(plans, calendars.czech_holidays(spark, 2020, 2030)).where("runs").groupBy("_sign").count()
+    assert {r["_sign"]: r["count"] for r in days.collect()} == {k: r["n_on"] for k, r in got.items()}

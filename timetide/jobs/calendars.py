@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import shuffled
 from timetide.jobs.registry import query
 from timetide.operators import calendars as C
 
@@ -78,7 +79,7 @@ def _(s):
 @query("c4_calendar_exceptions", f"WITH {COMPACT} SELECT b.route_id, b.dist, b.trip, day, CASE WHEN runs THEN 1 ELSE 2 END AS exception_type FROM bothd b JOIN facts f USING (route_id, dist, trip) WHERE n > 0 AND CASE WHEN d > n THEN runs ELSE runs <> planned END")
 def _(s):
     services, plans = calendar(s)
-    return services.join(plans.select("plan", F.explode("changes").alias("c")), "plan").select(*KEYS, "c.day", "c.exception_type")
+    return services.join(shuffled(plans.select("plan", "changes")), "plan").select(*KEYS, F.inline("changes"))
 
 
 @query("c5_dedupe_calendar", f"""WITH {COMPACT}, ex AS (SELECT b.route_id, b.dist, b.trip, string_agg(CAST(day AS STRING) || CASE WHEN runs THEN '+' ELSE '-' END, ',' ORDER BY day) AS x FROM bothd b JOIN facts f USING (route_id, dist, trip) WHERE n > 0 AND CASE WHEN d > n THEN runs ELSE runs <> planned END GROUP BY 1, 2, 3),
