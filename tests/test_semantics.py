@@ -295,3 +295,14 @@ def test_signatures_are_judged_in_their_own_rows(spark):
     assert got[1]["n_on"] == 9 and not got[1]["by_list"]
     days = calendars.signature_days(plans, calendars.czech_holidays(spark, 2020, 2030)).where("runs").groupBy("_sign").count()
     assert {r["_sign"]: r["count"] for r in days.collect()} == {k: r["n_on"] for k, r in got.items()}
+
+
+def test_attributes_are_resolved_without_a_shuffle(spark):
+    """A batch's attributes are one row: trips are not brought together by batch."""
+    from timetide.operators.timetable import resolve_attributes
+
+    rows = spark.range(10).selectExpr("CAST(id % 2 AS INT) AS batch_id", "array(CAST(id % 3 AS INT)) AS attributes")
+    refs = spark.range(6).selectExpr("CAST(id % 2 AS INT) AS batch_id", "CAST(id DIV 2 AS INT) AS attribute_id", "concat('c', id) AS code")
+    made = resolve_attributes(rows, refs)
+    assert "strategy=broadcast" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["batch_id"], r["attributes"][0]) for r in made.distinct().collect()) == [(0, "c0"), (0, "c2"), (0, "c4"), (1, "c1"), (1, "c3"), (1, "c5")]

@@ -40,7 +40,7 @@ def left_join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 def resolve_attributes(rows: DataFrame, refs: DataFrame, column: str = "attributes") -> DataFrame:
     """The column's attribute ids as a sorted set of codes; an id that the batch does not define is an error."""
     maps = refs.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_id", "code"))).alias("_codes"))
-    joined = rows.join(maps, "batch_id", "left")
+    joined = rows.join(F.broadcast(maps), "batch_id", "left")  # a row per batch
     ids = F.filter(F.coalesce(column, F.array().cast("array<int>")), lambda i: i.isNotNull())
     code = F.transform(ids, lambda i: F.coalesce(F.col("_codes")[i], F.raise_error(F.concat(F.lit("unknown attribute "), i.cast("string")))))
     return joined.withColumn(column, F.array_sort(F.array_distinct(code))).drop("_codes")
@@ -190,9 +190,12 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     if "trips" not in only:
         return made
 
-    heads = headsigns(full, TRIP).join(stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"])
+    # a trip's last stop is found before any join, so of its stops one row is shuffled; that all stops are known is seen on the distinct ones
+    last = headsigns(times.withColumn("trip_no", F.col("trip_id")), TRIP)
+    called = require_all(times.select("batch_id", "stop_id").distinct(), stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"], "stop")
+    heads = last.join(called, ["batch_id", "stop_id"]).drop("stop_id")
     wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
-    live = trips.join(running, TRIP).join(names, ["batch_id", "plan"]).join(heads.drop("stop_id"), TRIP, "left")
+    live = trips.join(running, TRIP).join(heads, TRIP, "left").join(names, ["batch_id", "plan"])
     made["trips"] = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
     return made
 
