@@ -306,3 +306,17 @@ def test_attributes_are_resolved_without_a_shuffle(spark):
     made = resolve_attributes(rows, refs)
     assert "strategy=broadcast" in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["batch_id"], r["attributes"][0]) for r in made.distinct().collect()) == [(0, "c0"), (0, "c2"), (0, "c4"), (1, "c1"), (1, "c3"), (1, "c5")]
+
+
+def test_growing_tables_of_a_feed_are_not_broadcast(spark):
+    """Routes, trips, plans and days have small files and many rows: joins by their keys pass by the driver."""
+    import re
+
+    from timetide.jobs import catalog, timetable
+    from timetide.jobs.shapes import Shapes
+
+    sf = "/root/testdata/sf0.001"
+    feed = timetable.feed(Shapes(spark, sf), "trips", "stop_times", "calendar", "calendar_dates")
+    made = [*feed.values(), timetable.feed(Shapes(spark, sf), "stop_times")["stop_times"], catalog.queries()["g1_feed_service_days"](spark, sf)]
+    keys = r"BroadcastHashJoin \[[^\]]*\b(dist|trip_id|plan|_sign|service_id)#"
+    assert [re.findall(keys, df._jdf.queryExecution().sparkPlan().toString()) for df in made] == [[]] * 6

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timetide.functions.lineage import cut
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: days(d, n): a date n days on; secs(t, n): a timestamp n seconds on. They differ between the dialects.
@@ -146,6 +148,11 @@ class Shapes:
             return self.sql(SHAPES[name])
         raise AttributeError(name)
 
+    def store(self, *names: str) -> None:
+        """Work these shapes out now, each from those before it, and write them, for all that is made of them."""
+        for n in names:
+            setattr(self, n, cut(getattr(self, n)))
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over shapes and base tables."""
         names = [n for n in (*SHAPES, *BASE) if re.search(rf"\b(FROM|JOIN)\s+{n}\b", text)]

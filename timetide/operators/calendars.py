@@ -47,7 +47,7 @@ def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str], store: boo
     A trip's days depend on its validity, codes and notes only, so they are worked out once per signature."""
     typed = notes.where("note_type is not null").select(*keys, "note_type", "date_from", "date_to")
     listed = typed.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("note_type", "date_from", "date_to"))).alias("notes"))
-    known = trips.select(*keys, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(listed, keys, "left")
+    known = trips.select(*keys, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(shuffled(listed), keys, "left")
     sign = ["valid_from", "valid_to", "codes", "notes"]
     known = known.withColumn("_sign", F.xxhash64(*sign))
     known = cut(known) if store else known
@@ -211,8 +211,8 @@ def running_trips(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys:
     own = based_plans(plans)
     odd = judged_days(odd_days(own, holidays), holidays)
     seen = odd.groupBy("_sign").agg((F.count_if("runs") - F.count_if(F.col("planned") & _in_base())).alias("_more"))
-    live = own.join(seen, "_sign", "left").where(F.col("n_base") + F.coalesce("_more", F.lit(0)) > 0).select("_sign")
-    return known.join(live, "_sign", "left_semi").select(*keys)
+    live = own.join(shuffled(seen), "_sign", "left").where(F.col("n_base") + F.coalesce("_more", F.lit(0)) > 0).select("_sign")
+    return known.join(shuffled(live), "_sign", "left_semi").select(*keys)
 
 
 def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> DataFrame:
@@ -251,7 +251,7 @@ def calendar_names(services: DataFrame, plans: DataFrame, service: str, within:
         placed = placed.join(placed.groupBy(*within).agg(F.min("_i").alias("_least")), within)
     else:
         placed = placed.withColumn("_least", F.lit(1))
-    named = placed.join(plans.select("plan", bits.alias("bits")), "plan")
+    named = placed.join(shuffled(plans.select("plan", bits.alias("bits"))), "plan")
     return named.select(*within, "plan", F.concat_ws("-", F.lit("CAL"), "bits", (F.col("_i") - F.col("_least")).cast("string")).alias("calendar_id"))
 
 

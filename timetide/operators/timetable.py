@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
+from timetide.functions.lineage import shuffled
 from timetide.operators import calendars
 
 TRIP = ["batch_id", "route_id", "dist", "trip_id"]
@@ -132,7 +133,7 @@ def gtfs_routes(routes: DataFrame) -> DataFrame:
 
 def calendar_tables(names: DataFrame, plans: DataFrame, within: list[str]) -> tuple[DataFrame, DataFrame]:
     """GTFS calendar and calendar_dates of named plans (calendars.service_calendar, calendars.calendar_names)."""
-    known = names.join(plans, "plan").withColumnRenamed("calendar_id", "service_id")
+    known = names.join(shuffled(plans), "plan").withColumnRenamed("calendar_id", "service_id")
     days = [F.element_at("pattern", i + 1).alias(d) for i, d in enumerate(WEEK)]
     calendar = known.where("pattern is not null").select(*within, "service_id", *days, F.col("valid_from").alias("start_date"), F.col("valid_to").alias("end_date"))
     dates = known.select(*within, "service_id", F.explode("changes").alias("c")).select(*within, "service_id", F.col("c.day").alias("date"), "c.exception_type")
@@ -167,7 +168,7 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     stops = resolve_attributes(t["stops"], t["attribute_refs"])
     trips = resolve_attributes(t["trips"], t["attribute_refs"])
     times = resolve_attributes(t["trip_stops"], t["attribute_refs"])
-    routes = t["routes"].select("batch_id", "route_id", "dist", "valid_from", "valid_to")
+    routes = shuffled(t["routes"].select("batch_id", "route_id", "dist", "valid_from", "valid_to"))
     valid = require_all(trips, routes, ["batch_id", "route_id", "dist"], "route").withColumn("codes", F.col("attributes"))
     trip = T.trip_gtfs_id(F.col("route_id"), F.col("dist"), F.col("trip_id"))
     made = {}
@@ -178,10 +179,10 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     else:
         running = calendars.running_trips(valid, t["service_notes"], holidays, TRIP)
 
-    zone = left_join_on(times, t["route_stops"].select("batch_id", "route_id", "dist", "route_stop_id", "zone"), ["batch_id", "route_id", "dist", "route_stop_id"])
+    zone = left_join_on(times, shuffled(t["route_stops"].select("batch_id", "route_id", "dist", "route_stop_id", "zone")), ["batch_id", "route_id", "dist", "route_stop_id"])
     of_stop = stops.select("batch_id", "stop_id", F.col("attributes").alias("stop_attributes"))
     full = require_all(zone, of_stop, ["batch_id", "stop_id"], "stop").withColumn("trip_no", F.col("trip_id"))
-    full = full.join(running.select(*TRIP), TRIP, "left_semi")
+    full = full.join(shuffled(running.select(*TRIP)), TRIP, "left_semi")
     timed = gtfs_stop_times(full, TRIP)
     pickup, dropoff = T.pickup_dropoff(F.array_union("attributes", "stop_attributes"))
     stop = F.when(F.col("post_id").isNull(), T.stop_gtfs_id(F.col("stop_id"), cis)).otherwise(T.stop_gtfs_id(F.col("stop_id"), cis, F.col("post_id")))
@@ -195,7 +196,7 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     called = require_all(times.select("batch_id", "stop_id").distinct(), stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"], "stop")
     heads = last.join(called, ["batch_id", "stop_id"]).drop("stop_id")
     wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
-    live = trips.join(running, TRIP).join(heads, TRIP, "left").join(names, ["batch_id", "plan"])
+    live = trips.join(shuffled(running), TRIP).join(shuffled(heads), TRIP, "left").join(shuffled(names), ["batch_id", "plan"])
     made["trips"] = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
     return made
 
