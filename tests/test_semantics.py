@@ -320,3 +320,19 @@ def test_growing_tables_of_a_feed_are_not_broadcast(spark):
     made = [*feed.values(), timetable.feed(Shapes(spark, sf), "stop_times")["stop_times"], catalog.queries()["g1_feed_service_days"](spark, sf)]
     keys = r"BroadcastHashJoin \[[^\]]*\b(dist|trip_id|plan|_sign|service_id)#"
     assert [re.findall(keys, df._jdf.queryExecution().sparkPlan().toString()) for df in made] == [[]] * 6
+
+
+def test_stops_of_trips_are_shuffled_once(spark):
+    """Zones come to a trip's stops with the trip, and flags to a trip with its calendar."""
+    from timetide.jobs import timetable as jobs
+    from timetide.jobs.shapes import Shapes
+    from timetide.operators import timetable
+
+    rows = [(0, "r", 1, 1, "A"), (0, "r", 1, 1, "B"), (0, "r", 1, 1, None), (0, "r", 1, 2, None), (0, "r", 1, None, "C"), (0, "q", 1, 3, "A")]
+    zones = timetable.route_zones(spark.createDataFrame(rows, "batch_id int, route_id string, dist int, route_stop_id int, zone string"))
+    assert {r["route_id"]: r["zones"] for r in zones.collect()} == {"r": {1: "B", 2: None}, "q": {3: "A"}}
+    feed = jobs.feed(Shapes(spark, "/root/testdata/sf0.001"), "trips", "stop_times")
+    plan = feed["stop_times"]._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "route_stop_id" in line.split("hashpartitioning")[1]]
+    assert not dealt
+    assert "attribute_id" not in feed["trips"]._jdf.queryExecution().optimizedPlan().toString()

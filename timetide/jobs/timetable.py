@@ -204,7 +204,9 @@ def jdf_tables(s, batches=5):
     """Timetable tables of the shapes: one batch per fifth of the routes, or another share. TRIP_STOPS says the same in SQL."""
     n, batch = batches, (C("route_id") % batches).alias("batch_id")
     trips, none = s.trips, F.lit(None).cast("string")
-    calls = trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("route_stop_id"), "part", "supp").withColumn("stop_id", ((C("supp") + C("route_stop_id")) % 60).cast("int"))
+    calling = lambda trips: trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("route_stop_id"), "part", "supp").withColumn("stop_id", ((C("supp") + C("route_stop_id")) % 60).cast("int"))
+    # stops of routes come of trips that are dealt by route, so that the trips are shuffled and not their stops
+    calls, along = calling(trips), calling(trips.repartition("route_id", "dist"))
     stops = calls.select("batch_id", "stop_id").distinct()
     codes = "X+1234567@{O"
     batches = s.routes.select(batch).distinct()
@@ -215,7 +217,7 @@ def jdf_tables(s, batches=5):
         "stop_posts": stops.select("batch_id", "stop_id", F.lit(1).alias("post_id"), F.when(C("stop_id") % 4 == 0, "A").alias("post_name")),
         "stop_locations": stops.select("batch_id", "stop_id", F.when(C("stop_id") % 3 == 0, "S").otherwise("T").alias("precision"), (C("stop_id") / 64 + 48).alias("lat"), (C("stop_id") / 64 + 14).alias("lon")),
         "attribute_refs": batches.select("batch_id", F.posexplode(F.split(F.lit(codes), "")).alias("attribute_id", "code")).where("code <> ''"),
-        "route_stops": calls.select("batch_id", "route_id", "dist", "route_stop_id", "stop_id", F.when(C("route_stop_id") != 2, F.concat(F.lit("Z"), C("route_stop_id").cast("string"))).alias("zone")).distinct(),
+        "route_stops": along.select("batch_id", "route_id", "dist", "route_stop_id", "stop_id", F.when(C("route_stop_id") != 2, F.concat(F.lit("Z"), C("route_stop_id").cast("string"))).alias("zone")).distinct(),
         "trips": trips.select(batch, "route_id", "dist", C("trip").alias("trip_id"), F.transform(F.filter(F.split("codes", ","), lambda c: c != ""), lambda c: F.instr(F.lit(codes), c) - 1).alias("attributes")),
         "trip_stops": calls.select("batch_id", "route_id", "dist", "trip_id", "route_stop_id", "stop_id", F.when((C("stop_id") % 2 == 0) & (C("part") % 2 == 0), 1).alias("post_id"), F.array().cast("array<int>").alias("attributes"), F.lit("time").alias("dep_kind"), F.lit(None).cast("int").alias("arr_sec"), (3600 * ((C("part") + 7 * C("route_stop_id")) % 24)).cast("int").alias("dep_sec")),
         "service_notes": s.notes.select(batch, "route_id", "dist", C("trip").alias("trip_id"), "note_type", "date_from", "date_to"),

@@ -6,6 +6,8 @@ them, are therefore worked out once per distinct signature.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,17 @@ def czech_holidays(spark, start_year: int, end_year: int) -> DataFrame:
     return years.select(F.explode(F.concat(fixed, F.array(F.date_sub(easter, 2), F.date_add(easter, 1)))).alias("day"))
 
 
-def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str], store: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(keys, _sign; the distinct signatures: _sign, valid_from, valid_to, codes, notes); with store, of a written table.
+def signed_trips(trips: DataFrame, notes: DataFrame, keys: list[str], store: bool = False, more: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(keys, more, _sign; the distinct signatures: _sign, valid_from, valid_to, codes, notes); with store, of a written table.
 
     A trip's days depend on its validity, codes and notes only, so they are worked out once per signature."""
     typed = notes.where("note_type is not null").select(*keys, "note_type", "date_from", "date_to")
     listed = typed.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("note_type", "date_from", "date_to"))).alias("notes"))
-    known = trips.select(*keys, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(shuffled(listed), keys, "left")
+    known = trips.select(*keys, *more, "valid_from", "valid_to", F.sort_array(F.array_distinct("codes")).alias("codes")).join(shuffled(listed), keys, "left")
     sign = ["valid_from", "valid_to", "codes", "notes"]
     known = known.withColumn("_sign", F.xxhash64(*sign))
     known = cut(known) if store else known
-    return known.select(*keys, "_sign"), known.select("_sign", *sign).dropDuplicates(["_sign"])
+    return known.select(*keys, *more, "_sign"), known.select("_sign", *sign).dropDuplicates(["_sign"])
 
 
 def _start(n: Column) -> Column:
@@ -227,13 +229,13 @@ def service_days(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys:
     return known.join(signature_days(plans, holidays).where("runs").select("_sign", "day"), "_sign").select(*keys, "day")
 
 
-def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys, plan of the trips that run at all; plans: plan, valid_from, valid_to, pattern, changes).
+def service_calendar(trips: DataFrame, notes: DataFrame, holidays: DataFrame, keys: list[str], more: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(keys, the columns `more` of trips, plan of the trips that run at all; plans: plan, valid_from, valid_to, pattern, changes).
 
     The same as compact_calendar over service_days, made once per distinct signature from ranges of days, and written: changes
     are sorted (day, exception_type); a plan by list has neither pattern nor range. Signatures that come
     to the same calendar share a plan."""
-    known, plans = signed_trips(trips, notes, keys, store=True)
+    known, plans = signed_trips(trips, notes, keys, True, more)
     unlisted = lambda c: F.when(~F.col("by_list"), F.col(c)).alias(c)
     made = judged_signatures(plans, holidays).select("_sign", "n_on", *map(unlisted, ("valid_from", "valid_to", "pattern")), "changes")
     made = cut(made.withColumn("plan", digest("valid_from", "valid_to", "pattern", "changes"))).where("n_on > 0").drop("n_on")

@@ -82,6 +82,13 @@ def stop_zones(route_stops: DataFrame, keys: list[str]) -> DataFrame:
     return route_stops.groupBy(*keys).agg(F.nullif(zones, F.lit("")).alias("zone_id"))
 
 
+def route_zones(route_stops: DataFrame) -> DataFrame:
+    """batch_id, route_id, dist, zones: the zone of each route stop by its id, of several the greatest; brought together once, by route."""
+    known = route_stops.where("route_stop_id is not null").groupBy(*TRIP[:3]).agg(F.sort_array(F.collect_set(F.struct("route_stop_id", "zone"))).alias("all"))
+    last = F.filter("all", lambda x, i: ~F.coalesce(F.get("all", i + 1)["route_stop_id"] == x["route_stop_id"], F.lit(False)))
+    return known.select(*TRIP[:3], F.map_from_entries(last).alias("zones"))
+
+
 def add_coords(stops: DataFrame, coords: DataFrame) -> DataFrame:
     """stops (stop_id, lat, lon) with coordinates by own id, for platforms of a station else by the station's; others keep theirs."""
     own = coords.groupBy("id").agg(F.max(F.struct("lat", "lon")).alias("p"))
@@ -171,18 +178,21 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     routes = shuffled(t["routes"].select("batch_id", "route_id", "dist", "valid_from", "valid_to"))
     valid = require_all(trips, routes, ["batch_id", "route_id", "dist"], "route").withColumn("codes", F.col("attributes"))
     trip = T.trip_gtfs_id(F.col("route_id"), F.col("dist"), F.col("trip_id"))
+    wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
     made = {}
     if {"trips", "calendar", "calendar_dates"} & set(only):
-        running, plans = calendars.service_calendar(valid, t["service_notes"], holidays, TRIP)
+        flagged = valid.withColumns({"wheelchair_accessible": wheelchair, "bikes_allowed": bikes})
+        running, plans = calendars.service_calendar(flagged, t["service_notes"], holidays, TRIP, ["wheelchair_accessible", "bikes_allowed"])
         names = calendars.calendar_names(running.withColumn("_service", trip), plans, "_service", ["batch_id"])
         made["calendar"], made["calendar_dates"] = calendar_tables(names, plans, ["batch_id"])
     else:
         running = calendars.running_trips(valid, t["service_notes"], holidays, TRIP)
 
-    zone = left_join_on(times, shuffled(t["route_stops"].select("batch_id", "route_id", "dist", "route_stop_id", "zone")), ["batch_id", "route_id", "dist", "route_stop_id"])
     of_stop = stops.select("batch_id", "stop_id", F.col("attributes").alias("stop_attributes"))
-    full = require_all(zone, of_stop, ["batch_id", "stop_id"], "stop").withColumn("trip_no", F.col("trip_id"))
-    full = full.join(shuffled(running.select(*TRIP)), TRIP, "left_semi")
+    full = require_all(times, of_stop, ["batch_id", "stop_id"], "stop").withColumn("trip_no", F.col("trip_id"))
+    # zones come with the trip, so that its stops are shuffled once, by trip
+    zoned = running.select(*TRIP).join(shuffled(route_zones(t["route_stops"])), TRIP[:3], "left").dropDuplicates(TRIP)
+    full = full.join(shuffled(zoned), TRIP).withColumn("zone", F.try_element_at("zones", "route_stop_id")).drop("zones")
     timed = gtfs_stop_times(full, TRIP)
     pickup, dropoff = T.pickup_dropoff(F.array_union("attributes", "stop_attributes"))
     stop = F.when(F.col("post_id").isNull(), T.stop_gtfs_id(F.col("stop_id"), cis)).otherwise(T.stop_gtfs_id(F.col("stop_id"), cis, F.col("post_id")))
@@ -195,9 +205,8 @@ def _running_feed(t: dict[str, DataFrame], holidays: DataFrame, cis: bool, only:
     last = headsigns(times.withColumn("trip_no", F.col("trip_id")), TRIP)
     called = require_all(times.select("batch_id", "stop_id").distinct(), stops.select("batch_id", "stop_id", T.stop_name(F.col("town"), F.col("district"), F.col("place")).alias("trip_headsign")), ["batch_id", "stop_id"], "stop")
     heads = last.join(called, ["batch_id", "stop_id"]).drop("stop_id")
-    wheelchair, bikes, direction = T.trip_flags(F.col("attributes"), F.col("trip_id"))
-    live = trips.join(shuffled(running), TRIP).join(shuffled(heads), TRIP, "left").join(shuffled(names), ["batch_id", "plan"])
-    made["trips"] = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), wheelchair.alias("wheelchair_accessible"), bikes.alias("bikes_allowed"))
+    live = running.join(shuffled(heads), TRIP, "left").join(shuffled(names), ["batch_id", "plan"])
+    made["trips"] = live.select("batch_id", T.route_gtfs_id(F.col("route_id"), F.col("dist")).alias("route_id"), F.col("calendar_id").alias("service_id"), trip.alias("trip_id"), "trip_headsign", F.concat_ws(" ", F.col("route_id").cast("string"), F.col("trip_id").cast("string")).alias("trip_short_name"), direction.alias("direction_id"), "wheelchair_accessible", "bikes_allowed")
     return made
 
 
