@@ -336,3 +336,22 @@ def test_stops_of_trips_are_shuffled_once(spark):
     dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "route_stop_id" in line.split("hashpartitioning")[1]]
     assert not dealt
     assert "attribute_id" not in feed["trips"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_railway_feed_reads_its_locations_once(spark, monkeypatch):
+    """The feed's tables are made of written locations, and trains and days are not broadcast."""
+    import re
+
+    from timetide.jobs import catalog, rail
+
+    plans, written = [], rail.written_feed
+
+    def seen(s, tables):
+        plans.extend(df._jdf.queryExecution().sparkPlan().toString() for k, df in tables.items() if k != "feed_info")
+        return written(s, tables)
+
+    monkeypatch.setattr(rail, "written_feed", seen)
+    out = catalog.queries()["g2_czptt_feed_days"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 6 and not any("lineitem" in p for p in plans)
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert not [x for p in plans for x in re.findall(r"BroadcastHashJoin \[[^\]]*\b(plan|trip_id|service_id)#", p)]

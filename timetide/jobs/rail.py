@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timetide.functions.lineage import shuffled
 from timetide.jobs.registry import query
 from timetide.jobs.timetable import written_feed
 from timetide.operators import rail as R
@@ -106,7 +107,7 @@ def _(s):
 def whole_messages(s):
     """messages with their days: 20 days from the order's date, every seventh message's next one cancelling a part."""
     days = s.bitmaps.select(C("id").alias("message_id"), "start", F.lpad(F.bin("bits"), 20, "0").alias("bitmap"))
-    return messages(s).join(days, "message_id")
+    return messages(s).join(shuffled(days), "message_id")
 
 
 @query("g2_czptt_feed_days", f"""WITH {TRAIN}, m AS (SELECT message_id, least(min(least(arr_offset, dep_offset)), 0) AS o FROM loc GROUP BY 1),
@@ -114,7 +115,8 @@ def whole_messages(s):
   SELECT '-CZTRAINT-2024:' || id || ':01' AS trip_id, day FROM bd JOIN tr ON tr.message_id = id WHERE (commercial IS NULL OR commercial <> 'XX') AND NOT (id % 7 = 0 AND day(day) <= 10)""")
 def _(s):
     """The days of each train as a reader of the written feed finds them; every seventh train is cancelled on the first ten days of a month."""
+    s.store("locations")  # all tables of the feed are made of them, several times over
     off = R.czptt_service_days(whole_messages(s), locations(s)).where("message_id % 7 = 0 and day(day) <= 10")
     none = s.spark.createDataFrame([], "code int, name string, licence_a boolean, licence_b boolean, licence_c boolean")
     back = written_feed(s, R.czptt_to_gtfs(whole_messages(s), locations(s), none, off))
-    return back["trips"].join(back["calendar_dates"], "service_id").select("trip_id", C("date").alias("day"))
+    return back["trips"].join(shuffled(back["calendar_dates"]), "service_id").select("trip_id", C("date").alias("day"))

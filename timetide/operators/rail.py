@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timetide.functions import text as T
-from timetide.functions.lineage import cut
+from timetide.functions.lineage import cut, shuffled
 from timetide.operators import calendars, timetable
 
 #: Activity and train type codes with a meaning here. Fixed values.
@@ -131,14 +131,14 @@ def czptt_to_gtfs(messages: DataFrame, locations: DataFrame, companies: DataFram
     Trains of an unknown category and trains of which no day is left are not in the feed; trains of the
     same days share one calendar, all of added days."""
     routes, trips, _ = czptt_trips(messages, locations)
-    days = cut(czptt_service_days(messages, locations, cancelled).join(trips.select("message_id", "trip_id"), "message_id"))
+    days = cut(czptt_service_days(messages, locations, cancelled).join(shuffled(trips.select("message_id", "trip_id")), "message_id"))
     listed = days.groupBy("message_id", "trip_id").agg(F.sort_array(F.collect_set("day")).alias("days"))
     services = cut(listed.select("message_id", "trip_id", F.transform("days", lambda d: F.struct(d.alias("day"), F.lit(1).alias("exception_type"))).alias("changes"), F.sha2(F.to_json(F.struct("days")), 256).alias("plan")))
     plans = services.select("plan", "changes", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(None).cast("array<boolean>").alias("pattern")).dropDuplicates(["plan"])
     names = calendars.calendar_names(services, plans, "trip_id")
     _, dates = timetable.calendar_tables(names, plans, [])
-    live = trips.drop("service_id").join(services.select("message_id", "plan"), "message_id").join(names, "plan").withColumnRenamed("calendar_id", "service_id")
-    times = czptt_stop_times(messages, locations).join(live.select("message_id", "trip_id"), "message_id")
+    live = cut(trips.drop("service_id").join(shuffled(services.select("message_id", "plan")), "message_id").join(shuffled(names), "plan").withColumnRenamed("calendar_id", "service_id"))
+    times = czptt_stop_times(messages, locations).join(shuffled(live.select("message_id", "trip_id")), "message_id")
     stops = czptt_stops(locations).withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double"))
     agencies = czptt_agencies(locations, companies).withColumn("agency_url", F.lit(None).cast("string")).withColumn("agency_timezone", F.lit("Europe/Prague"))
     agencies, stops = timetable.fill_required(agencies, timetable.add_coords(stops, coords) if coords is not None else stops)
